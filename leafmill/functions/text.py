@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,15 @@ INLINE_SPACE = r"[\s\x1c-\x1f&&[^\n]]"
 _EDGES = rf"(?U)\A{SPACE}+|{SPACE}+\z"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once.
+
+    Inside a lambda Spark computes an expression again wherever it is written;
+    a lambda variable is computed once.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def words_of(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -40,8 +51,7 @@ def candidate_terms(text: Column) -> Column:
 
 def token_length(text: Column) -> Column:
     """A quarter of the stripped length, at least 1; blank text has none."""
-    n = F.length(strip(text))
-    return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 4).cast("int")))
+    return let(F.length(strip(text)), lambda n: F.greatest(F.least(n, F.lit(1)), F.floor(n / 4).cast("int")))
 
 
 def words(text: Column) -> Column:

@@ -32,11 +32,10 @@ def merge_small(sections: Column, min_tokens: int = fv.MIN_SECTION_TOKENS) -> Co
     empty = F.struct(tx.no_strings().alias("done"), F.lit(None).cast("string").alias("carry"))
 
     def step(state, section):
-        text = F.concat_ws("\n\n", state["carry"], section)
-        enough = tx.token_length(text) >= min_tokens
-        return F.struct(
-            F.when(enough, F.concat(state["done"], F.array(text))).otherwise(state["done"]).alias("done"),
-            F.when(enough, F.lit(None).cast("string")).otherwise(text).alias("carry"))
+        grown = F.concat_ws("\n\n", state["carry"], section)
+        return tx.let(F.struct(grown.alias("text"), (tx.token_length(grown) >= min_tokens).alias("enough")), lambda g: F.struct(
+            F.when(g["enough"], F.concat(state["done"], F.array(g["text"]))).otherwise(state["done"]).alias("done"),
+            F.when(~g["enough"], g["text"]).alias("carry")))
 
     def finish(state):
         done, carry = state["done"], state["carry"]
@@ -50,9 +49,14 @@ def merge_small(sections: Column, min_tokens: int = fv.MIN_SECTION_TOKENS) -> Co
 
 def word_windows(words: Column, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> Column:
     """Windows of `size` words, one every max(1, size - overlap) words."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(max(1, size - overlap)))
-    joined = F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, size), " "))
-    return F.when(F.size(words) == 0, tx.no_strings()).otherwise(joined)
+    step = F.lit(max(1, size - overlap))
+
+    def windows(w):
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), step)
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+        return F.when(F.size(w) == 0, tx.no_strings()).otherwise(joined)
+
+    return tx.let(words, windows)
 
 
 def separator_split(text: Column, size: int = fv.CHUNK_SIZE) -> Column:
@@ -70,16 +74,18 @@ def separator_split(text: Column, size: int = fv.CHUNK_SIZE) -> Column:
 
         def step(state, part):
             grown = F.concat(state["open"], part)
-            fits = ~too_long(grown) | (state["open"] == "")
-            return F.struct(
+            return tx.let(~too_long(grown) | (state["open"] == ""), lambda fits: F.struct(
                 F.when(fits, state["done"]).otherwise(F.concat(state["done"], F.array(state["open"]))).alias("done"),
-                F.when(fits, grown).otherwise(part).alias("open"))
+                F.when(fits, grown).otherwise(part).alias("open")))
 
         return F.aggregate(parts, empty, step, lambda s: F.concat(s["done"], F.array(s["open"])))
 
+    def cut_after(mark):
+        return lambda p: F.when(too_long(p), pack(F.split(p, mark))).otherwise(F.array(p))
+
     for separator in fv.SEPARATORS:
-        after = "(?<=" + "".join("\\" + ch if ch in ".?" else ch for ch in separator) + ")"
-        pieces = F.flatten(F.transform(pieces, lambda p, a=after: F.when(too_long(p), pack(F.split(p, a))).otherwise(F.array(p))))
+        mark = "(?<=" + "".join("\\" + ch if ch in ".?" else ch for ch in separator) + ")"
+        pieces = F.flatten(F.transform(pieces, cut_after(mark)))
     width = size * 4
     by_length = lambda p: F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(p), F.lit(1)), F.lit(width)), lambda i: p.substr(i, F.lit(width)))

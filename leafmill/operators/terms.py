@@ -17,11 +17,8 @@ def substring_join(texts: DataFrame, text_col: str, needles: DataFrame, needle_c
     A needle of n characters is keyed by its first min(n, 3); a text offers
     every distinct run of one to three characters. The match is then verified.
     """
-    def runs(size: int) -> Column:
-        last = F.length(text_col) - size + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(
-            F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.col(text_col).substr(i, F.lit(size)))
+    def runs(size: int) -> Column:  # every run, overlapping, in one pass over the text
+        return F.regexp_extract_all(F.col(text_col), F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
     leads = F.array_distinct(F.concat(*[runs(n) for n in range(1, LEAD + 1)]))
     keyed = needles.filter(F.length(needle_col) > 0).withColumn("_lead", F.substring(needle_col, 1, LEAD))
@@ -117,22 +114,24 @@ def keyword_array(terms: Column, hits: Column, limit: int = fv.MAX_KEYWORDS) ->
                              hit["boost"] + F.lit(fv.CANONICAL_BONUS)))
         return F.filter(both, lambda w: w["key"] != "")
 
-    writes = F.flatten(F.transform(hits, writes_of))
-    keys = F.array_distinct(F.transform(writes, lambda w: w["key"]))
-
-    def written(key, i):
-        last = F.element_at(F.filter(writes, lambda w: w["key"] == key), -1)
-        at = F.array_position(terms, key)
-        return entry(key, last["keyword"], last["kind"], last["weight"],
-                     F.when(at > 0, at - 1).otherwise(F.size(terms) + i))
-
     def token(term, i):
         weight = F.when(term.rlike(fv.HANGUL), fv.HANGUL_TOKEN_WEIGHT).otherwise(fv.TOKEN_WEIGHT)
         return entry(term, term, F.lit("token"), weight, i)
 
-    tokens = F.filter(F.transform(terms, token), lambda e: ~F.array_contains(keys, e["normalized_keyword"]))
-    ranked = F.sort_array(F.concat(tokens, F.transform(keys, written)), asc=False)
-    return F.slice(ranked, 1, limit)
+    def ranked(writes):
+        def with_keys(keys):
+            def written(key, i):
+                at = F.array_position(terms, key)
+                place = F.when(at > 0, at - 1).otherwise(F.size(terms) + i)
+                return tx.let(F.element_at(F.filter(writes, lambda w: w["key"] == key), -1),
+                              lambda last: entry(key, last["keyword"], last["kind"], last["weight"], place))
+
+            tokens = F.filter(F.transform(terms, token), lambda e: ~F.array_contains(keys, e["normalized_keyword"]))
+            return F.sort_array(F.concat(tokens, F.transform(keys, written)), asc=False)
+
+        return tx.let(F.array_distinct(F.transform(writes, lambda w: w["key"])), with_keys)
+
+    return F.slice(tx.let(F.flatten(F.transform(hits, writes_of)), ranked), 1, limit)
 
 
 def keyword_index(texts: DataFrame, keys: list[str], text_col: str, aliases: DataFrame | None = None,
