@@ -10,7 +10,7 @@ from checks import standins as s
 from checks.registry import part, query, sql
 from leafmill.operators import logs as lg
 from leafmill.operators import reports as rp
-from leafmill.sources.tables import read_table as t
+from checks.standins import t
 
 AS_OF = s.AS_OF
 A = "TIMESTAMP '2024-01-31'"

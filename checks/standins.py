@@ -12,7 +12,16 @@ from pyspark.sql import functions as F
 
 from checks.registry import part
 from leafmill.functions import text as tx
-from leafmill.sources.tables import read_table as t
+from leafmill.sources.tables import read_table, spread
+
+HEAVY = ("documents", "pages", "conversations")
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table; the text tables are spread over the cores."""
+    table = read_table(spark, sf, name)
+    return spread(table) if name in HEAVY else table
+
 
 AS_OF = datetime.datetime(2024, 1, 31)
 GRANTS_AS_OF = datetime.datetime(1998, 6, 1)

@@ -19,9 +19,10 @@ def norm(a: Column) -> Column:
 
 def l2_normalise(a: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    size = norm(a)
-    return F.when(size > 0, F.transform(a, lambda x: x.cast("double") / size)).otherwise(
-        F.transform(a, lambda x: x.cast("double")))
+    def scaled(size):
+        return F.transform(a, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(x.cast("double")))
+
+    return F.transform(F.array(norm(a)), scaled)[0]
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -29,12 +30,13 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
-def hash_embedding(text: Column, dim: int = fv.VECTOR_DIM, normalised: bool = True) -> Column:
+def hash_embedding(text: Column, dim: int = fv.VECTOR_DIM) -> Column:
     """array<float>: each token adds 1 to eight buckets taken from its SHA-256.
 
     Spark has no function that counts into a dense array, and grouping by
     bucket would shuffle up to eight rows per token, so one Arrow batch at a
     time is counted with numpy. A token's buckets are looked up once per batch.
+    The counts are exact; `l2_normalise` gives the unit vector.
     """
     pairs = fv.DIGEST_PAIRS
 
@@ -54,10 +56,7 @@ def hash_embedding(text: Column, dim: int = fv.VECTOR_DIM, normalised: bool = Tr
 
         def vector(text):
             tokens = (text or "").lower().split() or ["__empty__"]
-            counts = np.bincount(np.concatenate([buckets(t) for t in tokens]), minlength=dim).astype(np.float32)
-            if normalised:
-                counts /= np.linalg.norm(counts)
-            return counts
+            return np.bincount(np.concatenate([buckets(t) for t in tokens]), minlength=dim).astype(np.float32)
 
         return pd.Series([vector(t) for t in texts])
 

@@ -28,6 +28,7 @@ def block_chunk_table(blocks: DataFrame, **params) -> DataFrame:
 
 
 def with_vectors(chunks: DataFrame) -> DataFrame:
+    """Chunks with their count vectors; cosine does not depend on a vector's length."""
     return chunks.withColumn("embedding", vx.hash_embedding(F.col("content")))
 
 

@@ -15,6 +15,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores, for work that is heavy per row on a table of few splits.
+
+    A table with at least a split per core, as on a cluster, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def write_by_document(df: DataFrame, path: str, buckets: int = BUCKETS, doc: str = "doc_id") -> None:
     """Write a table whose folders are buckets of the document id."""
     keyed = df.withColumn("doc_bucket", F.pmod(F.xxhash64(doc), F.lit(buckets)).cast("int"))
