@@ -230,7 +230,7 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     values = F.when(F.col("l_returnflag") == "R", F.array(text("l_partkey"), text("l_quantity"))).when(
         F.col("l_returnflag") == "N", F.array(text("l_partkey"), text("l_quantity"), F.col("l_linestatus"))).otherwise(
         F.array(text("l_partkey"), text("l_quantity"), F.col("l_linestatus"), F.lit("cut")))
-    body = items.select(F.col("l_orderkey").alias("doc_id"), row.cast("int").alias("row"), F.posexplode(values).alias("col", "text"))
+    body = items.withColumn("row", row.cast("int")).select(F.col("l_orderkey").alias("doc_id"), "row", F.posexplode(values).alias("col", "text"))
     header = items.select(F.col("l_orderkey").alias("doc_id")).distinct().select(
         "doc_id", F.lit(0).alias("row"), F.posexplode(tx.words_of(["part", "quantity", "status"])).alias("col", "text"))
     return header.unionByName(body)

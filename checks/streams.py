@@ -1 +1,150 @@
-"""Queries."""
+"""Streaming jobs and their batch forms (K)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from checks import standins as s
+from checks.registry import part, query, sql
+from checks.standins import t
+from leafmill.operators import blocks as bk
+from leafmill.operators import reports as rp
+from leafmill.session import shared_dir
+from leafmill.streaming import jobs as jb
+
+
+def stamped(df, column="ts"):
+    return df.withColumn(column, F.col(column).cast("timestamp"))
+
+
+def ntz(df, *columns):
+    for c in columns:
+        df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
+    return df
+
+
+def event_stream(spark, sf):
+    return jb.event_stream(spark, sf, "events.parquet", t(spark, sf, "events").schema)
+
+
+def through_stream(df):
+    """Run a stream over what there is, into a fresh folder of the shared directory."""
+    folder = f"{shared_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    return jb.run_to_table(df, f"{folder}/out", f"{folder}/progress")
+
+
+# --- K1 ---------------------------------------------------------------------------
+
+def files(spark, sf):
+    return s.parsed(spark, sf).withColumn("path", F.format_string("/%s/%d.json", "lang", "doc_id"))
+
+
+@query("k1_ingest_documents", """
+  SELECT doc_id, '/' || lang || '/' || doc_id || '.json' AS path, sha256(text) AS hash, 'pending' AS status FROM documents
+  QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY '/' || lang || '/' || doc_id || '.json') = 1""")
+def k1(spark, sf):
+    return jb.ingest_tables(jb.new_documents(files(spark, sf), None))["documents"]
+
+
+# --- K2 ---------------------------------------------------------------------------
+
+def sql_windows(size_days: int) -> str:
+    """Days, or windows of two days that start every day."""
+    shift = "ts::DATE::TIMESTAMP" if size_days == 1 else "ts::DATE::TIMESTAMP - to_days(unnest([0, 1]))"
+    return f"""
+  SELECT window_start, window_start + INTERVAL {size_days} DAY AS window_end, module, count(*) AS total_events,
+         count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings,
+         round(nullif(avg(duration_ms), 0), 1) AS avg_duration_ms
+  FROM (SELECT *, {shift} AS window_start FROM (SELECT *, created_at AS ts FROM event_logs)) GROUP BY ALL"""
+
+
+def module_events(events):
+    severity = F.when(F.col("value") > 150, "error").when(F.col("value") > 80, "warning").otherwise("info")
+    return stamped(events).select("ts", s.cases("event_type", s.MODULE).alias("module"), severity.alias("severity"),
+                                  F.when(F.col("value") >= 5, F.col("value")).alias("duration_ms"))
+
+
+@query("k2_module_windows", sql("event_logs", body=sql_windows(1)))
+def k2a(spark, sf):
+    return ntz(jb.windowed_module_stats(module_events(t(spark, sf, "events"))), "window_start", "window_end")
+
+
+@query("k2_sliding_module_windows", sql("event_logs", body=sql_windows(2)))
+def k2b(spark, sf):
+    return ntz(jb.windowed_module_stats(module_events(t(spark, sf, "events")), "2 days", "1 day"), "window_start", "window_end")
+
+
+# a stream gives out a window once the watermark, an hour behind the latest event, has passed it
+@query("k2_streamed_module_windows", sql("event_logs", body=f"""
+  SELECT * FROM ({sql_windows(1)}) WHERE window_end <= (SELECT max(created_at) FROM event_logs) - INTERVAL 1 HOUR"""))
+def k2c(spark, sf):
+    rows = through_stream(jb.windowed_module_stats(module_events(event_stream(spark, sf))))
+    return ntz(rows, "window_start", "window_end")
+
+
+# --- K3 ---------------------------------------------------------------------------
+
+def halves(events):
+    """Views are starts of a visitor's stage, purchases are ends."""
+    rows = stamped(events).select(F.col("user_id").alias("trace_id"), F.lit("order").alias("stage"), "ts", F.col("event_id").alias("ord"), "event_type")
+    return rows.filter("event_type = 'view'"), rows.filter("event_type = 'purchase'")
+
+
+STAGES = """
+  SELECT v.user_id AS trace_id, 'order' AS stage, v.ts AS started_at, v.event_id AS start_ord, p.ts AS ended_at, p.event_id AS end_ord, p.event_type AS outcome
+  FROM events v {how} JOIN events p ON p.event_type = 'purchase' AND p.user_id = v.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 1 DAY
+  WHERE v.event_type = 'view'"""
+
+
+@query("k3_stage_durations", STAGES.format(how="LEFT"))
+def k3a(spark, sf):
+    return ntz(jb.stage_durations(*halves(t(spark, sf, "events"))), "started_at", "ended_at")
+
+
+@query("k3_streamed_stage_durations", STAGES.format(how="INNER"))
+def k3b(spark, sf):
+    """Pairs from the stream; starts without an end wait for the watermark and are left out here."""
+    starts, _ = halves(event_stream(spark, sf))
+    _, ends = halves(event_stream(spark, sf))
+    return ntz(through_stream(jb.stage_durations(starts, ends)).filter("ended_at IS NOT NULL"), "started_at", "ended_at")
+
+
+# --- K4 ---------------------------------------------------------------------------
+
+part("attempts", """SELECT user_id, ts, event_id AS ord, event_type IN ('click', 'purchase') AS success,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events""")
+part("first_fold", """SELECT *, CASE WHEN success THEN 0 ELSE 1 END AS failures, NULL::TIMESTAMP AS locked_until,
+  CASE WHEN success THEN 'success' ELSE 'failure' END AS outcome FROM attempts WHERE i = 1""", "attempts")
+part("fold", """RECURSIVE
+  SELECT user_id, ts, ord, i, outcome, failures::BIGINT AS failures, locked_until FROM first_fold
+  UNION ALL
+  SELECT user_id, ts, ord, i,
+    CASE WHEN locked THEN 'rejected' WHEN success THEN 'success' WHEN failures + 1 >= 3 THEN 'locked' ELSE 'failure' END,
+    CASE WHEN locked THEN failures WHEN success THEN 0 ELSE failures + 1 END,
+    CASE WHEN NOT locked AND NOT success AND failures + 1 >= 3 THEN ts + INTERVAL 720 MINUTE ELSE locked_until END
+  FROM (SELECT a.user_id, a.ts, a.ord, a.i, a.success, f.failures, f.locked_until, coalesce(f.locked_until > a.ts, false) AS locked
+        FROM fold f JOIN attempts a ON a.user_id = f.user_id AND a.i = f.i + 1)""", "attempts", "first_fold")
+FOLD = sql("fold", body="SELECT user_id, ts, ord, outcome, failures, locked_until FROM fold")
+
+
+def attempts(events):
+    return stamped(events).select("user_id", "ts", F.col("event_id").alias("ord"), F.col("event_type").isin("click", "purchase").alias("success"))
+
+
+def sign_ins(df):
+    return ntz(df.withColumn("failures", F.col("failures").cast("long")), "ts", "locked_until")
+
+
+@query("k4_lockouts", FOLD)
+def k4a(spark, sf):
+    return sign_ins(jb.lockouts(attempts(t(spark, sf, "events")), 3, 720))
+
+
+@query("k4_streamed_lockouts", FOLD)
+def k4b(spark, sf):
+    return sign_ins(through_stream(jb.lockout_stream(attempts(event_stream(spark, sf)), 3, 720)))
+
+
+_ = (bk, rp)
