@@ -161,8 +161,8 @@ part("bm25", """
   JOIN (SELECT word, count(*) AS df FROM ready_tf GROUP BY 1) d USING (word)
   CROSS JOIN (SELECT count(*) AS total, avg(n) AS mean FROM ready_sizes) g""", "ready_tf", "ready_sizes", "query_words")
 part("all_scores", """
-  SELECT query_id, chunk_id, round(sum(s), 6) AS sparse_score FROM bm25 GROUP BY ALL
-  HAVING count(*) = (SELECT count(*) FROM query_words w WHERE w.query_id = bm25.query_id)""", "bm25", "query_words")
+  SELECT query_id, chunk_id, sparse_score FROM (SELECT query_id, chunk_id, round(sum(s), 6) AS sparse_score, count(*) AS n FROM bm25 GROUP BY ALL)
+  JOIN (SELECT query_id, count(*) AS n FROM query_words GROUP BY 1) USING (query_id, n)""", "bm25", "query_words")
 part("any_scores", "SELECT query_id, chunk_id, round(sum(s), 6) AS sparse_score FROM bm25 GROUP BY ALL", "bm25")
 part("sparse", f"SELECT *, {RANK.format(score='sparse_score')} FROM all_scores {top('sparse_score')}", "all_scores")
 
@@ -367,8 +367,8 @@ part("block_hits", f"""
          NULL::VARCHAR AS section_path, query_norm, forms, pref_text, pref_table, pref_image, pref_caption FROM (
     SELECT k.*, c.doc_id, c.content, d.file_name, d.type AS file_type,
            CASE WHEN c.chunk_type = 'es' THEN c.chunk_type ELSE {s.sql_cases('c.chunk_type', KIND)} END AS block_type, c.page_number, q.* EXCLUDE (query_id)
-    FROM (SELECT query_id, chunk_id, round(sum(weight), 6) AS keyword_score FROM forms JOIN block_keywords ON normalized_keyword = variant_norm
-          WHERE length(variant_norm) >= 2 GROUP BY ALL {top('keyword_score')}) k
+    FROM (SELECT * FROM (SELECT query_id, chunk_id, round(sum(weight), 6) AS keyword_score FROM forms JOIN block_keywords ON normalized_keyword = variant_norm
+          WHERE length(variant_norm) >= 2 GROUP BY query_id, chunk_id) {top('keyword_score')}) k
     JOIN block_chunks c USING (chunk_id) JOIN docs d ON d.doc_id = c.doc_id JOIN query_profile q USING (query_id))""",
      "forms", "block_keywords", "block_chunks", "docs", "query_profile")
 
