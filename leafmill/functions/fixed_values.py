@@ -38,7 +38,6 @@ STOPWORDS = [
 
 OUTSIDE_SEARCH_ALPHABET = r"[^0-9a-z가-힣._+\-/]+"
 TERM = r"[A-Za-z0-9][A-Za-z0-9._+\-/]{1,63}|[가-힣]{2,20}"
-HANGUL = "[가-힣]"
 MAX_KEYWORDS = 48
 HANGUL_TOKEN_WEIGHT, TOKEN_WEIGHT = 1.0, 0.9
 

@@ -35,30 +35,35 @@ def number_within(df: DataFrame, keys: list[str], order: list, bucket: str, out:
             .drop("_start"))
 
 
-def latest_before(df: DataFrame, keys: list[str], order: list[str], bucket: str,
-                  value: Column, out: str, null_keys: bool = False) -> DataFrame:
-    """The last non-null `value` at or before each row of its group.
+def nearest_in_order(df: DataFrame, keys: list[str], order: list[str], bucket: str, value: Column,
+                     before: str | None = None, after: str | None = None, null_keys: bool = False) -> DataFrame:
+    """The nearest non-null `value` at or before, and at or after, each row of its group.
 
-    With `null_keys` rows whose key is null form a group of their own; without,
-    the join and the window share one shuffle on (keys, bucket).
+    Per bucket only its first and last value cross to other buckets. With
+    `null_keys` rows whose key is null form a group of their own; without, the
+    join and the windows share one shuffle on (keys, bucket).
     """
     cells = keys + [bucket]
-    df = df.withColumn(out, value)
-    place = F.struct(*order)
-    lasts = df.groupBy(*cells).agg(
-        F.max_by(out, F.when(F.col(out).isNotNull(), place)).alias("_last"))
-    carried = lasts.select(*cells, F.last("_last", True).over(_before(keys, bucket)).alias("_carry"))
-    running = (Window.partitionBy(*cells).orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn("_v", value)
+    place = F.when(F.col("_v").isNotNull(), F.struct(*order))
+    ends = df.groupBy(*cells).agg(F.min_by("_v", place).alias("_first"), F.max_by("_v", place).alias("_last"))
+    after_window = (Window.partitionBy(*keys).orderBy(bucket).rowsBetween(1, Window.unboundedFollowing))
+    ends = ends.select(*cells, F.last("_last", True).over(_before(keys, bucket)).alias("_earlier"),
+                       F.first("_first", True).over(after_window).alias("_later"))
     if null_keys:
-        left, right = df.alias("l"), carried.alias("r")
+        left, right = df.alias("l"), ends.alias("r")
         same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in cells]
-        joined = left.join(right, same, "left").select("l.*", "r._carry")
+        joined = left.join(right, same, "left").select("l.*", "r._earlier", "r._later")
     else:
-        joined = df.join(carried, cells, "left")
-    return (joined
-            .withColumn(out, F.coalesce(F.last(out, True).over(running), F.col("_carry")))
-            .drop("_carry"))
+        joined = df.join(ends, cells, "left")
+    inside = Window.partitionBy(*cells).orderBy(*order)
+    if before:
+        back = F.last("_v", True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        joined = joined.withColumn(before, F.coalesce(back, F.col("_earlier")))
+    if after:
+        ahead = F.first("_v", True).over(inside.rowsBetween(0, Window.unboundedFollowing))
+        joined = joined.withColumn(after, F.coalesce(ahead, F.col("_later")))
+    return joined.drop("_v", "_earlier", "_later")
 
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:

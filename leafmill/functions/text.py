@@ -44,9 +44,18 @@ def normalise(text: Column) -> Column:
 
 def candidate_terms(text: Column) -> Column:
     """Distinct search terms in first-seen order."""
-    found = F.regexp_extract_all(normalise(text), F.lit(fv.TERM), F.lit(0))
+    return terms_of_normal(normalise(text))
+
+
+def terms_of_normal(normal: Column) -> Column:
+    found = F.array_distinct(F.regexp_extract_all(normal, F.lit(fv.TERM), F.lit(0)))
     stop = words_of(fv.STOPWORDS)
-    return F.array_distinct(F.filter(found, lambda t: ~F.array_contains(stop, t)))
+    return F.filter(found, lambda t: ~F.array_contains(stop, t))
+
+
+def is_hangul(term: Column) -> Column:
+    """A search term is all Hangul or all ASCII, so its first character tells."""
+    return F.ascii(term).between(ord("가"), ord("힣"))
 
 
 def token_length(text: Column) -> Column:

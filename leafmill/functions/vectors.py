@@ -46,18 +46,10 @@ def hash_embedding(text: Column, dim: int = fv.VECTOR_DIM) -> Column:
         import numpy as np
         import pandas as pd
 
-        known: dict = {}
-
-        def buckets(token):
-            if token not in known:
-                digest = hashlib.sha256(token.encode("utf-8")).digest()
-                known[token] = np.frombuffer(digest, dtype=">u2", count=pairs).astype(np.int64) % dim
-            return known[token]
-
-        def vector(text):
-            tokens = (text or "").lower().split() or ["__empty__"]
-            return np.bincount(np.concatenate([buckets(t) for t in tokens]), minlength=dim).astype(np.float32)
-
-        return pd.Series([vector(t) for t in texts])
+        ids: dict = {}
+        texts = [[ids.setdefault(t, len(ids)) for t in (text or "").lower().split() or ["__empty__"]] for text in texts]
+        digests = b"".join(hashlib.sha256(t.encode("utf-8")).digest()[:2 * pairs] for t in ids)
+        buckets = np.frombuffer(digests, dtype=">u2").astype(np.int64).reshape(-1, pairs) % dim
+        return pd.Series([np.bincount(buckets[t].ravel(), minlength=dim).astype(np.float32) for t in texts])
 
     return F.pandas_udf(encode, "array<float>")(text)

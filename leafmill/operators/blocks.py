@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import fixed_values as fv
 from leafmill.functions import text as tx
-from leafmill.functions.ordered import latest_before, number_within, position_bucket
+from leafmill.functions.ordered import nearest_in_order, number_within, position_bucket
 from leafmill.operators.chunks import CUT
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -95,37 +95,35 @@ def link_captions(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Give each image the nearest caption on its page or slide; ties take the earlier.
 
     Only the last caption before and the first after an image can be nearest,
-    so two running columns per (document, page) and per (document, slide)
-    replace a join of images with captions. Two missing pages count as equal.
+    so running columns per (document, page) and per (document, slide) replace a
+    join of images with captions. Other blocks take no part. Two missing pages
+    count as equal.
     """
-    if "slide_number" not in blocks.columns:
-        blocks = blocks.withColumn("slide_number", F.lit(None).cast("int"))
-    work = (blocks.withColumn("_bucket", position_bucket(F.col("block_idx")))
-            .withColumn("_back_bucket", -F.col("_bucket"))
-            .withColumn("_back", -F.col("block_idx"))
-            .withColumn("_slide", F.nullif(F.col("slide_number"), F.lit(0))))
+    marks = blocks.filter(F.col("block_type").isin("caption", "image")).withColumn(
+        "_bucket", position_bucket(F.col("block_idx")))
     caption = F.when(F.col("block_type") == "caption", F.struct("block_idx", "source_text"))
-    for place, keys in (("page", [doc, "page_number"]), ("slide", [doc, "_slide"])):
-        at = caption if place == "page" else F.when(F.col("_slide").isNotNull(), caption)
-        work = latest_before(work, keys, ["block_idx"], "_bucket", at, f"_{place}_before", null_keys=True)
-        work = latest_before(work, keys, ["_back"], "_back_bucket", at, f"_{place}_after", null_keys=True)
+    work = nearest_in_order(marks, [doc, "page_number"], ["block_idx"], "_bucket", caption,
+                            "_page_before", "_page_after", null_keys=True)
+    options = ["_page_before", "_page_after"]
+    if "slide_number" in blocks.columns:
+        work = work.withColumn("_slide", F.nullif(F.col("slide_number"), F.lit(0)))
+        work = nearest_in_order(work, [doc, "_slide"], ["block_idx"], "_bucket", F.when(F.col("_slide").isNotNull(), caption),
+                                "_slide_before", "_slide_after", null_keys=True)
+        options += ["_slide_before", "_slide_after"]
 
     def option(name):
         c = F.col(name)
         return F.when(c.isNotNull(), F.struct(
             F.abs(c["block_idx"] - F.col("block_idx")).alias("distance"),
-            c["block_idx"].alias("block_idx"), c["source_text"].alias("text")))
-
-    nearest = F.when(F.col("block_type") == "image",
-                     F.array_min(F.array(*[option(f"_{p}_{s}") for p in ("page", "slide") for s in ("before", "after")])))
-    work = work.withColumn("_near", nearest)
-    caption_text = F.col("_near.text")
-    add = caption_text.isNotNull() & (caption_text != "") & ~F.contains(F.col("source_text"), caption_text)
-    linked = F.when(add, tx.strip(F.concat(F.col("source_text"), F.lit("\nCaption: "), caption_text)))
-    return work.select(
-        *[c for c in blocks.columns if c != "source_text"],
-        F.coalesce(linked, F.col("source_text")).alias("source_text"),
-        F.col("_near.block_idx").alias("parent_block_idx"), caption_text.alias("caption_text"))
+            c["block_idx"].alias("parent_block_idx"), c["source_text"].alias("caption_text")))
+
+    nearest = F.array_min(F.array(*[option(o) for o in options]))
+    links = work.filter("block_type = 'image'").select(doc, "block_idx", nearest.alias("_near")).select(
+        doc, "block_idx", "_near.parent_block_idx", "_near.caption_text").filter("parent_block_idx IS NOT NULL")
+    text, found = F.col("source_text"), F.col("caption_text")
+    add = found.isNotNull() & (found != "") & ~F.contains(text, found)
+    linked = F.when(add, tx.strip(F.concat(text, F.lit("\nCaption: "), found))).otherwise(text)
+    return blocks.join(links, [doc, "block_idx"], "left").withColumn("source_text", linked)
 
 
 def finish_blocks(blocks: DataFrame) -> DataFrame:

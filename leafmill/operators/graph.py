@@ -40,31 +40,68 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.aggregate(steps, empty, step, lambda s: s["out"])
 
 
-def mention_array(text: Column) -> Column:
-    """Mentions of one text, rule by rule, the first of each (name, type) kept."""
-    def rule(i, kind, pattern):
-        least = fv.MIN_ORG_SUFFIX_NAME if i == 0 else 2
-        named = F.transform(_matches(text, "(?U)" + pattern), lambda m: F.struct(
-            tx.strip(m["name"]).alias("name"), F.lit(kind).alias("type"),
-            m["start"].alias("start_char"), m["end"].alias("end_char")))
-        kept = F.filter(named, lambda m: F.length(m["name"]) >= least)
+# Tests a text must pass before a rule's pattern is tried on it: what every match needs.
+NEEDS_HANGUL, NEEDS_DIGIT = "[가-힣]", r"(?U)\d"
+
+
+def _java(pattern: str) -> str:
+    """The same pattern for Java: Unicode classes, and a cheap look at the next character before \\b."""
+    if pattern.startswith(r"\b["):
+        first = pattern[2:pattern.index("]") + 1]
+        pattern = f"(?={first})(?<![A-Za-z0-9_])" + pattern
+    return "(?U)" + pattern
+
+
+def mention_array(text: Column, offsets: bool = False) -> Column:
+    """Every mention of one text, rule by rule; with `offsets`, also where it stands."""
+    kept = []
+    for i, (kind, pattern) in enumerate(fv.ENTITY_PATTERNS):
+        pattern = _java(pattern)
+        if offsets:
+            hits = _matches(text, pattern)
+        else:
+            hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(m.alias("name")))
+        where = ["start", "end"] if offsets else []
+        named = _named(hits, kind, where)
         if i == fv.ACRONYM_RULE:
-            kept = F.filter(kept, lambda m: ~F.array_contains(tx.words_of(fv.ACRONYM_STOP_FORMS), m["name"]))
-        return kept
-
-    every = F.concat(*[rule(i, kind, p) for i, (kind, p) in enumerate(fv.ENTITY_PATTERNS)])
-    return every
-
-
-def mentions(texts: DataFrame, doc: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, entity_name, entity_type, start_char, end_char), distinct per document; map-only."""
-    found = texts.select(doc, mention_array(tx.collapse_space(F.col(text_col))).alias("all"))
-    keys = F.transform("all", lambda m: F.struct(m["name"], m["type"]))
-    firsts = F.transform(F.array_distinct(F.col("keys")),
-                         lambda k: F.element_at(F.col("all"), F.array_position(F.col("keys"), k).cast("int")))
-    return (found.withColumn("keys", keys).select(doc, F.posexplode(firsts).alias("place", "m"))
-            .select(doc, "place", F.col("m.name").alias("entity_name"), F.col("m.type").alias("entity_type"),
-                    "m.start_char", "m.end_char"))
+            named = F.filter(named, lambda m: ~F.array_contains(tx.words_of(fv.ACRONYM_STOP_FORMS), m["name"]))
+        least = fv.MIN_ORG_SUFFIX_NAME if i == 0 else 2
+        named = _at_least(named, least)
+        shape = "array<struct<name:string,type:string" + "".join(f",{w}_char:int" for w in where) + ">>"
+        if any("가" <= ch <= "힣" for ch in pattern):
+            named = F.when(text.rlike(NEEDS_HANGUL), named)
+        elif r"\d" in pattern:
+            named = F.when(text.rlike(NEEDS_DIGIT), named)
+        kept.append(F.coalesce(named.cast(shape), F.array().cast(shape)))
+    return F.concat(*kept)
+
+
+def _named(hits: Column, kind: str, where: list[str]) -> Column:
+    return F.transform(hits, lambda m: F.struct(
+        tx.strip(m["name"]).alias("name"), F.lit(kind).alias("type"), *[m[w].alias(f"{w}_char") for w in where]))
+
+
+def _at_least(named: Column, size: int) -> Column:
+    return F.filter(named, lambda m: F.length(m["name"]) >= size)
+
+
+def mentions(texts: DataFrame, doc: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
+    """(doc, place, entity_name, entity_type), distinct per document, first kept; map-only.
+
+    With `offsets` also start_char and end_char of the first mention in the
+    collapsed text.
+    """
+    clean = texts.select(doc, tx.collapse_space(F.col(text_col)).alias("text"))
+    found = clean.select(doc, mention_array(F.col("text"), offsets).alias("all"))
+    if offsets:
+        found = found.withColumn("keys", F.transform("all", lambda m: F.struct(m["name"], m["type"])))
+        firsts = F.transform(F.array_distinct("keys"),
+                             lambda k: F.element_at(F.col("all"), F.array_position(F.col("keys"), k).cast("int")))
+    else:
+        firsts = F.array_distinct("all")
+    rows = found.select(doc, F.posexplode(firsts).alias("place", "m"))
+    return rows.select(doc, "place", F.col("m.name").alias("entity_name"), F.col("m.type").alias("entity_type"),
+                       *(["m.start_char", "m.end_char"] if offsets else []))
 
 
 # --- graph ------------------------------------------------------------------

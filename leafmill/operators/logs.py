@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import fixed_values as fv
-from leafmill.functions.ordered import latest_before
+from leafmill.functions.ordered import nearest_in_order, number_within
 
 
 
@@ -21,8 +21,8 @@ def close_stages(events: DataFrame, bucket: Column | None = None) -> DataFrame:
     newest start that is still open; without one it makes a closed row of its
     own. Starts never closed stay `running`.
 
-    Ends and starts pair like brackets: counting +1 and -1 along the group, an
-    end belongs to the last start at its level. An end at level 0 has no start.
+    Ends and starts pair like brackets: counting +1 and -1 along the group, a
+    start is closed by the next end at its level. An end at level 0 has no start.
     """
     keys = ["doc_id", "stage"]
     day = F.to_date("ts") if bucket is None else bucket
@@ -32,18 +32,14 @@ def close_stages(events: DataFrame, bucket: Column | None = None) -> DataFrame:
     work = _running_depth(work, keys)
     level = F.when(F.col("_start"), F.col("_depth") + 1).otherwise(F.col("_depth"))
     work = work.withColumn("_level", level)
-    own = work.filter("_level > 0")
-    ended = latest_before(own, keys + ["_level"], ["ts", "ord"], "_day",
-                          F.when(F.col("_start"), F.struct("ord", "ts")), "_open")
-    ends = ended.filter(~F.col("_start")).select(
-        *keys, F.col("_open.ord").alias("ord"), F.col("_open.ts").alias("started_at"),
-        "status", F.col("ts").alias("finished_at"), "error")
+    end = F.when(~F.col("_start"), F.struct("ts", "status", "error"))
+    paired = nearest_in_order(work.filter("_level > 0"), keys + ["_level"], ["ts", "ord"], "_day", end, after="_end")
+    closed = paired.filter("_start").select(
+        *keys, "ord", F.col("ts").alias("started_at"), F.coalesce("_end.status", "status").alias("status"),
+        F.col("_end.ts").alias("finished_at"), F.coalesce("_end.error", "error").alias("error"))
     lone = work.filter("_level = 0").select(
         *keys, "ord", F.col("ts").alias("started_at"), "status", F.col("ts").alias("finished_at"), "error")
-    still = (work.filter("_start").select(*keys, "ord", F.col("ts").alias("started_at"), "status",
-                                          F.lit(None).cast(events.schema["ts"].dataType).alias("finished_at"), "error")
-             .join(ends.select("ord"), "ord", "left_anti"))
-    return ends.unionByName(lone).unionByName(still.select(*ends.columns))
+    return closed.unionByName(lone)
 
 
 def _running_depth(work: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,7 +49,6 @@ def _running_depth(work: DataFrame, keys: list[str]) -> DataFrame:
     steps and `low` the lowest running sum. Those two numbers per day are all
     that crosses from one day to the next.
     """
-    from pyspark.sql import Window
     cells = keys + ["_day"]
     step = F.when(F.col("_start"), 1).otherwise(-1)
     inside = Window.partitionBy(*cells).orderBy("ts", "ord")
@@ -107,7 +102,6 @@ def status_timeline(documents: DataFrame, logs: DataFrame) -> DataFrame:
 
     Rows are numbered day by day, so a document with very many rows is not one task.
     """
-    from leafmill.functions.ordered import number_within
     work = logs.withColumn("_back_day", -F.datediff(F.to_date("started_at"), F.lit("1970-01-01")))
     numbered = number_within(work, ["doc_id"], [F.desc("started_at"), F.desc("id")], "_back_day", "place")
     names = documents.select("doc_id", F.col("status").alias("doc_status"))
@@ -120,7 +114,7 @@ def timed_pairs(events: DataFrame) -> DataFrame:
     `events` needs ord, trace_id, stage, event_type, ts.
     """
     start = F.when(F.col("event_type") == "stage_start", F.struct("ord", "ts"))
-    work = latest_before(events.withColumn("_day", F.to_date("ts")), ["trace_id", "stage"], ["ts", "ord"], "_day", start, "_from")
+    work = nearest_in_order(events.withColumn("_day", F.to_date("ts")), ["trace_id", "stage"], ["ts", "ord"], "_day", start, before="_from")
     ends = work.filter(F.col("event_type").isin("stage_end", "stage_fail") & F.col("_from").isNotNull())
     return ends.select("trace_id", "stage", F.col("_from.ord").alias("start_ord"), F.col("ord").alias("end_ord"), "event_type",
                        F.col("_from.ts").alias("started_at"), F.col("ts").alias("ended_at"),
@@ -151,7 +145,6 @@ def trace_summaries(events: DataFrame) -> DataFrame:
 
 def trace_events(events: DataFrame) -> DataFrame:
     """Every event with its 1-based place in its trace, numbered day by day."""
-    from leafmill.functions.ordered import number_within
     work = events.withColumn("_day", F.to_date("ts"))
     numbered = number_within(work, ["trace_id"], ["ts", "ord"], "_day", "place")
     return numbered.withColumn("place", F.col("place") + 1).drop("_day")

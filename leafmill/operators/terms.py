@@ -115,7 +115,7 @@ def keyword_array(terms: Column, hits: Column, limit: int = fv.MAX_KEYWORDS) ->
         return F.filter(both, lambda w: w["key"] != "")
 
     def token(term, i):
-        weight = F.when(term.rlike(fv.HANGUL), fv.HANGUL_TOKEN_WEIGHT).otherwise(fv.TOKEN_WEIGHT)
+        weight = F.when(tx.is_hangul(term), fv.HANGUL_TOKEN_WEIGHT).otherwise(fv.TOKEN_WEIGHT)
         return entry(term, term, F.lit("token"), weight, i)
 
     def ranked(writes):
@@ -152,7 +152,7 @@ def keyword_index(texts: DataFrame, keys: list[str], text_col: str, aliases: Dat
                  .groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("hits")))
         hits = normal.join(found, keys, "left").withColumn(
             "hits", F.coalesce("hits", F.array().cast(found.schema["hits"].dataType)))
-    ranked = hits.select(*keys, tx.candidate_terms(F.col("normal")).alias("terms"), "hits").select(
+    ranked = hits.select(*keys, tx.terms_of_normal(F.col("normal")).alias("terms"), "hits").select(
         *keys, F.posexplode(keyword_array(F.col("terms"), F.col("hits"), limit)).alias("at", "k"))
     return ranked.select(
         *keys, (F.col("at") + 1).alias("rank"), F.col("k.keyword").alias("keyword"),

@@ -229,7 +229,9 @@ def test_mentions(spark):
     import re
 
     from leafmill.functions import fixed_values as fv
-    out = gr.mentions(spark.createDataFrame([(1, MENTIONS)], "doc_id int, text string")).orderBy("place").collect()
+    out = gr.mentions(spark.createDataFrame([(1, MENTIONS)], "doc_id int, text string"), offsets=True).orderBy("place").collect()
+    plain = gr.mentions(spark.createDataFrame([(1, MENTIONS)], "doc_id int, text string")).orderBy("place").collect()
+    assert [(m.entity_name, m.entity_type) for m in plain] == [(m.entity_name, m.entity_type) for m in out]
     by_type = {}
     for m in out:
         by_type.setdefault(m.entity_type, []).append(m.entity_name)
