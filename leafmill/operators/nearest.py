@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.functions import fixed_values as fv
 from leafmill.functions import vectors as vx
 from leafmill.functions.ordered import top_k
 
 QUERY_BYTES_PER_PASS = 64 << 20  # query vectors sent to every task in one pass
+QUERIES_PER_BLOCK = 256  # queries scored against one Arrow batch at a time
 SCORE_DIGITS = 6
 
 
@@ -26,8 +28,9 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, dim: int, k: int = fv.BR
     """Exact cosine top-k of every query over all vectors: (query_id, vector_id, dense_score, rank).
 
     Vectors stay where they are. The queries, in passes of bounded size, go to
-    the tasks; a task multiplies one Arrow batch with them and keeps k rows per
-    query of it, and only those rows are shuffled. More queries mean more passes.
+    the tasks; a task multiplies its Arrow batches with them, keeps k rows per
+    query of all it has seen, and only those rows are shuffled. More queries
+    mean more passes, not more memory.
 
     `vectors` needs vector_id, embedding; `queries` needs query_id, query_vector.
     With `access`, vectors also need dept_id, folder_id and queries dept_id,
@@ -51,6 +54,8 @@ def _one_pass(vectors, queries, k, vector_id, query_id, access):
     digits = SCORE_DIGITS
     columns = [vector_id, "embedding"] + (["dept_id", "folder_id"] if access else [])
 
+    block = QUERIES_PER_BLOCK
+
     def score(batches):
         import numpy as np
         import pandas as pd
@@ -60,10 +65,20 @@ def _one_pass(vectors, queries, k, vector_id, query_id, access):
             return
         q = np.stack([np.asarray(v, dtype=np.float64) for v in table["query_vector"]])
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        if access:
-            scope = table["search_scope"].to_numpy(dtype=object)
-            depts = table["dept_id"].to_numpy(dtype=object)
-            folders = [set(f) if f is not None else set() for f in table["folder_ids"]]
+        order = {"by": ["q", "dense_score", "id"], "ascending": [True, False, True]}
+        best = pd.DataFrame({"q": [], "id": [], "dense_score": []})
+
+        def allowed(batch, rows):
+            dept = batch["dept_id"].to_numpy(dtype=object)
+            codes, names = pd.factorize(batch["folder_id"])
+            out = np.empty((len(rows), len(batch)), dtype=bool)
+            for i, (scope, mine, held) in enumerate(zip(rows["search_scope"], rows["dept_id"], rows["folder_ids"])):
+                held = set(held) if held is not None else set()
+                same = (dept == mine) & (mine is not None)
+                granted = np.array([n in held for n in names] + [False], dtype=bool)[codes]
+                out[i] = same if scope == "dept" else granted if scope == "folder" else same | granted
+            return out
+
         for batch in batches:
             batch = batch[batch["embedding"].notna()]
             if batch.empty:
@@ -72,25 +87,24 @@ def _one_pass(vectors, queries, k, vector_id, query_id, access):
             v = np.stack([np.asarray(x, dtype=np.float64) for x in batch["embedding"]])
             size = np.linalg.norm(v, axis=1)
             v /= np.maximum(size, 1e-300)[:, None]
-            scores = np.round(q @ v.T, digits) + 0.0
-            allowed = np.broadcast_to(size > 0, scores.shape).copy()
-            if access:
-                dept_codes = batch["dept_id"].to_numpy(dtype=object)
-                folder_codes, names = pd.factorize(batch["folder_id"])
-                for row in range(len(q)):
-                    same_dept = dept_codes == depts[row]
-                    granted = np.array([n in folders[row] for n in names] + [False], dtype=bool)[folder_codes]
-                    visible = {"dept": same_dept, "folder": granted}.get(scope[row], same_dept | granted)
-                    allowed[row] &= visible.astype(bool)
-            by_id = np.argsort(ids, kind="stable")
-            for row in range(len(q)):
-                cand = by_id[allowed[row][by_id]]
-                best = cand[np.argsort(-scores[row][cand], kind="stable")[:k]]
-                if len(best):
-                    yield pd.DataFrame({query_id: table[query_id].iloc[row], vector_id: ids[best],
-                                        "dense_score": scores[row][best]})
-
-    from pyspark.sql import types as T
+            found = [best]
+            for start in range(0, len(q), block):
+                scores = np.round(q[start:start + block] @ v.T, digits) + 0.0
+                scores[:, size == 0] = -np.inf
+                if access:
+                    scores[~allowed(batch, table.iloc[start:start + block])] = -np.inf
+                kept = scores > -np.inf
+                if scores.shape[1] > k:  # whatever ties with the k-th score stays in
+                    kept &= scores >= np.partition(scores, -k, axis=1)[:, -k][:, None]
+                row, col = np.nonzero(kept)
+                found.append(pd.DataFrame({"q": row + start, "id": ids[col], "dense_score": scores[row, col]}))
+            found = [f for f in found if not f.empty]
+            if found:
+                best = pd.concat(found).sort_values(**order).groupby("q").head(k)
+        if not best.empty:
+            asked = table[query_id].to_numpy()[best["q"].to_numpy().astype(int)]
+            yield pd.DataFrame({query_id: asked, vector_id: best["id"].to_numpy(), "dense_score": best["dense_score"].to_numpy()})
+
     out = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType),
                         T.StructField(vector_id, schema[vector_id].dataType),
                         T.StructField("dense_score", T.DoubleType())])

@@ -35,9 +35,10 @@ def alias_rows(spark: SparkSession, table: DataFrame | None = None) -> DataFrame
 
     `table` needs ord, canonical_name, alias, alias_type, language, boost.
     """
-    builtin = spark.createDataFrame(
-        [(i, *row) for i, row in enumerate(fv.ALIASES)],
-        "ord long, canonical_name string, alias string, alias_type string, language string, boost double")
+    names = ["ord", "canonical_name", "alias", "alias_type", "language", "boost"]
+    entries = [F.struct(*[F.lit(v).cast("long" if n == "ord" else "double" if n == "boost" else "string").alias(n)
+                          for n, v in zip(names, (i, *row))]) for i, row in enumerate(fv.ALIASES)]
+    builtin = spark.range(1).select(F.inline(F.array(*entries)))
     rows = builtin.withColumn("source", F.lit(0))
     if table is not None:
         rows = rows.unionByName(table.select(*builtin.columns).withColumn("source", F.lit(1)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import fixed_values as fv
+from leafmill.functions.ordered import nearest_in_order
 from leafmill.operators import blocks as bk
 from leafmill.operators import chunks as ck
 from leafmill.operators import reports as rp
@@ -122,28 +123,41 @@ def _sign_in(failures_to_lock: int, minutes: int):
 def lockouts(attempts: DataFrame, failures_to_lock: int = fv.LOCKOUT_FAILURES, minutes: int = fv.LOCKOUT_MINUTES) -> DataFrame:
     """The outcome of every sign-in attempt (user_id, ts, ord, success).
 
-    The rule is sequential per user. Rows are sorted by (user, time) inside each
-    partition and read as a stream of Arrow batches that carries two values from
-    row to row, so no user's rows are ever held together.
+    The rule is sequential, but a success with no failure in the minutes a lock
+    lasts before it always leaves count 0 and no lock, whatever came earlier. So
+    a user's attempts are cut at such successes and the cuts are folded apart:
+    a user with very many attempts is spread over many tasks. Rows come sorted,
+    as a stream of Arrow batches that carries two values from row to row.
     """
     step = _sign_in(failures_to_lock, minutes)
 
     def fold(batches):
         import pandas as pd
-        user, failures, until = None, 0, None
+        part, failures, until = None, 0, None
         for batch in batches:
             out = []
-            for u, ts, o, ok in zip(batch["user_id"], batch["ts"], batch["ord"], batch["success"]):
-                if u != user:
-                    user, failures, until = u, 0, None
+            for u, cut, ts, o, ok in zip(batch["user_id"], batch["cut"], batch["ts"], batch["ord"], batch["success"]):
+                if (u, cut) != part:
+                    part, failures, until = (u, cut), 0, None
                 failures, until, outcome = step(failures, until, ts, bool(ok))
                 out.append((u, ts, o, outcome, failures, until))
             frame = pd.DataFrame(out, columns=["user_id", "ts", "ord", "outcome", "failures", "locked_until"])
             frame["locked_until"] = pd.to_datetime(frame["locked_until"])
             yield frame
 
-    rows = attempts.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "ord", "success")
-    return (rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "ord").mapInPandas(fold, LOCK_ROWS))
+    rows = attempts.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "ord", "success").withColumn(
+        "_day", F.to_date("ts"))
+    rows = nearest_in_order(rows, ["user_id"], ["ts", "ord"], "_day", F.when(~F.col("success"), F.col("ts")), before="_failed")
+    calm = F.col("_failed").isNull() | (F.col("_failed") < F.col("ts") - F.expr(f"INTERVAL {minutes} MINUTES"))
+    rows = nearest_in_order(rows, ["user_id"], ["ts", "ord"], "_day", F.when(F.col("success") & calm, F.struct("ts", "ord")), before="_cut")
+    rows = rows.select("user_id", F.coalesce("_cut.ord", F.lit(-1)).alias("cut"), "ts", "ord", "success")
+    folded = (rows.repartition("user_id", "cut").sortWithinPartitions("user_id", "cut", "ts", "ord")
+              .mapInPandas(fold, LOCK_ROWS))
+    # a lock that is over stays on record until the next one, also across cuts
+    folded = folded.withColumn("_day", F.to_date("ts"))
+    lock = F.when(F.col("outcome") == "locked", F.col("locked_until"))
+    locks = folded.withColumn("_lock", lock).drop("locked_until")
+    return nearest_in_order(locks, ["user_id"], ["ts", "ord"], "_day", F.col("_lock"), before="locked_until").drop("_day", "_lock")
 
 
 def lockout_stream(attempts: DataFrame, failures_to_lock: int = fv.LOCKOUT_FAILURES,
