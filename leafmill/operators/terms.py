@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import fixed_values as fv
 from leafmill.functions import text as tx
 
+MAX_CONSTANT_ALIASES = 500  # dictionary rows that may become a constant of the plan
 LEAD = 3  # characters of a needle used as the equi-join key of a substring join
 
 
@@ -86,14 +87,20 @@ def expand_terms(terms: DataFrame, aliases: DataFrame, keys: list[str]) -> DataF
 
 # --- keywords ---------------------------------------------------------------
 
-def builtin_alias_hits(normal: Column) -> Column:
-    """The built-in aliases found inside a normalised text, in dictionary order."""
+def alias_hits(normal: Column, rows: list) -> Column:
+    """The dictionary rows whose alias occurs in a normalised text, in their order.
+
+    `rows` are (canonical, alias, type, boost); they become a constant of the plan.
+    """
     entries = F.array(*[
         F.struct(F.lit(alias).alias("alias"), tx.normalise(F.lit(alias)).alias("alias_norm"),
                  F.lit(canonical).alias("canonical"), tx.normalise(F.lit(canonical)).alias("canonical_norm"),
                  F.lit(kind).alias("kind"), F.lit(float(boost)).alias("boost"))
-        for canonical, alias, kind, _, boost in fv.ALIASES])
-    return F.filter(entries, lambda a: F.contains(normal, a["alias_norm"]))
+        for canonical, alias, kind, boost in rows])
+    return F.filter(entries, lambda a: (a["alias_norm"] != "") & F.contains(normal, a["alias_norm"]))
+
+
+BUILTIN_ROWS = [(canonical, alias, kind, boost) for canonical, alias, kind, _, boost in fv.ALIASES]
 
 
 def keyword_array(terms: Column, hits: Column, limit: int = fv.MAX_KEYWORDS) -> Column:
@@ -136,20 +143,25 @@ def keyword_array(terms: Column, hits: Column, limit: int = fv.MAX_KEYWORDS) ->
 
 
 def keyword_index(texts: DataFrame, keys: list[str], text_col: str, aliases: DataFrame | None = None,
-                  limit: int = fv.MAX_KEYWORDS) -> DataFrame:
+                  limit: int = fv.MAX_KEYWORDS, max_constant: int = MAX_CONSTANT_ALIASES) -> DataFrame:
     """One row per keyword of each text: `keys`, rank, keyword, type, weight.
 
-    With the built-in dictionary this is a map-only job. An alias table is
-    matched by an equi-join instead, and only its hits are shuffled.
+    A map-only job with the built-in dictionary, and with an alias table of at
+    most `max_constant` rows. A larger table is matched by an equi-join instead.
     """
     normal = texts.select(*keys, tx.normalise(F.col(text_col)).alias("normal"))
-    if aliases is None:
-        hits = normal.withColumn("hits", builtin_alias_hits(F.col("normal")))
+    rows = BUILTIN_ROWS
+    if aliases is not None:
+        usable = aliases.filter("alias_norm <> ''")
+        first = usable.orderBy("place").limit(max_constant + 1).collect()
+        rows = [(r["canonical_name"], r["alias"], r["alias_type"], r["boost"]) for r in first]
+    if len(rows) <= max_constant:
+        hits = normal.withColumn("hits", alias_hits(F.col("normal"), rows or BUILTIN_ROWS))
     else:
-        usable = aliases.filter("alias_norm <> ''").select("place", "alias", "alias_norm", F.col("canonical_name").alias("canonical"),
-                                "canonical_norm", F.col("alias_type").alias("kind"), "boost")
         entry = F.struct("place", "alias", "alias_norm", "canonical", "canonical_norm", "kind", "boost")
-        found = (substring_join(normal, "normal", usable, "alias_norm")
+        needles = usable.select("place", "alias", "alias_norm", F.col("canonical_name").alias("canonical"),
+                                "canonical_norm", F.col("alias_type").alias("kind"), "boost")
+        found = (substring_join(normal, "normal", needles, "alias_norm")
                  .groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("hits")))
         hits = normal.join(found, keys, "left").withColumn(
             "hits", F.coalesce("hits", F.array().cast(found.schema["hits"].dataType)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and go on from there; survives executor loss."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write `df` as a table to the shared folder and go on from that table.
+
+    The table survives executor loss, its size is known to the planner, and a
+    reader takes only the columns it needs.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -51,8 +51,8 @@ def test_later_alias_rows_override(spark):
     assert [r.variant for r in out] == ["milestone", "goal"]
 
 
-def keywords(spark, text, aliases=None):
-    rows = tm.keyword_index(spark.createDataFrame([(1, text)], "id int, t string"), ["id"], "t", aliases)
+def keywords(spark, text, aliases=None, **params):
+    rows = tm.keyword_index(spark.createDataFrame([(1, text)], "id int, t string"), ["id"], "t", aliases, **params)
     return [(r.normalized_keyword, round(r.weight, 4), r.keyword_type) for r in rows.orderBy("rank").collect()]
 
 
@@ -67,6 +67,7 @@ def test_keywords(spark):
 def test_alias_table_gives_the_same_keywords(spark):
     for text in ("Project Atlas의 적응증은 NSCLC이고 milestone", "비임상 시험 term sheet", "nothing here", "CMC cmc 타깃"):
         assert keywords(spark, text) == keywords(spark, text, tm.alias_rows(spark))
+        assert keywords(spark, text) == keywords(spark, text, tm.alias_rows(spark), max_constant=5)  # the equi-join
 
 
 def test_keyword_cap(spark):
