@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.functions import fixed_values as fv
-from leafmill.functions import vectors as vx
 from leafmill.functions.ordered import top_k
 
 QUERY_BYTES_PER_PASS = 64 << 20  # query vectors sent to every task in one pass
@@ -36,26 +35,37 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, dim: int, k: int = fv.BR
     With `access`, vectors also need dept_id, folder_id and queries dept_id,
     search_scope, folder_ids, and a pair counts only if the query may see it.
     """
+    return _search(vectors, queries, dim, k, vector_id, query_id, access, None)
+
+
+def approximate_top_k(vectors: DataFrame, queries: DataFrame, dim: int, k: int = fv.BRANCH_LIMIT, bands: int = 16,
+                      bits: int = 6, seed: int = 17, vector_id: str = "chunk_id", query_id: str = "query_id") -> DataFrame:
+    """Top-k among the vectors that share a signature band with the query, scored exactly.
+
+    A band's signature holds the sides of `bits` random hyperplanes. Each task
+    sorts its vectors by signature and scores a query only against the runs it
+    falls into, so a crowded signature costs work there but never makes rows.
+    """
+    return _search(vectors, queries, dim, k, vector_id, query_id, False, (bands, bits, seed))
+
+
+def _search(vectors, queries, dim, k, vector_id, query_id, access, signature):
     passes = _pass_count(queries, dim, access)
     found = None
     for i in range(passes):
         part = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64(query_id), F.lit(passes)) == i)
-        hits = _one_pass(vectors, part, k, vector_id, query_id, access)
+        hits = _one_pass(vectors, part, k, vector_id, query_id, access, signature)
         found = hits if found is None else found.unionByName(hits)
-    order = [F.desc("dense_score"), F.asc(vector_id)]
-    return top_k(found, [query_id], order, k)
+    return top_k(found, [query_id], [F.desc("dense_score"), F.asc(vector_id)], k)
 
 
-def _one_pass(vectors, queries, k, vector_id, query_id, access):
+def _one_pass(vectors, queries, k, vector_id, query_id, access, signature):
     fields = [query_id, "query_vector"] + (["dept_id", "search_scope", "folder_ids"] if access else [])
     local = queries.select(*fields).toPandas()  # bounded by QUERY_BYTES_PER_PASS
-    schema = vectors.schema
     shared = vectors.sparkSession.sparkContext.broadcast(local)
-    digits = SCORE_DIGITS
+    digits, block = SCORE_DIGITS, QUERIES_PER_BLOCK
     columns = [vector_id, "embedding"] + (["dept_id", "folder_id"] if access else [])
 
-    block = QUERIES_PER_BLOCK
-
     def score(batches):
         import numpy as np
         import pandas as pd
@@ -63,10 +73,11 @@ def _one_pass(vectors, queries, k, vector_id, query_id, access):
         table = shared.value
         if table.empty:
             return
-        q = np.stack([np.asarray(v, dtype=np.float64) for v in table["query_vector"]])
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        order = {"by": ["q", "dense_score", "id"], "ascending": [True, False, True]}
-        best = pd.DataFrame({"q": [], "id": [], "dense_score": []})
+
+        def unit(rows):
+            rows = np.stack([np.asarray(x, dtype=np.float64) for x in rows])
+            size = np.linalg.norm(rows, axis=1)
+            return rows / np.maximum(size, 1e-300)[:, None], size > 0
 
         def allowed(batch, rows):
             dept = batch["dept_id"].to_numpy(dtype=object)
@@ -79,75 +90,71 @@ def _one_pass(vectors, queries, k, vector_id, query_id, access):
                 out[i] = same if scope == "dept" else granted if scope == "folder" else same | granted
             return out
 
+        def best_of(asked, scores, ids):
+            """The k best of each row, and whatever ties with the k-th."""
+            kept = scores > -np.inf
+            if scores.shape[1] > k:
+                kept &= scores >= np.partition(scores, -k, axis=1)[:, -k][:, None]
+            row, col = np.nonzero(kept)
+            return pd.DataFrame({"q": asked[row], "id": ids[col], "dense_score": scores[row, col]})
+
+        def blocks_of(v):
+            """(query numbers, vector numbers) to score against each other."""
+            everything = np.arange(len(v))
+            if signature is None:
+                for start in range(0, len(q), block):
+                    yield np.arange(start, min(start + block, len(q))), everything
+                return
+            theirs = signs(v)
+            for band, groups in enumerate(query_groups):
+                order = np.argsort(theirs[:, band], kind="stable")
+                ranked = theirs[order, band]
+                for sign, asked in groups.items():
+                    rows = order[np.searchsorted(ranked, sign):np.searchsorted(ranked, sign, side="right")]
+                    if len(rows):
+                        for start in range(0, len(asked), block):
+                            yield asked[start:start + block], rows
+
+        q, _ = unit(table["query_vector"])
+        if signature is not None:
+            bands, bits, seed = signature
+            planes = np.random.default_rng(seed).standard_normal((q.shape[1], bands * bits))
+            weights = 1 << np.arange(bits, dtype=np.int64)
+
+            def signs(rows):
+                return ((rows @ planes > 0).reshape(len(rows), bands, bits) * weights).sum(axis=2)
+
+            mine = pd.DataFrame(signs(q))
+            query_groups = [{s: np.asarray(rows) for s, rows in mine.groupby(b).indices.items()} for b in range(bands)]
+
+        best = None
         for batch in batches:
             batch = batch[batch["embedding"].notna()]
             if batch.empty:
                 continue
             ids = batch[vector_id].to_numpy()
-            v = np.stack([np.asarray(x, dtype=np.float64) for x in batch["embedding"]])
-            size = np.linalg.norm(v, axis=1)
-            v /= np.maximum(size, 1e-300)[:, None]
-            found = [best]
-            for start in range(0, len(q), block):
-                scores = np.round(q[start:start + block] @ v.T, digits) + 0.0
-                scores[:, size == 0] = -np.inf
+            v, real = unit(batch["embedding"])
+            found = [best] if best is not None else []
+            for asked, rows in blocks_of(v):
+                scores = np.round(q[asked] @ v[rows].T, digits) + 0.0
+                scores[:, ~real[rows]] = -np.inf
                 if access:
-                    scores[~allowed(batch, table.iloc[start:start + block])] = -np.inf
-                kept = scores > -np.inf
-                if scores.shape[1] > k:  # whatever ties with the k-th score stays in
-                    kept &= scores >= np.partition(scores, -k, axis=1)[:, -k][:, None]
-                row, col = np.nonzero(kept)
-                found.append(pd.DataFrame({"q": row + start, "id": ids[col], "dense_score": scores[row, col]}))
+                    scores[~allowed(batch.iloc[rows], table.iloc[asked])] = -np.inf
+                found.append(best_of(asked, scores, ids[rows]))
             found = [f for f in found if not f.empty]
             if found:
-                best = pd.concat(found).sort_values(**order).groupby("q").head(k)
-        if not best.empty:
-            asked = table[query_id].to_numpy()[best["q"].to_numpy().astype(int)]
-            yield pd.DataFrame({query_id: asked, vector_id: best["id"].to_numpy(), "dense_score": best["dense_score"].to_numpy()})
+                best = (pd.concat(found).drop_duplicates(["q", "id"])
+                        .sort_values(["q", "dense_score", "id"], ascending=[True, False, True]).groupby("q").head(k))
+        if best is not None:
+            yield pd.DataFrame({query_id: table[query_id].to_numpy()[best["q"].to_numpy()],
+                                vector_id: best["id"].to_numpy(), "dense_score": best["dense_score"].to_numpy()})
 
     out = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType),
-                        T.StructField(vector_id, schema[vector_id].dataType),
+                        T.StructField(vector_id, vectors.schema[vector_id].dataType),
                         T.StructField("dense_score", T.DoubleType())])
     return vectors.select(*columns).mapInPandas(score, out)
 
 
-# --- approximate ------------------------------------------------------------
-
-def band_signatures(vector: Column, dim: int, bands: int, bits: int, seed: int = 17) -> Column:
-    """array<long>: one signature per band, from `bits` random hyperplanes each."""
-
-    def sign(vectors):
-        import numpy as np
-        import pandas as pd
-
-        planes = np.random.default_rng(seed).standard_normal((dim, bands * bits))
-        weights = (1 << np.arange(bits, dtype=np.int64))
-        v = np.stack([np.asarray(x, dtype=np.float64) for x in vectors])
-        above = (v @ planes > 0).reshape(len(v), bands, bits)
-        return pd.Series(list((above * weights).sum(axis=2).astype(np.int64)))
-
-    return F.pandas_udf(sign, "array<long>")(vector)
-
-
-def approximate_top_k(vectors: DataFrame, queries: DataFrame, dim: int, k: int = fv.BRANCH_LIMIT,
-                      bands: int = 16, bits: int = 6, vector_id: str = "chunk_id", query_id: str = "query_id") -> DataFrame:
-    """Top-k among vectors that share a signature band with the query, scored exactly.
-
-    The join carries ids only; a pair met in several bands is scored once.
-    A crowded band is an ordinary skewed key, which AQE splits.
-    """
-    def banded(df, key, vec):
-        return df.select(key, F.posexplode(band_signatures(F.col(vec), dim, bands, bits)).alias("band", "sign"))
-
-    pairs = (banded(vectors, vector_id, "embedding")
-             .join(banded(queries, query_id, "query_vector"), ["band", "sign"])
-             .select(query_id, vector_id).distinct())
-    scored = (pairs.join(vectors.select(vector_id, "embedding"), vector_id)
-              .join(queries.select(query_id, "query_vector"), query_id)
-              .select(query_id, vector_id, F.round(vx.cosine(F.col("embedding"), F.col("query_vector")), SCORE_DIGITS).alias("dense_score")))
-    return top_k(scored, [query_id], [F.desc("dense_score"), F.asc(vector_id)], k)
-
-
 def recall_against(approximate: DataFrame, exact: DataFrame, vector_id: str = "chunk_id", query_id: str = "query_id") -> DataFrame:
     """Per query: how many of the exact top-k the approximate search also found."""
     both = exact.select(query_id, vector_id).join(

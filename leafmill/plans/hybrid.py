@@ -29,8 +29,7 @@ class SearchIndex:
     def of_documents(cls, documents: DataFrame, text_col: str = "text", **params) -> SearchIndex:
         """Index documents that carry doc_id, text, file_name, type, status, dept_id, folder_id."""
         ready = documents.filter("status = 'indexed'").select("doc_id", "dept_id", "folder_id", text_col)
-        chunks = ix.text_chunk_table(ready, text_col, **params).join(ready.select("doc_id", "dept_id", "folder_id"), "doc_id")
-        chunks = ix.settled(chunks)
+        chunks = ix.settled(ix.text_chunk_table(ready, text_col, ("dept_id", "folder_id"), **params))
         return cls(documents, chunks, ix.keyword_table(chunks), ix.with_vectors(chunks))
 
 

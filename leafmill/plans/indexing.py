@@ -14,12 +14,15 @@ from leafmill.session import cut_lineage
 from leafmill.sources.tables import write_by_document
 
 
-def text_chunk_table(docs: DataFrame, text_col: str = "text", **params) -> DataFrame:
-    """chunk_id, doc_id, chunk_idx, content, token_cnt, chunk_type of documents with plain text."""
-    rows = ck.chunk_texts(docs, ["doc_id"], text_col, **params)
+def text_chunk_table(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = (), **params) -> DataFrame:
+    """chunk_id, doc_id, chunk_idx, content, token_cnt, chunk_type of documents with plain text.
+
+    `carry` names document columns every chunk keeps, so that no join has to bring them back.
+    """
+    rows = ck.chunk_texts(docs, ["doc_id", *carry], text_col, **params)
     return rows.select(chunk_key(F.col("doc_id"), F.col("chunk_idx")).alias("chunk_id"), "doc_id",
                        F.col("chunk_idx").cast("long").alias("chunk_idx"), "content", "token_cnt",
-                       F.lit("text").alias("chunk_type"))
+                       F.lit("text").alias("chunk_type"), *carry)
 
 
 def block_chunk_table(blocks: DataFrame, **params) -> DataFrame:

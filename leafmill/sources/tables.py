@@ -25,9 +25,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def write_by_document(df: DataFrame, path: str, buckets: int = BUCKETS, doc: str = "doc_id") -> None:
-    """Write a table whose folders are buckets of the document id."""
+    """Write a table whose folders are buckets of the document id.
+
+    The rebalance hint gathers a bucket's rows into few files and splits a
+    bucket that is much larger than the others.
+    """
     keyed = df.withColumn("doc_bucket", F.pmod(F.xxhash64(doc), F.lit(buckets)).cast("int"))
-    keyed.write.mode("overwrite").partitionBy("doc_bucket").parquet(path)
+    keyed.hint("rebalance", F.col("doc_bucket")).write.mode("overwrite").partitionBy("doc_bucket").parquet(path)
 
 
 def replace_documents(spark: SparkSession, path: str, new: DataFrame, processed: DataFrame,

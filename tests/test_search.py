@@ -106,6 +106,24 @@ def test_dense_top_k_is_exact(spark, monkeypatch):
     assert {(r.query_id, r.chunk_id, r.rank) for r in got.collect()} == want(False)
 
 
+def test_approximate_search(spark):
+    v, vectors_df = vectors(spark, 300, 8, "chunk_id", "embedding", 1)
+    q, queries_df = vectors(spark, 40, 8, "query_id", "query_vector", 2)
+    exact = nn.dense_top_k(vectors_df, queries_df, 8, 5)
+    near = nn.approximate_top_k(vectors_df.repartition(4), queries_df, 8, 5, bands=4, bits=3)
+    recall = nn.recall_against(near, exact).agg(F.sum("found").alias("f"), F.sum("expected").alias("e")).first()
+    assert 0.5 < recall.f / recall.e <= 1
+    # what it finds carries the exact score, and the answer does not depend on the partitions
+    pairs = {(r.query_id, r.chunk_id): r.dense_score for r in near.collect()}
+    unit = lambda x: x / np.maximum(np.linalg.norm(x), 1e-300)
+    assert all(abs(s - unit(q[i]) @ unit(v[j])) < 1e-6 for (i, j), s in pairs.items())
+    again = nn.approximate_top_k(vectors_df.repartition(1), queries_df, 8, 5, bands=4, bits=3)
+    assert {(r.query_id, r.chunk_id) for r in again.collect()} == set(pairs)
+    # without bits every vector shares every band: the exact answer
+    whole = nn.approximate_top_k(vectors_df, queries_df, 8, 5, bands=1, bits=0)
+    assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in exact.collect()}
+
+
 def test_sparse_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, 30) if x < 60) or "none" for _ in range(200)]
