@@ -215,7 +215,7 @@ def g3c(spark, sf):
 
 
 def expanded(spark, sf):
-    return rt.expanded_queries(s.asked(spark, sf), tm.alias_rows(spark))
+    return ix.settled(rt.expanded_queries(s.asked(spark, sf), tm.alias_rows(spark)))
 
 
 @query("g4_sparse_top_k", sql("sparse", body="SELECT * FROM sparse"))
@@ -258,7 +258,7 @@ part("fused", FUSED.format("dense", "sparse", "keyword"), "dense", "sparse", "ke
 
 @query("g7_rank_fusion", sql("fused", body="SELECT * EXCLUDE (first_seen) FROM fused"))
 def g7(spark, sf):
-    found, asked, forms = index(spark, sf), queries(spark, sf), ix.settled(expanded(spark, sf))
+    found, asked, forms = index(spark, sf), queries(spark, sf), expanded(spark, sf)
     with_vector = asked.withColumn("query_vector", vx.hash_embedding(F.col("query_text")))
     rows = rt.fuse_ranks({
         "dense": nn.dense_top_k(found.vectors, with_vector, fv.VECTOR_DIM),
@@ -385,7 +385,7 @@ def block_index(spark, sf):
 def block_hits(spark, sf):
     """Keyword hits over block chunks; Spanish documents have chunks but no stored blocks."""
     chunks_, stored = block_index(spark, sf)
-    asked, forms = queries(spark, sf), ix.settled(expanded(spark, sf))
+    asked, forms = queries(spark, sf), expanded(spark, sf)
     hits = rt.keyword_top_k(ix.keyword_table(chunks_), asked, forms)
     hits = hits.withColumn("rrf_score", 1 / (F.lit(60.0) + F.col("rank"))).withColumnRenamed("rank", "fused_rank")
     rows = rt.hit_rows(hits, chunks_, s.docs(spark, sf), stored)

@@ -313,7 +313,7 @@ def query_logs(spark, sf):
 
 part("query_logs", "SELECT event_id AS id, user_id, props AS prompt, value AS latency_ms, ts AS created_at FROM events")
 
-MODULE = {"click": "serving", "view": "serving", "purchase": "pipeline", "signup": "sync", "error": "system"}
+MODULE = {"click": "serving", "view": "serving", "purchase": "indexing", "signup": "sync", "error": "system"}
 
 
 def event_logs(spark, sf):

@@ -41,13 +41,24 @@ def files(spark, sf):
     return s.parsed(spark, sf).withColumn("path", F.format_string("/%s/%d.json", "lang", "doc_id"))
 
 
-@query("k1_ingest_documents", """
+INGESTED = """
   SELECT doc_id, '/' || lang || '/' || doc_id || '.json' AS path, sha256(text) AS hash, 'pending' AS status FROM documents
-  QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY '/' || lang || '/' || doc_id || '.json') = 1""")
+  QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY '/' || lang || '/' || doc_id || '.json') = 1"""
+
+
+@query("k1_ingest_documents", INGESTED)
 def k1(spark, sf):
     return jb.ingest_tables(jb.new_documents(files(spark, sf), None))["documents"]
 
 
+@query("k1_streamed_ingest", INGESTED)
+def k1b(spark, sf):
+    folder = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    files(spark, sf).drop("lang").write.json(f"{folder}/in")
+    jb.ingest_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/progress").awaitTermination()
+    return spark.read.parquet(f"{folder}/out/documents").drop("batch")
+
+
 # --- K2 ---------------------------------------------------------------------------
 
 def sql_windows(size_days: int) -> str:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import standins as s
 from checks.registry import part, query, sql
+from checks.standins import t
 from leafmill.operators import logs as lg
 from leafmill.operators import sync as sy
-from checks.standins import t
+from leafmill.session import shared_dir
+from leafmill.sources import files as fl
 
 
 @query("a2_content_hash", "SELECT page_id, sha256(html) AS hash, length(html) AS size FROM pages")
@@ -202,3 +206,15 @@ def a7(spark, sf):
         "doc_id", F.col("text").alias("message"), F.when(F.col("lang") != "en", F.col("lang")).alias("error_type"),
         F.col("source").alias("error_message"), F.sha2("text", 256).alias("traceback"))
     return lg.log_rows(rows)
+
+
+@query("a3_user_feed", """
+  SELECT c_name AS email, c_mktsegment AS usr_name, c_nationkey::BIGINT AS dept_id, CASE WHEN c_acctbal > 0 THEN c_custkey END AS role_id
+  FROM customer""")
+def a3(spark, sf):
+    """Customers written as a CSV feed and read back; a role that is no number is lost, not the row."""
+    folder = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    role = F.when(F.col("c_acctbal") > 0, F.col("c_custkey").cast("string")).otherwise("none")
+    t(spark, sf, "customer").select(F.col("c_name").alias("email"), F.col("c_mktsegment").alias("usr_name"),
+                                    F.col("c_nationkey").alias("dept_id"), role.alias("role_id")).write.csv(folder, header=True)
+    return fl.read_user_feed(spark, folder).drop("ord")
