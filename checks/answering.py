@@ -50,7 +50,9 @@ def g12(spark, sf):
          round(rerank_score, 3) AS score FROM reranked"""))
 def g13(spark, sf):
     rows = an.reference_rows(reranked(spark, sf))
-    return rows.withColumn("place", F.col("place").cast("long"))
+    for c in ("place", "page", "slide_number"):
+        rows = rows.withColumn(c, F.col(c).cast("long"))
+    return rows
 
 
 PROMPT = "Answer from the documents."

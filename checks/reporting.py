@@ -74,6 +74,10 @@ def i4_logs(spark, sf):
     return rp.document_logs(docs, s.stage_logs(spark, sf), docs).withColumn("rank", F.col("rank").cast("long"))
 
 
+def longs(rows):
+    return rows.withColumn("block_idx", F.col("block_idx").cast("long")).withColumn("rank", F.col("rank").cast("long"))
+
+
 def line_blocks(spark, sf):
     lines = F.posexplode(F.split("text", "\n")).alias("block_idx", "source_text")
     return t(spark, sf, "documents").select("doc_id", F.col("lang").alias("block_type"), lines)
@@ -89,14 +93,14 @@ PREVIEW = "CASE WHEN length(source_text) <= 240 THEN source_text ELSE substr(sou
   SELECT *, {PREVIEW} FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_idx) AS rank FROM line_blocks)
   WHERE rank <= 24"""))
 def i4_blocks(spark, sf):
-    return rp.document_blocks(line_blocks(spark, sf), t(spark, sf, "documents"))
+    return longs(rp.document_blocks(line_blocks(spark, sf), t(spark, sf, "documents")))
 
 
 @query("i5_block_list", sql("line_blocks", body=f"""
   SELECT *, {PREVIEW} FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_idx) AS rank FROM line_blocks
   WHERE block_type = 'fr') WHERE rank <= 100"""))
 def i5(spark, sf):
-    return rp.document_blocks(line_blocks(spark, sf), block_type="fr", keep=100)
+    return longs(rp.document_blocks(line_blocks(spark, sf), block_type="fr", keep=100))
 
 
 @query("i6_active_users", sql("query_logs", body=f"SELECT count(DISTINCT user_id) AS active_users FROM query_logs WHERE created_at >= {A} - INTERVAL 7 DAY"))

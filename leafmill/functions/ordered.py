@@ -66,6 +66,31 @@ def nearest_in_order(df: DataFrame, keys: list[str], order: list[str], bucket: s
     return joined.drop("_v", "_earlier", "_later")
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], width: float = 1.0) -> DataFrame:
+    """Exact interpolated quantiles of `value` per group, and `n`, its number of rows.
+
+    Equal values are counted first; then the counts are added up in order,
+    range by range of `width`, so no group is held or sorted by one task.
+    """
+    cells = keys + ["_b"]
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_b", F.floor(F.col(value) / width).cast("long"))
+    sizes = counts.groupBy(*cells).agg(F.sum("_c").alias("_size"))
+    whole = F.sum("_size").over(Window.partitionBy(*keys))
+    starts = sizes.select(*cells, F.coalesce(F.sum("_size").over(_before(keys, "_b")), F.lit(0)).alias("_start"), whole.alias("n"))
+    upto = Window.partitionBy(*cells).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.join(starts, cells).withColumn("_end", F.col("_start") + F.sum("_c").over(upto))
+
+    def at(index):  # the value at a 0-based place
+        return F.max(F.when((index >= F.col("_end") - F.col("_c")) & (index < F.col("_end")), F.col(value)))
+
+    place = {name: F.lit(float(p)) * (F.col("n") - 1) for name, p in wanted.items()}
+    picked = placed.groupBy(*keys, "n").agg(*[
+        at(edge(place[name])).alias(f"_{side}_{name}") for name in wanted for side, edge in (("lo", F.floor), ("hi", F.ceil))])
+    between = lambda name: F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (place[name] - F.floor(place[name]))
+    return picked.select(*keys, "n", *[between(name).alias(name) for name in wanted])
+
+
 def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group; tasks keep k rows per group before the shuffle."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

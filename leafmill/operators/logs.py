@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import fixed_values as fv
-from leafmill.functions.ordered import nearest_in_order, number_within
+from leafmill.functions.ordered import nearest_in_order, number_within, quantiles
 
 
 
@@ -159,10 +159,11 @@ def latency_breakdown(events: DataFrame) -> DataFrame:
     steps = ["embed_ms", "search_ms", "rerank_ms", "graph_ms", "web_ms", "total_ms"]
     long = events.select(timing.alias("t")).filter(F.col("t").isNotNull()).select(F.explode(F.array(*[
         F.struct(F.lit(s).alias("step"), F.col(f"t.{s}").alias("ms")) for s in steps])).alias("x")).select("x.*")
-    return long.filter("ms IS NOT NULL").groupBy("step").agg(
-        F.count("*").alias("n"), F.round(F.avg("ms"), 3).alias("mean_ms"),
-        F.round(F.percentile("ms", 0.5), 3).alias("median_ms"), F.round(F.percentile("ms", 0.95), 3).alias("p95_ms"),
-        F.max("ms").alias("max_ms"))
+    measured = long.filter("ms IS NOT NULL")
+    means = measured.groupBy("step").agg(F.round(F.avg("ms"), 3).alias("mean_ms"), F.max("ms").alias("max_ms"))
+    spread = quantiles(measured, ["step"], "ms", {"median_ms": 0.5, "p95_ms": 0.95})
+    return means.join(spread, "step").select(
+        "step", "n", "mean_ms", F.round("median_ms", 3).alias("median_ms"), F.round("p95_ms", 3).alias("p95_ms"), "max_ms")
 
 
 def web_search_rates(log: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import fixed_values as fv
@@ -21,7 +21,7 @@ def classify_changes(scan: DataFrame, documents: DataFrame, exclude_failed: bool
     old = base.select("path", "doc_id", F.col("hash").alias("old_hash"))
     both = scan.withColumn("_seen", F.lit(True)).join(old, "path", "full")
     new = both.filter(F.col("doc_id").isNull())
-    first = new.join(base.select("hash").distinct(), "hash", "left_anti").groupBy("hash").agg(F.min("path").alias("_first"))
+    first = new.groupBy("hash").agg(F.min("path").alias("_first"))
     known = base.select("hash").distinct().withColumn("_known", F.lit(True))
     fresh = (new.join(first, "hash", "left").join(known, "hash", "left")
              .withColumn("change", F.when(F.col("_known"), "moved")

@@ -124,3 +124,15 @@ def test_results_do_not_depend_on_partitions(spark):
         results.append(sorted(map(str, lg.close_stages(df).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert results[0] == results[1]
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), float(rng.randrange(400)) / 4) for _ in range(501)] + [("c", 7.0)]
+    out = od.quantiles(spark.createDataFrame(rows, "k string, v double").repartition(6), ["k"], "v", {"half": 0.5, "high": 0.95, "low": 0.0})
+    for r in out.collect():
+        values = [v for k, v in rows if k == r.k]
+        assert r.n == len(values)
+        for name, p in (("half", 0.5), ("high", 0.95), ("low", 0.0)):
+            assert abs(r[name] - np.quantile(values, p)) < 1e-9
