@@ -11,7 +11,6 @@ from checks.searching import block_hits, index, queries
 from checks.standins import t
 from leafmill.functions import fixed_values as fv
 from leafmill.operators import answers as an
-from leafmill.operators import retrieval as rt
 from leafmill.plans import hybrid as hy
 
 HEADER = """'[' || concat_ws(' | ', 'type=' || coalesce(nullif(block_type, ''), 'text'), CASE WHEN coalesce(page_number, 0) <> 0 THEN 'page=' || page_number END,
@@ -119,6 +118,3 @@ def g18(spark, sf):
     from leafmill.plans.indexing import settled
     hits = settled(boosted(spark, sf))
     return an.query_log_rows(queries(spark, sf), hits, an.rerank(hits))
-
-
-_ = rt

@@ -11,7 +11,6 @@ from checks.standins import t
 from leafmill.functions import fixed_values as fv
 from leafmill.operators import graph as gr
 from leafmill.operators import sync as sy
-from leafmill.operators import terms as tm
 from leafmill.plans import indexing as ix
 
 COLLAPSED = "trim(regexp_replace(string_agg(content, ' ' ORDER BY chunk_idx), '\\s+', ' ', 'g'))"
@@ -40,7 +39,6 @@ RULES = {
 part("mentions", "SELECT DISTINCT doc_id, name AS entity_name, kind AS entity_type FROM (" + " UNION ALL ".join(
     f"SELECT doc_id, trim(unnest(regexp_extract_all(text, '{p}'))) AS name, '{k}' AS kind FROM ascii_texts" for k, p in RULES.values())
     + f") WHERE length(name) >= 2 AND name NOT IN {STOP_FORMS}", "ascii_texts")
-# which rows a document gets must not depend on its place in the list of rules
 
 
 def mentions(spark, sf):
@@ -153,6 +151,3 @@ def graph_texts(spark, sf):
 @query("h14_graph_context", sql("graph_texts", body="SELECT * FROM graph_texts"))
 def h14(spark, sf):
     return graph_texts(spark, sf)
-
-
-_ = tm

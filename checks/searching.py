@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import standins as s
 from checks.registry import part, query, sql
 from checks.standins import t
-from checks.wording import page_line_blocks, ranked, sql_keywords  # noqa: F401
+from checks.wording import page_line_blocks, sql_keywords
 from leafmill.functions import fixed_values as fv
 from leafmill.functions import text as tx
 from leafmill.functions import vectors as vx

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from checks import standins as s
 from checks.registry import part, query, sql
 from checks.standins import t
-from leafmill.operators import blocks as bk
-from leafmill.operators import reports as rp
 from leafmill.session import shared_dir
 from leafmill.streaming import jobs as jb
 
@@ -156,6 +154,3 @@ def k4a(spark, sf):
 @query("k4_streamed_lockouts", FOLD)
 def k4b(spark, sf):
     return sign_ins(through_stream(jb.lockout_stream(attempts(event_stream(spark, sf)), 3, 720)))
-
-
-_ = (bk, rp)
