@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import fold, table
+from leafmill.llm.packing import pack_documents
+from leafmill.llm.pii import pseudonymise_documents
 from leafmill.llm.quality import fit_quality, score_quality
 from leafmill.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -32,6 +34,23 @@ def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def vocabulary() -> str:
+    """The tokenizer file of the packing query, where the installed package has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op3_residual_packing")
+def packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"), vocabulary())
+
+
+@query("op6_feistel_pseudonyms")
+def pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonymise_documents(table(spark, folder, "documents"))
+
+
 @query("op5_nnpu_toxicity")
 def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
