@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import fold, table
+from leafmill.llm.decontaminate import contamination_columns, find_contamination
 from leafmill.llm.packing import pack_documents
 from leafmill.llm.pii import pseudonymise_documents
 from leafmill.llm.quality import fit_quality, score_quality
@@ -57,3 +58,8 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
     model = fit_toxicity(docs, labels, fold("doc_id", 3) != 1)
     return score_toxicity(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op8_fm_index_decontamination")
+def contamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination_columns(find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
