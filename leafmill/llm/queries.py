@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import fold, table
 from leafmill.llm.decontaminate import contamination_columns, find_contamination
+from leafmill.llm.near_copies import near_copies
 from leafmill.llm.packing import pack_documents
 from leafmill.llm.pii import pseudonymise_documents
 from leafmill.llm.quality import fit_quality, score_quality
@@ -63,3 +64,8 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_fm_index_decontamination")
 def contamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination_columns(find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+@query("op7_ngram_jaccard_join")
+def jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies(table(spark, folder, "documents"))
