@@ -7,8 +7,6 @@ located by sampled suffix positions, and the word spans they cover merged.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,7 +59,7 @@ class FMIndex:
 
     def __init__(self, text: np.ndarray, size: int):
         text = np.concatenate([text, [0]]).astype(np.int64)
-        sa, _ = suffix_array(text)
+        sa = suffix_array(text)
         self.n = len(text)
         bwt = text[sa - 1]
         self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=size))))
@@ -252,6 +250,3 @@ def contamination_columns(found: DataFrame, ident: str = "doc_id") -> DataFrame:
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

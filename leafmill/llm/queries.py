@@ -13,6 +13,7 @@ from leafmill.llm.near_copies import near_copies
 from leafmill.llm.packing import pack_documents
 from leafmill.llm.pii import pseudonymise_documents
 from leafmill.llm.quality import fit_quality, score_quality
+from leafmill.llm.suffix_dedup import remove_repeats
 from leafmill.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +70,9 @@ def contamination(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_ngram_jaccard_join")
 def jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(table(spark, folder, "documents"))
+
+
+@query("op1_suffix_array_dedup")
+def without_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    kept = remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

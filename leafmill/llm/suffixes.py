@@ -5,18 +5,17 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(symbols: np.ndarray, depth: int | None = None, first: np.ndarray | None = None, known: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, rank of each position) of an integer sequence.
+def suffix_array(symbols: np.ndarray, first: np.ndarray | None = None, known: int = 1) -> np.ndarray:
+    """The suffix array of an integer sequence.
 
-    Suffixes are told apart by their first `depth` symbols (all, if None); equal ones
-    share a rank, which is the last place of their group. `first` may give ranks (any
-    integers in order) by the first `known` symbols. In each round only groups that are
+    `first` may give any integers that order positions by their first `known` symbols.
+    A position's rank is the last place of its group. In each round only groups that are
     not yet single are sorted, by the rank `known` symbols further on, and the known
-    length doubles.
+    length doubles. The order is total; common_prefixes relies on that.
     """
     n = len(symbols)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64)
     key = symbols if first is None else first
     sa = np.argsort(key, kind="stable")
     rank = np.empty(n, np.int64)
@@ -26,9 +25,8 @@ def suffix_array(symbols: np.ndarray, depth: int | None = None, first: np.ndarra
     group_end = np.flatnonzero(np.append(new[1:], True))
     rank[sa] = np.repeat(group_end, np.diff(np.concatenate(([-1], group_end))))
     h = known
-    limit = n if depth is None else depth
     places = np.flatnonzero(~(new & np.append(new[1:], True)))  # places of groups with two members or more
-    while len(places) and h < limit:
+    while len(places):
         suffix = sa[places]
         group = rank[suffix]
         ahead = suffix + h
@@ -44,7 +42,7 @@ def suffix_array(symbols: np.ndarray, depth: int | None = None, first: np.ndarra
         rank[suffix] = np.repeat(ends, np.diff(np.concatenate(([-1], np.flatnonzero(last)))))
         places = places[~(starts & last)]
         h *= 2
-    return sa, rank
+    return sa
 
 
 def common_prefixes(data: np.ndarray, sa: np.ndarray, limit: int, stride: int = 64) -> np.ndarray:
