@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import fold, table
 from leafmill.llm.decontaminate import contamination_columns, find_contamination
+from leafmill.llm.fingerprints import edited_fingerprints
 from leafmill.llm.near_copies import near_copies
 from leafmill.llm.packing import pack_documents
 from leafmill.llm.pii import pseudonymise_documents
@@ -76,3 +77,8 @@ def jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
 def without_repeats(spark: SparkSession, folder: str) -> DataFrame:
     kept = remove_repeats(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_winnowing_fingerprints")
+def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return edited_fingerprints(table(spark, folder, "documents"))
