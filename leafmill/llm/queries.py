@@ -12,6 +12,7 @@ from leafmill.llm.decontaminate import contamination_columns, find_contamination
 from leafmill.llm.fingerprints import edited_fingerprints
 from leafmill.llm.near_copies import near_copies
 from leafmill.llm.packing import pack_documents
+from leafmill.llm.page_text import extract_pages
 from leafmill.llm.pii import pseudonymise_documents
 from leafmill.llm.quality import fit_quality, score_quality
 from leafmill.llm.suffix_dedup import remove_repeats
@@ -82,3 +83,8 @@ def without_repeats(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_winnowing_fingerprints")
 def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return edited_fingerprints(table(spark, folder, "documents"))
+
+
+@query("op10_min_cut_extraction")
+def page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_pages(table(spark, folder, "pages"))
