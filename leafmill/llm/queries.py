@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import fold, table
 from leafmill.llm.decontaminate import contamination_columns, find_contamination
 from leafmill.llm.fingerprints import edited_fingerprints
+from leafmill.llm.lm_scores import score_texts
 from leafmill.llm.near_copies import near_copies
 from leafmill.llm.packing import pack_documents
 from leafmill.llm.page_text import extract_pages
@@ -88,3 +89,9 @@ def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_min_cut_extraction")
 def page_texts(spark: SparkSession, folder: str) -> DataFrame:
     return extract_pages(table(spark, folder, "pages"))
+
+
+@query("op9_bloom_language_model")
+def language_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return score_texts(docs, fold("doc_id", 7) != 2).select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
