@@ -92,3 +92,14 @@ def components(documents, percent=80):
                 a, b = sorted((root(d), root(sets[j][0])))
                 parent[b] = a
     return {d: (len(s), root(d)) for d, s in sets}
+
+
+def base_scores(documents, held_out):
+    """{doc_id: (n_tokens, n_known, train_tokens, base_score)}"""
+    import math
+    from collections import Counter
+
+    tokens = {d: space_words(t) + [None] for d, t in documents}
+    counts = Counter(w for d, ws in tokens.items() if not held_out(d) for w in ws)
+    total, distinct = sum(counts.values()), len(counts)
+    return {d: (len(ws), sum(counts[w] > 0 for w in ws), total, sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in ws)) for d, ws in tokens.items()}
