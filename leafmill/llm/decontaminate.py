@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import ALNUM, hash_words, slices
 from leafmill.llm.suffixes import suffix_array
+from leafmill.session import cut_lineage
 
 WINDOW = 13
 #: Bytes of benchmark text that one pass over the documents carries to the tasks.
@@ -250,3 +251,10 @@ def contamination_columns(found: DataFrame, ident: str = "doc_id") -> DataFrame:
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
+
+
+def clean_documents(documents: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """`documents` without the contaminated ones; rows of one id go together, rows without an id stay."""
+    verdicts = contamination_columns(find_contamination(documents, benchmark, ident=ident, text=text, **how), ident)
+    dropped = cut_lineage(verdicts.filter("contaminated").select(ident).distinct())
+    return documents.join(dropped, ident, "left_anti").select(*documents.columns)

@@ -186,3 +186,18 @@ def score_quality(documents: DataFrame, model: QualityModel | None, ident: str =
                                              [ident, "score", "predicted"])
 
     return documents.select(ident, text).mapInArrow(run, f"{ident} {kind}, score double, predicted int")
+
+
+def keep_good(documents: DataFrame, model: QualityModel | None, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, that the model scores at the cut or above: map-only.
+
+    Without a model every row stays.
+    """
+    if model is None:
+        return documents
+
+    def run(batches):
+        for rows, texts in slices(batches, text):
+            yield rows.filter(pa.array(model.scores(features(texts)) >= CUT))
+
+    return documents.mapInArrow(run, documents.schema)
