@@ -1,0 +1,320 @@
+"""Operators against plain versions on small tables, round trips and held-out accuracy."""
+
+import random
+import re
+import zlib
+
+import brute
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from leafmill.llm import decontaminate, fingerprints, lm_scores, near_copies, packing, page_text, pii, suffix_dedup, suffixes
+from leafmill.llm.queries import QUERIES, vocabulary
+from leafmill.session import cut_lineage
+from pyspark.sql import functions as F
+
+FOLDER = "/root/testdata/sf0.001"
+MIDDLE = "/root/testdata/sf0.01"
+
+
+def texts_of(spark, folder=FOLDER, name="documents", ident="doc_id"):
+    return [(r[0], r[1]) for r in spark.read.parquet(f"{folder}/{name}.parquet").select(ident, "text").collect()]
+
+
+def compared(got, want):
+    bad = [(k, got.get(k), want[k]) for k in want if got.get(k) != want[k]]
+    assert not bad and len(got) == len(want), bad[:3]
+
+
+@pytest.fixture(scope="module")
+def made():
+    """Families of edited texts, pieces put together, odd rows."""
+    rng, out = random.Random(5), []
+    for _ in range(10):
+        base = [rng.choice("abcdefghij") + str(rng.randint(0, 40)) for _ in range(rng.choice([3, 8, 40, 200]))]
+        for _ in range(20):
+            w = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 3, 6])):
+                w[rng.randrange(len(w))] = f"X{rng.randint(0, 5)}"
+            out.append((len(out) * 3 + 7, " ".join(w[:max(1, int(len(w) * rng.choice([1, 1, rng.uniform(.7, 1)])))])))
+    return out + [(5000, None), (5001, ""), (5002, " \n"), (5003, "one"), (5004, "One")]
+
+
+def test_suffix_array_and_prefixes():
+    rng = np.random.default_rng(2)
+    for n, letters in ((0, 2), (1, 2), (50, 1), (300, 2), (800, 4)):
+        x = rng.integers(0, letters, n)
+        sa = suffixes.suffix_array(x)
+        assert sa.tolist() == sorted(range(n), key=lambda i: x[i:].tolist())
+        lcp = suffixes.common_prefixes(x, sa, 10, stride=8)
+        for k in range(1, n):
+            a, b = x[sa[k - 1]:], x[sa[k]:]
+            m = next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
+            assert lcp[k] == min(10, m)
+
+
+@pytest.mark.parametrize("size,gram,shard", [(40, 16, 1_500_000), (40, 8, 800), (64, 64, 3000)])
+def test_repeats(spark, size, gram, shard):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcé ") for _ in range(rng.choice([30, 60, 200, 500]))) for _ in range(10)]
+    docs = [(i, "".join(rng.choice(base) if rng.random() < .5 else "".join(rng.choice("abc") for _ in range(rng.randint(1, 60))) for _ in range(rng.randint(0, 8)))) for i in range(120)]
+    docs += [(900, None), (901, ""), (902, "a" * 3000), (903, "ab" * 900), (905, docs[7][1])]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), size, gram=gram, shard_bytes=shard)
+    got = got.select("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n"), F.sha2("kept", 256).alias("k")).collect()
+    compared({r[0]: tuple(r)[1:] for r in got}, brute.repeated_bytes(docs, size))
+
+
+def test_pieces_of_a_long_text_join(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    docs = [(1, "".join(chr(97 + (i * i) % 23) for i in range(5000))), (2, "q" + "".join(chr(97 + (i * i) % 23) for i in range(4000)))]
+    pieces = suffix_dedup.blocks([d.encode() for _, d in docs], 40, 16)
+    assert pieces[2].sum() == 5000 + 4001 - 2 * 39  # a window for each start
+    compared({r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), 40, gram=16).collect()},
+             {d: x[1] for d, x in brute.repeated_bytes(docs, 40).items()})
+
+
+def test_repeats_query(spark):
+    got = QUERIES["op1_suffix_array_dedup"](spark, FOLDER).collect()
+    compared({r[0]: tuple(r)[1:] for r in got}, brute.repeated_bytes(texts_of(spark)))
+
+
+def test_links(spark, made):
+    got = near_copies.near_copies(spark.createDataFrame(made, "doc_id long, text string"))
+    compared({r[0]: tuple(r)[1:] for r in got.collect()}, brute.components(made))
+
+
+def test_links_without_stars(spark, made, monkeypatch):
+    """The prefix join alone finds every link."""
+    monkeypatch.setattr(near_copies, "links_among", lambda pairs, *a, f=near_copies.links_among, n=iter(range(9)): f(pairs if next(n) == 2 else pairs.limit(0), *a))
+    compared({r[0]: tuple(r)[1:] for r in near_copies.near_copies(spark.createDataFrame(made, "doc_id long, text string")).collect()}, brute.components(made))
+
+
+def test_links_query(spark):
+    got = QUERIES["op7_ngram_jaccard_join"](spark, FOLDER).collect()
+    compared({r[0]: tuple(r)[1:] for r in got}, brute.components(texts_of(spark)))
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        both, a, b = (np.unique(rng.integers(0, 2**63, rng.integers(1, n)).astype(np.uint64)) for n in (900, 200, 1400))
+        x, y = np.union1d(both, a), np.union1d(both, b)
+        marks = near_copies._folded([near_copies.signatures(v, np.array([len(v)]))[0] for v in (x, y)])
+        assert np.bitwise_count(marks[0] ^ marks[1]).sum() <= len(np.setxor1d(x, y))
+
+
+@pytest.mark.parametrize("block", [8_000_000, 300])
+def test_contamination(spark, block):
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice("abcdé") for _ in range(rng.randint(0, 60)))) for i in range(200)] + [(1000, None), (1001, ""), (1002, "A,b;C")]
+    items = [(i, " ".join(rng.choice("abcdé") for _ in range(rng.choice([0, 1, 2, 3, 5, 13, 14, 20])))) for i in range(30)] + [(99, None)] + [(100 + i, docs[i][1]) for i in range(5)]
+    found = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)
+    compared({r[0]: tuple(r)[1:] for r in decontaminate.contamination_columns(found).collect()}, brute.contamination(docs, items))
+    texts = dict(docs)
+    for r in found.collect():
+        for s in r["spans"]:
+            cut = (texts[r["doc_id"]] or "").encode()[s["byte"]:s["byte_end"]].decode()
+            assert brute.alnum_words(cut) == brute.alnum_words(texts[r["doc_id"]])[s["word"]:s["end"]]
+
+
+def test_contamination_query(spark):
+    got = QUERIES["op8_fm_index_decontamination"](spark, MIDDLE).collect()
+    compared({r[0]: tuple(r)[1:] for r in got}, brute.contamination(texts_of(spark, MIDDLE), texts_of(spark, MIDDLE, "benchmark", "item_id")))
+
+
+def test_packing_query(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary())
+    got = QUERIES["op3_residual_packing"](spark, FOLDER).collect()
+    want = {}
+    for d, t in texts_of(spark):
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
+        for k in range(0, len(ids), 2048):
+            part = ids[k:k + 2048]
+            want[d, k // 2048] = (k, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
+    compared({(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got}, want)
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(sequences) <= 1.01 * sum(n for _, n, _ in want.values()) / 2048 + 1
+
+
+def test_token_ids_of_odd_texts():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary())
+    odd = ["", "a<|endoftext|>b <|startoftext|>", "It's we'LL  x y z\x1cq\x85r", "é ́x ΑΣ ΑΣ. İI", "漢字 🙂🙂", "1234 5,6", "\r\n\t", "x" * 3000]
+    ids, counts = packing.token_ids([t.encode() for t in odd], vocabulary())
+    for t, part in zip(odd, np.split(ids, np.cumsum(counts)[:-1])):
+        assert part.tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [0], t
+
+
+def test_pieces_merge_up_the_tree(spark):
+    rng = random.Random(1)
+    sizes = [rng.choice([3, 40, 300, 900, 1100, 2047, 2048]) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "k long, length long")
+    got = packing.pack(df, leaf_pieces=60, fanout=4).collect()
+    assert sorted((r["k"], r["length"]) for r in got) == list(enumerate(sizes))
+    fills = {}
+    for r in sorted(got, key=lambda r: r["offset"]):
+        assert r["offset"] == fills.get(r["sequence_id"], 0)
+        fills[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(fills.values()) <= 2048 and sum(f <= 1024 for f in fills.values()) <= 1
+
+
+def test_pieces_that_do_not_fit_fail(spark):
+    with pytest.raises(Exception, match="does not fit"):
+        packing.pack(spark.createDataFrame([(1, 4000)], "k long, length long")).collect()
+
+
+def test_fingerprints(spark):
+    rows = texts_of(spark)
+    got = {r["doc_id"]: r for r in QUERIES["op4_winnowing_fingerprints"](spark, FOLDER).collect()}
+    order = sorted(rows)
+    for i, (d, t) in enumerate(order):
+        t, follow = t or "", order[(i + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        import hashlib
+
+        assert got[d]["n_chars"] == len(t)
+        assert got[d]["edited_sha256"] == hashlib.sha256((t[:len(t) - half] + follow[:half]).encode()).hexdigest()
+    assert np.mean([r["near_edited"] for r in got.values()]) > 0.4 > 0.05 > np.mean([r["near_next"] for r in got.values()])
+
+
+def test_shared_runs_leave_a_common_hash(spark):
+    rng, docs = random.Random(4), []
+    for i in range(60):
+        run = [f"r{rng.randint(0, 999)}" for _ in range(fingerprints.GRAM + fingerprints.WINDOW - 1)]
+        for k in range(2):
+            pad = [[f"p{rng.randint(0, 10**6)}" for _ in range(rng.choice([0, 1, 5, 40, 300]))] for _ in range(2)]
+            docs.append((2 * i + k, " ".join(pad[0] + run + pad[1])))
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i in range(60):
+        a, b = ({p >> 32 for p in got[2 * i + k]["kept"]} for k in range(2))
+        assert a & b
+    places = [int(x.split("@")[1]) for x in got[0]["fingerprint"].split()]
+    assert places == sorted(places)
+
+
+def test_next_text_over_crowded_ids(spark):
+    ids = [1, 2, 2**60, 3, -7, None, 2**61] + list(range(1000, 3000)) + [2**40 + 7 * i for i in range(500)]
+    df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string").repartition(5)
+    order = sorted(i for i in ids if i is not None)
+    want = {i: str(order[(k + 1) % len(order)]) for k, i in enumerate(order)} | {None: None}
+    compared({r["id"]: r["next_text"] for r in fingerprints.with_next(df).collect()}, want)
+
+
+def test_pseudonyms_keep_format_and_come_back():
+    text = ("mail anna.b-7@host.example.org or +1 (017) 555-7713, 017-555-7713; card 4845168114407329 and 4845 1681 1440 7329, ip 10.0.200.3, "
+            "GB82 WEST 1234 5698 7654 32, 219-09-9999, born 1984-02-29 or 29/02/1984. Not: 4845168114407328, 10.0.0.300, 2023-02-30, 1.2.3, v 1234567")
+    new, counts = pii.pseudonymise(text)
+    assert counts == {"email": 1, "phone": 2, "card": 2, "ip": 1, "iban": 1, "ssn": 1, "date": 2}
+    assert pii.pseudonymise(new)[1] == counts and pii.pseudonymise(new, back=True)[0] == text
+    for secret in ("anna", "555-7713", "48451681", "10.0.200.3", "WEST", "219-09", "1984-02"):
+        assert secret not in new.partition(" Not:")[0]
+    kept = "Not: 4845168114407328, 10.0.0.300, 2023-02-30, 1.2.3, v 1234567"
+    assert new.endswith(kept)
+    digits = re.findall(r"\(?\d{3}\)?[ -]\d{3}-\d{4}", new)
+    assert len({re.sub(r"\D", "", d) for d in digits}) == 1  # one number, written in two ways
+
+
+def test_permutations_have_no_fixed_point():
+    for size in (2, 3, 10, 97, 1000):
+        made = [pii.permute(x, size, b"k", b"t") for x in range(size)]
+        assert sorted(made) == list(range(size)) and all(a != b for a, b in enumerate(made))
+        assert [pii.permute(y, size, b"k", b"t", True) for y in made] == list(range(size))
+
+
+def test_base_scores_and_model(spark):
+    rows = texts_of(spark, MIDDLE)
+    got = {r["doc_id"]: r for r in QUERIES["op9_bloom_language_model"](spark, MIDDLE).collect()}
+    want = brute.base_scores(rows, lambda d: zlib.crc32(str(d).encode()) % 7 == 2)
+    for d, (tokens, known, total, base) in want.items():
+        r = got[d]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (tokens, known, total) and abs(r["base_score"] - base) < 1e-6 * max(1, abs(base))
+    held = [r for r in got.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_filter_reads_levels_back(spark):
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 2**48, 5000).astype(np.uint64))
+    counts = rng.integers(2, 5000, len(keys))
+    levels = lm_scores.level_of(counts)
+    rows = [(b, keys[keys % 12 == b].tobytes(), levels[keys % 12 == b].tobytes()) for b in range(12)]
+    table = spark.createDataFrame(rows, "bucket int, keys binary, levels binary")
+    held, floor = lm_scores.build_filter(table, 12)
+    read = held.levels(keys).astype(int) + floor - 1
+    assert (read >= levels).all() and (read == levels).mean() > 0.97
+    assert (held.levels(np.unique(rng.integers(2**48, 2**49, 5000).astype(np.uint64))) > 0).mean() < 0.03
+    assert np.allclose(lm_scores.count_at(levels.astype(np.int64)), counts, rtol=0.35)
+    small, floor = lm_scores.build_filter(table, 12, 4000)
+    assert small.data.nbytes <= 4000 and (small.levels(keys[levels >= floor]) > 0).all()
+
+
+def test_classifiers_hold_out(spark):
+    for name, column, least in (("op2_bradley_terry_quality", "quality", 0.95), ("op5_nnpu_toxicity", "toxic", 0.85)):
+        labels = {r["doc_id"]: r[column] for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").collect()}
+        held = [r for r in QUERIES[name](spark, MIDDLE).collect() if r["held_out"] and r["doc_id"] in labels]
+        assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in held]) >= least
+
+
+def test_pages_query(spark):
+    import html as entities
+
+    got = {r["page_id"]: r for r in QUERIES["op10_min_cut_extraction"](spark, FOLDER).collect()}
+    for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect():
+        body = r["html"][r["html"].index("<article>"):r["html"].index("</article>")]
+        parts = [" ".join(entities.unescape(re.sub(r"<[^>]+>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)\b[^>]*>", body)]
+        want = "\n\n".join(p for p in parts if p)
+        assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want)
+
+
+def test_boilerplate_of_other_shapes():
+    page = """<html><body><header class="site-header"><h1>Site</h1><a href=/>Home</a></header><div id=cookie-banner>We use cookies &amp; things. Please accept them now.</div>
+<div class="sidebar"><h3>Related</h3><ul><li><a href=x>One long related story about things that happened</a></ul></div>
+<div class="content"><h1>Title &eacute; here</h1><p>First  para with <a href=a>a link</a> in it and more words here.<p>Second<br>line &lt;b&gt; &#8212; ok</p>
+<div class="advert">Buy now this fine product, on sale this week only.</div><blockquote>Quoted text</blockquote><ul><li>item one<li>item two</ul></div>
+<form><label>Name</label><input name=q><button>Send</button></form><section id="comments"><p>Reader said this is great, and I agree with it all.</p></section>
+<footer>me</footer><script>if (a<b) {"</div>"}</script></body></html>"""
+    assert page_text.main_text(page).split("\n\n") == ["Title é here", "First para with a link in it and more words here.", "Second line <b> — ok", "Quoted text", "item one", "item two"]
+
+
+def test_min_cut_is_least():
+    rng = random.Random(6)
+    for _ in range(60):
+        n = rng.randint(1, 7)
+        s, t = [rng.choice([0, 1, 2, 5]) for _ in range(n)], [rng.choice([0, 1, 3]) for _ in range(n)]
+        edges = [(a, b, rng.choice([0.5, 1, 2])) for a in range(n) for b in range(a + 1, n) if rng.random() < .5]
+
+        def cost(side):
+            return sum(t[i] if side[i] else s[i] for i in range(n)) + sum(w for a, b, w in edges if side[a] != side[b])
+
+        best = min(cost([k >> i & 1 for i in range(n)]) for k in range(1 << n))
+        assert abs(cost(page_text.min_cut(s, t, edges)) - best) < 1e-6
+
+
+def test_pipeline_stage_by_stage(spark):
+    """Each stage's decisions against the plain rule, on what the stage before kept."""
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    kept = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        kept.append(cut_lineage(stage(spark, kept[-1], MIDDLE)))
+    rows = [{r["doc_id"]: r["text"] for r in k.select("doc_id", "text").collect()} for k in kept[:5]]
+    scores = {r["doc_id"]: r["predicted"] for r in QUERIES["op2_bradley_terry_quality"](spark, MIDDLE).collect()}
+    assert rows[1] == {d: t for d, t in rows[0].items() if scores[d]}
+    parts = brute.components(list(rows[1].items()))
+    assert rows[2] == {d: t for d, t in rows[1].items() if parts[d][1] == d}
+    dirty = brute.contamination(list(rows[2].items()), texts_of(spark, MIDDLE, "benchmark", "item_id"))
+    assert rows[3] == {d: t for d, t in rows[2].items() if not dirty[d][4]}
+    assert rows[4] == {d: pii.pseudonymise(t)[0] for d, t in rows[3].items()}
+    assert {r["doc_id"] for r in kept[5].collect()} == set(rows[4])
+    assert corpus_pipeline.run(spark, MIDDLE).count() == kept[5].count()
