@@ -148,6 +148,27 @@ def c10(spark, sf):
     return longs(rows.select("doc_id", "block_idx", "page_number", "normalized_text"), "block_idx", "page_number")
 
 
+# documents in German have no page list: their lines are one page without a number
+part("mixed_blocks", f"""
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, pos) - 1 AS block_idx, page AS page_number, normalized_text FROM (
+    SELECT doc_id, page_number AS page, block_idx AS pos, {s.sql_norm('source_text')} AS normalized_text FROM parsed_blocks WHERE block_type <> 'image' AND lang <> 'de'
+    UNION ALL
+    SELECT doc_id, NULL, min(page), {s.sql_norm("string_agg(trim(line), ' ' ORDER BY page)")} FROM (
+      SELECT doc_id, page, line, cap, sum(CASE WHEN cap OR was THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page) AS run FROM (
+        SELECT *, lag(cap, 1, false) OVER (PARTITION BY doc_id ORDER BY page) AS was FROM (
+          SELECT doc_id, page, line, regexp_matches(line, '(?i)^(figure|fig\\.|table|표|그림)') AS cap FROM page_lines WHERE lang = 'de' AND trim(line) <> '')))
+    GROUP BY doc_id, run)""", "parsed_blocks", "page_lines")
+
+
+@query("c10_blocks_without_page_list", sql("mixed_blocks", body="SELECT doc_id, block_idx, page_number, normalized_text FROM mixed_blocks"))
+def c10b(spark, sf):
+    """Documents without a page list are numbered too."""
+    parsed = s.parsed(spark, sf)
+    parsed = parsed.withColumn("pages", F.when(F.col("lang") != "de", F.col("pages")))
+    rows = bk.finish_blocks(bk.page_blocks(fl.parsed_pages(parsed)))
+    return longs(rows.select("doc_id", "block_idx", "page_number", "normalized_text"), "block_idx", "page_number")
+
+
 FILE_TYPES = {"en": "PDF", "fr": "docx", "de": "xls", "es": "txt"}
 
 

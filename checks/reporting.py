@@ -361,6 +361,15 @@ def j4(spark, sf):
     return lg.status_timeline(s.order_docs(spark, sf), s.stage_logs(spark, sf))
 
 
+@query("j4_timeline_without_times", sql("stage_logs", "order_docs", body="""
+  SELECT l.*, d.status AS doc_status, row_number() OVER (PARTITION BY l.doc_id ORDER BY started_at DESC NULLS LAST, id DESC) AS place
+  FROM (SELECT * REPLACE (CASE WHEN id % 5 > 0 THEN started_at END AS started_at) FROM stage_logs) l JOIN order_docs d ON d.doc_id = l.doc_id"""))
+def j4b(spark, sf):
+    """Rows without a start time stay, last."""
+    logs = s.stage_logs(spark, sf).withColumn("started_at", F.when(F.col("id") % 5 > 0, F.col("started_at")))
+    return lg.status_timeline(s.order_docs(spark, sf), logs)
+
+
 @query("j5_timed_pairs", sql("timed_events", body="""
   SELECT e.trace_id, e.stage, b.ord AS start_ord, e.ord AS end_ord, e.event_type, b.ts AS started_at, e.ts AS ended_at,
          date_diff('microsecond', b.ts, e.ts) // 1000 AS duration_ms
@@ -399,6 +408,15 @@ def j7b(spark, sf):
     return lg.trace_events(s.timed_events(spark, sf))
 
 
+@query("j7_events_without_trace", sql("timed_events", body="""
+  SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ts NULLS FIRST, ord) AS place FROM (
+    SELECT * REPLACE (CASE WHEN ord % 3 > 0 THEN trace_id END AS trace_id, CASE WHEN ord % 7 > 0 THEN ts END AS ts) FROM timed_events)"""))
+def j7c(spark, sf):
+    """Events without a trace are a group of their own; those without a time come first."""
+    events = s.timed_events(spark, sf).withColumn("trace_id", F.when(F.col("ord") % 3 > 0, F.col("trace_id")))
+    return lg.trace_events(events.withColumn("ts", F.when(F.col("ord") % 7 > 0, F.col("ts"))))
+
+
 @query("j8_latency_breakdown", """
   SELECT step, count(*) AS n, round(avg(ms), 3) AS mean_ms, round(quantile_cont(ms, 0.5), 3) AS median_ms,
          round(quantile_cont(ms, 0.95), 3) AS p95_ms, max(ms) AS max_ms FROM (

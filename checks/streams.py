@@ -57,6 +57,50 @@ def k1b(spark, sf):
     return spark.read.parquet(f"{folder}/out/documents").drop("batch")
 
 
+def two_batches(spark, sf):
+    """All files, then those of every third document with other text under the same path: the folder of the tables."""
+    folder = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    first = files(spark, sf).drop("lang")
+    line = F.array(F.struct(F.lit(1).alias("page_num"), F.concat(F.lit("second reading of "), F.col("doc_id").cast("string")).alias("text")))
+    later = first.filter("doc_id % 3 = 0").withColumn("pages", line).withColumn("markdown", F.col("pages")[0]["text"]).drop("images")
+    for rows in (first, later):
+        rows.write.mode("append").json(f"{folder}/in")
+        jb.ingest_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/progress").awaitTermination()
+    return f"{folder}/out"
+
+
+part("second_reading", f"""
+  SELECT doc_id, path, CASE WHEN doc_id % 3 = 0 THEN sha256('second reading of ' || doc_id) ELSE hash END AS hash FROM ({INGESTED})""")
+# after the first batch only files that were read then are known by path; a skipped copy has an unknown path, and its text is new
+part("later_files", f"""
+  SELECT doc_id, '/' || lang || '/' || doc_id || '.json' AS path, sha256('second reading of ' || doc_id) AS hash FROM documents
+  WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT doc_id FROM ({INGESTED}))""")
+
+
+@query("k1_two_batches_documents", sql("second_reading", "later_files", body="""
+  SELECT *, 'pending' AS status FROM (SELECT * FROM second_reading UNION ALL SELECT * FROM later_files)"""))
+def k1c(spark, sf):
+    return jb.current_rows(spark, two_batches(spark, sf), "documents")
+
+
+@query("k1_two_batches_blocks", sql("second_reading", "later_files", "parsed_blocks", body="""
+  SELECT doc_id, block_idx, block_type, source_text, page_number FROM parsed_blocks WHERE doc_id IN (SELECT doc_id FROM second_reading WHERE doc_id % 3 > 0)
+  UNION ALL
+  SELECT doc_id, 0, 'text', 'second reading of ' || doc_id, 1 FROM (SELECT doc_id FROM second_reading UNION ALL SELECT doc_id FROM later_files) WHERE doc_id % 3 = 0"""))
+def k1d(spark, sf):
+    rows = jb.current_rows(spark, two_batches(spark, sf), "blocks").select("doc_id", "block_idx", "block_type", "source_text", "page_number")
+    return rows.withColumns({c: F.col(c).cast("long") for c in ("block_idx", "page_number")})
+
+
+@query("k1_two_batches_keywords", sql("second_reading", "later_files", body="""
+  SELECT doc_id, 'second' AS keyword, 1 AS n FROM (SELECT doc_id FROM second_reading UNION ALL SELECT doc_id FROM later_files) WHERE doc_id % 3 = 0"""))
+def k1e(spark, sf):
+    """Of the changed documents only the new words are left."""
+    rows = jb.current_rows(spark, two_batches(spark, sf), "keywords").filter("doc_id % 3 = 0")
+    kinds = rows.filter(~F.col("keyword").isin("reading", "of") & ~F.col("keyword").rlike("^[0-9]+$"))
+    return kinds.groupBy("doc_id", "keyword").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- K2 ---------------------------------------------------------------------------
 
 def sql_windows(size_days: int) -> str:

@@ -127,6 +127,14 @@ def b7b(spark, sf):
     return reset(spark, sf, t(spark, sf, "documents").filter("lang = 'en'").select("doc_id"))
 
 
+@query("b7_reset_by_empty_list", reset_sql("coalesce(status = 'failed', false)").replace("FROM docs", "FROM (SELECT * REPLACE (CASE WHEN dept_id <> 'es' THEN status END AS status) FROM docs)"))
+def b7c(spark, sf):
+    """An empty list of ids means all; a document without a status is left as it is."""
+    docs = s.docs(spark, sf).withColumn("status", F.when(F.col("dept_id") != "es", F.col("status")))
+    rows = sy.reset_failed(docs, s.AS_OF, docs.select("doc_id").limit(0)).select("doc_id", "was_reset", "status", "error_msg", "updated_at")
+    return rows.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+
 @query("b8_insert_absent", """
   SELECT doc_id, quality::BIGINT AS quality, toxic::BIGINT AS toxic FROM labels UNION ALL
   SELECT doc_id, min(n_chars), 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id""")
@@ -208,6 +216,20 @@ def a7(spark, sf):
     return lg.log_rows(rows)
 
 
+@query("a7_log_rows_with_details", """
+  SELECT doc_id, left(text, 20) AS message, CASE
+    WHEN lang = 'en' THEN own
+    WHEN own IS NULL OR own = '{}' THEN json_object('error_type', lang, 'error_message', source, 'traceback', '-')::VARCHAR
+    ELSE '{"n":' || n_chars || ',' || substr(json_object('error_type', lang, 'error_message', source, 'traceback', '-')::VARCHAR, 2) END AS details
+  FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN '{"n":' || n_chars || '}' WHEN 1 THEN '{}' END AS own FROM documents)""")
+def a7b(spark, sf):
+    """An error's fields join the details that came with the event."""
+    own = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('{"n":'), F.col("n_chars").cast("string"), F.lit("}"))).when(F.col("doc_id") % 3 == 1, "{}")
+    return lg.log_rows(t(spark, sf, "documents").select(
+        "doc_id", F.substring("text", 1, 20).alias("message"), F.when(F.col("lang") != "en", F.col("lang")).alias("error_type"),
+        F.col("source").alias("error_message"), F.lit("-").alias("traceback"), own.alias("details")))
+
+
 @query("a3_user_feed", """
   SELECT c_name AS email, c_mktsegment AS usr_name, c_nationkey::BIGINT AS dept_id, CASE WHEN c_acctbal > 0 THEN c_custkey END AS role_id
   FROM customer""")

@@ -269,6 +269,24 @@ def e5b(spark, sf):
     return ranked(tm.keyword_index(t(spark, sf, "documents"), ["doc_id"], "text", tm.alias_rows(spark, passage_aliases(spark, sf))))
 
 
+# a large dictionary: part names, half of which have no boost of their own
+part("part_aliases", f"""
+  SELECT *, {s.sql_norm('alias')} AS alias_norm, {s.sql_norm('canonical_name')} AS canonical_norm FROM (
+    SELECT n, alias, canonical_name, alias_type, boost FROM (SELECT ord AS n, alias, canonical_name, alias_type, boost FROM builtin_aliases)
+    UNION ALL SELECT 1000 + p_partkey, p_name, p_brand, 'part', CASE WHEN p_partkey % 2 = 0 THEN 1.5 ELSE 1.0 END FROM part)""", "builtin_aliases")
+part("part_texts", f"SELECT p_partkey AS doc_id, 'see ' || p_name || ' of ' || p_brand AS text, {s.sql_norm("'see ' || p_name || ' of ' || p_brand")} AS normal FROM part")
+
+
+@query("e5_keywords_with_part_names", sql("part_texts", "part_aliases", body=sql_keywords("part_texts", "doc_id", "text", "part_aliases").replace("normal JOIN", "part_texts JOIN")))
+def e5c(spark, sf):
+    """Every part name is an alias; a null boost counts 1.0."""
+    parts = t(spark, sf, "part")
+    table = parts.select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("canonical_name"), F.col("p_name").alias("alias"),
+                         F.lit("part").alias("alias_type"), F.lit("en").alias("language"), F.when(F.col("p_partkey") % 2 == 0, 1.5).alias("boost"))
+    texts = parts.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("see "), "p_name", F.lit(" of "), "p_brand").alias("text"))
+    return ranked(tm.keyword_index(texts, ["doc_id"], "text", tm.alias_rows(spark, table)))
+
+
 part("chunk_normal", f"SELECT chunk_id, {s.sql_norm('content')} AS normal FROM chunks", "chunks")
 
 

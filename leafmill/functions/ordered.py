@@ -4,11 +4,16 @@ Each helper splits a group by a `bucket` column that grows with the order (a
 day, a range of positions), works inside (group, bucket), and carries one
 small row per bucket onward. So a key that holds a third of all rows is spread
 over as many tasks as it has buckets.
+
+Rows whose keys or bucket are null are kept: equal nulls make a group, and a null
+bucket comes first. Keys and bucket are compared as one struct, which is never null
+itself, so joins and windows share one shuffle.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql.window import WindowSpec
 from pyspark.sql import functions as F
 
 POSITIONS_PER_BUCKET = 4096
@@ -18,74 +23,80 @@ def position_bucket(position: Column, size: int = POSITIONS_PER_BUCKET) -> Colum
     return F.floor(position / size).cast("long")
 
 
-def _before(keys: list[str], bucket: str):
-    return (Window.partitionBy(*keys).orderBy(bucket)
-            .rowsBetween(Window.unboundedPreceding, -1))
+#: Buckets per key that quantiles are counted in, at most.
+RANGES = 256
+
+
+def _cell(keys: list[str], bucket: str) -> Column:
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate([*keys, bucket])])
+
+
+def _cells_along(n: int) -> WindowSpec:
+    """The buckets of one key in order; `n` keys."""
+    return Window.partitionBy(*[f"_cell.k{i}" for i in range(n)]).orderBy(f"_cell.k{n}")
 
 
 def number_within(df: DataFrame, keys: list[str], order: list, bucket: str, out: str) -> DataFrame:
     """Number the rows of each group from 0 in `order`."""
-    cells = keys + [bucket]
-    sizes = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n"))
-    start = F.coalesce(F.sum("_n").over(_before(keys, bucket)), F.lit(0))
-    starts = sizes.select(*cells, start.alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(*cells).orderBy(*order))
-    return (df.join(starts, cells)
+    df = df.withColumn("_cell", _cell(keys, bucket))
+    sizes = df.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = _cells_along(len(keys)).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_cell").orderBy(*order))
+    return (df.join(starts, "_cell")
             .withColumn(out, (F.col("_start") + inside - 1).cast("long"))
-            .drop("_start"))
+            .drop("_start", "_cell"))
 
 
 def nearest_in_order(df: DataFrame, keys: list[str], order: list[str], bucket: str, value: Column,
-                     before: str | None = None, after: str | None = None, null_keys: bool = False) -> DataFrame:
+                     before: str | None = None, after: str | None = None) -> DataFrame:
     """The nearest non-null `value` at or before, and at or after, each row of its group.
 
-    Per bucket only its first and last value cross to other buckets. With
-    `null_keys` rows whose key is null form a group of their own; without, the
-    join and the windows share one shuffle on (keys, bucket).
+    Per bucket only its first and last value cross to other buckets.
     """
-    cells = keys + [bucket]
-    df = df.withColumn("_v", value)
+    df = df.withColumn("_v", value).withColumn("_cell", _cell(keys, bucket))
     place = F.when(F.col("_v").isNotNull(), F.struct(*order))
-    ends = df.groupBy(*cells).agg(F.min_by("_v", place).alias("_first"), F.max_by("_v", place).alias("_last"))
-    after_window = (Window.partitionBy(*keys).orderBy(bucket).rowsBetween(1, Window.unboundedFollowing))
-    ends = ends.select(*cells, F.last("_last", True).over(_before(keys, bucket)).alias("_earlier"),
-                       F.first("_first", True).over(after_window).alias("_later"))
-    if null_keys:
-        left, right = df.alias("l"), ends.alias("r")
-        same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in cells]
-        joined = left.join(right, same, "left").select("l.*", "r._earlier", "r._later")
-    else:
-        joined = df.join(ends, cells, "left")
-    inside = Window.partitionBy(*cells).orderBy(*order)
+    ends = df.groupBy("_cell").agg(F.min_by("_v", place).alias("_first"), F.max_by("_v", place).alias("_last"))
+    along = _cells_along(len(keys))
+    ends = ends.select("_cell", F.last("_last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+                       F.first("_first", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    joined = df.join(ends, "_cell", "left")
+    inside = Window.partitionBy("_cell").orderBy(*order)
     if before:
         back = F.last("_v", True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
         joined = joined.withColumn(before, F.coalesce(back, F.col("_earlier")))
     if after:
         ahead = F.first("_v", True).over(inside.rowsBetween(0, Window.unboundedFollowing))
         joined = joined.withColumn(after, F.coalesce(ahead, F.col("_later")))
-    return joined.drop("_v", "_earlier", "_later")
+    return joined.drop("_v", "_earlier", "_later", "_cell")
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], width: float = 1.0) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
     """Exact interpolated quantiles of `value` per group, and `n`, its number of rows.
 
-    Equal values are counted first; then the counts are added up in order,
-    range by range of `width`, so no group is held or sorted by one task.
+    Equal values are counted first. Approximate quantiles of a group then cut its
+    values into RANGES ranges of about equal numbers of rows; the counts are added up
+    range by range. So a group is sorted by many tasks, and only its ranges, at most
+    RANGES + 1 rows, are put in order together. The result does not depend on the cuts.
     """
-    cells = keys + ["_b"]
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    counts = counts.withColumn("_b", F.floor(F.col(value) / width).cast("long"))
-    sizes = counts.groupBy(*cells).agg(F.sum("_c").alias("_size"))
-    whole = F.sum("_size").over(Window.partitionBy(*keys))
-    starts = sizes.select(*cells, F.coalesce(F.sum("_size").over(_before(keys, "_b")), F.lit(0)).alias("_start"), whole.alias("n"))
-    upto = Window.partitionBy(*cells).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.join(starts, cells).withColumn("_end", F.col("_start") + F.sum("_c").over(upto))
+    kept = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    names = F.struct(*keys)
+    share = [i / RANGES for i in range(1, RANGES)]
+    bounds = kept.groupBy(names.alias("_key")).agg(F.percentile_approx(value, share, 20 * RANGES).alias("_bounds"))
+    counts = kept.groupBy(names.alias("_key"), value).agg(F.count(F.lit(1)).alias("_c")).join(bounds, "_key")
+    counts = counts.withColumn("_b", F.size(F.filter("_bounds", lambda b: b <= F.col(value)))).drop("_bounds")
+    sizes = counts.groupBy(F.struct("_key", "_b").alias("_cell")).agg(F.sum("_c").alias("_size"))
+    of_key = Window.partitionBy("_cell._key")
+    before = of_key.orderBy("_cell._b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_cell", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"), F.sum("_size").over(of_key).alias("n"))
+    upto = Window.partitionBy("_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("_cell", F.struct("_key", "_b")).join(starts, "_cell").withColumn("_end", F.col("_start") + F.sum("_c").over(upto))
 
     def at(index):  # the value at a 0-based place
         return F.max(F.when((index >= F.col("_end") - F.col("_c")) & (index < F.col("_end")), F.col(value)))
 
     place = {name: F.lit(float(p)) * (F.col("n") - 1) for name, p in wanted.items()}
-    picked = placed.groupBy(*keys, "n").agg(*[
+    picked = placed.select("_key.*", "n", "_start", "_end", "_c", value).groupBy(*keys, "n").agg(*[
         at(edge(place[name])).alias(f"_{side}_{name}") for name in wanted for side, edge in (("lo", F.floor), ("hi", F.ceil))])
     between = lambda name: F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (place[name] - F.floor(place[name]))
     return picked.select(*keys, "n", *[between(name).alias(name) for name in wanted])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import fixed_values as fv
 from leafmill.functions import text as tx
 from leafmill.functions.ordered import nearest_in_order, number_within, position_bucket
-from leafmill.operators.chunks import CUT
+from leafmill.operators.chunks import CUT, shielded, unshielded
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 CAPTION = rf"(?iu)\A(?U)[\s\x1c-\x1f]*{fv.CAPTION_LEADS}"
@@ -29,13 +29,13 @@ def split_pages(docs: DataFrame, keys: list[str], markdown: str) -> DataFrame:
 def block_array(markdown: Column) -> Column:
     """array<struct<block_type, source_text, section_path>> of one page, in order."""
     s = tx.INLINE_SPACE
-    marked = F.regexp_replace(F.coalesce(markdown, F.lit("")), LINE_END, "\n")
+    marked = F.regexp_replace(shielded(F.coalesce(markdown, F.lit(""))), LINE_END, "\n")
     marked = F.regexp_replace(marked, rf"(?dmU)^{s}+|{s}+$", "")
     marked = F.regexp_replace(marked, r"(?dm)^$", CUT)
     single = rf"(?dmiu)^((?:{fv.CAPTION_LEADS}|#).*)$"
     marked = F.regexp_replace(marked, single, f"{CUT}$1{CUT}")
     marked = F.regexp_replace(marked, r"(?dm)((?:^\|(?:.*\|)?$\n?)+)", f"{CUT}$1{CUT}")
-    parts = F.filter(F.transform(F.split(marked, CUT), tx.strip), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(marked, CUT), lambda p: tx.strip(unshielded(p))), lambda p: p != "")
 
     def typed(part):
         heading = part.startswith("#")
@@ -102,13 +102,12 @@ def link_captions(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
     marks = blocks.filter(F.col("block_type").isin("caption", "image")).withColumn(
         "_bucket", position_bucket(F.col("block_idx")))
     caption = F.when(F.col("block_type") == "caption", F.struct("block_idx", "source_text"))
-    work = nearest_in_order(marks, [doc, "page_number"], ["block_idx"], "_bucket", caption,
-                            "_page_before", "_page_after", null_keys=True)
+    work = nearest_in_order(marks, [doc, "page_number"], ["block_idx"], "_bucket", caption, "_page_before", "_page_after")
     options = ["_page_before", "_page_after"]
     if "slide_number" in blocks.columns:
         work = work.withColumn("_slide", F.nullif(F.col("slide_number"), F.lit(0)))
         work = nearest_in_order(work, [doc, "_slide"], ["block_idx"], "_bucket", F.when(F.col("_slide").isNotNull(), caption),
-                                "_slide_before", "_slide_after", null_keys=True)
+                                "_slide_before", "_slide_after")
         options += ["_slide_before", "_slide_after"]
 
     def option(name):

@@ -9,19 +9,28 @@ from leafmill.functions import fixed_values as fv
 from leafmill.functions import text as tx
 from leafmill.functions.ordered import number_within, position_bucket
 
-CUT = "\uffff"  # a Unicode noncharacter: marks section ends while a text is being split
+CUT, SHIELD = "\uffff", "\ufffe"  # Unicode noncharacters: the mark of a cut while a text is being split, and its escape
+
+
+def shielded(text: Column) -> Column:
+    """The text without CUT: both noncharacters become SHIELD and a digit, which `unshielded` undoes."""
+    return F.replace(F.replace(text, F.lit(SHIELD), F.lit(SHIELD + "0")), F.lit(CUT), F.lit(SHIELD + "1"))
+
+
+def unshielded(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(SHIELD + "1"), F.lit(CUT)), F.lit(SHIELD + "0"), F.lit(SHIELD))
 
 
 def structural_sections(text: Column) -> Column:
     """Sections between blank lines, dash lines and one-word headings."""
     s, nonspace = tx.INLINE_SPACE, r"[^\s\x1c-\x1f]"
     heading = rf"(?:#{{1,6}}|\d+(?:\.\d+){{0,3}}[.)]){s}+{nonspace}+"
-    marked = F.regexp_replace(text, r"\r\n?", "\n")
+    marked = F.regexp_replace(shielded(text), r"\r\n?", "\n")
     marked = F.regexp_replace(marked, rf"(?dmU){s}+$", "")
     marked = F.regexp_replace(marked, rf"(?dmU)^{s}*(?:-{{3,}})?$", CUT)
     marked = F.regexp_replace(marked, rf"(?dmU)^{s}*({heading})$", f"{CUT}$1{CUT}")
     marked = F.regexp_replace(marked, rf"(?dmU)^{s}+(\|.*\|)$", "$1")
-    parts = F.transform(F.split(marked, CUT), tx.strip)
+    parts = F.transform(F.split(marked, CUT), lambda p: tx.strip(unshielded(p)))
     return F.filter(parts, lambda p: p != "")
 
 

@@ -49,23 +49,23 @@ def _running_depth(work: DataFrame, keys: list[str]) -> DataFrame:
     steps and `low` the lowest running sum. Those two numbers per day are all
     that crosses from one day to the next.
     """
-    cells = keys + ["_day"]
+    work = work.withColumn("_cell", F.struct(*keys, "_day"))  # never null, so rows with null keys stay
     step = F.when(F.col("_start"), 1).otherwise(-1)
-    inside = Window.partitionBy(*cells).orderBy("ts", "ord")
+    inside = Window.partitionBy("_cell").orderBy("ts", "ord")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     work = work.withColumn("_sum", F.sum(step).over(upto))
     work = work.withColumn("_low", F.least(F.min("_sum").over(upto), F.lit(0)))
-    days = work.groupBy(*cells).agg(F.max_by("_sum", F.struct("ts", "ord")).alias("net"), F.min("_low").alias("low"))
-    along = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
+    days = work.groupBy("_cell").agg(F.max_by("_sum", F.struct("ts", "ord")).alias("net"), F.min("_low").alias("low"))
+    before = Window.partitionBy(*[f"_cell.{k}" for k in keys]).orderBy("_cell._day")
+    along = before.rowsBetween(Window.unboundedPreceding, 0)
     days = days.withColumn("_total", F.sum("net").over(along))
     days = days.withColumn("_floor", F.least(F.min(F.col("_total") - F.col("net") + F.col("low")).over(along), F.lit(0)))
-    before = Window.partitionBy(*keys).orderBy("_day")
-    carried = days.select(*cells, F.coalesce(F.lag(F.col("_total") - F.col("_floor")).over(before), F.lit(0)).alias("_carry"))
-    work = work.join(carried, cells)
+    carried = days.select("_cell", F.coalesce(F.lag(F.col("_total") - F.col("_floor")).over(before), F.lit(0)).alias("_carry"))
+    work = work.join(carried, "_cell")
     prior_sum = F.col("_sum") - step
     prior_low = F.least(F.coalesce(F.lag("_low").over(inside), F.lit(0)), F.lit(0))
     depth = prior_sum + F.col("_carry") - F.least(prior_low + F.col("_carry"), F.lit(0))
-    return work.withColumn("_depth", depth.cast("long")).drop("_sum", "_low", "_carry")
+    return work.withColumn("_depth", depth.cast("long")).drop("_sum", "_low", "_carry", "_cell")
 
 
 def document_states(documents: DataFrame, stages: DataFrame, as_of) -> DataFrame:
@@ -101,8 +101,10 @@ def status_timeline(documents: DataFrame, logs: DataFrame) -> DataFrame:
     """Every stage row of every document; `place` 1 is the newest.
 
     Rows are numbered day by day, so a document with very many rows is not one task.
+    Rows without a start time come last.
     """
-    work = logs.withColumn("_back_day", -F.datediff(F.to_date("started_at"), F.lit("1970-01-01")))
+    back = -F.datediff(F.to_date("started_at"), F.lit("1970-01-01"))
+    work = logs.withColumn("_back_day", F.coalesce(back, F.lit(2**31 - 1)))
     numbered = number_within(work, ["doc_id"], [F.desc("started_at"), F.desc("id")], "_back_day", "place")
     names = documents.select("doc_id", F.col("status").alias("doc_status"))
     return numbered.withColumn("place", F.col("place") + 1).drop("_back_day").join(names, "doc_id")
@@ -176,10 +178,16 @@ def web_search_rates(log: DataFrame) -> DataFrame:
 def log_rows(events: DataFrame) -> DataFrame:
     """Events as stored: message, error and traceback cut to length, details as JSON.
 
-    Needs message, error_type, error_message, traceback (the end of it is kept).
+    Needs message, error_type, error_message, traceback (the end of it is kept). The
+    caller's own `details`, a JSON object, may come with it: an error's fields join it.
     """
-    details = F.struct("error_type", F.substring("error_message", 1, 1000).alias("error_message"),
-                       F.right("traceback", F.lit(2000)).alias("traceback"))
-    rest = [c for c in events.columns if c not in ("message", "error_type", "error_message", "traceback")]
-    return events.select(*rest, F.substring("message", 1, 2000).alias("message"),
-                         F.when(F.col("error_type").isNotNull(), F.to_json(details)).alias("details"))
+    error = F.struct("error_type", F.substring("error_message", 1, 1000).alias("error_message"),
+                     F.right("traceback", F.lit(2000)).alias("traceback"))
+    found = F.when(F.col("error_type").isNotNull(), F.to_json(error))
+    rest = [c for c in events.columns if c not in ("message", "error_type", "error_message", "traceback", "details")]
+    if "details" in events.columns:
+        own = F.trim("details")
+        body = F.trim(own.substr(F.lit(2), F.greatest(F.length(own) - 2, F.lit(0))))
+        joined = F.concat(F.lit("{"), body, F.lit(","), found.substr(F.lit(2), F.length(found)))
+        found = F.when(found.isNull(), F.col("details")).when(own.isNull() | (body == ""), found).otherwise(joined)
+    return events.select(*rest, F.substring("message", 1, 2000).alias("message"), found.alias("details"))

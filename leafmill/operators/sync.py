@@ -85,11 +85,13 @@ def documents_with_status(documents: DataFrame, *statuses: str) -> DataFrame:
 
 
 def reset_failed(documents: DataFrame, as_of: datetime.datetime, ids: DataFrame | None = None) -> DataFrame:
-    """Failed documents back to pending; no id table means all. `was_reset` marks them."""
-    chosen = F.col("status") == "failed"
+    """Failed documents back to pending; no id table, or an empty one, means all. `was_reset` marks them."""
+    chosen = F.coalesce(F.col("status") == "failed", F.lit(False))
     if ids is not None:
-        documents = documents.join(ids.select("doc_id").distinct().withColumn("_chosen", F.lit(True)), "doc_id", "left")
-        chosen = chosen & F.coalesce("_chosen", F.lit(False))
+        named = ids.select("doc_id").distinct()
+        documents = documents.join(named.withColumn("_chosen", F.lit(True)), "doc_id", "left")
+        everyone = named.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar() == 0
+        chosen = chosen & (F.coalesce("_chosen", F.lit(False)) | everyone)
     return (documents.withColumn("was_reset", chosen)
             .withColumn("status", F.when(F.col("was_reset"), "pending").otherwise(F.col("status")))
             .withColumn("error_msg", F.when(~F.col("was_reset"), F.col("error_msg")))

@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 from leafmill.functions import fixed_values as fv
 from leafmill.functions import text as tx
 
-MAX_CONSTANT_ALIASES = 500  # dictionary rows that may become a constant of the plan
 LEAD = 3  # characters of a needle used as the equi-join key of a substring join
 
 
-def substring_join(texts: DataFrame, text_col: str, needles: DataFrame, needle_col: str) -> DataFrame:
+def substring_join(texts: DataFrame, text_col: str, needles: DataFrame, needle_col: str, keys: list[str] | None = None) -> DataFrame:
     """Pairs where the text contains the needle, found by an equi-join.
 
     A needle of n characters is keyed by its first min(n, 3); a text offers
     every distinct run of one to three characters. The match is then verified.
+    With `keys`, which name a text, only they travel with the runs, and each text
+    joins its candidates once.
     """
     def runs(size: int) -> Column:  # every run, overlapping, in one pass over the text
         return F.regexp_extract_all(F.col(text_col), F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
     leads = F.array_distinct(F.concat(*[runs(n) for n in range(1, LEAD + 1)]))
     keyed = needles.filter(F.length(needle_col) > 0).withColumn("_lead", F.substring(needle_col, 1, LEAD))
+    if keys:
+        found = texts.select(*keys, F.explode(leads).alias("_lead")).join(keyed, "_lead").drop("_lead")
+        return texts.join(found, keys).filter(F.contains(F.col(text_col), F.col(needle_col)))
     return (texts.withColumn("_lead", F.explode(leads))
             .join(keyed, "_lead")
             .filter(F.contains(F.col(text_col), F.col(needle_col)))
@@ -34,7 +38,7 @@ def substring_join(texts: DataFrame, text_col: str, needles: DataFrame, needle_c
 def alias_rows(spark: SparkSession, table: DataFrame | None = None) -> DataFrame:
     """Built-in rows, then the table's rows, with the order that decides overrides.
 
-    `table` needs ord, canonical_name, alias, alias_type, language, boost.
+    `table` needs ord, canonical_name, alias, alias_type, language, boost (null: 1.0).
     """
     names = ["ord", "canonical_name", "alias", "alias_type", "language", "boost"]
     entries = [F.struct(*[F.lit(v).cast("long" if n == "ord" else "double" if n == "boost" else "string").alias(n)
@@ -44,7 +48,8 @@ def alias_rows(spark: SparkSession, table: DataFrame | None = None) -> DataFrame
     if table is not None:
         rows = rows.unionByName(table.select(*builtin.columns).withColumn("source", F.lit(1)))
     return rows.select(
-        F.struct("source", "ord").alias("place"), "canonical_name", "alias", "alias_type", "language", "boost",
+        F.struct("source", "ord").alias("place"), "canonical_name", "alias", "alias_type", "language",
+        F.coalesce("boost", F.lit(1.0)).alias("boost"),
         tx.normalise(F.col("alias")).alias("alias_norm"),
         tx.normalise(F.col("canonical_name")).alias("canonical_norm"),
     )
@@ -143,25 +148,21 @@ def keyword_array(terms: Column, hits: Column, limit: int = fv.MAX_KEYWORDS) ->
 
 
 def keyword_index(texts: DataFrame, keys: list[str], text_col: str, aliases: DataFrame | None = None,
-                  limit: int = fv.MAX_KEYWORDS, max_constant: int = MAX_CONSTANT_ALIASES) -> DataFrame:
+                  limit: int = fv.MAX_KEYWORDS) -> DataFrame:
     """One row per keyword of each text: `keys`, rank, keyword, type, weight.
 
-    A map-only job with the built-in dictionary, and with an alias table of at
-    most `max_constant` rows. A larger table is matched by an equi-join instead.
+    A map-only job with the built-in dictionary, whose rows are fixed. A table of
+    aliases, of whatever size, is matched by an equi-join.
     """
     normal = texts.select(*keys, tx.normalise(F.col(text_col)).alias("normal"))
-    rows = BUILTIN_ROWS
-    if aliases is not None:
-        usable = aliases.filter("alias_norm <> ''")
-        first = usable.orderBy("place").limit(max_constant + 1).collect()
-        rows = [(r["canonical_name"], r["alias"], r["alias_type"], r["boost"]) for r in first]
-    if len(rows) <= max_constant:
-        hits = normal.withColumn("hits", alias_hits(F.col("normal"), rows or BUILTIN_ROWS))
+    if aliases is None:
+        hits = normal.withColumn("hits", alias_hits(F.col("normal"), BUILTIN_ROWS))
     else:
+        usable = aliases.filter("alias_norm <> ''")
         entry = F.struct("place", "alias", "alias_norm", "canonical", "canonical_norm", "kind", "boost")
         needles = usable.select("place", "alias", "alias_norm", F.col("canonical_name").alias("canonical"),
                                 "canonical_norm", F.col("alias_type").alias("kind"), "boost")
-        found = (substring_join(normal, "normal", needles, "alias_norm")
+        found = (substring_join(normal, "normal", needles, "alias_norm", keys)
                  .groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("hits")))
         hits = normal.join(found, keys, "left").withColumn(
             "hits", F.coalesce("hits", F.array().cast(found.schema["hits"].dataType)))

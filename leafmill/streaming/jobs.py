@@ -20,13 +20,35 @@ FILES = ("path string, doc_id long, markdown string, "
 
 
 def new_documents(files: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Files whose content no known document has; of equal ones the smallest path."""
+    """Files to read: known paths with other content, and unknown paths with unknown content.
+
+    `known` holds (path, doc_id, hash, batch) of every batch so far; the latest row of
+    a path counts. A file that changed keeps the doc_id of its path. Of equal unknown
+    files the smallest path is read; of rows of one path that with the smallest hash.
+    """
     hashed = files.withColumn("hash", F.sha2("markdown", 256))
-    if known is not None:
-        hashed = hashed.join(known.select("hash").distinct(), "hash", "left_anti")
-    rest = [c for c in hashed.columns if c != "hash"]
-    first = hashed.groupBy("hash").agg(F.min("path").alias("path"))
-    return hashed.join(first, ["hash", "path"], "left_semi").select("hash", *rest)
+    one = hashed.groupBy("path").agg(F.min("hash").alias("hash"))
+    hashed = hashed.join(one, ["path", "hash"], "left_semi").dropDuplicates(["path"])
+    columns = ["hash", *[c for c in files.columns]]
+    if known is None:
+        return hashed.join(hashed.groupBy("hash").agg(F.min("path").alias("path")), ["hash", "path"], "left_semi").select(*columns)
+    latest = known.groupBy("path").agg(F.max_by(F.struct("doc_id", "hash"), "batch").alias("was"))
+    placed = hashed.join(latest, "path", "left")
+    changed = placed.filter(F.col("was.hash") != F.col("hash")).withColumn("doc_id", F.col("was.doc_id"))
+    fresh = placed.filter("was IS NULL").join(latest.select(F.col("was.hash").alias("hash")).distinct(), "hash", "left_anti")
+    fresh = fresh.join(fresh.groupBy("hash").agg(F.min("path").alias("path")), ["hash", "path"], "left_semi")
+    return changed.select(*columns).unionByName(fresh.select(*columns))
+
+
+def current_rows(spark: SparkSession, target: str, name: str) -> DataFrame:
+    """A table of the ingest as it stands: of each document the rows of its latest batch.
+
+    A changed file writes its document, blocks, chunks and keywords anew; what older
+    batches wrote of it is passed over.
+    """
+    last = spark.read.parquet(f"{target}/documents").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    rows = spark.read.parquet(f"{target}/{name}")
+    return rows.join(last, ["doc_id", "batch"], "left_semi").drop("batch")
 
 
 def ingest_tables(new: DataFrame) -> dict[str, DataFrame]:
@@ -53,7 +75,7 @@ def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str
         from leafmill.session import cut_lineage
         known = None
         if number > 0:
-            known = spark.read.schema("hash string, batch long").parquet(f"{target}/documents").filter(F.col("batch") < number)
+            known = spark.read.schema("path string, doc_id long, hash string, batch long").parquet(f"{target}/documents").filter(F.col("batch") < number)
         new = cut_lineage(new_documents(batch, known))
         for name, table in ingest_tables(new).items():
             table.write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")

@@ -4,11 +4,11 @@ import os
 
 import pytest
 
-import __spark_entry__ as entry
+import __spark_entry__  # noqa: F401  (registers the queries)
+from checks.registry import QUERIES, SQL
 from checks.compare import compare, duck
 
 FOLDER = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")

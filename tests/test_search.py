@@ -1,6 +1,7 @@
 import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators import access as ac
@@ -221,3 +222,13 @@ def test_lookup_and_lines(spark):
     assert [(r.word, r.entity_name) for r in found.orderBy("word_pos", "rank").collect()] == [("ake", "lake"), ("ake", "DataLake"), ("L", "DataLake")]
     near = spark.createDataFrame([("lake", "b", 2), ("lake", "a", 1)], "entity_name string, neighbour string, rank int")
     assert [r.line for r in gr.context_lines(found, near).collect()] == ["lake (TECH): related to a, b"]
+
+
+def test_chunk_keys_never_collide(spark):
+    from leafmill.operators.retrieval import chunk_key
+
+    rows = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (2**39 - 1, 2**24 - 1), (-1, 5)], "d long, i int")
+    assert rows.select(chunk_key(F.col("d"), F.col("i")).alias("k")).distinct().count() == 5
+    for wrong in ((2**40, 0), (1, 2**24)):
+        with pytest.raises(Exception, match="no chunk key"):
+            spark.createDataFrame([wrong], "d long, i int").select(chunk_key(F.col("d"), F.col("i"))).collect()

@@ -136,3 +136,18 @@ def test_quantiles_are_exact(spark):
         assert r.n == len(values)
         for name, p in (("half", 0.5), ("high", 0.95), ("low", 0.0)):
             assert abs(r[name] - np.quantile(values, p)) < 1e-9
+
+
+def test_quantiles_are_spread(spark):
+    """No window holds all rows of a step, and the values are exact."""
+    from leafmill.functions.ordered import quantiles
+
+    rows = spark.range(20000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("step"), (F.col("id") * 7919 % 20011 / 3.0).alias("ms"))
+    found = quantiles(rows, ["step"], "ms", {"p50": 0.5, "p95": 0.95})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(step#" not in plan
+    for r in found.collect():
+        want = sorted(x["ms"] for x in rows.filter(F.col("step") == r["step"]).collect())
+        at = 0.95 * (len(want) - 1)
+        low = int(at)
+        assert r["n"] == len(want) and abs(r["p95"] - (want[low] + (want[min(low + 1, len(want) - 1)] - want[low]) * (at - low))) < 1e-9

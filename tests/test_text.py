@@ -67,7 +67,6 @@ def test_keywords(spark):
 def test_alias_table_gives_the_same_keywords(spark):
     for text in ("Project Atlas의 적응증은 NSCLC이고 milestone", "비임상 시험 term sheet", "nothing here", "CMC cmc 타깃"):
         assert keywords(spark, text) == keywords(spark, text, tm.alias_rows(spark))
-        assert keywords(spark, text) == keywords(spark, text, tm.alias_rows(spark), max_constant=5)  # the equi-join
 
 
 def test_keyword_cap(spark):
@@ -252,3 +251,13 @@ def test_mentions(spark):
             if (name, kind) not in [w[:2] for w in want]:
                 want.append((name, kind, m.start()))
     assert [(m.entity_name, m.entity_type, m.start_char) for m in out] == want
+
+
+def test_cut_mark_inside_a_text(spark):
+    text = "one \uffff two \ufffe three\n\nfour \ufffe1 five"
+    assert one(spark, text, ck.structural_sections) == ["one \uffff two \ufffe three", "four \ufffe1 five"]
+
+
+def test_alias_without_boost_counts_one(spark):
+    table = spark.createDataFrame([(1, "Canon", "nickname", "x", "en", None)], "ord int, canonical_name string, alias string, alias_type string, language string, boost double")
+    assert ("nickname", 1.0, "x") in keywords(spark, "the nickname here", tm.alias_rows(spark, table))
