@@ -120,8 +120,15 @@ def g1(spark, sf):
 
 # --- the three searches ---------------------------------------------------------------
 
+INDEXES = {}
+
+
 def index(spark, sf):
-    return hy.SearchIndex.of_documents(s.docs(spark, sf))
+    """The search index of the documents: written once per session and folder, then read by every search."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in INDEXES:
+        INDEXES[key] = hy.SearchIndex.of_documents(s.docs(spark, sf))
+    return INDEXES[key]
 
 
 def queries(spark, sf, access=False):
@@ -220,17 +227,17 @@ def expanded(spark, sf):
 
 @query("g4_sparse_top_k", sql("sparse", body="SELECT * FROM sparse"))
 def g4a(spark, sf):
-    return ranked_long(rt.sparse_top_k(index(spark, sf).chunks, queries(spark, sf), rt.search_words(expanded(spark, sf))))
+    return ranked_long(rt.sparse_top_k(index(spark, sf).words, queries(spark, sf), rt.search_words(expanded(spark, sf))))
 
 
 @query("g4_sparse_any_word", sql("any_scores", body=f"SELECT *, {RANK.format(score='sparse_score')} FROM any_scores {top('sparse_score')}"))
 def g4b(spark, sf):
-    return ranked_long(rt.sparse_top_k(index(spark, sf).chunks, queries(spark, sf), rt.search_words(expanded(spark, sf)), match="any"))
+    return ranked_long(rt.sparse_top_k(index(spark, sf).words, queries(spark, sf), rt.search_words(expanded(spark, sf)), match="any"))
 
 
 @query("g4_sparse_under_access", sql("all_scores", "allowed", body=guarded("all_scores", "sparse_score")))
 def g4c(spark, sf):
-    return ranked_long(rt.sparse_top_k(index(spark, sf).chunks, queries(spark, sf, True), rt.search_words(expanded(spark, sf)), access=True))
+    return ranked_long(rt.sparse_top_k(index(spark, sf).words, queries(spark, sf, True), rt.search_words(expanded(spark, sf)), access=True))
 
 
 @query("g5_keyword_top_k", sql("keyword", body="SELECT * FROM keyword"))
@@ -262,7 +269,7 @@ def g7(spark, sf):
     with_vector = asked.withColumn("query_vector", vx.hash_embedding(F.col("query_text")))
     rows = rt.fuse_ranks({
         "dense": nn.dense_top_k(found.vectors, with_vector, fv.VECTOR_DIM),
-        "sparse": rt.sparse_top_k(found.chunks, asked, rt.search_words(forms)),
+        "sparse": rt.sparse_top_k(found.words, asked, rt.search_words(forms)),
         "keyword": rt.keyword_top_k(found.keywords, asked, forms)})
     return rows.withColumn("fused_rank", F.col("fused_rank").cast("long"))
 

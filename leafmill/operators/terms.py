@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -182,6 +184,43 @@ def postings(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
             .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
+@dataclass(frozen=True)
+class TermIndex:
+    """Stored postings (term, chunk_id, tf, size, and what the access rule reads), (term, df), and one row (n, mean_size)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    totals: DataFrame
+
+
+def counted_postings(chunks: DataFrame) -> DataFrame:
+    """(term, chunk_id, tf, size, dept_id, folder_id): counted inside each chunk's row, no shuffle."""
+    keys = [c for c in ("chunk_id", "dept_id", "folder_id") if c in chunks.columns]
+    words = chunks.select(*keys, F.array_sort(tx.index_tokens(F.col("content"))).alias("words"))
+    # in the sorted words a word's first place and the first place of the next word give its count
+    firsts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1))), lambda i: (i <= F.size("words")) & (
+        (i == 1) | (F.try_element_at("words", i) != F.try_element_at("words", F.greatest(i - 1, F.lit(1))))))
+    placed = words.withColumn("firsts", firsts)
+    ends = F.concat(F.slice("firsts", F.lit(2), F.greatest(F.size("firsts") - 1, F.lit(0))), F.array(F.size("words") + 1))
+    placed = placed.withColumn("tfs", F.zip_with("firsts", ends, lambda a, b: b - a))
+    rows = placed.select(*keys, F.size("words").alias("size"), F.explode(F.arrays_zip(
+        F.array_distinct("words").alias("term"), F.col("tfs").cast("array<long>").alias("tf"))).alias("p"))
+    return rows.select("p.term", *keys, "p.tf", "size")
+
+
+def term_index(chunks: DataFrame, store) -> TermIndex:
+    """The index of `chunks`; `store(df, name)` writes a table and gives it back as read.
+
+    Postings are sorted by term and chunk, ranges of which are files, so a reader skips
+    what it does not ask for and a frequent term is many files.
+    """
+    postings = store(counted_postings(chunks).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"), "postings")
+    terms = store(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
+    sizes = chunks.select(F.size(tx.index_tokens(F.col("content"))).alias("size"))
+    totals = store(sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_size")), "totals")
+    return TermIndex(postings, terms, totals)
+
+
 def term_frequencies(texts: DataFrame, text_col: str) -> DataFrame:
     """(term, df): in how many texts a term occurs; counted per task first."""
     return (texts.select(F.explode(F.array_distinct(tx.index_tokens(F.col(text_col)))).alias("term"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import fixed_values as fv
@@ -18,19 +18,33 @@ from leafmill.plans import indexing as ix
 
 @dataclass
 class SearchIndex:
-    """What a search reads. `chunks` carries dept_id and folder_id of its document."""
+    """The stored tables that a search reads. All but `documents` carry dept_id and folder_id where access is asked for."""
 
     documents: DataFrame
     chunks: DataFrame
     keywords: DataFrame
     vectors: DataFrame
+    words: tm.TermIndex
+
+    @classmethod
+    def of_tables(cls, documents: DataFrame, tables: dict[str, DataFrame]) -> SearchIndex:
+        return cls(documents, tables["chunks"], tables["keywords"], tables["vectors"],
+                   tm.TermIndex(tables["postings"], tables["terms"], tables["totals"]))
 
     @classmethod
     def of_documents(cls, documents: DataFrame, text_col: str = "text", **params) -> SearchIndex:
-        """Index documents that carry doc_id, text, file_name, type, status, dept_id, folder_id."""
+        """Index documents that carry doc_id, text, file_name, type, status, dept_id, folder_id, in the shared folder.
+
+        The tables are written once; searches only read them.
+        """
         ready = documents.filter("status = 'indexed'").select("doc_id", "dept_id", "folder_id", text_col)
-        chunks = ix.settled(ix.text_chunk_table(ready, text_col, ("dept_id", "folder_id"), **params))
-        return cls(documents, chunks, ix.keyword_table(chunks), ix.with_vectors(chunks))
+        chunks = ix.text_chunk_table(ready, text_col, ("dept_id", "folder_id"), **params)
+        return cls.of_tables(documents, ix.search_tables(chunks, lambda df, name: ix.settled(df)))
+
+    @classmethod
+    def read(cls, spark: SparkSession, folder: str, documents: DataFrame) -> SearchIndex:
+        """What `write_index` wrote."""
+        return cls.of_tables(documents, {n: spark.read.parquet(f"{folder}/{n}") for n in ix.SEARCHED})
 
 
 def hybrid_search(index: SearchIndex, queries: DataFrame, access: bool = False,
@@ -39,10 +53,11 @@ def hybrid_search(index: SearchIndex, queries: DataFrame, access: bool = False,
     spark = queries.sparkSession
     if "query_vector" not in queries.columns:
         queries = queries.withColumn("query_vector", vx.hash_embedding(F.col("query_text")))
+    queries = ix.settled(queries)  # vectors are made once, however many passes read them
     expanded = ix.settled(rt.expanded_queries(queries, aliases if aliases is not None else tm.alias_rows(spark)))
     branches = {
         "dense": nn.dense_top_k(index.vectors, queries, fv.VECTOR_DIM, limit, access=access),
-        "sparse": rt.sparse_top_k(index.chunks, queries, rt.search_words(expanded), limit, access=access),
+        "sparse": rt.sparse_top_k(index.words, queries, rt.search_words(expanded), limit, access=access),
         "keyword": rt.keyword_top_k(index.keywords, queries, expanded, limit, access=access),
     }
     fused = ix.settled(rt.fuse_ranks(branches))  # at most three branches of `limit` rows per query

@@ -54,16 +54,35 @@ def mention_table(docs: DataFrame, text_col: str = "text", **params) -> DataFram
     return gr.mentions(docs.select("doc_id", joined.alias("text")))
 
 
-def write_index(spark: SparkSession, docs: DataFrame, folder: str, **params) -> dict[str, DataFrame]:
-    """Write chunks, vectors, keywords, postings and mentions; every later table reads the written chunks."""
-    write_by_document(text_chunk_table(docs, **params), f"{folder}/chunks")
-    chunks = spark.read.parquet(f"{folder}/chunks")
-    write_by_document(with_vectors(chunks).select("chunk_id", "doc_id", "embedding"), f"{folder}/vectors")
-    write_by_document(keyword_table(chunks), f"{folder}/keywords")
-    posting_table(chunks).write.mode("overwrite").parquet(f"{folder}/postings")
-    write_by_document(mention_table(docs, **params), f"{folder}/mentions")
-    names = ["chunks", "vectors", "keywords", "postings", "mentions"]
-    return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+SEARCHED = ["chunks", "vectors", "keywords", "postings", "terms", "totals"]
+
+
+def search_tables(chunks: DataFrame, store) -> dict[str, DataFrame]:
+    """What a search reads, each table stored by `store(df, name)` and made from the stored chunks."""
+    rights = [c for c in ("dept_id", "folder_id") if c in chunks.columns]
+    chunks = store(chunks, "chunks")
+    vectors = store(with_vectors(chunks).select("chunk_id", "doc_id", *rights, "embedding"), "vectors")
+    keywords = store(keyword_table(chunks).repartitionByRange("normalized_keyword", "chunk_id").sortWithinPartitions("normalized_keyword", "chunk_id"), "keywords")
+    index = tm.term_index(chunks, store)
+    return dict(zip(SEARCHED, (chunks, vectors, keywords, index.postings, index.terms, index.totals)))
+
+
+def write_index(spark: SparkSession, docs: DataFrame, folder: str, text_col: str = "text", **params) -> dict[str, DataFrame]:
+    """Write chunks, vectors, keywords, postings, term counts and mentions; every later table reads the written chunks.
+
+    dept_id and folder_id of a document, if it has them, go with its chunks.
+    """
+    def store(df: DataFrame, name: str) -> DataFrame:
+        if name in ("chunks", "vectors"):
+            write_by_document(df, f"{folder}/{name}")
+        else:
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    carry = tuple(c for c in ("dept_id", "folder_id") if c in docs.columns)
+    tables = search_tables(text_chunk_table(docs, text_col, carry, **params), store)
+    write_by_document(mention_table(docs, text_col, **params), f"{folder}/mentions")
+    return {**tables, "mentions": spark.read.parquet(f"{folder}/mentions")}
 
 
 def settled(df: DataFrame) -> DataFrame:

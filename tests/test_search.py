@@ -9,6 +9,7 @@ from leafmill.operators import answers as an
 from leafmill.operators import graph as gr
 from leafmill.operators import nearest as nn
 from leafmill.operators import retrieval as rt
+from leafmill.operators import terms as tm
 from leafmill.functions import vectors as vx
 
 NOW = datetime.datetime(2024, 1, 1)
@@ -140,12 +141,13 @@ def test_sparse_matches_brute_force(spark):
         return sum(np.log(1 + (200 - df[w] + .5) / (df[w] + .5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (.25 + .75 * len(t) / mean))
                    for w in q if w in t)
 
+    index = tm.term_index(chunks, lambda df, name: df)
     for match, test in (("all", all), ("any", any)):
         want = set()
         for i, q in enumerate(asked):
             hits = [(round(bm25(q, t), 6), j) for j, t in enumerate(tokens) if test(w in t for w in q)]
             want |= {(i, j) for _, j in sorted(hits, key=lambda h: (-h[0], h[1]))[:10]}
-        got = {(r.query_id, r.chunk_id) for r in rt.sparse_top_k(chunks, queries, words, 10, match).collect()}
+        got = {(r.query_id, r.chunk_id) for r in rt.sparse_top_k(index, queries, words, 10, match).collect()}
         assert got == want
 
 
@@ -232,3 +234,25 @@ def test_chunk_keys_never_collide(spark):
     for wrong in ((2**40, 0), (1, 2**24)):
         with pytest.raises(Exception, match="no chunk key"):
             spark.createDataFrame([wrong], "d long, i int").select(chunk_key(F.col("d"), F.col("i"))).collect()
+
+
+def test_searches_read_no_text(spark, tmp_path):
+    """A written index is searched without tokenising, embedding or scanning texts, also where nothing is broadcast."""
+    from leafmill.plans import hybrid as hy
+    from leafmill.plans import indexing as ix
+
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 3} gamma{i}", f"f{i}", "txt", "indexed", "d", "f") for i in range(20)],
+                                 "doc_id long, text string, file_name string, type string, status string, dept_id string, folder_id string")
+    ix.write_index(spark, docs, str(tmp_path))
+    index = hy.SearchIndex.read(spark, str(tmp_path), docs)
+    queries = spark.createDataFrame([(1, "alpha beta1"), (2, "gamma7")], "query_id long, query_text string")
+    words = spark.createDataFrame([(1, ["alpha", "beta1"]), (2, ["gamma7"])], "query_id long, words array<string>")
+    for size in ("-1", "10m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        found = rt.sparse_top_k(index.words, queries, words)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "content" not in plan and "split(" not in plan
+        assert {(r.query_id, r.chunk_id >> 24) for r in found.collect()} == {(1, i) for i in range(20) if i % 3 == 1} | {(2, 7)}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    hits = hy.hybrid_search(index, queries)
+    assert hits.filter("query_id = 2").orderBy(F.desc("final_score")).first().doc_id == 7
