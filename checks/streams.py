@@ -148,7 +148,7 @@ def halves(events):
 STAGES = """
   SELECT v.user_id AS trace_id, 'order' AS stage, v.ts AS started_at, v.event_id AS start_ord, p.ts AS ended_at, p.event_id AS end_ord, p.event_type AS outcome
   FROM events v {how} JOIN events p ON p.event_type = 'purchase' AND p.user_id = v.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 1 DAY
-  WHERE v.event_type = 'view'"""
+  WHERE v.event_type = 'view' QUALIFY row_number() OVER (PARTITION BY v.event_id ORDER BY p.ts, p.event_id) = 1"""
 
 
 @query("k3_stage_durations", STAGES.format(how="LEFT"))
@@ -158,10 +158,10 @@ def k3a(spark, sf):
 
 @query("k3_streamed_stage_durations", STAGES.format(how="INNER"))
 def k3b(spark, sf):
-    """Pairs from the stream; starts without an end wait for the watermark and are left out here."""
+    """The first end of each start, from what the stream has written; starts without an end wait for the watermark and are left out here."""
     starts, _ = halves(event_stream(spark, sf))
     _, ends = halves(event_stream(spark, sf))
-    return ntz(through_stream(jb.stage_durations(starts, ends)).filter("ended_at IS NOT NULL"), "started_at", "ended_at")
+    return ntz(jb.nearest_ends(through_stream(jb.stage_pairs(starts, ends))), "started_at", "ended_at")
 
 
 # --- K4 ---------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from leafmill.operators import logs as lg
 from leafmill.operators import sync as sy
 from leafmill.session import shared_dir
 from leafmill.sources import files as fl
+from leafmill.sources import tables as tb
 
 
 @query("a2_content_hash", "SELECT page_id, sha256(html) AS hash, length(html) AS size FROM pages")
@@ -205,6 +206,17 @@ def a6(spark, sf):
     return sy.replace_by_document(base, new, processed).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
+@query("a6_replaced_in_a_stored_table", """
+  SELECT doc_id, CASE WHEN lang = 'es' THEN lower(text) ELSE text END AS text FROM documents WHERE lang <> 'de'""")
+def a6b(spark, sf):
+    """The same in a table on disk, read back: Spanish documents replaced, German ones gone."""
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    docs = t(spark, sf, "documents")
+    tb.write_by_document(docs.select("doc_id", "text"), path, 8)
+    tb.replace_documents(spark, path, docs.filter("lang = 'es'").select("doc_id", F.lower("text").alias("text")), docs.filter("lang IN ('es', 'de')"))
+    return spark.read.parquet(path).drop("doc_bucket")
+
+
 @query("a7_log_rows", """
   SELECT doc_id, substr(text, 1, 2000) AS message, CASE WHEN lang <> 'en' THEN
     json_object('error_type', lang, 'error_message', substr(source, 1, 1000), 'traceback', right(hash, 2000))::VARCHAR END AS details

@@ -52,13 +52,15 @@ def document_base(documents: DataFrame, departments: DataFrame, roles: DataFrame
     """Documents with department, role and folder names and a count per part table.
 
     Every part is counted before it meets the documents, so no join multiplies rows.
+    Counts come first: all their joins share one shuffle on the document, and names,
+    whose keys have few values, then join rows that are spread by document.
     """
-    rows = (documents.join(departments.select("dept_id", "dept_name"), "dept_id", "left")
-            .join(roles.select("role_id", "role_name"), "role_id", "left")
-            .join(folders.select("folder_id", "folder_name"), "folder_id", "left"))
+    rows = documents
     for name, part in parts.items():
         counts = part.groupBy("doc_id").agg(F.count("*").alias(f"{name}_count"))
         rows = rows.join(counts, "doc_id", "left").withColumn(f"{name}_count", _number(F.col(f"{name}_count")))
+    for table, key, label in ((departments, "dept_id", "dept_name"), (roles, "role_id", "role_name"), (folders, "folder_id", "folder_name")):
+        rows = rows.join(table.select(key, label), key, "left")
     return rows
 
 

@@ -98,11 +98,12 @@ def windowed_module_stats(events: DataFrame, size: str = "1 day", slide: str | N
 
 # --- stage durations ---------------------------------------------------------
 
-def stage_durations(starts: DataFrame, ends: DataFrame, within: str = "1 day", watermark: str = "1 hour") -> DataFrame:
-    """Starts left-joined with the ends of the same (trace, stage) inside a time range.
+def stage_pairs(starts: DataFrame, ends: DataFrame, within: str = "1 day", watermark: str = "1 hour") -> DataFrame:
+    """Starts left-joined with all ends of the same (trace, stage) inside a time range.
 
     Both inputs need trace_id, stage, ts, ord; ends also event_type. On streams
     a start without an end is given out once the watermark has passed its range.
+    `nearest_ends` then keeps one end per start.
     """
     if starts.isStreaming:
         starts, ends = starts.withWatermark("ts", watermark), ends.withWatermark("ts", watermark)
@@ -115,6 +116,30 @@ def stage_durations(starts: DataFrame, ends: DataFrame, within: str = "1 day", w
     return s.join(e, same, "left").drop("_trace", "_stage")
 
 
+def nearest_ends(pairs: DataFrame) -> DataFrame:
+    """Of each start's ends the first: what a stream has written, read as a table."""
+    first = F.min(F.struct("ended_at", "end_ord", "outcome")).alias("e")
+    kept = pairs.filter("ended_at IS NOT NULL").groupBy("trace_id", "stage", "started_at", "start_ord").agg(first)
+    return kept.select("trace_id", "stage", "started_at", "start_ord", "e.*")
+
+
+def stage_durations(starts: DataFrame, ends: DataFrame, within: str = "1 day") -> DataFrame:
+    """Each start with the first end of its (trace, stage) at or after it, if that lies within the range.
+
+    Rows are put in order day by day, so no start meets more than one end and a busy
+    trace is many tasks.
+    """
+    s = starts.select("trace_id", "stage", "ts", F.lit(0).alias("kind"), "ord", F.lit(None).cast("string").alias("event_type"))
+    e = ends.select("trace_id", "stage", "ts", F.lit(1).alias("kind"), "ord", "event_type")
+    rows = s.unionByName(e).withColumn("_day", F.to_date("ts"))
+    end = F.when(F.col("kind") == 1, F.struct("ts", "ord", "event_type"))
+    found = nearest_in_order(rows, ["trace_id", "stage"], ["ts", "kind", "ord"], "_day", end, after="_end").filter("kind = 0")
+    near = F.when(F.col("_end.ts") <= F.col("ts") + F.expr(f"INTERVAL {within}"), F.col("_end"))
+    return found.withColumn("_end", near).select(
+        "trace_id", "stage", F.col("ts").alias("started_at"), F.col("ord").alias("start_ord"), F.col("_end.ts").alias("ended_at"),
+        F.col("_end.ord").alias("end_ord"), F.col("_end.event_type").alias("outcome"))
+
+
 # --- lockout after failed sign-ins --------------------------------------------
 
 LOCK_ROWS = "user_id long, ts timestamp, ord long, outcome string, failures int, locked_until timestamp"

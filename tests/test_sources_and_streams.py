@@ -46,7 +46,7 @@ def test_replace_documents(spark, tmp_path):
     tb.write_by_document(base, path, 4)
     new = spark.createDataFrame([(3, "new3"), (3, "new3b"), (99, "new99")], "doc_id long, v string")
     processed = spark.createDataFrame([(3,), (4,), (99,)], "doc_id long")
-    tb.replace_documents(spark, path, new, processed, 4)
+    tb.replace_documents(spark, path, new, processed)
     got = sorted((r.doc_id, r.v) for r in spark.read.parquet(path).collect())
     want = sorted([(i, f"old{i}") for i in range(20) if i not in (3, 4)] + [(3, "new3"), (3, "new3b"), (99, "new99")])
     assert got == want
@@ -56,7 +56,7 @@ def test_replace_can_empty_a_bucket(spark, tmp_path):
     path = str(tmp_path / "t")
     tb.write_by_document(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, v string"), path, 1)
     none = spark.createDataFrame([], "doc_id long, v string")
-    tb.replace_documents(spark, path, none, spark.createDataFrame([(1,), (2,)], "doc_id long"), 1)
+    tb.replace_documents(spark, path, none, spark.createDataFrame([(1,), (2,)], "doc_id long"))
     assert spark.read.schema("doc_id long, v string").parquet(path).count() == 0
 
 
