@@ -1,4 +1,4 @@
-"""Personal data replaced by format-preserving Feistel pseudonyms.
+"""Personal data and named secrets replaced by format-preserving Feistel pseudonyms.
 
 A value found and validated (Luhn, IBAN check, octets, calendar, number plan) becomes
 another valid value of its own format: x -> P^-1(P(x) + 1), where P is a keyed Feistel
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 #: Key used when the caller names none; a deployment passes its own.
 TEST_KEY = b"leafmill-test-key"
-KINDS = ("email", "phone", "ip", "card", "iban", "ssn", "date")
+KINDS = ("secret", "email", "phone", "ip", "card", "iban", "ssn", "date")
 _ROUNDS = 8
 _LATIN = "".join(chr(c) for c in range(0xE0, 0x100) if c != 0xF7)
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", _LATIN, _LATIN[:-1].upper())
@@ -83,6 +83,16 @@ def _letters(value: str, key: bytes, kind: bytes, back: bool) -> str:
     return "".join(reversed(out))
 
 
+def _secret(m, key, back):
+    """The value after the name of a secret, or after the fixed letters of an access key; hex stays hex."""
+    head = "AKIA" if m.startswith("AKIA") else re.match(r"\w+\W+", m)[0]
+    value = m[len(head):]
+    if not re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
+        return head + _letters(value, key, b"secret", back)
+    made = permute(int(value, 16), 16 ** len(value), key, b"hex%d" % len(value), back)
+    return head + f"{made:0{len(value)}{'x' if value == value.lower() else 'X'}}"
+
+
 def _email(m, key, back):
     local, _, host = m.partition("@")
     return _letters(local, key, b"email", back) + "@" + host
@@ -151,7 +161,8 @@ def _date(m, key, back):
     return None
 
 
-_CHANGE = {"email": _email, "phone": _phone, "ip": _ip, "card": _card, "iban": _iban, "ssn": _ssn, "date": _date}
+_CHANGE = {"secret": _secret, "email": _email, "phone": _phone, "ip": _ip, "card": _card, "iban": _iban, "ssn": _ssn, "date": _date}
+_SECRET = re.compile(r"(?P<secret>(?<!\w)AKIA[0-9A-Z]{16}(?!\w)|(?<![^\W_])(?:pass(?:word|wd|phrase)|secret|token|api_?key|access_?key)\W{0,8}[=:]\W{0,8}(?=\w*\d)\w{8,})", re.ASCII | re.I)
 _EMAIL = re.compile(r"(?P<email>(?<![\w.%+-])\w(?:[\w.%+-]*\w)?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?!\w))")
 _NUMBER = re.compile(
     r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
@@ -174,6 +185,8 @@ def pseudonymise(text: str, key: bytes = TEST_KEY, back: bool = False) -> tuple[
         counts[kind] = counts.get(kind, 0) + 1
         return made
 
+    if "AKIA" in text or "=" in text or ":" in text:
+        text = _SECRET.sub(change, text)
     if "@" in text:
         text = _EMAIL.sub(change, text)
     if _DIGITS.search(text):
