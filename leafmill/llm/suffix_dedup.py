@@ -27,6 +27,8 @@ from leafmill.session import cut_lineage
 SIZE, GRAM = 400, 64
 #: Bytes of text that one suffix array holds; window starts of one text that are handled together.
 SHARD_BYTES, PIECE = 1_500_000, 1_500_000
+#: A kind of block with more rows than this, and more than one in so many of all blocks, is hot.
+HOT_ROWS, HOT_KINDS = 1000, 1000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _PLACE_BITS = 23
@@ -259,8 +261,12 @@ def repeated_ranges(documents: DataFrame, size: int = SIZE, gram: int = GRAM, sh
     merged = sharded.filter("range IS NOT NULL").select("h", "range", "part", "keys", "who").groupBy("h", "range").applyInArrow(
         merge, "h long, s long, off long, n long, runs array<struct<from:long,to:long>>")
     local = sharded.filter("range IS NULL").select(*_SPAN, "runs")
-    decided = copied.unionByName(local).unionByName(merged).groupBy(*_SPAN).agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    hits = found.join(decided, _SPAN).select("id", "tag", F.explode("runs").alias("r"), "start")
+    decided = cut_lineage(copied.unionByName(local).unionByName(merged).groupBy(*_SPAN).agg(F.flatten(F.collect_list("runs")).alias("runs")))
+    # blocks that hold more than a thousandth of all rows each, so fewer than a thousand kinds, meet their decision by broadcast
+    hot = F.broadcast(kinds.filter(F.col("c") > max(HOT_ROWS, found.count() // HOT_KINDS)).select(*_SPAN))
+    often = found.join(hot, _SPAN, "left_semi").join(F.broadcast(decided.join(hot, _SPAN, "left_semi")), _SPAN)
+    rarely = found.join(hot, _SPAN, "left_anti").join(decided, _SPAN)
+    hits = often.unionByName(rarely).select("id", "tag", F.explode("runs").alias("r"), "start")
     return hits.groupBy("id", "tag").agg(F.sort_array(F.collect_set(F.struct(
         (F.col("start") + F.col("r.from")).alias("from"), (F.col("start") + F.col("r.to") - 1 + size).alias("to")))).alias("ranges"))
 
