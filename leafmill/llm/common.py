@@ -139,3 +139,34 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     for j in range(n):
         out = out * _BASE + hashes[j:len(hashes) - n + 1 + j]
     return mix(out)
+
+
+#: Bits of a table of ids that tasks get before a join on them: 4 MB, however many ids there are.
+ID_BITS = 1 << 25
+
+
+def rows_of(documents: DataFrame, ids: DataFrame, ident: str) -> DataFrame:
+    """`documents` less most rows whose id is not in `ids`, before anything is shuffled; a join must follow.
+
+    One bit per hash of an id, in a table of fixed size; the more ids, the more other rows pass.
+    """
+    place = F.pmod(F.xxhash64(ident), F.lit(ID_BITS))
+    size = ID_BITS // 64
+
+    def pack(table: pa.Table) -> pa.Table:
+        flags = np.zeros(size, bool)
+        flags[table["place"].to_numpy() % size] = True
+        return pa.table({"part": table["part"][:1], "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+
+    places = ids.select(place.alias("place")).distinct().withColumn("part", F.floor(F.col("place") / size).cast("int"))
+    parts = {r["part"]: r["bits"] for r in places.groupBy("part").applyInArrow(pack, "part int, bits binary").collect()}
+    bits = np.frombuffer(b"".join(bytes(parts.get(k, bytes(size // 8))) for k in range(64)), np.uint8)
+    shared = documents.sparkSession.sparkContext.broadcast(bits)
+
+    def keep(batches):
+        held = shared.value
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            yield batch.filter(pa.array((held[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))).drop_columns(["_place"])
+
+    return documents.withColumn("_place", place).mapInArrow(keep, documents.schema)

@@ -18,7 +18,11 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = cut_lineage(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    before = None
+
+    def mark() -> tuple:
+        return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    before = mark()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -27,7 +31,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
                                                                 F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = cut_lineage(small.filter("a <> b").distinct())
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        now = mark()
         if now == before:
             break
         before = now

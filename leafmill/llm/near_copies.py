@@ -1,13 +1,16 @@
 """N-gram Jaccard join: size-banded tiles, bitmap signatures, exact intersection of sorted arrays.
 
 1. Each text becomes its sorted set of hashed shingles; equal sets are one class.
-2. Classes that share a least hash are compared with the first of them (a star). That
-   joins most copies at a linear number of comparisons.
-3. Two sets that link share a shingle among the first n - ceil(t n) + 1 of each, in any
+2. Two sets that link share a shingle among the first n - ceil(t n) + 1 of each, in any
    one order. The order puts frequent shingles last, by counts over all documents. So
-   classes meet under the shingles of that prefix, and only classes of different
-   components are still compared: within a tile of one shingle and one band of sizes,
-   by bitmaps first (differing bits bound the overlap from above), then exactly.
+   classes meet under the shingles of that prefix. In a tile of one shingle (and one
+   band of sizes, if many hold it) bitmaps bound each overlap from above; what passes
+   joins two classes to a cluster, and a tile of g classes gives g - 1 rows at most.
+3. Every link lies within a cluster. The texts of a cluster go to one task, which
+   intersects the sorted arrays of pairs that are not yet connected.
+4. A cluster too large for a task is dealt by two hashes in turn, and what the parts of
+   both have connected is one; only pairs across what is left apart are then listed, tile
+   by tile, and intersected one by one.
 """
 
 from __future__ import annotations
@@ -17,15 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import grams, hash_words, mix, slices
+from leafmill.llm.common import grams, hash_words, mix, rows_of, slices
 from leafmill.llm.components import components
 from leafmill.session import cut_lineage
 
 SHINGLE, PERCENT = 5, 80
-#: Counters of the frequency table (fixed, whatever the corpus), least hashes per set, bits of a signature.
-COUNTERS, STARS, BITS = 1 << 20, 4, 512
+#: Counters of the frequency table (fixed, whatever the corpus), bits of the smallest signature.
+COUNTERS, BITS = 1 << 20, 256
 #: Shingles a task holds before it passes them on; members of a star that one task compares; rows of a tile compared at once.
 HELD, STAR_PART, BLOCK = 3_000_000, 256, 512
+#: Classes under one shingle from which it is dealt by bands of sizes; members and shingles of a cluster that one task compares.
+MANY, CLUSTER, CLUSTER_SHINGLES = 2000, 4000, 6_000_000
 _U = np.uint64
 
 
@@ -65,11 +70,40 @@ def set_ids(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def signatures(values: np.ndarray, counts: np.ndarray) -> list[bytes]:
-    """Bitmaps of parities: two sets differ in at least as many shingles as their bitmaps in bits."""
-    place = np.repeat(np.arange(len(counts)), counts) * BITS + (values >> _U(20)).astype(np.int64) % BITS
-    odd = (np.bincount(place, minlength=len(counts) * BITS) & 1).astype(np.uint8)
-    packed = np.packbits(odd.reshape(len(counts), BITS), axis=1)
-    return [row.tobytes() for row in packed]
+    """Bitmaps of parities: two sets differ in at least as many shingles as their bitmaps in bits.
+
+    A bitmap has about as many bits as the set has members, the nearest power of two, and
+    BITS at least; a wider one folds to a narrower by xor of its halves.
+    """
+    width = np.maximum(BITS, 1 << np.rint(np.log2(np.maximum(1, counts))).astype(np.int64))
+    ends = np.cumsum(width)
+    place = np.repeat(ends - width, counts) + (values >> _U(20)).astype(np.int64) % np.repeat(width, counts)
+    odd = np.packbits((np.bincount(place, minlength=int(ends[-1]) if len(ends) else 0) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [odd[(e - w) // 8:e // 8] for e, w in zip(ends.tolist(), width.tolist())]
+
+
+class Bitmaps:
+    """Signatures of a group; a pair is compared at the width of the narrower one."""
+
+    def __init__(self, raw: list[bytes]):
+        self.raw, self.width, self.at = raw, np.array([len(b) for b in raw], np.int64), {}
+
+    def _rows(self, which: np.ndarray, width: int) -> np.ndarray:
+        if width not in self.at:  # sets that may link differ in width by a factor of two at most
+            mine = np.flatnonzero((self.width == width) | (self.width == 2 * width))
+            place = np.full(len(self.raw), -1)
+            place[mine] = np.arange(len(mine))
+            self.at[width] = place, np.stack([np.bitwise_xor.reduce(np.frombuffer(self.raw[k], np.uint64).reshape(-1, width // 8), axis=0) for k in mine])
+        place, rows = self.at[width]
+        return rows[place[which]]
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """For each pair how many bits differ: no more than shingles do."""
+        width, out = np.minimum(self.width[i], self.width[j]), np.zeros(len(i), np.int64)
+        for w in np.unique(width).tolist():
+            m = width == w
+            out[m] = np.bitwise_count(self._rows(i[m], w) ^ self._rows(j[m], w)).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -77,9 +111,9 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _describe(documents: DataFrame, n: int, ident: str, text: str) -> DataFrame:
-    """A row per document (id, n, set, least hashes, bitmap) and, per task, rows of the frequency table (part, counts)."""
+    """A row per document (id, n, set, bitmap) and, per task, rows of the frequency table (part, counts)."""
     kind = dict(documents.dtypes)[ident]
-    names = [ident, "n", "set", "mins", "bits", "part", "counts"]
+    names = [ident, "n", "set", "bits", "part", "counts"]
     id_type = pa.int64() if kind == "bigint" else None
 
     def run(batches):
@@ -87,17 +121,16 @@ def _describe(documents: DataFrame, n: int, ident: str, text: str) -> DataFrame:
         for rows, texts in slices(batches, text):
             values, counts = shingle_sets(texts, n)
             table += np.bincount((values >> _U(44)).astype(np.int64), minlength=COUNTERS)
-            mins = np.column_stack([_each(mix(values ^ _U(k * 0x9E3779B97F4A7C15 % 2**64)), counts, np.minimum, 0) for k in range(1, STARS + 1)])
             none = pa.nulls(len(texts))
-            yield pa.RecordBatch.from_arrays([rows.column(0), _long(counts), _long(set_ids(values, counts)), pa.array(list(mins.view(np.int64)), pa.list_(pa.int64())),
+            yield pa.RecordBatch.from_arrays([rows.column(0), _long(counts), _long(set_ids(values, counts)),
                                               pa.array(signatures(values, counts), pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names)
         parts = np.array_split(table.astype(np.uint32), 64)
         some = [k for k, p in enumerate(parts) if p.any()]
         none = pa.nulls(len(some))
-        yield pa.RecordBatch.from_arrays([none.cast(id_type or rows.schema.field(0).type), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.list_(pa.int64())), none.cast(pa.binary()),
+        yield pa.RecordBatch.from_arrays([none.cast(id_type or rows.schema.field(0).type), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()),
                                           pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], names)
 
-    return documents.select(ident, text).mapInArrow(run, f"{ident} {kind}, n long, set long, mins array<long>, bits binary, part int, counts binary")
+    return documents.select(ident, text).mapInArrow(run, f"{ident} {kind}, n long, set long, bits binary, part int, counts binary")
 
 
 def _classes(described: DataFrame) -> np.ndarray:
@@ -116,7 +149,7 @@ def _classes(described: DataFrame) -> np.ndarray:
 
 
 def _prefixes(documents: DataFrame, classes, n: int, percent: int, buckets: int, text: str) -> DataFrame:
-    """(key, set) for every prefix shingle that two classes or more hold."""
+    """(key, set, held) for every prefix shingle that `held` classes, two or more, hold."""
     def emit(keys, sets):
         keys, sets = np.concatenate(keys), np.concatenate(sets)
         bucket = (keys % _U(buckets)).astype(np.int64)
@@ -159,9 +192,11 @@ def _prefixes(documents: DataFrame, classes, n: int, percent: int, buckets: int,
         keys, sets = keys[new], sets[new]
         same = keys[1:] == keys[:-1]
         many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        return pa.table({"key": keys[many].view(np.int64), "set": sets[many]})
+        first = np.flatnonzero(np.concatenate(([True], ~same)))
+        held = np.repeat(np.diff(np.append(first, len(keys))), np.diff(np.append(first, len(keys))))
+        return pa.table({"key": keys[many].view(np.int64), "set": sets[many], "held": held[many]})
 
-    return documents.select(text).mapInArrow(run, "bucket int, keys binary, sets binary").groupBy("bucket").applyInArrow(shared, "key long, set long")
+    return documents.select(text).mapInArrow(run, "bucket int, keys binary, sets binary").groupBy("bucket").applyInArrow(shared, "key long, set long, held long")
 
 
 def links_among(pairs: DataFrame, texts: DataFrame, n: int, percent: int, text: str) -> DataFrame:
@@ -191,7 +226,7 @@ def links_among(pairs: DataFrame, texts: DataFrame, n: int, percent: int, text:
                 if turn[i] == 0:
                     centre, own = a[i], mine
                 elif a[i] == centre and 100 * min(len(own), len(mine)) >= percent * max(len(own), len(mine)):
-                    both = len(np.intersect1d(own, mine, assume_unique=True))
+                    both = _common(own, mine)
                     if 100 * both >= percent * (len(own) + len(mine) - both):
                         found.append((a[i], ids[i]))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
@@ -199,18 +234,37 @@ def links_among(pairs: DataFrame, texts: DataFrame, n: int, percent: int, text:
     return sorted_rows.mapInArrow(run, "a long, b long")
 
 
-def _tiles(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes within each tile that sizes and bitmaps let pass; `rows` are (key, set, n, label, bits)."""
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Members of both sorted arrays."""
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    return int((a[at] == b).sum()) if len(a) else 0
+
+
+def _root(parent: dict, x):
+    while parent.setdefault(x, x) != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def _tiles(rows: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs (a, b) of classes that sizes and bitmaps let pass in a tile; `rows` are (key, set, held, n, label, bits).
+
+    `every`: all pairs of different labels; else one row for each class that a tile joins to another, no more.
+    A shingle that many classes hold is dealt by bands of sizes; each band also sees the one below.
+    """
     step = float(np.log(100 / percent)) if percent < 100 else 1.0
     banded = rows.withColumn("band", F.floor(F.log("n") / step).cast("long"))
-    twice = banded.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("tile", F.col("band") + F.col("up"))
+    many = F.col("held") > MANY
+    twice = banded.withColumn("up", F.explode(F.when(many, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    tiled = twice.withColumn("tile", F.when(many, F.col("band") + F.col("up")).otherwise(F.lit(0)))
     count = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # a tile beyond a block is split: own rows are dealt over parts, and every part sees the rows it is compared with in order
-    dealt = twice.select("key", "tile", "up", "set", "n", "label", "bits").repartition(count, "key", "tile").sortWithinPartitions("key", "tile", "n", "set")
+    dealt = tiled.select("key", "tile", "up", "set", "n", "label", "bits").repartition(count, "key", "tile").sortWithinPartitions("key", "tile", "n", "set")
 
     def pairs_of(group):
-        ids, size, label, up, bits = (np.concatenate([g[i] for g in group]) for i in range(5))
-        out = []
+        ids, size, label, up = (np.concatenate([g[i] for g in group]) for i in range(4))
+        bits, out = None, []
         for at in range(0, len(ids), BLOCK):
             own = np.arange(at, min(at + BLOCK, len(ids)))
             for from_ in range(0, at + 1, BLOCK):
@@ -219,40 +273,120 @@ def _tiles(rows: DataFrame, percent: int) -> DataFrame:
                                   & (up[own][:, None] + up[other][None, :] < 2)
                                   & (100 * size[other][None, :] >= percent * size[own][:, None]))
                 if len(i):
+                    bits = Bitmaps([b for g in group for b in g[4]]) if bits is None else bits
                     i, j = own[i], other[j]
-                    differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-                    most = (size[i] + size[j] - differ) // 2  # the overlap is at most this
-                    fits = 100 * most >= percent * (size[i] + size[j] - most)
+                    fits = _fit(bits.differ(i, j), size[i], size[j], percent)
                     out.append((ids[i[fits]], ids[j[fits]]))
         return out
 
     def run(batches):
-        group, now = [], None
+        group, now, parent = [], None, {}
+
+        def told(found):
+            """The pairs, or those that join two of this task's clusters."""
+            a, b = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            if every:
+                both = np.unique(np.column_stack([a, b]), axis=0)
+            else:
+                both = []
+                for x, y in zip(a.tolist(), b.tolist()):
+                    p, q = _root(parent, x), _root(parent, y)
+                    if p != q:
+                        parent[q] = p
+                        both.append((x, y))
+                both = np.array(both, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, tile = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            bits = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            bits = batch.column(6).to_pylist()
             columns = (batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_numpy(), batch.column(2).to_numpy(), bits)
             edges = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1, [len(key)]))
-            a, b = [], []
+            found = []
             for s, e in zip(edges[:-1], edges[1:]):
                 if now != (key[s], tile[s]) and group:
-                    for x, y in pairs_of(group):
-                        a.append(x)
-                        b.append(y)
+                    found += pairs_of(group)
                     group = []
                 now = (key[s], tile[s])
                 group.append(tuple(c[s:e] for c in columns))
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-        for x, y in pairs_of(group) if group else []:
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            yield told(found)
+        if group:
+            yield told(pairs_of(group))
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _fit(differ: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether bitmaps leave room for a link: the overlap is at most (n + m - differing bits) / 2."""
+    most = (n + m - differ) // 2
+    return 100 * most >= percent * (n + m - most)
+
+
+def _links(sets: list[np.ndarray], marks: list[bytes], ids: list[int], labels: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links that connect classes (sorted arrays and bitmaps) of different labels: each pair is looked at unless it is connected already."""
+    size = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    counts = size[order]
+    bits = Bitmaps([marks[k] for k in order])
+    _, label = np.unique(np.array(labels)[order], return_inverse=True)
+    found = []
+    for i in range(1, len(order)):
+        open_ = np.flatnonzero((label[:i] != label[i]) & (100 * counts[:i] >= percent * counts[i]))
+        if not len(open_):
+            continue
+        differ = bits.differ(open_, np.full(len(open_), i))
+        fits = _fit(differ, counts[open_], counts[i], percent)
+        open_, differ = open_[fits], differ[fits]
+        for j in open_[np.argsort(differ, kind="stable")].tolist():  # the likeliest first
+            if label[j] == label[i]:
+                continue
+            both = _common(sets[order[i]], sets[order[j]])
+            if 100 * both >= percent * (counts[i] + counts[j] - both):
+                found.append((ids[order[j]], ids[order[i]]))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def dealt(members: DataFrame, salt: int) -> DataFrame:
+    """`members` (set, cluster, n) with `part`: the part of its cluster, which a task can hold."""
+    sizes = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CLUSTER, F.sum("n") / CLUSTER_SHINGLES)).alias("parts"))
+    return members.join(sizes, "cluster").withColumn("part", F.pmod(F.xxhash64("set", F.lit(salt)), "parts")).drop("parts")
+
+
+def links_within(members: DataFrame, n: int, percent: int, text: str) -> DataFrame:
+    """Links (a, b) that connect the members (cluster, part, set, label, text) of each part of a cluster."""
+    count = max(members.sparkSession.sparkContext.defaultParallelism, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = members.select("cluster", "part", "set", "label", text).repartition(count, "cluster", "part").sortWithinPartitions("cluster", "part", "set")
+
+    def run(batches):
+        now, sets, marks, ids, labels = None, [], [], [], []
+
+        def told():
+            found = _links(sets, marks, ids, labels, percent) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+        for batch, raw in slices(batches, text):
+            values, counts = shingle_sets(raw, n)
+            ends = np.cumsum(counts)
+            bits = signatures(values, counts)
+            place = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("cluster", "part", "set", "label")]
+            for i, (cluster, part, name, label) in enumerate(zip(*place)):
+                if now != (cluster, part):
+                    yield told()
+                    now, sets, marks, ids, labels = (cluster, part), [], [], [], []
+                if not ids or ids[-1] != name:  # two alike rows bring a set twice
+                    sets.append(values[ends[i] - counts[i]:ends[i]].copy())
+                    marks.append(bits[i])
+                    ids.append(name)
+                    labels.append(label)
+        yield told()
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def near_copies(documents: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document.
 
@@ -266,32 +400,54 @@ def near_copies(documents: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
     described = cut_lineage(_describe(documents, n, ident, text))
     docs = described.filter("part IS NULL")
     classes = spark.sparkContext.broadcast(_classes(described))
-    sets = cut_lineage(docs.filter("n > 0").groupBy("set").agg(F.min(ident).alias("first"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("bits").alias("bits")))
-    keyed = sets.select("set", "n", F.posexplode("mins").alias("star", "least"))
-    centre = keyed.groupBy("star", "least").agg(F.min("set").alias("a"), F.count(F.lit(1)).alias("held")).filter("held > 1")
-    stars = cut_lineage(keyed.join(centre, ["star", "least"]).filter("set <> a").select("a", F.col("set").alias("b")).distinct())
+    sets = cut_lineage(docs.filter("n > 0").groupBy("set").agg(F.min(ident).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     shared = cut_lineage(_prefixes(documents, classes, n, percent, buckets, text))
-    wanted = shared.select("set").unionByName(stars.select(F.explode(F.array("a", "b")).alias("set"))).distinct()
-    firsts = sets.join(wanted, "set", "left_semi").select("set", F.col("first").alias(ident))
-
-    def same_set(batches):
-        for batch, raw in slices(batches, text):
-            values, counts = shingle_sets(raw, n)
-            fits = set_ids(values, counts) == batch.column(batch.schema.get_field_index("set")).to_numpy()
-            yield batch.filter(pa.array(fits)).select(["set", text])
-
-    texts = documents.select(ident, text).join(firsts, ident).select("set", text).mapInArrow(same_set, f"set long, {text} string")
-    texts = cut_lineage(texts.dropDuplicates(["set"]))
-    found = cut_lineage(links_among(stars, texts, n, percent, text))
-    labels = sets.select("set", "n", "bits").join(components(found).select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-    labels = cut_lineage(labels)
-    rows = shared.join(labels.select("set", "label"), "set")
-    open_keys = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    rows = cut_lineage(rows.join(open_keys, "key", "left_semi")).join(labels.select("set", "n", "bits"), "set")
-    more = cut_lineage(_tiles(rows, percent))
-    found = found.unionByName(links_among(more, texts, n, percent, text))
+    facts = sets.select("set", "n", "bits")
+    near = _tiles(shared.join(facts, "set").withColumn("label", F.col("set")), percent, every=False)
+    clusters = components(near).select(F.col("node").alias("set"), F.col("label").alias("cluster"))
+    members = cut_lineage(clusters.join(sets.select("set", "n", F.col("first").alias(ident)), "set").withColumn("label", F.col("set")))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """`wanted` (ident, set, ...) with the text of each set; a set comes twice only with two alike rows of one id."""
+        names = [c for c in wanted.columns if c != ident] + [text]
+
+        def same_set(batches):
+            for batch, raw in slices(batches, text):
+                values, counts = shingle_sets(raw, n)
+                fits = set_ids(values, counts) == batch.column(batch.schema.get_field_index("set")).to_numpy()
+                yield batch.filter(pa.array(fits))
+
+        rows = rows_of(documents.select(ident, text), wanted, ident).join(wanted, ident).select(*names)
+        return rows.mapInArrow(same_set, rows.schema)
+
+    found = cut_lineage(links_within(texts_of(dealt(members, 1)), n, percent, text))
+    large = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).filter((F.col("c") > CLUSTER) | (F.col("s") > CLUSTER_SHINGLES))
+    large = cut_lineage(members.join(large.select("cluster"), "cluster", "left_semi").drop("label"))
+    if not large.isEmpty():  # what a task could not hold whole
+        texts = cut_lineage(texts_of(large.select(ident, "set")))
+        for salt in (2, 3):
+            known = components(found.join(large.select(F.col("set").alias("a")), "a", "left_semi")).withColumnRenamed("node", "set")
+            labelled = cut_lineage(large.join(known, "set", "left").withColumn("label", F.coalesce("label", "set")))
+            if salt == 2:
+                found = cut_lineage(found.unionByName(links_within(dealt(labelled, salt).join(texts, "set"), n, percent, text)))
+        rows = shared.join(labelled.select("set", "label"), "set")
+        apart = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+        rows = cut_lineage(rows.join(apart, "key", "left_semi")).join(facts, "set")
+        more = cut_lineage(_tiles(rows, percent, every=True))
+        found = cut_lineage(found.unionByName(links_among(more, texts, n, percent, text)))
     linked = components(found)
     named = docs.select(ident, F.col("n").alias("n_shingles"), "set").join(linked.select(F.col("node").alias("set"), "label"), "set", "left").withColumn(
         "label", F.when(F.col("n_shingles") > 0, F.coalesce("label", "set")))
     least = named.filter("label IS NOT NULL").groupBy("label").agg(F.min(ident).alias("component_id"))
     return named.join(least, "label", "left").select(ident, "n_shingles", F.coalesce("component_id", ident).alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, ident: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """`documents` without those that are linked, directly or not, with one of a smaller id.
+
+    Only ids of dropped rows are joined; rows of one id stay or go together, and rows
+    without an id stay.
+    """
+    found = near_copies(documents, ident=ident, text=text, **how)
+    dropped = cut_lineage(found.filter(F.col("component_id") < F.col(ident)).select(ident).distinct())
+    return documents.join(dropped, ident, "left_anti").select(*documents.columns)
