@@ -272,6 +272,21 @@ def test_filter_reads_levels_back(spark):
     assert small.data.nbytes <= 4000 and (small.levels(keys[levels >= floor]) > 0).all()
 
 
+def test_scores_do_not_depend_on_the_room_for_the_filter(spark, monkeypatch):
+    """A filter that is not broadcast holds all that a broadcast one holds; the buckets grow with the texts."""
+    docs = texts_of(spark)[:400] + [(-1, None), (-2, ""), (None, "a b a b"), (None, "a b a b"), (-3, "never seen here")]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    read = lambda **how: sorted(map(str, lm_scores.score_texts(table, F.col("doc_id") % 5 > 0, **how).select(
+        "doc_id", "n_tokens", "n_known", F.round("score", 8)).collect()))
+    want = read()
+    assert len(want) == len(docs) and read(filter_bytes=100) == want
+    monkeypatch.setattr(lm_scores, "BUCKET_BYTES", 5000)
+    seen = spark.createDataFrame([(1, "one two one two one two"), (2, "one two")], "doc_id long, text string")
+    score = lambda n: [r["score"] for r in lm_scores.score_texts(seen, F.lit(True), filter_bytes=n).orderBy("doc_id").collect()]
+    assert np.allclose(score(1), score(10**6))
+    assert len(read(filter_bytes=100)) == len(docs)
+
+
 def test_classifiers_hold_out(spark):
     for name, column, least in (("op2_bradley_terry_quality", "quality", 0.95), ("op5_nnpu_toxicity", "toxic", 0.85)):
         labels = {r["doc_id"]: r[column] for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").collect()}
