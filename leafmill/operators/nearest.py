@@ -11,6 +11,7 @@ from leafmill.functions.ordered import top_k
 
 QUERY_BYTES_PER_PASS = 64 << 20  # query vectors sent to every task in one pass
 QUERIES_PER_BLOCK = 256  # queries scored against one Arrow batch at a time
+HITS_HELD = 500_000  # hits a task gathers before it keeps the best of each query
 SCORE_DIGITS = 6
 
 
@@ -40,7 +41,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, dim: int, k: int = fv.BR
 
 def approximate_top_k(vectors: DataFrame, queries: DataFrame, dim: int, k: int = fv.BRANCH_LIMIT, bands: int = 16,
                       bits: int = 6, seed: int = 17, vector_id: str = "chunk_id", query_id: str = "query_id") -> DataFrame:
-    """Top-k among the vectors that share a signature band with the query, scored exactly.
+    """Top-k among the vectors whose signature in some band is the query's, or one bit away from it, scored exactly.
 
     A band's signature holds the sides of `bits` random hyperplanes. Each task
     sorts its vectors by signature and scores a query only against the runs it
@@ -63,7 +64,7 @@ def _one_pass(vectors, queries, k, vector_id, query_id, access, signature):
     fields = [query_id, "query_vector"] + (["dept_id", "search_scope", "folder_ids"] if access else [])
     local = queries.select(*fields).toPandas()  # bounded by QUERY_BYTES_PER_PASS
     shared = vectors.sparkSession.sparkContext.broadcast(local)
-    digits, block = SCORE_DIGITS, QUERIES_PER_BLOCK
+    digits, block, held = SCORE_DIGITS, QUERIES_PER_BLOCK, HITS_HELD
     columns = [vector_id, "embedding"] + (["dept_id", "folder_id"] if access else [])
 
     def score(batches):
@@ -91,8 +92,8 @@ def _one_pass(vectors, queries, k, vector_id, query_id, access, signature):
             return out
 
         def best_of(asked, scores, ids):
-            """The k best of each row, and whatever ties with the k-th."""
-            kept = scores > -np.inf
+            """The k best of each row, and whatever ties with the k-th, but for those below the k best so far."""
+            kept = (scores > -np.inf) & (scores >= least[asked][:, None])
             if scores.shape[1] > k:
                 kept &= scores >= np.partition(scores, -k, axis=1)[:, -k][:, None]
             row, col = np.nonzero(kept)
@@ -124,27 +125,42 @@ def _one_pass(vectors, queries, k, vector_id, query_id, access, signature):
             def signs(rows):
                 return ((rows @ planes > 0).reshape(len(rows), bands, bits) * weights).sum(axis=2)
 
-            mine = pd.DataFrame(signs(q))
-            query_groups = [{s: np.asarray(rows) for s, rows in mine.groupby(b).indices.items()} for b in range(bands)]
-
-        best = None
+            mine = signs(q)
+            near = np.concatenate((np.zeros(1, np.int64), weights))  # the signature itself, and each of its bits turned
+            query_groups = []
+            for b in range(bands):
+                probes = pd.Series((mine[:, b][:, None] ^ near).reshape(-1))
+                query_groups.append({s: rows // len(near) for s, rows in probes.groupby(probes).indices.items()})
+
+        def merged(found):
+            """The k best of each query; `least` rises to the last of them."""
+            best = (pd.concat(found).drop_duplicates(["q", "id"])
+                    .sort_values(["q", "dense_score", "id"], ascending=[True, False, True]).groupby("q").head(k))
+            last = best[best.groupby("q").cumcount() == k - 1]
+            least[last["q"].to_numpy()] = last["dense_score"].to_numpy()
+            return best
+
+        best, least = None, np.full(len(q), -np.inf)
         for batch in batches:
             batch = batch[batch["embedding"].notna()]
             if batch.empty:
                 continue
             ids = batch[vector_id].to_numpy()
             v, real = unit(batch["embedding"])
-            found = [best] if best is not None else []
+            found, hits = [best] if best is not None else [], 0
             for asked, rows in blocks_of(v):
                 scores = np.round(q[asked] @ v[rows].T, digits) + 0.0
                 scores[:, ~real[rows]] = -np.inf
                 if access:
                     scores[~allowed(batch.iloc[rows], table.iloc[asked])] = -np.inf
-                found.append(best_of(asked, scores, ids[rows]))
-            found = [f for f in found if not f.empty]
+                some = best_of(asked, scores, ids[rows])
+                if not some.empty:
+                    found.append(some)
+                    hits += len(some)
+                if hits > held:
+                    found, hits = [merged(found)], 0
             if found:
-                best = (pd.concat(found).drop_duplicates(["q", "id"])
-                        .sort_values(["q", "dense_score", "id"], ascending=[True, False, True]).groupby("q").head(k))
+                best = merged(found)
         if best is not None:
             yield pd.DataFrame({query_id: table[query_id].to_numpy()[best["q"].to_numpy()],
                                 vector_id: best["id"].to_numpy(), "dense_score": best["dense_score"].to_numpy()})

@@ -126,6 +126,23 @@ def test_approximate_search(spark):
     assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in exact.collect()}
 
 
+def test_few_hits_held_give_the_same(spark, monkeypatch):
+    _, vectors_df = vectors(spark, 300, 8, "chunk_id", "embedding", 1)
+    _, queries_df = vectors(spark, 40, 8, "query_id", "query_vector", 2)
+    near = lambda: {tuple(r) for r in nn.approximate_top_k(vectors_df.repartition(2), queries_df, 8, 5).collect()}
+    want = near()
+    monkeypatch.setattr(nn, "HITS_HELD", 30)
+    assert near() == want
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_recall_of_the_registered_search(spark, folder):
+    from checks import registry, searching  # noqa: F401
+
+    recall = registry.QUERIES["f4_recall"](spark, folder).agg(F.sum("found").alias("f"), F.sum("expected").alias("e")).first()
+    assert recall.e > 0 and recall.f >= 0.9 * recall.e
+
+
 def test_sparse_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, 30) if x < 60) or "none" for _ in range(200)]
