@@ -31,6 +31,7 @@ SHARD_BYTES, PIECE = 1_500_000, 1_500_000
 HOT_ROWS, HOT_KINDS = 1000, 1000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
+#: Bits of a gram's hash that make room for its place; pieces are taken together as far as their places fit.
 _PLACE_BITS = 23
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -75,11 +76,35 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1:width - 1 + n])
 
 
-def blocks(pieces: list[bytes], size: int = SIZE, gram: int = GRAM):
+def blocks(pieces: list[bytes], size: int = SIZE, gram: int = GRAM, place_bits: int = _PLACE_BITS):
     """Blocks of all pieces: (piece, first window start in it, windows, distance to the anchor, anchor hash, hash of the bytes).
 
-    Windows do not cross pieces.
+    Windows do not cross pieces. Pieces go together in groups of at most 2**place_bits
+    bytes; a larger piece is cut, with size - 1 bytes in both parts.
     """
+    room = 1 << place_bits
+    if room < size:
+        raise ValueError("a window does not fit into 2**place_bits bytes")
+    step, parts, groups, held = room - size + 1, [], [], room + 1
+    for i, p in enumerate(pieces):
+        for at in range(0, max(1, len(p) - size + 1), step):
+            part = p[at:at + room] if len(p) > room else p
+            if held + len(part) > room:
+                groups.append([])
+                held = 0
+            groups[-1].append(len(parts))
+            parts.append((i, at, part))
+            held += len(part)
+    found = []
+    for group in groups:
+        part, start, *rest = _blocks_of([parts[k][2] for k in group], size, gram, place_bits)
+        which, base = (np.array([parts[k][j] for k in group], np.int64) for j in (0, 1))
+        found.append((which[part], base[part] + start, *rest))
+    return tuple(map(np.concatenate, zip(*found))) if found else _blocks_of([], size, gram, place_bits)
+
+
+def _blocks_of(pieces: list[bytes], size: int, gram: int, place_bits: int):
+    """Blocks of pieces that hold at most 2**place_bits bytes together."""
     data = np.frombuffer(b"".join(pieces), np.uint8)
     none = np.zeros(0, np.int64)
     if len(data) < size:
@@ -87,7 +112,7 @@ def blocks(pieces: list[bytes], size: int = SIZE, gram: int = GRAM):
     lens = np.array([len(p) for p in pieces], np.int64)
     ends = np.cumsum(lens)
     grams = _gram_hashes(data, gram)
-    low = _U((1 << _PLACE_BITS) - 1)
+    low = _U((1 << place_bits) - 1)
     place = np.arange(len(grams), dtype=np.uint64)
     least = _sliding_least((grams & ~low) | (low - place), size - gram + 1)
     anchor = (low - (least & low)).astype(np.int64)
@@ -166,7 +191,7 @@ def repeated_ranges(documents: DataFrame, size: int = SIZE, gram: int = GRAM, sh
                     pieces.append(t[at:at + PIECE + size - 1])
                     row.append(i)
                     base.append(at)
-            piece, start, n, off, h, s = blocks(pieces, size, gram)
+            piece, start, n, off, h, s = blocks(pieces, size, gram, _PLACE_BITS)
             at = pa.array(np.array(row, np.int64)[piece])
             yield pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at), pa.array(np.array(base, np.int64)[piece] + start),
                                               pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(off), pa.array(n)],

@@ -76,6 +76,33 @@ def test_pieces_of_a_long_text_join(spark, monkeypatch):
              {d: x[1] for d, x in brute.repeated_bytes(docs, 40).items()})
 
 
+def test_blocks_beyond_the_places(spark, monkeypatch):
+    """Equal windows have equal anchors wherever they stand, also in a text with more bytes than places."""
+    monkeypatch.setattr(suffix_dedup, "_PLACE_BITS", 10)
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = letters(300)
+    docs = [(1, letters(3500) + shared + letters(50)), (2, letters(77) + shared), (3, letters(1024)), (4, letters(1025) + shared[:60]), (5, letters(20))]
+    piece, start, n, off, h, _ = suffix_dedup.blocks([d.encode() for _, d in docs], 40, 16, suffix_dedup._PLACE_BITS)
+    assert ((off >= 0) & (off <= 24)).all()
+    keys = {}
+    for p, a, k, o, x in zip(piece.tolist(), start.tolist(), n.tolist(), off.tolist(), h.tolist()):
+        for i in range(k):
+            keys.setdefault(docs[p][1][a + i:a + i + 40], []).append((x, o - i, p, a + i))
+    assert sum(map(len, keys.values())) == sum(max(0, len(d) - 39) for _, d in docs)
+    assert all(len({k[:2] for k in found}) == 1 for found in keys.values())
+    compared({r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), 40, gram=16).collect()},
+             {d: x[1] for d, x in brute.repeated_bytes(docs, 40).items()})
+
+
+def test_places_of_a_text_above_eight_megabytes():
+    tail = np.random.default_rng(4).integers(97, 123, 20_000).astype(np.uint8).tobytes()
+    head = np.random.default_rng(5).integers(97, 123, (1 << 23) + 5000).astype(np.uint8).tobytes()
+    far = suffix_dedup.blocks([head + tail])
+    near = suffix_dedup.blocks([tail])
+    assert ((far[3] >= 0) & (far[3] <= 336)).all() and set(near[4].tolist()) <= set(far[4].tolist())
+
+
 def test_repeats_query(spark):
     got = QUERIES["op1_suffix_array_dedup"](spark, FOLDER).collect()
     compared({r[0]: tuple(r)[1:] for r in got}, brute.repeated_bytes(texts_of(spark)))
