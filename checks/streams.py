@@ -158,7 +158,16 @@ def k3a(spark, sf):
 
 @query("k3_streamed_stage_durations", STAGES.format(how="INNER"))
 def k3b(spark, sf):
-    """The first end of each start, from what the stream has written; starts without an end wait for the watermark and are left out here."""
+    """The stages that ended, of all that the stream has written."""
+    return k3c(spark, sf).filter("ended_at IS NOT NULL")
+
+
+# a start without an end comes out once the watermark, an hour behind the latest row of the slower side, has passed its day
+@query("k3_streamed_open_stages", f"""
+  SELECT * FROM ({STAGES.format(how="LEFT")}) WHERE ended_at IS NOT NULL OR started_at + INTERVAL 1 DAY < (
+    SELECT least(max(ts) FILTER (event_type = 'view'), max(ts) FILTER (event_type = 'purchase')) FROM events) - INTERVAL 1 HOUR""")
+def k3c(spark, sf):
+    """The first end of each start, and the starts that the watermark has passed without one, from what the stream has written."""
     starts, _ = halves(event_stream(spark, sf))
     _, ends = halves(event_stream(spark, sf))
     return ntz(jb.nearest_ends(through_stream(jb.stage_pairs(starts, ends))), "started_at", "ended_at")

@@ -117,9 +117,9 @@ def stage_pairs(starts: DataFrame, ends: DataFrame, within: str = "1 day", water
 
 
 def nearest_ends(pairs: DataFrame) -> DataFrame:
-    """Of each start's ends the first: what a stream has written, read as a table."""
-    first = F.min(F.struct("ended_at", "end_ord", "outcome")).alias("e")
-    kept = pairs.filter("ended_at IS NOT NULL").groupBy("trace_id", "stage", "started_at", "start_ord").agg(first)
+    """Of each start's ends the first, null if it has none: what a stream has written, read as a table."""
+    first = F.min(F.when(F.col("ended_at").isNotNull(), F.struct("ended_at", "end_ord", "outcome"))).alias("e")
+    kept = pairs.groupBy("trace_id", "stage", "started_at", "start_ord").agg(first)
     return kept.select("trace_id", "stage", "started_at", "start_ord", "e.*")
 
 

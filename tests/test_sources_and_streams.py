@@ -146,3 +146,10 @@ def test_late_events_are_dropped_by_the_watermark(spark, tmp_path):
 def test_cut_lineage_uses_the_shared_folder(spark):
     df = cut_lineage(tm.alias_rows(spark))
     assert df.count() == 23 and spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_nearest_ends_keeps_starts_without_any(spark):
+    pairs = spark.createDataFrame([("a", "s", 1, 1, None, None, None), ("a", "s", 2, 2, 9, 5, "y"), ("a", "s", 2, 2, 7, 6, "x"), ("a", "s", 2, 2, None, None, None)],
+                                  "trace_id string, stage string, started_at int, start_ord int, ended_at int, end_ord int, outcome string")
+    got = {tuple(r) for r in jb.nearest_ends(pairs).collect()}
+    assert got == {("a", "s", 1, 1, None, None, None), ("a", "s", 2, 2, 7, 6, "x")}
