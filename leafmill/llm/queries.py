@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.llm.chat_examples import chat_examples, example_columns
 from leafmill.llm.common import fold, table
 from leafmill.llm.decontaminate import contamination_columns, find_contamination
 from leafmill.llm.fingerprints import edited_fingerprints
@@ -14,8 +15,10 @@ from leafmill.llm.lm_scores import score_texts
 from leafmill.llm.near_copies import near_copies
 from leafmill.llm.packing import pack_documents
 from leafmill.llm.page_text import extract_pages
+from leafmill.llm.periodic_runs import periodic_runs, repeat_tails, run_columns
 from leafmill.llm.pii import pseudonymise_documents
 from leafmill.llm.quality import fit_quality, score_quality
+from leafmill.llm.spelling_variants import count_words, spelling_variants
 from leafmill.llm.suffix_dedup import remove_repeats
 from leafmill.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -95,3 +98,40 @@ def page_texts(spark: SparkSession, folder: str) -> DataFrame:
 def language_model(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return score_texts(docs, fold("doc_id", 7) != 2).select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op11_minimizer_runs")
+def word_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return run_columns(periodic_runs(repeat_tails(table(spark, folder, "documents"))))
+
+
+#: What conversation -1 says in both its turns.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query("op12_prefix_targets", rf"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-1, 0, 'user', '{CONTROL_TEXT}'), (-1, 1, 'assistant', '{CONTROL_TEXT}')),
+    written AS (
+        SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n,
+            23 + length(regexp_replace(role, '(<|\[)(\\*)(\||/?s>|/?INST\]|/?SYS>)', '\1\\\2\3', 'g'))
+               + length(regexp_replace(text, '(<|\[)(\\*)(\||/?s>|/?INST\]|/?SYS>)', '\1\\\2\3', 'g')) AS chars
+        FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+    placed AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY place) AS so_far FROM written)
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        sum(so_far) FILTER (role = 'assistant' OR place = n)::BIGINT AS formatted_chars
+    FROM placed GROUP BY conv_id
+""")
+def chat(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], given.schema)
+    return example_columns(chat_examples(given.unionByName(added)))
+
+
+@query("op13_asymmetric_q_chunks")
+def spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(count_words(table(spark, folder, "documents"), fraction=199))

@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from leafmill.llm import decontaminate, fingerprints, lm_scores, near_copies, packing, page_text, pii, quality, suffix_dedup, toxicity
+from leafmill.llm import decontaminate, fingerprints, lm_scores, near_copies, packing, page_text, periodic_runs, pii, quality, suffix_dedup, toxicity
 from leafmill.llm.queries import QUERIES, vocabulary
 from pyspark.sql import functions as F
 
@@ -44,6 +44,7 @@ OPERATORS = {
     "op7": lambda d, b: near_copies.near_copies(d),
     "op8": lambda d, b: decontaminate.contamination_columns(decontaminate.find_contamination(d, b)),
     "op9": lambda d, b: lm_scores.score_texts(d, F.col("doc_id") < 5),
+    "op11": lambda d, b: periodic_runs.run_columns(periodic_runs.periodic_runs(periodic_runs.repeat_tails(d))),
 }
 
 
@@ -117,4 +118,4 @@ def test_stages(spark, docs, none, labels, bench, tmp_path):
 
 
 def test_registered_queries_are_named_by_number():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
