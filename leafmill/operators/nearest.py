@@ -1,7 +1,13 @@
-"""Nearest vectors: exact for a table of queries, approximate by signature bands."""
+"""Exact nearest vectors: blocks of queries and blocks of vectors meet by a join, and tasks multiply them.
+
+No vector passes the driver. A block is one row with its ids and its vectors as bytes; a
+pair of blocks is one row of the join, so a task holds a few pairs, whatever the tables hold.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,166 +15,199 @@ from pyspark.sql import types as T
 from leafmill.functions import fixed_values as fv
 from leafmill.functions.ordered import top_k
 
-QUERY_BYTES_PER_PASS = 64 << 20  # query vectors sent to every task in one pass
-QUERIES_PER_BLOCK = 256  # queries scored against one Arrow batch at a time
+BLOCK_ROWS = 1024  # rows of a block at most
+GROUP_BYTES = 32 << 20  # vectors that one task meets at a time, about
 HITS_HELD = 500_000  # hits a task gathers before it keeps the best of each query
-SCORE_DIGITS = 6
+SCALE = 1_000_000  # scores are rounded to six digits
+SEEN = ["dept_id", "folder_id"]
+ASKED = ["dept_id", "search_scope", "folder_ids"]
 
 
-def _pass_count(queries: DataFrame, dim: int, access: bool) -> int:
-    """Passes needed so that each sends at most QUERY_BYTES_PER_PASS to a task."""
-    row = dim * 4 + 64
-    measure = F.sum(F.lit(row) + (F.coalesce(F.size("folder_ids"), F.lit(0)) * 24 if access else F.lit(0)))
-    total = queries.agg(measure.alias("b")).first()["b"] or 0
-    return max(1, -(-int(total) // QUERY_BYTES_PER_PASS))
+def packed(df: DataFrame, ident: str, vector: str, side: str, dim: int, keys: tuple[str, ...] = (), extras: tuple[str, ...] = (),
+           rows: int = BLOCK_ROWS) -> DataFrame:
+    """Blocks of at most `rows` vectors that agree in `keys`: keys, {side}_ids, {side}_rows (bytes), {side}_{extra} lists.
 
+    Inside a block rows go by id. A row without a vector is left out; a vector of another
+    length than `dim` fails the job. Vectors are arrays of numbers or, as codes, `dim` bytes.
+    """
+    kind = df.schema[vector].dataType
+    element = None if isinstance(kind, T.BinaryType) else "f4" if isinstance(kind.elementType, T.FloatType) else "f8"
+    columns = [*keys, ident, vector, *extras]
+    out = T.StructType([df.schema[c] for c in keys] + [T.StructField(f"{side}_ids", T.ArrayType(df.schema[ident].dataType)), T.StructField(f"{side}_rows", T.BinaryType())]
+                       + [T.StructField(f"{side}_{c}", T.ArrayType(df.schema[c].dataType)) for c in extras])
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, dim: int, k: int = fv.BRANCH_LIMIT,
-                vector_id: str = "chunk_id", query_id: str = "query_id", access: bool = False) -> DataFrame:
-    """Exact cosine top-k of every query over all vectors: (query_id, vector_id, dense_score, rank).
-
-    Vectors stay where they are. The queries, in passes of bounded size, go to
-    the tasks; a task multiplies its Arrow batches with them, keeps k rows per
-    query of all it has seen, and only those rows are shuffled. More queries
-    mean more passes, not more memory.
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    `vectors` needs vector_id, embedding; `queries` needs query_id, query_vector.
-    With `access`, vectors also need dept_id, folder_id and queries dept_id,
-    search_scope, folder_ids, and a pair counts only if the query may see it.
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table.filter(pc.is_valid(table[vector])).sort_by([(c, "ascending") for c in (*keys, ident)]).combine_chunks()
+            n = table.num_rows
+            if not n:
+                continue
+            values = table[vector].chunk(0)
+            sizes = pc.binary_length(values) if element is None else pc.list_value_length(values)
+            if pc.any(pc.not_equal(sizes, dim)).as_py():
+                raise ValueError(f"a vector is not of length {dim}")
+            raw = b"".join(values.to_pylist()) if element is None else np.asarray(values.flatten().to_numpy(zero_copy_only=False), dtype=element).tobytes()
+            width = len(raw) // n
+            fresh = np.zeros(n, bool)
+            fresh[0] = True
+            for c in keys:
+                key = table[c].to_numpy()
+                fresh[1:] |= key[1:] != key[:-1]
+            first = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+            cut = np.append(np.flatnonzero((np.arange(n) - first) % rows == 0), n)
+            offsets = pa.array(cut, pa.int32())
+
+            def lists(c):
+                return pa.ListArray.from_arrays(offsets, table[c].chunk(0))
+
+            yield pa.RecordBatch.from_arrays(
+                [table[c].chunk(0).take(pa.array(cut[:-1])) for c in keys] + [lists(ident), pa.array([raw[width * a:width * b] for a, b in zip(cut[:-1], cut[1:])], pa.binary())]
+                + [lists(c) for c in extras], out.names)
+
+    return df.select(*columns).mapInArrow(pack, out)
+
+
+def element_of(df: DataFrame, vector: str) -> str:
+    """How numpy reads the numbers of a vector column."""
+    return "f4" if isinstance(df.schema[vector].dataType.elementType, T.FloatType) else "f8"
+
+
+def unit_rows(raw: bytes, dim: int, element: str):
+    """(vectors of unit length, which of them have a direction)."""
+    import numpy as np
+
+    rows = np.frombuffer(raw, dtype=element).reshape(-1, dim).astype(np.float64)
+    size = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+    return rows / np.maximum(size, 1e-300)[:, None], (size > 0) & np.isfinite(size)
+
+
+def _visible(row):
+    """Which vectors of a pair of blocks each query may see; departments and folders as numbers of the block."""
+    import numpy as np
+    import pandas as pd
+
+    scope = np.array(row["q_search_scope"], dtype=object)
+    wanted = pd.Index(pd.unique(pd.Series([d for d in row["v_dept_id"] if d is not None], dtype=object)))
+    theirs = wanted.get_indexer(pd.Index(row["v_dept_id"], dtype=object))
+    mine = wanted.get_indexer(pd.Index(row["q_dept_id"], dtype=object))
+    same = (mine[:, None] == theirs[None, :]) & (theirs >= 0)[None, :]
+    names = pd.Index(pd.unique(pd.Series([f for f in row["v_folder_id"] if f is not None], dtype=object)))
+    held = [f or [] for f in row["q_folder_ids"]]
+    owner = np.repeat(np.arange(len(held)), [len(f) for f in held])
+    at = names.get_indexer(pd.Index([x for f in held for x in f], dtype=object))
+    grants = np.zeros((len(held), len(names) + 1), bool)  # the last column: no folder
+    grants[owner[at >= 0], at[at >= 0]] = True
+    granted = grants[:, names.get_indexer(pd.Index(row["v_folder_id"], dtype=object))]
+    return np.where((scope == "dept")[:, None], same, np.where((scope == "folder")[:, None], granted, same | granted))
+
+
+def best_of_pairs(pairs: DataFrame, k: int, query_id: str, vector_id: str, query_rows: Callable, vector_rows: Callable,
+                  asking: Callable | None = None, visible: Callable | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, vector_id, dense_score, keep...): the k best of each query block among the vector blocks that follow each other.
+
+    `pairs` has the columns of two `packed` tables, sides q and v; `query_rows` and
+    `vector_rows` give (vectors, which are usable) of a row of it, `asking` which queries of
+    the block meet this block at all, `visible` which vectors each of those may see. `keep`
+    names columns of the pair that its hits carry. Scores are rounded, and equal ones go by
+    id, so any split of the vectors into blocks gives the same best.
     """
-    return _search(vectors, queries, dim, k, vector_id, query_id, access, None)
+    held, scale = HITS_HELD, SCALE
+    ids = pairs.schema["q_ids"].dataType.elementType, pairs.schema["v_ids"].dataType.elementType
+    out = T.StructType([T.StructField(query_id, ids[0]), T.StructField(vector_id, ids[1]), T.StructField("dense_score", T.DoubleType())] + [pairs.schema[c] for c in keep])
 
+    def score(batches):
+        import numpy as np
+        import pandas as pd
+        import pyarrow as pa
 
-def approximate_top_k(vectors: DataFrame, queries: DataFrame, dim: int, k: int = fv.BRANCH_LIMIT, bands: int = 16,
-                      bits: int = 6, seed: int = 17, vector_id: str = "chunk_id", query_id: str = "query_id") -> DataFrame:
-    """Top-k among the vectors whose signature in some band is the query's, or one bit away from it, scored exactly.
+        nothing = np.iinfo(np.int64).min
+        last, q, usable, names, least, found, hits = None, None, None, None, None, [], 0
 
-    A band's signature holds the sides of `bits` random hyperplanes. Each task
-    sorts its vectors by signature and scores a query only against the runs it
-    falls into, so a crowded signature costs work there but never makes rows.
-    """
-    return _search(vectors, queries, dim, k, vector_id, query_id, False, (bands, bits, seed))
+        def merged():
+            rows = pd.concat(found).sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable").groupby("q").head(k)
+            full = rows[rows.groupby("q").cumcount() == k - 1]
+            least[full["q"].to_numpy()] = full["score"].to_numpy()
+            return rows
 
+        def given():
+            rows = merged()
+            columns = [names.take(pa.array(rows["q"].to_numpy())), pa.array(rows["id"], pa_id), pa.array(rows["score"].to_numpy() / scale)]
+            return pa.RecordBatch.from_arrays(columns + [pa.array(rows[c], pa_keep[c]) for c in keep], out.names)
 
-def _search(vectors, queries, dim, k, vector_id, query_id, access, signature):
-    passes = _pass_count(queries, dim, access)
-    found = None
-    for i in range(passes):
-        part = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64(query_id), F.lit(passes)) == i)
-        hits = _one_pass(vectors, part, k, vector_id, query_id, access, signature)
-        found = hits if found is None else found.unionByName(hits)
-    return top_k(found, [query_id], [F.desc("dense_score"), F.asc(vector_id)], k)
+        for batch in batches:
+            pa_id = batch.schema.field("v_ids").type.value_type
+            pa_keep = {c: batch.schema.field(c).type for c in keep}
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                row = {c: one.column(c)[0].as_py() for c in one.schema.names if c not in ("q_ids", "v_ids")}
+                if last is None or row["q_rows"] != last[0] or not one.column("q_ids").equals(last[1]):
+                    if found:
+                        yield given()
+                    last, (q, usable), names = (row["q_rows"], one.column("q_ids")), query_rows(row), one.column("q_ids").flatten()
+                    least, found, hits = np.full(len(q), nothing), [], 0
+                v, real = vector_rows(row)
+                theirs = one.column("v_ids").flatten().to_numpy(zero_copy_only=False)
+                some = np.arange(len(q)) if asking is None else np.flatnonzero(asking(row))
+                if not len(some):
+                    continue
+                keys = np.rint((q[some] @ v.T) * scale)
+                fits = usable[some][:, None] & real[None, :]
+                if visible is not None:
+                    fits &= visible(row)[some]
+                keys[~fits] = -scale * 4  # below any score; unit vectors without a direction are zeros
+                keys = keys.astype(np.int64) * len(v) - np.arange(len(v))  # equal scores: the smaller id, as blocks go by id
+                at = np.argpartition(keys, -k, axis=1)[:, -k:] if len(v) > k else np.broadcast_to(np.arange(len(v)), keys.shape)
+                line, col = np.repeat(np.arange(len(some)), at.shape[1]), at.ravel()
+                asked, points = some[line], -(-keys[line, col] // len(v))  # back to the rounded score
+                good = fits[line, col] & (points >= least[asked])
+                if good.any():
+                    found.append(pd.DataFrame({"q": asked[good], "id": theirs[col[good]], "score": points[good], **{c: row[c] for c in keep}}))
+                    hits += int(good.sum())
+                if hits > held:
+                    found = [merged()]
+                    hits = len(found[0])
+        if found:
+            yield given()
 
+    return pairs.mapInArrow(score, out)
 
-def _one_pass(vectors, queries, k, vector_id, query_id, access, signature):
-    fields = [query_id, "query_vector"] + (["dept_id", "search_scope", "folder_ids"] if access else [])
-    local = queries.select(*fields).toPandas()  # bounded by QUERY_BYTES_PER_PASS
-    shared = vectors.sparkSession.sparkContext.broadcast(local)
-    digits, block, held = SCORE_DIGITS, QUERIES_PER_BLOCK, HITS_HELD
-    columns = [vector_id, "embedding"] + (["dept_id", "folder_id"] if access else [])
 
-    def score(batches):
-        import numpy as np
-        import pandas as pd
+def dense_top_k(vectors: DataFrame, queries: DataFrame, dim: int, k: int = fv.BRANCH_LIMIT,
+                vector_id: str = "chunk_id", query_id: str = "query_id", access: bool = False) -> DataFrame:
+    """Exact cosine top-k of every query over all vectors: (query_id, vector_id, dense_score, rank).
 
-        table = shared.value
-        if table.empty:
-            return
-
-        def unit(rows):
-            rows = np.stack([np.asarray(x, dtype=np.float64) for x in rows])
-            size = np.linalg.norm(rows, axis=1)
-            return rows / np.maximum(size, 1e-300)[:, None], size > 0
-
-        def allowed(batch, rows):
-            dept = batch["dept_id"].to_numpy(dtype=object)
-            codes, names = pd.factorize(batch["folder_id"])
-            out = np.empty((len(rows), len(batch)), dtype=bool)
-            for i, (scope, mine, held) in enumerate(zip(rows["search_scope"], rows["dept_id"], rows["folder_ids"])):
-                held = set(held) if held is not None else set()
-                same = (dept == mine) & (mine is not None)
-                granted = np.array([n in held for n in names] + [False], dtype=bool)[codes]
-                out[i] = same if scope == "dept" else granted if scope == "folder" else same | granted
-            return out
-
-        def best_of(asked, scores, ids):
-            """The k best of each row, and whatever ties with the k-th, but for those below the k best so far."""
-            kept = (scores > -np.inf) & (scores >= least[asked][:, None])
-            if scores.shape[1] > k:
-                kept &= scores >= np.partition(scores, -k, axis=1)[:, -k][:, None]
-            row, col = np.nonzero(kept)
-            return pd.DataFrame({"q": asked[row], "id": ids[col], "dense_score": scores[row, col]})
-
-        def blocks_of(v):
-            """(query numbers, vector numbers) to score against each other."""
-            everything = np.arange(len(v))
-            if signature is None:
-                for start in range(0, len(q), block):
-                    yield np.arange(start, min(start + block, len(q))), everything
-                return
-            theirs = signs(v)
-            for band, groups in enumerate(query_groups):
-                order = np.argsort(theirs[:, band], kind="stable")
-                ranked = theirs[order, band]
-                for sign, asked in groups.items():
-                    rows = order[np.searchsorted(ranked, sign):np.searchsorted(ranked, sign, side="right")]
-                    if len(rows):
-                        for start in range(0, len(asked), block):
-                            yield asked[start:start + block], rows
-
-        q, _ = unit(table["query_vector"])
-        if signature is not None:
-            bands, bits, seed = signature
-            planes = np.random.default_rng(seed).standard_normal((q.shape[1], bands * bits))
-            weights = 1 << np.arange(bits, dtype=np.int64)
-
-            def signs(rows):
-                return ((rows @ planes > 0).reshape(len(rows), bands, bits) * weights).sum(axis=2)
-
-            mine = signs(q)
-            near = np.concatenate((np.zeros(1, np.int64), weights))  # the signature itself, and each of its bits turned
-            query_groups = []
-            for b in range(bands):
-                probes = pd.Series((mine[:, b][:, None] ^ near).reshape(-1))
-                query_groups.append({s: rows // len(near) for s, rows in probes.groupby(probes).indices.items()})
-
-        def merged(found):
-            """The k best of each query; `least` rises to the last of them."""
-            best = (pd.concat(found).drop_duplicates(["q", "id"])
-                    .sort_values(["q", "dense_score", "id"], ascending=[True, False, True]).groupby("q").head(k))
-            last = best[best.groupby("q").cumcount() == k - 1]
-            least[last["q"].to_numpy()] = last["dense_score"].to_numpy()
-            return best
-
-        best, least = None, np.full(len(q), -np.inf)
-        for batch in batches:
-            batch = batch[batch["embedding"].notna()]
-            if batch.empty:
-                continue
-            ids = batch[vector_id].to_numpy()
-            v, real = unit(batch["embedding"])
-            found, hits = [best] if best is not None else [], 0
-            for asked, rows in blocks_of(v):
-                scores = np.round(q[asked] @ v[rows].T, digits) + 0.0
-                scores[:, ~real[rows]] = -np.inf
-                if access:
-                    scores[~allowed(batch.iloc[rows], table.iloc[asked])] = -np.inf
-                some = best_of(asked, scores, ids[rows])
-                if not some.empty:
-                    found.append(some)
-                    hits += len(some)
-                if hits > held:
-                    found, hits = [merged(found)], 0
-            if found:
-                best = merged(found)
-        if best is not None:
-            yield pd.DataFrame({query_id: table[query_id].to_numpy()[best["q"].to_numpy()],
-                                vector_id: best["id"].to_numpy(), "dense_score": best["dense_score"].to_numpy()})
-
-    out = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType),
-                        T.StructField(vector_id, vectors.schema[vector_id].dataType),
-                        T.StructField("dense_score", T.DoubleType())])
-    return vectors.select(*columns).mapInPandas(score, out)
+    Vector blocks are dealt to groups of about GROUP_BYTES, and every query block goes to
+    every group; where there are fewer groups than cores the queries are dealt too. A task
+    gives k rows per query and group, which are ranked again: a top-k of top-k.
+
+    `vectors` needs vector_id, embedding; `queries` needs query_id, query_vector, with ids
+    that occur once. With `access`, vectors also need dept_id, folder_id and queries
+    dept_id, search_scope, folder_ids, and a pair counts only if the query may see it.
+    """
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, -(-vectors.count() * dim * 4 // GROUP_BYTES))
+    blocks = max(1, -(-queries.count() // BLOCK_ROWS))
+    shares = max(1, min(blocks, -(-2 * cores // groups)))
+
+    def dealt(ids, n):
+        return F.pmod(F.xxhash64(F.get(ids, F.lit(0))), F.lit(n)).cast("int")
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    q = packed(queries, query_id, "query_vector", "q", dim, extras=tuple(ASKED) if access else ()).select(
+        "*", dealt("q_ids", shares).alias("share"), every.alias("group"))
+    v = packed(vectors, vector_id, "embedding", "v", dim, extras=tuple(SEEN) if access else ()).select(
+        "*", dealt("v_ids", groups).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    kinds = {"q": element_of(queries, "query_vector"), "v": element_of(vectors, "embedding")}
+    parts = groups * shares
+    pairs = q.repartition(parts, "group", "share").hint("merge").join(v.repartition(parts, "group", "share"), ["group", "share"])
+    found = best_of_pairs(pairs, k, query_id, vector_id, lambda row: unit_rows(row["q_rows"], dim, kinds["q"]),
+                          lambda row: unit_rows(row["v_rows"], dim, kinds["v"]), visible=_visible if access else None)
+    return top_k(found, [query_id], [F.desc("dense_score"), F.asc(vector_id)], k)
 
 
 def recall_against(approximate: DataFrame, exact: DataFrame, vector_id: str = "chunk_id", query_id: str = "query_id") -> DataFrame:

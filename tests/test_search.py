@@ -10,6 +10,7 @@ from leafmill.operators import graph as gr
 from leafmill.operators import nearest as nn
 from leafmill.operators import retrieval as rt
 from leafmill.operators import terms as tm
+from leafmill.operators import vector_index as vi
 from leafmill.functions import vectors as vx
 
 NOW = datetime.datetime(2024, 1, 1)
@@ -102,45 +103,53 @@ def test_dense_top_k_is_exact(spark, monkeypatch):
     for access in (False, True):
         got = nn.dense_top_k(vectors_df.repartition(6), queries_df, 8, 5, access=access)
         assert {(r.query_id, r.chunk_id, r.rank) for r in got.collect()} == want(access)
-    monkeypatch.setattr(nn, "QUERY_BYTES_PER_PASS", 600)  # several passes
-    monkeypatch.setattr(nn, "QUERIES_PER_BLOCK", 3)
-    got = nn.dense_top_k(vectors_df.repartition(6), queries_df, 8, 5)
-    assert {(r.query_id, r.chunk_id, r.rank) for r in got.collect()} == want(False)
+    monkeypatch.setattr(nn, "GROUP_BYTES", 8 * 4 * 40)  # several groups
+    monkeypatch.setattr(nn, "HITS_HELD", 30)
+    packed = nn.packed
+    monkeypatch.setattr(nn, "packed", lambda *a, **more: packed(*a, **more, rows=7))
+    for access in (False, True):
+        got = nn.dense_top_k(vectors_df.repartition(6), queries_df, 8, 5, access=access)
+        assert {(r.query_id, r.chunk_id, r.rank) for r in got.collect()} == want(access)
 
 
-def test_approximate_search(spark):
-    v, vectors_df = vectors(spark, 300, 8, "chunk_id", "embedding", 1)
-    q, queries_df = vectors(spark, 40, 8, "query_id", "query_vector", 2)
-    exact = nn.dense_top_k(vectors_df, queries_df, 8, 5)
-    near = nn.approximate_top_k(vectors_df.repartition(4), queries_df, 8, 5, bands=4, bits=3)
-    recall = nn.recall_against(near, exact).agg(F.sum("found").alias("f"), F.sum("expected").alias("e")).first()
-    assert 0.5 < recall.f / recall.e <= 1
-    # what it finds carries the exact score, and the answer does not depend on the partitions
-    pairs = {(r.query_id, r.chunk_id): r.dense_score for r in near.collect()}
-    unit = lambda x: x / np.maximum(np.linalg.norm(x), 1e-300)
-    assert all(abs(s - unit(q[i]) @ unit(v[j])) < 1e-6 for (i, j), s in pairs.items())
-    again = nn.approximate_top_k(vectors_df.repartition(1), queries_df, 8, 5, bands=4, bits=3)
-    assert {(r.query_id, r.chunk_id) for r in again.collect()} == set(pairs)
-    # without bits every vector shares every band: the exact answer
-    whole = nn.approximate_top_k(vectors_df, queries_df, 8, 5, bands=1, bits=0)
-    assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in exact.collect()}
-
-
-def test_few_hits_held_give_the_same(spark, monkeypatch):
+def test_search_of_odd_vectors(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(500)] + [(1000, None), (1001, [0.0, 0.0]), (1002, [float("nan"), 1.0]), (1003, [-1.0, -2.0])]
+    v = spark.createDataFrame(rows, "chunk_id string, embedding array<double>")
+    q = spark.createDataFrame([(1, [2.0, 4.0]), (2, None), (3, [0.0, 0.0]), (4, [-3.0, -6.0])], "query_id int, query_vector array<float>")
+    first = sorted(str(i) for i in range(500))[:3]
+    got = sorted((r.query_id, r["rank"], r.chunk_id, r.dense_score) for r in nn.dense_top_k(v, q, 2, 3).collect())
+    assert got[:3] == [(1, i + 1, c, 1.0) for i, c in enumerate(first)] and got[3] == (4, 1, "1003", 1.0) and len(got) == 6  # ties go by id
+    assert nn.dense_top_k(v.limit(0), q, 2, 3).collect() == [] and nn.dense_top_k(v, q.limit(0), 2, 3).collect() == []
+    with pytest.raises(Exception, match="not of length"):
+        nn.dense_top_k(v, q, 3, 3).collect()
+    index = vi.build_index(v, 2)
+    got = sorted((r.query_id, r["rank"], r.dense_score) for r in vi.approximate_top_k(index, q, 3).collect() if r.dense_score > 0)
+    assert got == [(1, 1, 1.0), (1, 2, 1.0), (1, 3, 1.0), (4, 1, 1.0)]
+    assert vi.approximate_top_k(vi.build_index(v.limit(0), 2), q, 3).collect() == []
+
+
+def test_inverted_file_with_all_lists_and_pairs_is_exact(spark, monkeypatch):
     _, vectors_df = vectors(spark, 300, 8, "chunk_id", "embedding", 1)
     _, queries_df = vectors(spark, 40, 8, "query_id", "query_vector", 2)
-    near = lambda: {tuple(r) for r in nn.approximate_top_k(vectors_df.repartition(2), queries_df, 8, 5).collect()}
-    want = near()
-    monkeypatch.setattr(nn, "HITS_HELD", 30)
-    assert near() == want
+    want = {tuple(r) for r in nn.dense_top_k(vectors_df, queries_df, 8, 5).collect()}
+    monkeypatch.setattr(vi, "GROUP_ROWS", 64)  # lists that span groups, groups of several lists
+    index = vi.build_index(vectors_df.repartition(4), 8, lists=6)
+    assert {tuple(r) for r in vi.approximate_top_k(index, queries_df, 5, probes=6, rescored=300).collect()} == want
+    some = {tuple(r)[:3] for r in vi.approximate_top_k(index, queries_df, 5, probes=2).collect()}
+    assert some and all(abs(s - dict(((a, b), c) for a, b, c, _ in nn.dense_top_k(vectors_df, queries_df, 8, 300).collect())[(i, j)]) < 1e-9 for i, j, s in list(some)[:20])
+    assert {r[0] for r in vi.code_candidates(index, queries_df, 2, 9).select("list").distinct().collect()} <= set(range(6))
 
 
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
 def test_recall_of_the_registered_search(spark, folder):
-    from checks import registry, searching  # noqa: F401
+    from checks import registry, searching
 
     recall = registry.QUERIES["f4_recall"](spark, folder).agg(F.sum("found").alias("f"), F.sum("expected").alias("e")).first()
     assert recall.e > 0 and recall.f >= 0.9 * recall.e
+    index, asked = searching.vector_index(spark, folder), searching.fiftieth(spark, folder)
+    lists = len(index.sizes)
+    scored = vi.code_candidates(index, asked, -(-3 * lists // 4), 100).count()
+    assert scored <= 0.2 * asked.count() * sum(index.sizes)
 
 
 def test_sparse_matches_brute_force(spark):

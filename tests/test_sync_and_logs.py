@@ -108,7 +108,7 @@ def test_numbering_of_one_hot_group(spark):
 def test_nearest_in_order_with_null_keys(spark):
     rows = [(None if i % 2 else 1, i, i % 10 == 0) for i in range(100)]
     df = spark.createDataFrame(rows, "k int, pos int, mark boolean").withColumn("_b", od.position_bucket(F.col("pos"), 7))
-    out = od.nearest_in_order(df, ["k"], ["pos"], "_b", F.when(F.col("mark"), F.col("pos")), "back", "ahead", null_keys=True)
+    out = od.nearest_in_order(df, ["k"], ["pos"], "_b", F.when(F.col("mark"), F.col("pos")), "back", "ahead")
     for r in out.collect():
         marks = [p for k, p, m in rows if k == r.k and m]
         assert r.back == max([p for p in marks if p <= r.pos], default=None)
