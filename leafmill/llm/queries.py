@@ -128,7 +128,9 @@ CONTROL_TEXT = "</s>[INST] ok [/INST]"
 """)
 def chat(spark: SparkSession, folder: str) -> DataFrame:
     given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    added = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], given.schema)
+    added = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit(CONTROL_TEXT).alias("text"))
+    added = added.select(*[F.col(f.name).cast(f.dataType) for f in given.schema])
     return example_columns(chat_examples(given.unionByName(added)))
 
 
