@@ -8,6 +8,7 @@ again, until the root.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 
 import numpy as np
@@ -21,30 +22,95 @@ from leafmill.session import cut_lineage
 CAPACITY = 2048
 #: Pieces a leaf packs, about; children of a node of the tree; free tokens of a bin that counts as full.
 LEAF_PIECES, FANOUT, SLACK = 40_000, 8, 8
-#: Words whose ids a worker remembers.
-KNOWN_WORDS = 400_000
+#: Words, and parts of words, whose ids a worker remembers; parts encoded together.
+KNOWN_WORDS, KNOWN_PARTS, TOGETHER = 1_500_000, 300_000, 4000
+#: How this vocabulary cuts lower-cased ASCII words, parted by blanks, before it looks for tokens; a blank is a part too.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 ]+| ")
 
 _STATE: dict = {}
 
 
-def _encode(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all words in a row, ids per word); a word holds no white space, so its ids depend on it alone."""
+def _no_parts() -> list:
+    """[number of each part, first id, ids per part, ids]; part 0 is the blank, which has none."""
+    return [{" ": 0}, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)]
+
+
+def _no_words() -> dict:
+    """Hashes of words in order, their first id and number of ids, ids."""
+    return {"known": np.zeros(0, np.uint64), "first": np.zeros(0, np.int64), "count": np.zeros(0, np.int32), "ids": np.zeros(0, np.uint32)}
+
+
+def _tokenizer(path: str):
     if _STATE.get("path") != path:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task uses its own core
         from tokenizers import Tokenizer
 
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab()
+        last = np.zeros(1 + max(vocabulary.values()), bool)
+        last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         _STATE.clear()
-        _STATE.update(path=path, tokenizer=Tokenizer.from_file(path))
-        _STATE.update(known=np.zeros(0, np.uint64), first=np.zeros(0, np.int64), count=np.zeros(0, np.int64), ids=np.zeros(0, np.uint32))
-    ids, counts = [], []
-    for i in range(0, len(words), 5000):
-        part = words[i:i + 5000]
-        made = _STATE["tokenizer"].encode(part, is_pretokenized=True, add_special_tokens=False)
+        _STATE.update(path=path, tokenizer=tokenizer, last=last, parts=_no_parts())
+        _STATE.update(_no_words())
+    return _STATE["tokenizer"]
+
+
+def _encode_apart(parts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all parts in a row, ids per part), encoded as one text with blanks between.
+
+    A part of an ASCII word ends with a token that ends a word, its only one; tokens of
+    other words are told apart by where they lie.
+    """
+    tokenizer, ids, counts = _tokenizer(path), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for i in range(0, len(parts), TOGETHER):
+        some = parts[i:i + TOGETHER]
+        text = " ".join(some)
+        made = tokenizer.encode(text, add_special_tokens=False)
         ids.append(np.array(made.ids, dtype=np.uint32))
-        counts.append(np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(part)))
-    return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        if text.isascii():
+            ends = np.flatnonzero(_STATE["last"][ids[-1]]) + 1
+            counts.append(np.diff(ends, prepend=0))
+        else:
+            starts = np.cumsum([0] + [len(p) + 1 for p in some[:-1]])
+            begins = np.array(made.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+            counts.append(np.bincount(np.searchsorted(starts, begins, side="right") - 1, minlength=len(some)))
+    return np.concatenate(ids), np.concatenate(counts)
+
+
+def _encode(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words in a row, ids per word); a word holds no white space, so its ids depend on it alone.
+
+    ASCII words are lower-cased and cut as the vocabulary does, and each part is encoded
+    once: `Word,` and `word` share one. Other words are parts of their own.
+    """
+    _tokenizer(path)
+    plain = np.array([w.isascii() for w in words], bool)
+    parts = _PARTS.findall(" ".join([w for w, p in zip(words, plain.tolist()) if p]).lower())
+    others = [w for w, p in zip(words, plain.tolist()) if not p]
+    known = _STATE["parts"][0]
+    fresh = [sorted(set(x).difference(known)) for x in (parts, others)]
+    if len(known) + sum(map(len, fresh)) > KNOWN_PARTS:
+        _STATE["parts"] = _no_parts()
+        fresh = [sorted(set(x).difference(" ")) for x in (parts, others)]
+    number, first, count, held = _STATE["parts"]
+    for some in fresh:
+        if some:
+            ids, counts = _encode_apart(some, path)
+            number.update(zip(some, range(len(number), len(number) + len(some))))
+            first = np.concatenate([first, len(held) + np.cumsum(counts) - counts])
+            count, held = np.concatenate([count, counts]), np.concatenate([held, ids])
+    _STATE["parts"] = [number, first, count, held]
+    at = np.array([number[p] for p in parts], np.int64)
+    word = np.concatenate([np.flatnonzero(plain)[np.cumsum(at == 0)] if len(at) else np.zeros(0, np.int64), np.flatnonzero(~plain)])
+    at = np.concatenate([at, np.array([number[p] for p in others], np.int64)])
+    order = np.argsort(word, kind="stable")
+    at, word = at[order], word[order]
+    sizes = count[at]
+    ends = np.cumsum(sizes)
+    ids = held[np.arange(int(sizes.sum())) + np.repeat(first[at] - ends + sizes, sizes)]
+    return ids, np.bincount(word, weights=sizes, minlength=len(words)).astype(np.int64)
 
 
 def token_ids(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +121,7 @@ def token_ids(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     tokens never cross white space (tests compare the two).
     """
     owner, starts, ends, hashes, data = hash_words(texts, keep_case=True)
-    _encode([], path)
+    _tokenizer(path)
     distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     known = _STATE["known"]
     at = np.minimum(np.searchsorted(known, distinct), max(0, len(known) - 1))
@@ -63,16 +129,15 @@ def token_ids(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     if len(fresh):
         if len(known) + len(fresh) > KNOWN_WORDS:  # start anew with this slice's words
             fresh = np.arange(len(distinct))
-            _STATE.update(known=np.zeros(0, np.uint64), first=np.zeros(0, np.int64), count=np.zeros(0, np.int64), ids=np.zeros(0, np.uint32))
+            _STATE.update(_no_words())
         raw = data.tobytes()
         ids, counts = _encode([raw[starts[i]:ends[i]].decode() for i in first[fresh]], path)
         begin = len(_STATE["ids"]) + np.cumsum(counts) - counts
-        known = np.concatenate([_STATE["known"], distinct[fresh]])
-        order = np.argsort(known)
-        _STATE.update(known=known[order], first=np.concatenate([_STATE["first"], begin])[order],
-                      count=np.concatenate([_STATE["count"], counts])[order], ids=np.concatenate([_STATE["ids"], ids]))
+        place = np.searchsorted(_STATE["known"], distinct[fresh])
+        _STATE.update(known=np.insert(_STATE["known"], place, distinct[fresh]), first=np.insert(_STATE["first"], place, begin),
+                      count=np.insert(_STATE["count"], place, counts), ids=np.concatenate([_STATE["ids"], ids]))
         at = np.searchsorted(_STATE["known"], distinct)
-    first, count = _STATE["first"][at][inverse], _STATE["count"][at][inverse]
+    first, count = _STATE["first"][at][inverse], _STATE["count"][at][inverse].astype(np.int64)
     total = int(count.sum())
     ends_at = np.cumsum(count)
     source = np.arange(total) + np.repeat(first - ends_at + count, count)
