@@ -26,9 +26,7 @@ from leafmill.session import cut_lineage
 
 SIZE, GRAM = 400, 64
 #: Bytes of text that one suffix array holds; window starts of one text that are handled together.
-SHARD_BYTES, PIECE = 1_500_000, 1_500_000
-#: A kind of block with more rows than this, and more than one in so many of all blocks, is hot.
-HOT_ROWS, HOT_KINDS = 1000, 1000
+SHARD_BYTES, PIECE = 500_000, 1_500_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 #: Bits of a gram's hash that make room for its place; pieces are taken together as far as their places fit.
@@ -139,10 +137,7 @@ def repeated_windows(texts: list[bytes], weights: np.ndarray, size: int):
     firsts = np.cumsum(lens + 1) - lens - 1
     symbols = raw.astype(np.int64) + 1
     symbols[firsts + lens] = 0
-    padded, key = np.concatenate([symbols, np.zeros(6, np.int64)]), np.zeros(len(symbols), np.int64)
-    for j in range(7):
-        key = key * 257 + padded[j:len(symbols) + j]
-    sa = suffix_array(symbols, first=key, known=7)
+    sa = suffix_array(symbols)
     lcp = common_prefixes(symbols, sa, size)
     counts = lens - size + 1
     owner = np.repeat(np.arange(len(texts)), counts)
@@ -192,14 +187,19 @@ def repeated_ranges(documents: DataFrame, size: int = SIZE, gram: int = GRAM, sh
                     row.append(i)
                     base.append(at)
             piece, start, n, off, h, s = blocks(pieces, size, gram, _PLACE_BITS)
-            at = pa.array(np.array(row, np.int64)[piece])
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at), pa.array(np.array(base, np.int64)[piece] + start),
-                                              pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(off), pa.array(n)],
-                                             ["id", "tag", "start", *_SPAN])
+            order = np.lexsort((n, off, s, h))  # blocks of one kind become one row with their places
+            span = [x[order].view(np.int64) for x in (h, s, off, n)]
+            new = np.ones(len(order), bool)
+            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in span])
+            first = np.flatnonzero(new)
+            at = pa.array(np.array(row, np.int64)[piece[order]])
+            places = pa.StructArray.from_arrays([rows.column(0).take(at), rows.column(1).take(at), pa.array((np.array(base, np.int64)[piece] + start)[order])], ["id", "tag", "start"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[first]) for x in span), pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), places)],
+                                             [*_SPAN, "places"])
 
     found = cut_lineage(docs.filter(F.octet_length("text") >= size).mapInArrow(
-        find, f"id {kind}, tag long, start long, h long, s long, off long, n long"))
-    kinds = found.groupBy(*_SPAN).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "tag", "start")).alias("at"))
+        find, f"h long, s long, off long, n long, places array<struct<id:{kind},tag:long,start:long>>"))
+    kinds = found.groupBy(*_SPAN).agg(F.sum(F.size("places")).alias("c"), F.min(F.array_min("places")).alias("at"))
     anchors = kinds.groupBy("h").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") + size).alias("bytes"))
     kinds = cut_lineage(kinds.join(anchors.filter("total > 1"), "h"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n").alias("to")))
@@ -287,11 +287,8 @@ def repeated_ranges(documents: DataFrame, size: int = SIZE, gram: int = GRAM, sh
         merge, "h long, s long, off long, n long, runs array<struct<from:long,to:long>>")
     local = sharded.filter("range IS NULL").select(*_SPAN, "runs")
     decided = cut_lineage(copied.unionByName(local).unionByName(merged).groupBy(*_SPAN).agg(F.flatten(F.collect_list("runs")).alias("runs")))
-    # blocks that hold more than a thousandth of all rows each, so fewer than a thousand kinds, meet their decision by broadcast
-    hot = F.broadcast(kinds.filter(F.col("c") > max(HOT_ROWS, found.count() // HOT_KINDS)).select(*_SPAN))
-    often = found.join(hot, _SPAN, "left_semi").join(F.broadcast(decided.join(hot, _SPAN, "left_semi")), _SPAN)
-    rarely = found.join(hot, _SPAN, "left_anti").join(decided, _SPAN)
-    hits = often.unionByName(rarely).select("id", "tag", F.explode("runs").alias("r"), "start")
+    met = found.join(decided, _SPAN).select("runs", F.explode("places").alias("at"))
+    hits = met.select("at.id", "at.tag", "at.start", F.explode("runs").alias("r"))
     return hits.groupBy("id", "tag").agg(F.sort_array(F.collect_set(F.struct(
         (F.col("start") + F.col("r.from")).alias("from"), (F.col("start") + F.col("r.to") - 1 + size).alias("to")))).alias("ranges"))
 
