@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import ALNUM, hash_words, slices
+from leafmill.llm.common import ALNUM, free_name, hash_words, slices
 from leafmill.llm.suffixes import suffix_array
 from leafmill.session import cut_lineage
 
@@ -105,7 +105,7 @@ class FMIndex:
 class Phrases:
     """Distinct test phrases by length, as word numbers, with the items that hold each."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         texts = [t for _, t in items]
         owner, _, _, hashes, _ = hash_words(texts, ALNUM)
         self.words = np.unique(hashes)
@@ -189,21 +189,23 @@ def search_shard(texts: list[bytes], phrases: Phrases):
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
-                       ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, n_words, spans, items) of every document.
+                       ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", tagged: bool = False) -> DataFrame:
+    """(id, n_words, spans, items) of every document; with `tagged` also the hash of its text.
 
     `spans` are the merged runs of hit words: word numbers and byte offsets in the text,
     end exclusive. `items` are the ids, as strings, of items with a window in it, sorted.
     The benchmark is a stated query set: it is dealt into blocks of about `block_bytes`
     and each block is one map-only pass over the documents, of which only numbers are
-    shuffled. Null and empty texts have no words; an item without words has no window;
-    documents with the same id count as one row each, told apart by their place.
+    shuffled. Null and empty texts have no words; an item without words has no window, and
+    one without an id is searched like the others but has no id to list. Documents with the
+    same id count as one row each, told apart by a hash of their text.
     """
     total = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     kind = dict(documents.dtypes)[ident]
     out = f"{ident} {kind}, n_words long, spans array<struct<word:long,end:long,byte:long,byte_end:long>>, items array<string>"
-    names = [ident, "n_words", "spans", "items"]
+    out = f"{out}, tag long"
+    names = [ident, "n_words", "spans", "items", "tag"]
 
     def searcher(phrases: Phrases):
         def run(batches):
@@ -216,45 +218,46 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
                 for d, a, b in zip(doc.tolist(), begin.tolist(), end.tolist()):
                     spans[d].append({"word": a - int(word0[d]), "end": b - int(word0[d]), "byte": int(starts[a] - base[d]), "byte_end": int(ends[b - 1] - base[d])})
                 for d, k in zip(held.tolist(), which.tolist()):
-                    items[d].append(phrases.items[k])
+                    if phrases.items[k] is not None:
+                        items[d].append(phrases.items[k])
                 span = pa.list_(pa.struct([(k, pa.int64()) for k in ("word", "end", "byte", "byte_end")]))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n_words), pa.array(spans, span),
-                                                  pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))], names)
+                                                  pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), rows.column(2)], names)
         return run
 
     passes = []
     for block in range(blocks):
-        mine = benchmark.filter(F.col(item).isNotNull() & (F.pmod(F.xxhash64(item), F.lit(blocks)) == block))
+        mine = benchmark.filter(F.pmod(F.xxhash64(item, item_text), F.lit(blocks)) == block)
         rows = mine.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("words")).collect()
-        phrases = Phrases([(r["item"], (r["words"] or "").encode()) for r in sorted(rows, key=lambda r: (r["item"], r["words"] or ""))], window)
-        passes.append(documents.select(ident, text).mapInArrow(searcher(phrases), out))
+        phrases = Phrases([(r["item"], (r["words"] or "").encode()) for r in sorted(rows, key=lambda r: (r["item"] or "", r["words"] or ""))], window)
+        passes.append(documents.select(ident, text, F.xxhash64(text).alias("_tag")).mapInArrow(searcher(phrases), out))
     if blocks == 1:
-        return passes[0]
-    numbered = [p.withColumn("place", F.monotonically_increasing_id()) for p in passes]  # the same splits in each pass
-    every = numbered[0]
-    for p in numbered[1:]:
+        return passes[0] if tagged else passes[0].drop("tag")
+    every = passes[0]
+    for p in passes[1:]:
         every = every.unionByName(p)
-    merged = every.groupBy("place").agg(F.first(ident).alias(ident), F.first("n_words").alias("n_words"),
-                                        F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"),
-                                        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # alike rows of a pass give alike results: one group, given out as often as a pass has them
+    merged = every.groupBy(ident, "tag", "n_words").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
+                                                        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("copies"))
+    merged = merged.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(F.col("copies") / blocks))))
     join = F.expr("""aggregate(spans, cast(array() as array<struct<word:bigint,end:bigint,byte:bigint,byte_end:bigint>>), (a, s) ->
         if(size(a) > 0 and a[size(a) - 1].end >= s.word, concat(slice(a, 1, size(a) - 1), array(named_struct(
             'word', a[size(a) - 1].word, 'end', greatest(a[size(a) - 1].end, s.end), 'byte', a[size(a) - 1].byte,
             'byte_end', greatest(a[size(a) - 1].byte_end, s.byte_end)))), concat(a, array(s))))""")
-    return merged.select(ident, "n_words", join.alias("spans"), "items")
+    return merged.select(ident, "n_words", join.alias("spans"), "items", *(["tag"] if tagged else []))
 
 
 def contamination_columns(found: DataFrame, ident: str = "doc_id") -> DataFrame:
     """Per document: hit words, items with a window, their digest, and the verdict: hit words are a twentieth or more."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["word"])
     return found.select(ident, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")).withColumn(
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), *(["tag"] if "tag" in found.columns else [])).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-
 def clean_documents(documents: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """`documents` without the contaminated ones; rows of one id go together, rows without an id stay."""
-    verdicts = contamination_columns(find_contamination(documents, benchmark, ident=ident, text=text, **how), ident)
-    dropped = cut_lineage(verdicts.filter("contaminated").select(ident).distinct())
-    return documents.join(dropped, ident, "left_anti").select(*documents.columns)
+    """`documents` without the contaminated ones; each row is judged by its own text, whatever its id."""
+    verdicts = contamination_columns(find_contamination(documents, benchmark, ident=ident, text=text, tagged=True, **how), ident)
+    tag = free_name(documents, "_tag")
+    dropped = cut_lineage(verdicts.filter("contaminated").select(F.col("tag").alias(tag)).distinct())
+    return documents.withColumn(tag, F.xxhash64(text)).join(dropped, tag, "left_anti").select(*documents.columns)
