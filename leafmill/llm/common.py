@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that are handled together; bounds a task's working memory.
-SLICE_BYTES = 2_000_000
+#: Bytes of text, and rows, that are handled together; bounds a task's working memory.
+SLICE_BYTES, SLICE_ROWS = 2_000_000, 50_000
 #: Bytes of one text that are hashed together.
 PIECE_BYTES = 1_000_000
 
@@ -33,6 +36,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `df` has it."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def fold(ident: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; a null id falls in no fold that is left out."""
     ident = F.col(ident) if isinstance(ident, str) else ident
@@ -71,19 +81,28 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Consecutive rows with at most `size` bytes of text (one row, if it has more)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Consecutive rows with at most `size` bytes of text (one row, if it has more) and at most `rows` rows.
+
+    Only the texts of one slice are Python objects at a time. At the end what the
+    allocators keep for later goes back: workers live on and serve other stages.
+    """
     for batch in batches:
-        texts = texts_of(batch.column(batch.schema.get_field_index(text)))
-        start = held = 0
-        for i, t in enumerate(texts):
-            if held and held + len(t) > size:
-                yield batch.slice(start, i - start), texts[start:i]
-                start = i
-                held = 0
-            held += len(t) + 1
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        column = batch.column(batch.schema.get_field_index(text))
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        start = 0
+        while start < len(ends):
+            held = ends[start - 1] if start else 0
+            stop = min(max(start + 1, int(np.searchsorted(ends, held + size + 1, side="right"))), start + rows)
+            yield batch.slice(start, stop - start), texts_of(column.slice(start, stop - start))
+            start = stop
+    _give_back()
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _hash_piece(low: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

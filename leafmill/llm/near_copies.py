@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from leafmill.llm.common import grams, hash_words, mix, rows_of, slices
+from leafmill.llm.common import free_name, grams, hash_words, mix, rows_of, slices
 from leafmill.llm.components import components
 from leafmill.session import cut_lineage
 
@@ -28,7 +29,7 @@ SHINGLE, PERCENT = 5, 80
 #: Counters of the frequency table (fixed, whatever the corpus), bits of the smallest signature.
 COUNTERS, BITS = 1 << 20, 256
 #: Shingles a task holds before it passes them on; members of a star that one task compares; rows of a tile compared at once.
-HELD, STAR_PART, BLOCK = 3_000_000, 256, 512
+HELD, STAR_PART, BLOCK = 1_000_000, 256, 512
 #: Classes under one shingle from which it is dealt by bands of sizes; members and shingles of a cluster that one task compares.
 MANY, CLUSTER, CLUSTER_SHINGLES = 2000, 4000, 6_000_000
 _U = np.uint64
@@ -111,26 +112,30 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _describe(documents: DataFrame, n: int, ident: str, text: str) -> DataFrame:
-    """A row per document (id, n, set, bitmap) and, per task, rows of the frequency table (part, counts)."""
+    """A row per document (id, key, n, set, bitmap) and, per task, rows of the frequency table (part, counts).
+
+    The key, a hash of id and text, tells rows of one id, and those without one, apart.
+    """
     kind = dict(documents.dtypes)[ident]
-    names = [ident, "n", "set", "bits", "part", "counts"]
-    id_type = pa.int64() if kind == "bigint" else None
+    names = [ident, "key", "n", "set", "bits", "part", "counts"]
+    id_type = to_arrow_type(documents.schema[ident].dataType)
 
     def run(batches):
         table = np.zeros(COUNTERS, np.int64)
-        for rows, texts in slices(batches, text):
+        for rows, texts in slices(batches, "_text"):
             values, counts = shingle_sets(texts, n)
             table += np.bincount((values >> _U(44)).astype(np.int64), minlength=COUNTERS)
             none = pa.nulls(len(texts))
-            yield pa.RecordBatch.from_arrays([rows.column(0), _long(counts), _long(set_ids(values, counts)),
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), _long(counts), _long(set_ids(values, counts)),
                                               pa.array(signatures(values, counts), pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names)
         parts = np.array_split(table.astype(np.uint32), 64)
         some = [k for k, p in enumerate(parts) if p.any()]
         none = pa.nulls(len(some))
-        yield pa.RecordBatch.from_arrays([none.cast(id_type or rows.schema.field(0).type), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()),
+        yield pa.RecordBatch.from_arrays([none.cast(id_type), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()),
                                           pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], names)
 
-    return documents.select(ident, text).mapInArrow(run, f"{ident} {kind}, n long, set long, bits binary, part int, counts binary")
+    return documents.select(ident, F.xxhash64(ident, text).alias("_key"), F.col(text).alias("_text")).mapInArrow(
+        run, f"{ident} {kind}, key long, n long, set long, bits binary, part int, counts binary")
 
 
 def _classes(described: DataFrame) -> np.ndarray:
@@ -387,44 +392,44 @@ def links_within(members: DataFrame, n: int, percent: int, text: str) -> DataFra
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_copies(documents: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every document.
-
-    component_id is the smallest id reachable by links of `percent` Jaccard or more.
-    Null and empty texts have no shingles and link with nothing, so they are their own
-    component. A row without an id gets the smallest id it is linked with, else null.
-    Rows that share an id count as one row each and are linked if their sets are.
-    """
+def _linked(documents: DataFrame, n: int, percent: int, ident: str, text: str) -> DataFrame:
+    """(id, key, n_shingles, label) of every document: equal labels are linked; without shingles it is null."""
     spark = documents.sparkSession
     buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     described = cut_lineage(_describe(documents, n, ident, text))
     docs = described.filter("part IS NULL")
     classes = spark.sparkContext.broadcast(_classes(described))
-    sets = cut_lineage(docs.filter("n > 0").groupBy("set").agg(F.min(ident).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    sets = cut_lineage(docs.filter("n > 0").groupBy("set").agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     shared = cut_lineage(_prefixes(documents, classes, n, percent, buckets, text))
     facts = sets.select("set", "n", "bits")
     near = _tiles(shared.join(facts, "set").withColumn("label", F.col("set")), percent, every=False)
     clusters = components(near).select(F.col("node").alias("set"), F.col("label").alias("cluster"))
-    members = cut_lineage(clusters.join(sets.select("set", "n", F.col("first").alias(ident)), "set").withColumn("label", F.col("set")))
+    members = cut_lineage(clusters.join(sets.select("set", "n", F.col("first").alias("key")), "set").withColumn("label", F.col("set")))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        """`wanted` (ident, set, ...) with the text of each set; a set comes twice only with two alike rows of one id."""
-        names = [c for c in wanted.columns if c != ident] + [text]
+        """`wanted` (key, set, ...) with the text of each set, once a task; only alike rows of one id have one key."""
+        names = [c for c in wanted.columns if c != "key"] + [text]
+        keyed = documents.select(F.xxhash64(ident, text).alias("key"), text)
 
         def same_set(batches):
+            given = set()
             for batch, raw in slices(batches, text):
                 values, counts = shingle_sets(raw, n)
-                fits = set_ids(values, counts) == batch.column(batch.schema.get_field_index("set")).to_numpy()
+                sets = batch.column(batch.schema.get_field_index("set")).to_numpy()
+                fits = set_ids(values, counts) == sets
+                for i, name in enumerate(sets.tolist()):
+                    fits[i] = fits[i] and name not in given
+                    given.add(name)
                 yield batch.filter(pa.array(fits))
 
-        rows = rows_of(documents.select(ident, text), wanted, ident).join(wanted, ident).select(*names)
+        rows = rows_of(keyed, wanted, "key").join(wanted, "key").select(*names)
         return rows.mapInArrow(same_set, rows.schema)
 
     found = cut_lineage(links_within(texts_of(dealt(members, 1)), n, percent, text))
     large = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s")).filter((F.col("c") > CLUSTER) | (F.col("s") > CLUSTER_SHINGLES))
     large = cut_lineage(members.join(large.select("cluster"), "cluster", "left_semi").drop("label"))
     if not large.isEmpty():  # what a task could not hold whole
-        texts = cut_lineage(texts_of(large.select(ident, "set")))
+        texts = cut_lineage(texts_of(large.select("key", "set")))
         for salt in (2, 3):
             known = components(found.join(large.select(F.col("set").alias("a")), "a", "left_semi")).withColumnRenamed("node", "set")
             labelled = cut_lineage(large.join(known, "set", "left").withColumn("label", F.coalesce("label", "set")))
@@ -436,18 +441,37 @@ def near_copies(documents: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
         more = cut_lineage(_tiles(rows, percent, every=True))
         found = cut_lineage(found.unionByName(links_among(more, texts, n, percent, text)))
     linked = components(found)
-    named = docs.select(ident, F.col("n").alias("n_shingles"), "set").join(linked.select(F.col("node").alias("set"), "label"), "set", "left").withColumn(
-        "label", F.when(F.col("n_shingles") > 0, F.coalesce("label", "set")))
+    named = docs.select(ident, "key", F.col("n").alias("n_shingles"), "set").join(linked.select(F.col("node").alias("set"), "label"), "set", "left")
+    return named.select(ident, "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "set")).alias("label"))
+
+
+def near_copies(documents: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of every document.
+
+    component_id is the smallest id reachable by links of `percent` Jaccard or more.
+    Null and empty texts have no shingles and link with nothing, so they are their own
+    component. A row without an id gets the smallest id it is linked with, else null.
+    Rows that share an id count as one row each and are linked if their sets are.
+    """
+    named = _linked(documents, n, percent, ident, text)
     least = named.filter("label IS NOT NULL").groupBy("label").agg(F.min(ident).alias("component_id"))
     return named.join(least, "label", "left").select(ident, "n_shingles", F.coalesce("component_id", ident).alias("component_id"))
 
 
-def one_of_each(documents: DataFrame, ident: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """`documents` without those that are linked, directly or not, with one of a smaller id.
+def one_of_each(documents: DataFrame, n: int = SHINGLE, percent: int = PERCENT, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """`documents` with one row of each group of linked ones: that of the smallest id, rows without an id last.
 
-    Only ids of dropped rows are joined; rows of one id stay or go together, and rows
-    without an id stay.
+    Rows are told apart by a hash of id and text, so a row never goes for the id it shares
+    with another; of alike rows one stays. Rows without words are linked with nothing and
+    all stay. Only hashes of dropped and of repeated rows are joined.
     """
-    found = near_copies(documents, ident=ident, text=text, **how)
-    dropped = cut_lineage(found.filter(F.col("component_id") < F.col(ident)).select(ident).distinct())
-    return documents.join(dropped, ident, "left_anti").select(*documents.columns)
+    rows = cut_lineage(_linked(documents, n, percent, ident, text).filter("label IS NOT NULL").groupBy("label", "key").agg(F.min(ident).alias("id"), F.count("*").alias("n")))
+    stays = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key"))).alias("_first"))
+    judged = cut_lineage(rows.join(stays, "label").select("key", "n", (F.col("key") == F.col("_first.key")).alias("stays")).filter("NOT stays OR n > 1"))
+    key = free_name(documents, "_key")
+    keyed = documents.withColumn(key, F.xxhash64(ident, text))
+    once = judged.filter("stays").select(F.col("key").alias(key))
+    kept = keyed.join(judged.select(F.col("key").alias(key)), key, "left_anti")
+    if not once.isEmpty():
+        kept = kept.unionByName(rows_of(keyed, once, key).join(once, key, "left_semi").dropDuplicates([key]))
+    return kept.select(*documents.columns)

@@ -106,6 +106,32 @@ def test_repeats_query(spark):
     compared({r[0]: tuple(r)[1:] for r in got}, brute.repeated_bytes(texts_of(spark)))
 
 
+def test_ids_of_any_type_and_rows_without_one(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = " ".join(words[:100] + ["x"] + words[101:])
+    for kind, ids in (("int", (3, 1, None)), ("string", ("c", "a", None)), ("long", (3, 1, None))):
+        df = spark.createDataFrame([(ids[0], " ".join(words)), (ids[1], near), (ids[2], None)], f"doc_id {kind}, text string")
+        assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(df).collect()} == {ids[0]: ids[1], ids[1]: ids[1], None: None}
+        assert near_copies.near_copies(df.limit(0)).collect() == []
+    none = spark.createDataFrame([(None, " ".join(words)), (None, " ".join(words)), (7, near), (None, "alone among all these words here")], "doc_id long, text string")
+    assert sorted((r["component_id"] or 0, r["n_shingles"]) for r in near_copies.near_copies(none).collect()) == [(0, 2), (7, 196), (7, 196), (7, 196)]
+
+
+def test_rows_are_dropped_by_their_own_text(spark):
+    words = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, words, 0), (1, "quite another text that shares its id only", 1), (2, words, 2), (None, words, 3), (None, words, 4), (3, "", 5), (3, "", 6), (None, None, 7),
+            (8, "no id of its own and two alike rows", 8), (8, "no id of its own and two alike rows", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key int").repartition(3)
+    assert sorted((r["_key"] for r in near_copies.one_of_each(df).collect() if r["_key"] not in (8, 9))) == [0, 1, 5, 6, 7]
+    assert near_copies.one_of_each(df).count() == 6 and near_copies.one_of_each(df).columns == df.columns
+    bench = spark.createDataFrame([(None, words)], "item_id long, text string")
+    for block_bytes in (8_000_000, 100):
+        more = bench.unionByName(spark.createDataFrame([(5, "another item with a few words of its own to fill a window of thirteen words")], bench.schema))
+        found = decontaminate.contamination_columns(decontaminate.find_contamination(df, more, block_bytes=block_bytes))
+        assert sorted((r["n_hit"], r["n_items"]) for r in found.collect()) == [(0, 0)] * 6 + [(200, 0)] * 4
+        assert sorted(r["_key"] for r in decontaminate.clean_documents(df, more, block_bytes=block_bytes).collect()) == [1, 5, 6, 7, 8, 9]
+
+
 def test_links(spark, made):
     got = near_copies.near_copies(spark.createDataFrame(made, "doc_id long, text string"))
     compared({r[0]: tuple(r)[1:] for r in got.collect()}, brute.components(made))
@@ -288,13 +314,24 @@ def test_filter_reads_levels_back(spark):
     levels = lm_scores.level_of(counts)
     rows = [(b, keys[keys % 12 == b].tobytes(), levels[keys % 12 == b].tobytes()) for b in range(12)]
     table = spark.createDataFrame(rows, "bucket int, keys binary, levels binary")
-    held, floor = lm_scores.build_filter(table, 12)
+    floor = int(lm_scores.level_of(np.array([lm_scores.LEAST_COUNT]))[0])
+    held = lm_scores._gathered(lm_scores._segments(table, floor), 12)
     read = held.levels(keys).astype(int) + floor - 1
     assert (read >= levels).all() and (read == levels).mean() > 0.97
     assert (held.levels(np.unique(rng.integers(2**48, 2**49, 5000).astype(np.uint64))) > 0).mean() < 0.03
     assert np.allclose(lm_scores.count_at(levels.astype(np.int64)), counts, rtol=0.35)
-    small, floor = lm_scores.build_filter(table, 12, 4000)
-    assert small.data.nbytes <= 4000 and (small.levels(keys[levels >= floor]) > 0).all()
+
+
+def test_many_short_texts_in_one_batch(spark, monkeypatch):
+    """Batches wider than 16 bits: every text keeps its own sums."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    try:
+        docs = spark.range(70_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("text")).coalesce(1)
+        got = lm_scores.score_texts(docs, F.lit(True)).groupBy(F.col("doc_id") % 2).agg(F.count_distinct(F.round("base_score", 9)), F.min("n_known"), F.max("n_known")).collect()
+        assert [tuple(r)[1:] for r in got] == [(1, 2, 2)] * 2
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def test_scores_do_not_depend_on_the_room_for_the_filter(spark, monkeypatch):
