@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import fixed_values as fv
 from leafmill.functions import text as tx
 from leafmill.functions.ordered import top_k
-from leafmill.operators.terms import substring_join
+from leafmill.operators.terms import contained_rows
 
 NEIGHBOURS = 10
 
@@ -158,8 +158,13 @@ def lookup_words(expanded: DataFrame, first: int = 5) -> DataFrame:
 
 
 def find_entities(vertices: DataFrame, words: DataFrame, k: int = 5) -> DataFrame:
-    """Up to k entities per word whose name contains it, most documents first."""
-    pairs = substring_join(vertices.select("entity_name", "entity_type", "n_docs"), "entity_name", words, "word")
+    """Up to k entities per word whose name contains it, most documents first.
+
+    The words asked for are the dictionary, and each name is walked once.
+    """
+    asked = words.select("query_id", "word_pos", "word")
+    found = contained_rows(vertices.select("entity_name", "entity_type", "n_docs"), "entity_name", asked, "word")
+    pairs = found.select("entity_name", "entity_type", "n_docs", F.inline("hits"))
     return top_k(pairs, ["query_id", "word_pos"], [F.desc("n_docs"), F.asc("entity_name")], k)
 
 

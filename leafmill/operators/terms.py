@@ -2,37 +2,83 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from leafmill.functions import fixed_values as fv
 from leafmill.functions import text as tx
-
-LEAD = 3  # characters of a needle used as the equi-join key of a substring join
-
-
-def substring_join(texts: DataFrame, text_col: str, needles: DataFrame, needle_col: str, keys: list[str] | None = None) -> DataFrame:
-    """Pairs where the text contains the needle, found by an equi-join.
-
-    A needle of n characters is keyed by its first min(n, 3); a text offers
-    every distinct run of one to three characters. The match is then verified.
-    With `keys`, which name a text, only they travel with the runs, and each text
-    joins its candidates once.
+from leafmill.session import cut_lineage
+
+BLOCK_CHARS = 4_000_000  # characters of needles in one automaton
+_AUTOMATA: dict = {}  # of this worker: the last one it walked
+
+
+def _automaton(name: str, needles: list[str]):
+    """An Aho-Corasick automaton that gives the numbers of equal needles; a worker keeps one."""
+    if name not in _AUTOMATA:
+        import ahocorasick
+
+        numbers: dict[str, list[int]] = {}
+        for i, needle in enumerate(needles):
+            numbers.setdefault(needle, []).append(i)
+        built = ahocorasick.Automaton()
+        for needle, same in numbers.items():
+            built.add_word(needle, tuple(same))
+        if numbers:
+            built.make_automaton()
+        _AUTOMATA.clear()
+        _AUTOMATA[name] = built if numbers else None
+    return _AUTOMATA[name]
+
+
+def contained_rows(texts: DataFrame, text_col: str, dictionary: DataFrame, needle_col: str, out: str = "hits") -> DataFrame:
+    """`texts` with the array `out` of those rows of `dictionary` whose needle occurs in the text, in their order.
+
+    An automaton over a block of the dictionary walks each text once. A block holds about
+    BLOCK_CHARS characters and is sent to the tasks; a larger dictionary is more blocks,
+    each a pass of its own that adds to the rows of the one before. Nothing is joined or
+    shuffled, and a needle that occurs in every text costs no more than its hits. An empty
+    or null needle is in no text, a null text holds none.
     """
-    def runs(size: int) -> Column:  # every run, overlapping, in one pass over the text
-        return F.regexp_extract_all(F.col(text_col), F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-
-    leads = F.array_distinct(F.concat(*[runs(n) for n in range(1, LEAD + 1)]))
-    keyed = needles.filter(F.length(needle_col) > 0).withColumn("_lead", F.substring(needle_col, 1, LEAD))
-    if keys:
-        found = texts.select(*keys, F.explode(leads).alias("_lead")).join(keyed, "_lead").drop("_lead")
-        return texts.join(found, keys).filter(F.contains(F.col(text_col), F.col(needle_col)))
-    return (texts.withColumn("_lead", F.explode(leads))
-            .join(keyed, "_lead")
-            .filter(F.contains(F.col(text_col), F.col(needle_col)))
-            .drop("_lead"))
+    import pyarrow as pa
+
+    usable = dictionary.filter(F.length(needle_col) > 0)
+    total = usable.agg(F.sum(F.length(needle_col))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_CHARS))
+    entry = T.ArrayType(T.StructType(dictionary.schema.fields))
+    spark, rows = texts.sparkSession, texts
+    for block in range(blocks):
+        table = usable.filter(F.pmod(F.xxhash64(needle_col), F.lit(blocks)) == block).toArrow()  # BLOCK_CHARS bounds it
+        table = pa.Table.from_arrays(table.columns, schema=to_arrow_schema(dictionary.schema)).combine_chunks()
+        shared, name = spark.sparkContext.broadcast(table), uuid.uuid4().hex
+        schema = T.StructType([*texts.schema.fields, T.StructField(out, entry)])
+
+        def walk(batches, shared=shared, name=name):
+            import numpy as np
+
+            entries = pa.StructArray.from_arrays([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in shared.value.columns], fields=list(shared.value.schema))
+            built = _automaton(name, shared.value[needle_col].to_pylist())
+            for batch in batches:
+                found = [sorted({i for _, same in built.iter(x) for i in same}) if built and x else []
+                         for x in (v.as_py() for v in batch.column(text_col))]
+                ends = np.cumsum([0] + [len(f) for f in found])
+                hits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries.take(pa.array([i for f in found for i in f], pa.int64())))
+                yield pa.RecordBatch.from_arrays([*batch.columns, hits], [*batch.schema.names, out])
+
+        if block:
+            before = rows.withColumnRenamed(out, "_before")
+            wide = T.StructType([*before.schema.fields, T.StructField(out, entry)])
+            rows = before.mapInArrow(walk, wide).withColumn(out, F.concat("_before", out)).drop("_before")
+        else:
+            rows = rows.mapInArrow(walk, schema)
+        if block + 1 < blocks:
+            rows = cut_lineage(rows)  # one automaton at a time
+    return rows.withColumn(out, F.sort_array(out))
 
 
 # --- alias dictionary -------------------------------------------------------
@@ -153,21 +199,17 @@ def keyword_index(texts: DataFrame, keys: list[str], text_col: str, aliases: Dat
                   limit: int = fv.MAX_KEYWORDS) -> DataFrame:
     """One row per keyword of each text: `keys`, rank, keyword, type, weight.
 
-    A map-only job with the built-in dictionary, whose rows are fixed. A table of
-    aliases, of whatever size, is matched by an equi-join.
+    A map-only job: the built-in dictionary is a constant of the plan, and a table of
+    aliases is walked by automata, block by block.
     """
     normal = texts.select(*keys, tx.normalise(F.col(text_col)).alias("normal"))
     if aliases is None:
         hits = normal.withColumn("hits", alias_hits(F.col("normal"), BUILTIN_ROWS))
     else:
         usable = aliases.filter("alias_norm <> ''")
-        entry = F.struct("place", "alias", "alias_norm", "canonical", "canonical_norm", "kind", "boost")
         needles = usable.select("place", "alias", "alias_norm", F.col("canonical_name").alias("canonical"),
                                 "canonical_norm", F.col("alias_type").alias("kind"), "boost")
-        found = (substring_join(normal, "normal", needles, "alias_norm", keys)
-                 .groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("hits")))
-        hits = normal.join(found, keys, "left").withColumn(
-            "hits", F.coalesce("hits", F.array().cast(found.schema["hits"].dataType)))
+        hits = contained_rows(normal, "normal", needles, "alias_norm")
     ranked = hits.select(*keys, tx.terms_of_normal(F.col("normal")).alias("terms"), "hits").select(
         *keys, F.posexplode(keyword_array(F.col("terms"), F.col("hits"), limit)).alias("at", "k"))
     return ranked.select(

@@ -36,6 +36,25 @@ def test_preview_and_search(spark):
     assert hits.filter(tx.contains_search("report_1", F.col("f"))).count() == 1
 
 
+def test_contained_rows_in_one_block_and_in_many(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    needles = [(i, "".join(rng.choice("ab 中") for _ in range(rng.randint(1, 4)))) for i in range(60)] + [(60, ""), (61, None), (62, "aaaaaaaaaaaaaaaaaaaa")]
+    texts = [(i, "".join(rng.choice("ab 中") for _ in range(rng.randint(0, 12))), i) for i in range(200)] + [(200, None, 0), (201, "a" * 50_000, 0)]
+    dictionary = spark.createDataFrame(needles, "place int, word string")
+    rows = spark.createDataFrame(texts, "id int, t string, place int").repartition(4)
+    want = {i: [n for n in needles if n[1] and n[1] in (x or "")] for i, x, _ in texts}
+    for room in (tm.BLOCK_CHARS, 20):
+        monkeypatch.setattr(tm, "BLOCK_CHARS", room)
+        got = {r["id"]: [tuple(h) for h in r["hits"]] for r in tm.contained_rows(rows, "t", dictionary, "word").collect()}
+        assert got == want
+    assert {len(r["hits"]) for r in tm.contained_rows(rows, "t", dictionary.limit(0), "word").collect()} == {0}
+    assert tm.contained_rows(rows.limit(0), "t", dictionary, "word").collect() == []
+    plan = tm.contained_rows(rows, "t", dictionary, "word")._jdf.queryExecution().toString()
+    assert "Join" not in plan
+
+
 def test_expand_terms(spark):
     terms = spark.createDataFrame([(1, 0, "마일스톤"), (1, 1, "적응증"), (2, 0, "other")], "query_id int, pos int, term string")
     out = tm.expand_terms(terms, tm.alias_rows(spark), ["query_id"]).orderBy("query_id", "pos").collect()
