@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 from collections.abc import Iterator
 
@@ -81,12 +82,20 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+#: What this worker keeps from one task to the next, by operator.
+KEPT: dict[str, dict] = {}
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES, rows: int = SLICE_ROWS, keep: str = "") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Consecutive rows with at most `size` bytes of text (one row, if it has more) and at most `rows` rows.
 
-    Only the texts of one slice are Python objects at a time. At the end what the
-    allocators keep for later goes back: workers live on and serve other stages.
+    Only the texts of one slice are Python objects at a time. Workers live on and serve
+    other stages, so a task first lets go of what other operators than `keep` have left in
+    its worker, and of what the allocators hold back.
     """
+    for name in [n for n in KEPT if n != keep]:
+        del KEPT[name]
+    _give_back()
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
@@ -100,6 +109,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES
 
 
 def _give_back() -> None:
+    gc.collect()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         ctypes.CDLL(None).malloc_trim(0)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import hash_words, slices
+from leafmill.llm.common import KEPT, hash_words, slices
 from leafmill.session import cut_lineage
 
 CAPACITY = 2048
@@ -27,7 +27,6 @@ KNOWN_WORDS, KNOWN_PARTS, TOGETHER = 1_500_000, 300_000, 4000
 #: How this vocabulary cuts lower-cased ASCII words, parted by blanks, before it looks for tokens; a blank is a part too.
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 ]+| ")
 
-_STATE: dict = {}
 
 
 def _no_parts() -> list:
@@ -40,8 +39,10 @@ def _no_words() -> dict:
     return {"known": np.zeros(0, np.uint64), "first": np.zeros(0, np.int64), "count": np.zeros(0, np.int32), "ids": np.zeros(0, np.uint32)}
 
 
-def _tokenizer(path: str):
-    if _STATE.get("path") != path:
+def _state(path: str) -> dict:
+    """The tokenizer and what it has told so far; a worker keeps one."""
+    state = KEPT.setdefault("packing", {})
+    if state.get("path") != path:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task uses its own core
@@ -51,10 +52,9 @@ def _tokenizer(path: str):
         vocabulary = tokenizer.get_vocab()
         last = np.zeros(1 + max(vocabulary.values()), bool)
         last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        _STATE.clear()
-        _STATE.update(path=path, tokenizer=tokenizer, last=last, parts=_no_parts())
-        _STATE.update(_no_words())
-    return _STATE["tokenizer"]
+        state.clear()
+        state.update(path=path, tokenizer=tokenizer, last=last, parts=_no_parts(), **_no_words())
+    return state
 
 
 def _encode_apart(parts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -63,14 +63,14 @@ def _encode_apart(parts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     A part of an ASCII word ends with a token that ends a word, its only one; tokens of
     other words are told apart by where they lie.
     """
-    tokenizer, ids, counts = _tokenizer(path), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    state, ids, counts = _state(path), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
     for i in range(0, len(parts), TOGETHER):
         some = parts[i:i + TOGETHER]
         text = " ".join(some)
-        made = tokenizer.encode(text, add_special_tokens=False)
+        made = state["tokenizer"].encode(text, add_special_tokens=False)
         ids.append(np.array(made.ids, dtype=np.uint32))
         if text.isascii():
-            ends = np.flatnonzero(_STATE["last"][ids[-1]]) + 1
+            ends = np.flatnonzero(state["last"][ids[-1]]) + 1
             counts.append(np.diff(ends, prepend=0))
         else:
             starts = np.cumsum([0] + [len(p) + 1 for p in some[:-1]])
@@ -85,23 +85,23 @@ def _encode(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     ASCII words are lower-cased and cut as the vocabulary does, and each part is encoded
     once: `Word,` and `word` share one. Other words are parts of their own.
     """
-    _tokenizer(path)
+    state = _state(path)
     plain = np.array([w.isascii() for w in words], bool)
     parts = _PARTS.findall(" ".join([w for w, p in zip(words, plain.tolist()) if p]).lower())
     others = [w for w, p in zip(words, plain.tolist()) if not p]
-    known = _STATE["parts"][0]
+    known = state["parts"][0]
     fresh = [sorted(set(x).difference(known)) for x in (parts, others)]
     if len(known) + sum(map(len, fresh)) > KNOWN_PARTS:
-        _STATE["parts"] = _no_parts()
+        state["parts"] = _no_parts()
         fresh = [sorted(set(x).difference(" ")) for x in (parts, others)]
-    number, first, count, held = _STATE["parts"]
+    number, first, count, held = state["parts"]
     for some in fresh:
         if some:
             ids, counts = _encode_apart(some, path)
             number.update(zip(some, range(len(number), len(number) + len(some))))
             first = np.concatenate([first, len(held) + np.cumsum(counts) - counts])
             count, held = np.concatenate([count, counts]), np.concatenate([held, ids])
-    _STATE["parts"] = [number, first, count, held]
+    state["parts"] = [number, first, count, held]
     at = np.array([number[p] for p in parts], np.int64)
     word = np.concatenate([np.flatnonzero(plain)[np.cumsum(at == 0)] if len(at) else np.zeros(0, np.int64), np.flatnonzero(~plain)])
     at = np.concatenate([at, np.array([number[p] for p in others], np.int64)])
@@ -121,28 +121,28 @@ def token_ids(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     tokens never cross white space (tests compare the two).
     """
     owner, starts, ends, hashes, data = hash_words(texts, keep_case=True)
-    _tokenizer(path)
+    state = _state(path)
     distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    known = _STATE["known"]
+    known = state["known"]
     at = np.minimum(np.searchsorted(known, distinct), max(0, len(known) - 1))
     fresh = np.flatnonzero(known[at] != distinct) if len(known) else np.arange(len(distinct))
     if len(fresh):
         if len(known) + len(fresh) > KNOWN_WORDS:  # start anew with this slice's words
             fresh = np.arange(len(distinct))
-            _STATE.update(_no_words())
+            state.update(_no_words())
         raw = data.tobytes()
         ids, counts = _encode([raw[starts[i]:ends[i]].decode() for i in first[fresh]], path)
-        begin = len(_STATE["ids"]) + np.cumsum(counts) - counts
-        place = np.searchsorted(_STATE["known"], distinct[fresh])
-        _STATE.update(known=np.insert(_STATE["known"], place, distinct[fresh]), first=np.insert(_STATE["first"], place, begin),
-                      count=np.insert(_STATE["count"], place, counts), ids=np.concatenate([_STATE["ids"], ids]))
-        at = np.searchsorted(_STATE["known"], distinct)
-    first, count = _STATE["first"][at][inverse], _STATE["count"][at][inverse].astype(np.int64)
+        begin = len(state["ids"]) + np.cumsum(counts) - counts
+        place = np.searchsorted(state["known"], distinct[fresh])
+        state.update(known=np.insert(state["known"], place, distinct[fresh]), first=np.insert(state["first"], place, begin),
+                      count=np.insert(state["count"], place, counts), ids=np.concatenate([state["ids"], ids]))
+        at = np.searchsorted(state["known"], distinct)
+    first, count = state["first"][at][inverse], state["count"][at][inverse].astype(np.int64)
     total = int(count.sum())
     ends_at = np.cumsum(count)
     source = np.arange(total) + np.repeat(first - ends_at + count, count)
     out = np.zeros(total + len(texts), np.uint32)
-    out[np.arange(total) + np.repeat(owner, count)] = _STATE["ids"][source]
+    out[np.arange(total) + np.repeat(owner, count)] = state["ids"][source]
     return out, np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64) + 1
 
 
@@ -155,7 +155,7 @@ def pieces_of(documents: DataFrame, vocabulary: str, capacity: int = CAPACITY, i
     kind = dict(documents.dtypes)[ident]
 
     def run(batches):
-        for rows, texts in slices(batches, text):
+        for rows, texts in slices(batches, text, keep="packing"):
             ids, lengths = token_ids(texts, vocabulary)
             raw, begins = ids.astype("<u4").tobytes(), np.cumsum(lengths) - lengths
             pieces = -(-lengths // capacity)

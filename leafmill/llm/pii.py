@@ -16,6 +16,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from leafmill.llm.common import slices
+
 #: Key used when the caller names none; a deployment passes its own.
 TEST_KEY = b"leafmill-test-key"
 KINDS = ("secret", "email", "phone", "ip", "card", "iban", "ssn", "date")
@@ -207,7 +209,7 @@ def pseudonymise_documents(documents: DataFrame, key: bytes = TEST_KEY, ident: s
     kind = dict(documents.dtypes)[ident]
 
     def run(batches):
-        for batch in batches:
+        for batch, _ in slices(batches, text):
             made, found = [], []
             for t in batch.column(1).to_pylist():
                 new, counts = (None, {}) if t is None else pseudonymise(t, key)
@@ -227,7 +229,7 @@ def replace_personal_data(documents: DataFrame, key: bytes = TEST_KEY, text: str
     at = documents.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch, _ in slices(batches, text):
             made = [None if t is None else pseudonymise(t, key)[0] for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, text, pa.array(made, batch.schema.field(at).type))
 
