@@ -16,7 +16,7 @@ from leafmill.llm.near_copies import one_of_each
 from leafmill.llm.packing import pack_documents
 from leafmill.llm.pii import replace_personal_data
 from leafmill.llm.quality import fit_quality, keep_good
-from leafmill.llm.queries import vocabulary
+from leafmill.llm.queries import PSEUDONYM_KEY, vocabulary
 from leafmill.session import cut_lineage
 
 
@@ -38,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes pseudonyms; n_chars follows the text."""
-    changed = replace_personal_data(docs)
+    changed = replace_personal_data(docs, PSEUDONYM_KEY)
     return changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else changed
 
 
