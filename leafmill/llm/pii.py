@@ -18,8 +18,6 @@ from pyspark.sql import DataFrame
 
 from leafmill.llm.common import slices
 
-#: Key used when the caller names none; a deployment passes its own.
-TEST_KEY = b"leafmill-test-key"
 KINDS = ("secret", "email", "phone", "ip", "card", "iban", "ssn", "date")
 _ROUNDS = 8
 _LATIN = "".join(chr(c) for c in range(0xE0, 0x100) if c != 0xF7)
@@ -175,7 +173,7 @@ _NUMBER = re.compile(
     r"|(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}(?P<c1>[ -])\d{4}(?P=c1)\d{4}(?P=c1)\d{1,7}|\d{4}(?P<c2>[ -])\d{6}(?P=c2)\d{5})(?!\w))", re.ASCII)
 
 
-def pseudonymise(text: str, key: bytes = TEST_KEY, back: bool = False) -> tuple[str, dict[str, int]]:
+def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with each validated value replaced, and how many of each kind."""
     counts: dict[str, int] = {}
 
@@ -200,7 +198,7 @@ def pseudonymise(text: str, key: bytes = TEST_KEY, back: bool = False) -> tuple[
 _DIGITS = re.compile(r"\d")
 
 
-def pseudonymise_documents(documents: DataFrame, key: bytes = TEST_KEY, ident: str = "doc_id", text: str = "text") -> DataFrame:
+def pseudonymise_documents(documents: DataFrame, key: bytes, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, text, n_<kind> for each kind, n_values) of every row: map-only, each text whole.
 
     A null text stays null with no values; other columns are not read. Values are
@@ -224,7 +222,7 @@ def pseudonymise_documents(documents: DataFrame, key: bytes = TEST_KEY, ident: s
     return documents.select(ident, text).mapInArrow(run, f"{ident} {kind}, {text} string, {columns}, n_values long")
 
 
-def replace_personal_data(documents: DataFrame, key: bytes = TEST_KEY, text: str = "text") -> DataFrame:
+def replace_personal_data(documents: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """`documents` with the values in `text` replaced; all other columns as they were. Null stays null."""
     at = documents.columns.index(text)
 

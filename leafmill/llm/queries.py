@@ -16,7 +16,7 @@ from leafmill.llm.near_copies import near_copies
 from leafmill.llm.packing import pack_documents
 from leafmill.llm.page_text import extract_pages
 from leafmill.llm.periodic_runs import periodic_runs, repeat_tails, run_columns
-from leafmill.llm.pii import TEST_KEY, pseudonymise_documents
+from leafmill.llm.pii import pseudonymise_documents
 from leafmill.llm.quality import fit_quality, score_quality
 from leafmill.llm.spelling_variants import count_words, spelling_variants
 from leafmill.llm.suffix_dedup import remove_repeats
@@ -56,7 +56,7 @@ def packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: The key of the pseudonyms in the query and the pipeline; a user brings one of their own.
-PSEUDONYM_KEY = TEST_KEY
+PSEUDONYM_KEY = b"leafmill-test-key"
 
 
 @query("op6_feistel_pseudonyms")

@@ -40,7 +40,7 @@ OPERATORS = {
     "op3": lambda d, b: packing.pack_documents(d, vocabulary()),
     "op4": lambda d, b: fingerprints.edited_fingerprints(d),
     "op5": lambda d, b: toxicity.score_toxicity(d, None),
-    "op6": lambda d, b: pii.pseudonymise_documents(d),
+    "op6": lambda d, b: pii.pseudonymise_documents(d, b"k"),
     "op7": lambda d, b: near_copies.near_copies(d),
     "op8": lambda d, b: decontaminate.contamination_columns(decontaminate.find_contamination(d, b)),
     "op9": lambda d, b: lm_scores.score_texts(d, F.col("doc_id") < 5),
