@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import standins as s
 from checks.registry import part, query, sql
+from leafmill.functions import fixed_values as fv
 from leafmill.functions import text as tx
 from leafmill.operators import blocks as bk
 from leafmill.operators import chunks as ck
@@ -88,6 +89,52 @@ def d5(spark, sf):
         F.sha2(F.array_join("p", ""), 256).alias("joined_hash"))
 
 
+SEPARATOR_LIST = "[" + ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in [*fv.SEPARATORS, ""]) + "]"
+
+
+def recursive_parts(name: str, source: str, row: str, text: str, size: int, overlap: int) -> str:
+    """Registers the pieces (row, path, at, piece) of the texts of `source`: a row's pieces in the order of (path, place)."""
+    long = f"({s.sql_tokens('x')}) >= {size}"
+    child = f"""
+      SELECT {row}, list_append(path, i) AS path, k + 1 AS k, x, {long} AS long FROM (
+        SELECT {row}, path, k, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM (
+          SELECT {row}, path, k, list_filter(CASE WHEN seps[k] = '' THEN string_split(x, '') ELSE list_transform(
+            string_split(x, seps[k]), lambda y, i: CASE WHEN i = 1 THEN y ELSE seps[k] || y END) END, lambda y: y <> '') AS xs FROM (
+            SELECT *, list_filter(range(k0, {len(fv.SEPARATORS) + 2}), lambda i: seps[i] = '' OR contains(x, seps[i]))[1] AS k FROM """
+    part(f"{name}_parts", f"""RECURSIVE
+      {child} (SELECT {row}, []::BIGINT[] AS path, 1 AS k0, {text} AS x, {SEPARATOR_LIST} AS seps FROM {source}))))
+      UNION ALL
+      {child} (SELECT {row}, path, k AS k0, x, {SEPARATOR_LIST} AS seps FROM {name}_parts WHERE long AND k <= {len(fv.SEPARATORS) + 1}))))""")
+    part(f"{name}_runs", f"""
+      SELECT {row}, parent, list(x ORDER BY path) AS xs, min(path) AS path,
+             list_prepend(0::BIGINT, list_transform(list(tokens ORDER BY path), lambda t, i: list_sum(list(tokens ORDER BY path)[1:i])::BIGINT)) AS sums FROM (
+        SELECT *, path[1:len(path) - 1] AS parent, ({s.sql_tokens('x')})::BIGINT AS tokens,
+               count(*) FILTER (long) OVER (PARTITION BY {row}, path[1:len(path) - 1] ORDER BY path) AS grp FROM {name}_parts)
+      WHERE NOT long GROUP BY {row}, parent, grp""", f"{name}_parts")
+    end = f"list_filter(range(i0 + 1, len(xs) + 1), lambda i: sums[i + 1] - sums[a] > {size})[1]"
+    part(f"{name}_cuts", f"""RECURSIVE
+      SELECT *, {end} AS e FROM (SELECT *, 1::BIGINT AS a, 1::BIGINT AS i0 FROM {name}_runs)
+      UNION ALL
+      SELECT {row}, parent, xs, path, sums, a, i0, {end} AS e FROM (
+        SELECT {row}, parent, xs, path, sums, e AS i0, list_filter(range(a, e + 1), lambda j: NOT (sums[e] - sums[j] > {overlap}
+          OR (sums[e] - sums[j] > 0 AND sums[e + 1] - sums[j] > {size})))[1] AS a FROM {name}_cuts WHERE e IS NOT NULL)""", f"{name}_runs")
+    part(name, f"""
+      SELECT {row}, path, a AS place, piece FROM (
+        SELECT *, {s.sql_strip("array_to_string(list_slice(xs, a, coalesce(e - 1, len(xs))), '')")} AS piece FROM {name}_cuts) WHERE piece <> ''""", f"{name}_cuts")
+    return name
+
+
+recursive_parts("doc_pieces", "documents", "doc_id", "text", 128, 24)
+
+
+@query("d5_recursive_split", sql("doc_pieces", body="""
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY path, place) - 1 AS pos, piece FROM doc_pieces"""))
+def d5b(spark, sf):
+    """Overlapping pieces, cut by cut; texts that fit are only stripped."""
+    rows = ck.split_recursively(t(spark, sf, "documents").select("doc_id", F.array("text").alias("pieces")), "pieces", 128, 24, whole=False)
+    return rows.select("doc_id", F.posexplode("pieces").alias("pos", "piece")).withColumn("pos", F.col("pos").cast("long"))
+
+
 @query("d6_token_chunks", sql("chunks", body="SELECT doc_id, chunk_idx, content, token_cnt::BIGINT AS token_cnt FROM chunks"))
 def d6a(spark, sf):
     return counted(ck.chunk_texts(t(spark, sf, "documents"), ["doc_id"], "text", strategy="token"))
@@ -115,6 +162,25 @@ def d6b(spark, sf):
     return counted(ck.chunk_texts(s.sentences(spark, sf), ["doc_id"], "text", strategy="hybrid", size=100, overlap=20))
 
 
+def sql_recursive_pieces(name: str, source: str, keys: str, text: str, order: str, size: int, overlap: int) -> tuple[str, str]:
+    """(the part to name, pieces of each text: whole if it fits, else overlapping ones; numbered per document)."""
+    part(f"{name}_given", f"SELECT *, row_number() OVER (ORDER BY doc_id, {order}) AS rid FROM {source}")
+    recursive_parts(f"{name}_split", f"(SELECT * FROM {name}_given WHERE {s.sql_tokens(text)} > {size})", "rid", text, size, overlap)
+    return f"{name}_split", f"""
+  SELECT {keys}, row_number() OVER (PARTITION BY doc_id ORDER BY {order}, path, place) - 1 AS chunk_idx, content,
+         ({s.sql_tokens('content')})::BIGINT AS token_cnt FROM (
+    SELECT {keys}, {order}, []::BIGINT[] AS path, 0::BIGINT AS place, {text} AS content FROM {name}_given WHERE {s.sql_tokens(text)} BETWEEN 1 AND {size}
+    UNION ALL SELECT {keys}, {order}, path, place, piece FROM {name}_split JOIN {name}_given USING (rid))"""
+
+
+SECTIONS = sql_recursive_pieces("section", "merged_sections", "doc_id", "section", "pos", 100, 20)
+
+
+@query("d6_recursive_chunks", sql("merged_sections", "section_given", SECTIONS[0], body=SECTIONS[1]))
+def d6c(spark, sf):
+    return counted(ck.chunk_texts(s.sentences(spark, sf), ["doc_id"], "text", strategy="hybrid", size=100, overlap=20, splitter="recursive"))
+
+
 def page_line_blocks(spark, sf):
     """A block per line of a document, typed by its language."""
     lines = F.posexplode(F.split("text", "\n")).alias("block_idx", "source_text")
@@ -134,6 +200,17 @@ def d7(spark, sf):
     return counted(rows.select("doc_id", "chunk_type", F.col("page_number").cast("long").alias("page_number"), "chunk_idx", "content", "token_cnt"))
 
 
+LINES = sql_recursive_pieces("line", "(SELECT doc_id, block_type AS chunk_type, block_idx, page_number, source_text FROM blocks_by_line)",
+                             "doc_id, chunk_type, page_number", "source_text", "block_idx", 40, 8)
+
+
+@query("d7_recursive_block_chunks", sql("blocks_by_line", "line_given", LINES[0], body=f"""
+  SELECT doc_id, chunk_type, page_number::BIGINT AS page_number, chunk_idx, content, token_cnt FROM ({LINES[1]})"""))
+def d7b(spark, sf):
+    rows = ck.chunk_blocks(page_line_blocks(spark, sf), 40, 8, "recursive")
+    return counted(rows.select("doc_id", "chunk_type", F.col("page_number").cast("long").alias("page_number"), "chunk_idx", "content", "token_cnt"))
+
+
 @query("d8_chunk_numbering", sql("line_chunks", body="""
   SELECT doc_id, count(*) AS n, min(chunk_idx) AS first, max(chunk_idx) AS last, sum(chunk_idx * token_cnt)::BIGINT AS weighted FROM line_chunks GROUP BY 1"""))
 def d8(spark, sf):
@@ -154,6 +231,20 @@ def d9(spark, sf):
     return rows.select("doc_id", "chunk_type", F.col("chunk_idx").cast("long").alias("chunk_idx"), "content")
 
 
+SPANISH = sql_recursive_pieces("spanish", "(SELECT doc_id, 0 AS pos, " + s.sql_strip("text") + " AS section FROM documents WHERE lang = 'es')",
+                               "doc_id", "section", "pos", 40, 8)
+
+
+@query("d9_recursive_chunk_path", sql("blocks_by_line", "line_given", LINES[0], "spanish_given", SPANISH[0], body=f"""
+  SELECT doc_id, chunk_type, chunk_idx, content FROM ({LINES[1]}) WHERE chunk_type <> 'es'
+  UNION ALL
+  SELECT doc_id, 'text', chunk_idx, content FROM ({SPANISH[1]})"""))
+def d9b(spark, sf):
+    blocks = page_line_blocks(spark, sf).filter("block_type <> 'es'")
+    rows = ck.chunk_documents(t(spark, sf, "documents"), blocks, "text", size=40, overlap=8, splitter="recursive", strategy="token")
+    return rows.select("doc_id", "chunk_type", F.col("chunk_idx").cast("long").alias("chunk_idx"), "content")
+
+
 # --- terms ----------------------------------------------------------------------
 
 @query("e1_normalise", f"SELECT doc_id, {s.sql_norm('text')} AS normal FROM documents")

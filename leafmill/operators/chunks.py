@@ -101,6 +101,74 @@ def separator_split(text: Column, size: int = fv.CHUNK_SIZE) -> Column:
     return F.flatten(F.transform(pieces, lambda p: F.when(too_long(p), by_length(p)).otherwise(F.array(p))))
 
 
+def _windows(parts: list[str], size: int, overlap: int, length) -> list[str]:
+    """Neighbouring parts joined while they fit; a new window starts with the last parts of the one before, up to `overlap` tokens of them."""
+    sizes = [length(p) for p in parts]
+    out, first, held = [], 0, 0
+    for i, more in enumerate(sizes):
+        if i > first and held + more > size:
+            out.append("".join(parts[first:i]))
+            while held > overlap or (held and held + more > size):
+                held -= sizes[first]
+                first += 1
+        held += more
+    if parts:
+        out.append("".join(parts[first:]))
+    return [w for w in (w.strip() for w in out) if w]
+
+
+def _recursive(text: str, separators: list[str], size: int, overlap: int, length) -> list[str]:
+    """Windows of the parts between the strongest separator that occurs; parts that do not fit are cut by the weaker ones."""
+    at = next((k for k, mark in enumerate(separators) if mark in text), len(separators))
+    if at == len(separators):
+        parts, weaker = list(text), None
+    else:
+        mark, weaker = separators[at], separators[at + 1:]
+        head, *tail = text.split(mark)
+        parts = [p for p in (head, *(mark + x for x in tail)) if p]
+    out, fitting = [], []
+    for part in parts:
+        if length(part) < size or weaker is None:
+            fitting.append(part)
+            continue
+        out += _windows(fitting, size, overlap, length)
+        fitting = []
+        out += _recursive(part, weaker, size, overlap, length)
+    return out + _windows(fitting, size, overlap, length)
+
+
+def split_recursively(df: DataFrame, column: str, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP, whole: bool = True) -> DataFrame:
+    """`df` with the array of texts in `column` replaced by the array of their overlapping pieces, in order.
+
+    Texts are cut at the strongest separator that occurs (SEPARATORS, then single
+    characters), and a part that does not fit by the weaker ones. A separator stays with
+    the part after it, and pieces are stripped; empty ones go. Of a piece its last whole
+    parts, up to `overlap` tokens, open the next one. With `whole`, a text that fits is one
+    piece as it stands. The cuts depend on each other from part to part, which no built-in
+    function carries on, so rows go through Arrow. Null counts as no texts.
+    """
+    separators, at = list(fv.SEPARATORS), df.columns.index(column)
+
+    def length(text):
+        n = len(text.strip())
+        return max(1, n // 4) if n else 0
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for given in batch.column(at):
+                pieces: list[str] = []
+                for text in given.as_py() or ():
+                    if text and text.strip():
+                        pieces += [text] if whole and length(text) <= size else _recursive(text, separators, size, overlap, length)
+                out.append(pieces)
+            yield batch.set_column(at, column, pa.array(out, pa.list_(pa.string())))
+
+    return df.mapInArrow(cut, df.schema)
+
+
 def split_long(text: Column, size: int, overlap: int, splitter: str) -> Column:
     if splitter == "separators":
         long = F.filter(F.transform(separator_split(text, size), tx.strip), lambda p: p != "")
@@ -109,22 +177,33 @@ def split_long(text: Column, size: int, overlap: int, splitter: str) -> Column:
     return F.when(tx.token_length(text) <= size, F.array(text)).otherwise(long)
 
 
+def text_sections(text: Column, strategy: str = "hybrid", min_tokens: int = fv.MIN_SECTION_TOKENS) -> Column:
+    """What of a text is cut apart: itself for strategy `token`, else its sections, small ones merged."""
+    text = F.coalesce(text, F.lit(""))
+    if strategy.lower().strip() == "token":
+        return F.filter(F.array(tx.strip(text)), lambda s: s != "")
+    return merge_small(structural_sections(text), min_tokens)
+
+
 def text_chunks(text: Column, strategy: str = "hybrid", size: int = 0, overlap: int = 0,
                 min_tokens: int = fv.MIN_SECTION_TOKENS, splitter: str = "windows") -> Column:
-    """The chunks of a whole text as an array. 0 for size or overlap means the default."""
+    """The chunks of a whole text as an array. 0 for size or overlap means the default; `recursive` needs `chunk_texts`."""
+    if splitter not in ("windows", "separators"):
+        raise ValueError("splitter must be windows or separators")
     size, overlap = size or fv.CHUNK_SIZE, overlap or fv.CHUNK_OVERLAP
-    text = F.coalesce(text, F.lit(""))
-    if strategy.lower().strip() == "token":
-        sections = F.filter(F.array(tx.strip(text)), lambda s: s != "")
-    else:
-        sections = merge_small(structural_sections(text), min_tokens)
+    sections = text_sections(text, strategy, min_tokens)
     return F.flatten(F.transform(sections, lambda s: split_long(s, size, overlap, splitter)))
 
 
-def chunk_texts(docs: DataFrame, keys: list[str], text_col: str, **params) -> DataFrame:
-    """`keys`, chunk_idx, content, token_cnt: one row per chunk, a map-only job."""
-    parts = F.posexplode(text_chunks(F.col(text_col), **params)).alias("chunk_idx", "content")
-    return docs.select(*keys, parts).withColumn("token_cnt", tx.token_length(F.col("content")))
+def chunk_texts(docs: DataFrame, keys: list[str], text_col: str, splitter: str = "windows", **params) -> DataFrame:
+    """`keys`, chunk_idx, content, token_cnt: one row per chunk, a map-only job. `splitter`: windows, separators or recursive."""
+    if splitter == "recursive":
+        given = {k: v for k, v in params.items() if k in ("strategy", "min_tokens")}
+        cut = split_recursively(docs.select(*keys, text_sections(F.col(text_col), **given).alias("_pieces")), "_pieces",
+                                params.get("size") or fv.CHUNK_SIZE, params.get("overlap") or fv.CHUNK_OVERLAP)
+    else:
+        cut = docs.select(*keys, text_chunks(F.col(text_col), splitter=splitter, **params).alias("_pieces"))
+    return cut.select(*keys, F.posexplode("_pieces").alias("chunk_idx", "content")).withColumn("token_cnt", tx.token_length(F.col("content")))
 
 
 BLOCK_FIELDS = ["page_number", "sheet_name", "slide_number", "section_path", "language"]
@@ -136,8 +215,10 @@ def chunk_blocks(blocks: DataFrame, size: int = 0, overlap: int = 0, splitter: s
     size, overlap = size or fv.CHUNK_SIZE, overlap or fv.CHUNK_OVERLAP
     body = blocks.withColumn("_text", tx.strip(F.coalesce("source_text", F.lit("")))).filter("_text <> ''")
     fields = [c for c in BLOCK_FIELDS if c in blocks.columns]
-    parts = body.select(doc, "block_idx", F.col("block_type").alias("chunk_type"), *fields,
-                        F.posexplode(split_long(F.col("_text"), size, overlap, splitter)).alias("part", "content"))
+    own = [doc, "block_idx", F.col("block_type").alias("chunk_type"), *fields]
+    cut = (split_recursively(body.select(*own, F.array("_text").alias("_pieces")), "_pieces", size, overlap) if splitter == "recursive"
+           else body.select(*own, split_long(F.col("_text"), size, overlap, splitter).alias("_pieces")))
+    parts = cut.select(*[c for c in cut.columns if c != "_pieces"], F.posexplode("_pieces").alias("part", "content"))
     parts = parts.filter("content <> ''").withColumn("_bucket", position_bucket(F.col("block_idx")))
     numbered = number_within(parts, [doc], ["block_idx", "part"], "_bucket", "chunk_idx")
     return numbered.withColumn("token_cnt", tx.token_length(F.col("content"))).drop("_bucket", "part")

@@ -36,6 +36,28 @@ def test_preview_and_search(spark):
     assert hits.filter(tx.contains_search("report_1", F.col("f"))).count() == 1
 
 
+def recursive(spark, texts, size, overlap, whole=True):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t array<string>")
+    return [r["t"] for r in ck.split_recursively(df, "t", size, overlap, whole).orderBy("i").collect()]
+
+
+def test_recursive_split(spark):
+    words = " ".join(f"word{i:04d}" for i in range(40))  # two tokens each, with the blank before
+    pieces = recursive(spark, [[words]], 10, 4)[0]
+    assert pieces[0] == " ".join(f"word{i:04d}" for i in range(5)) and pieces[1] == " ".join(f"word{i:04d}" for i in range(3, 8))
+    assert all(tx_length(p) <= 11 for p in pieces) and pieces[-1].endswith("word0039")
+    assert recursive(spark, [[words]], 10, 0)[0] == [" ".join(f"word{i:04d}" for i in range(k, k + 5)) for k in range(0, 40, 5)]
+    got = recursive(spark, [["aa\n\nbb" * 3, "x" * 100, " \n "], [], None, ["", "short"]], 8, 2)
+    assert got[0][0] == "aa\n\nbbaa\n\nbbaa\n\nbb" and got[1:] == [[], [], ["short"]]
+    assert got[0][1] == "xxxxxxxx" and got[0][-1].strip("x") == "" and sum(map(len, got[0][1:-1])) > 100  # single characters, with overlap
+    assert recursive(spark, [["One. Two! Three? " * 10]], 8, 3)[0][0].startswith("One. Two")
+
+
+def tx_length(text):
+    n = len(text.strip())
+    return max(1, n // 4) if n else 0
+
+
 def test_contained_rows_in_one_block_and_in_many(spark, monkeypatch):
     import random
 
