@@ -6,15 +6,18 @@ small row per bucket onward. So a key that holds a third of all rows is spread
 over as many tasks as it has buckets.
 
 Rows whose keys or bucket are null are kept: equal nulls make a group, and a null
-bucket comes first. Keys and bucket are compared as one struct, which is never null
-itself, so joins and windows share one shuffle.
+bucket comes first. Nulls stand as a default beside a flag, so keys are plain columns that
+joins and windows share one shuffle of, and the rows are read once.
 """
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql.window import WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 POSITIONS_PER_BUCKET = 4096
 
@@ -27,25 +30,40 @@ def position_bucket(position: Column, size: int = POSITIONS_PER_BUCKET) -> Colum
 RANGES = 256
 
 
-def _cell(keys: list[str], bucket: str) -> Column:
-    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate([*keys, bucket])])
+_DEFAULTS = {T.StringType: "", T.BooleanType: False, T.DateType: datetime.date(1970, 1, 1), T.TimestampType: datetime.datetime(1970, 1, 1),
+             **dict.fromkeys((T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType), 0)}
+
+
+def _with_cells(df: DataFrame, keys: list[str], bucket: str) -> tuple[DataFrame, list[str], list[str]]:
+    """(df dealt by cell, the columns of a group, those of a cell): one cell is a bucket of a group, none of the columns is null."""
+    columns, names = {}, []
+    for i, k in enumerate([*keys, bucket]):
+        kind = df.schema[k].dataType
+        default = _DEFAULTS.get(type(kind))
+        columns[f"_cell{i}"] = F.struct(k) if default is None else F.coalesce(F.col(k), F.lit(default).cast(kind))
+        names.append(f"_cell{i}")
+    nulls = [F.when(F.col(k).isNull(), 1 << i).otherwise(0) for i, k in enumerate(keys)]
+    columns["_nulls"] = sum(nulls[1:], nulls[0]) if nulls else F.lit(0)
+    columns["_placed"] = F.col(bucket).isNotNull()
+    group = [*names[:-1], "_nulls"]
+    return df.withColumns(columns).repartition(*group, "_placed", names[-1]), group, [*group, "_placed", names[-1]]
 
 
-def _cells_along(n: int) -> WindowSpec:
-    """The buckets of one key in order; `n` keys."""
-    return Window.partitionBy(*[f"_cell.k{i}" for i in range(n)]).orderBy(f"_cell.k{n}")
+def _cells_along(cell: list[str]) -> WindowSpec:
+    """The buckets of one group in order."""
+    return Window.partitionBy(*cell[:-2]).orderBy(*cell[-2:])
 
 
 def number_within(df: DataFrame, keys: list[str], order: list, bucket: str, out: str) -> DataFrame:
     """Number the rows of each group from 0 in `order`."""
-    df = df.withColumn("_cell", _cell(keys, bucket))
-    sizes = df.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    before = _cells_along(len(keys)).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_cell").orderBy(*order))
-    return (df.join(starts, "_cell")
+    df, _, cell = _with_cells(df, keys, bucket)
+    sizes = df.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    before = _cells_along(cell).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*cell).orderBy(*order))
+    return (df.join(starts, cell)
             .withColumn(out, (F.col("_start") + inside - 1).cast("long"))
-            .drop("_start", "_cell"))
+            .drop("_start", *cell))
 
 
 def nearest_in_order(df: DataFrame, keys: list[str], order: list[str], bucket: str, value: Column,
@@ -54,21 +72,21 @@ def nearest_in_order(df: DataFrame, keys: list[str], order: list[str], bucket: s
 
     Per bucket only its first and last value cross to other buckets.
     """
-    df = df.withColumn("_v", value).withColumn("_cell", _cell(keys, bucket))
+    df, _, cell = _with_cells(df.withColumn("_v", value), keys, bucket)
     place = F.when(F.col("_v").isNotNull(), F.struct(*order))
-    ends = df.groupBy("_cell").agg(F.min_by("_v", place).alias("_first"), F.max_by("_v", place).alias("_last"))
-    along = _cells_along(len(keys))
-    ends = ends.select("_cell", F.last("_last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+    ends = df.groupBy(*cell).agg(F.min_by("_v", place).alias("_first"), F.max_by("_v", place).alias("_last"))
+    along = _cells_along(cell)
+    ends = ends.select(*cell, F.last("_last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
                        F.first("_first", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
-    joined = df.join(ends, "_cell", "left")
-    inside = Window.partitionBy("_cell").orderBy(*order)
+    joined = df.join(ends, cell, "left")
+    inside = Window.partitionBy(*cell).orderBy(*order)
     if before:
         back = F.last("_v", True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
         joined = joined.withColumn(before, F.coalesce(back, F.col("_earlier")))
     if after:
         ahead = F.first("_v", True).over(inside.rowsBetween(0, Window.unboundedFollowing))
         joined = joined.withColumn(after, F.coalesce(ahead, F.col("_later")))
-    return joined.drop("_v", "_earlier", "_later", "_cell")
+    return joined.drop("_v", "_earlier", "_later", *cell)
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
