@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import fixed_values as fv
-from leafmill.functions.ordered import nearest_in_order
 from leafmill.operators import blocks as bk
 from leafmill.operators import chunks as ck
 from leafmill.operators import reports as rp
 from leafmill.operators import terms as tm
+from leafmill.operators.lockouts import lockouts, sign_in  # noqa: F401  (the batch form)
 from leafmill.operators.retrieval import chunk_key
 
 # --- ingest of new files ----------------------------------------------------
@@ -142,93 +142,29 @@ def stage_durations(starts: DataFrame, ends: DataFrame, within: str = "1 day") -
 
 # --- lockout after failed sign-ins --------------------------------------------
 
-LOCK_ROWS = "user_id long, ts timestamp, ord long, outcome string, failures int, locked_until timestamp"
-
-
-def _sign_in(failures_to_lock: int, minutes: int):
-    """One sign-in: (failures, locked_until, time, success) -> (failures, locked_until, outcome).
-
-    While locked, nothing counts. The end of a lock leaves the count as it was,
-    so one more failure locks again.
-    """
-    import pandas as pd
-    span = pd.Timedelta(minutes=minutes)
-
-    def step(failures, locked_until, at, success):
-        if locked_until is not None and locked_until > at:
-            return failures, locked_until, "rejected"
-        if success:
-            return 0, locked_until, "success"
-        failures += 1
-        if failures >= failures_to_lock:
-            return failures, at + span, "locked"
-        return failures, locked_until, "failure"
-
-    return step
-
-
-def lockouts(attempts: DataFrame, failures_to_lock: int = fv.LOCKOUT_FAILURES, minutes: int = fv.LOCKOUT_MINUTES) -> DataFrame:
-    """The outcome of every sign-in attempt (user_id, ts, ord, success).
-
-    The rule is sequential, but a success with no failure in the minutes a lock
-    lasts before it always leaves count 0 and no lock, whatever came earlier. So
-    a user's attempts are cut at such successes and the cuts are folded apart:
-    a user with very many attempts is spread over many tasks. Rows come sorted,
-    as a stream of Arrow batches that carries two values from row to row.
-    """
-    step = _sign_in(failures_to_lock, minutes)
-
-    def fold(batches):
-        import pandas as pd
-        part, failures, until = None, 0, None
-        for batch in batches:
-            out = []
-            for u, cut, ts, o, ok in zip(batch["user_id"], batch["cut"], batch["ts"], batch["ord"], batch["success"]):
-                if (u, cut) != part:
-                    part, failures, until = (u, cut), 0, None
-                failures, until, outcome = step(failures, until, ts, bool(ok))
-                out.append((u, ts, o, outcome, failures, until))
-            frame = pd.DataFrame(out, columns=["user_id", "ts", "ord", "outcome", "failures", "locked_until"])
-            frame["locked_until"] = pd.to_datetime(frame["locked_until"])
-            yield frame
-
-    rows = attempts.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "ord", "success").withColumn(
-        "_day", F.to_date("ts"))
-    rows = nearest_in_order(rows, ["user_id"], ["ts", "ord"], "_day", F.when(~F.col("success"), F.col("ts")), before="_failed")
-    calm = F.col("_failed").isNull() | (F.col("_failed") < F.col("ts") - F.expr(f"INTERVAL {minutes} MINUTES"))
-    rows = nearest_in_order(rows, ["user_id"], ["ts", "ord"], "_day", F.when(F.col("success") & calm, F.struct("ts", "ord")), before="_cut")
-    rows = rows.select("user_id", F.coalesce("_cut.ord", F.lit(-1)).alias("cut"), "ts", "ord", "success")
-    folded = (rows.repartition("user_id", "cut").sortWithinPartitions("user_id", "cut", "ts", "ord")
-              .mapInPandas(fold, LOCK_ROWS))
-    # a lock that is over stays on record until the next one, also across cuts
-    folded = folded.withColumn("_day", F.to_date("ts"))
-    lock = F.when(F.col("outcome") == "locked", F.col("locked_until"))
-    locks = folded.withColumn("_lock", lock).drop("locked_until")
-    return nearest_in_order(locks, ["user_id"], ["ts", "ord"], "_day", F.col("_lock"), before="locked_until").drop("_day", "_lock")
-
-
 def lockout_stream(attempts: DataFrame, failures_to_lock: int = fv.LOCKOUT_FAILURES,
                    minutes: int = fv.LOCKOUT_MINUTES) -> DataFrame:
-    """The same on a stream: the count and the lock of a user live in the state store."""
-    step = _sign_in(failures_to_lock, minutes)
+    """`lockouts` on a stream: the count and the lock of a user live in the state store.
+
+    Micro-batches must come in the order of time; inside one, rows are put in order.
+    """
+    limit, span = failures_to_lock, minutes * 60_000_000
 
     def update(key, batches, state):
         import pandas as pd
-        rows = pd.concat(list(batches)).sort_values(["ts", "ord"])  # one user's rows of one micro-batch
-        failures, until = state.get if state.exists else (0, None)
-        until = None if until is None else pd.Timestamp(until)
+        rows = pd.concat(list(batches)).sort_values(["t", "ord"])  # one user's rows of one micro-batch
+        now = state.get if state.exists else (0, None)
         out = []
-        for ts, o, ok in zip(rows["ts"], rows["ord"], rows["success"]):
-            failures, until, outcome = step(failures, until, ts, bool(ok))
-            out.append((key[0], ts, o, outcome, failures, until))
-        state.update((failures, None if until is None else until.to_pydatetime()))
-        frame = pd.DataFrame(out, columns=["user_id", "ts", "ord", "outcome", "failures", "locked_until"])
-        frame["locked_until"] = pd.to_datetime(frame["locked_until"])
-        yield frame
-
-    rows = attempts.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "ord", "success")
-    return rows.groupBy("user_id").applyInPandasWithState(
-        update, LOCK_ROWS, "failures int, locked_until timestamp", "append", "NoTimeout")
+        for t, o, ok in zip(rows["t"].tolist(), rows["ord"].tolist(), rows["success"].tolist()):
+            *now, outcome = sign_in(*now, t, bool(ok), limit, span)
+            out.append((key[0], t, o, outcome, *now))
+        state.update(tuple(now))
+        yield pd.DataFrame(out, columns=["user_id", "t", "ord", "outcome", "failures", "until"]).astype({"until": "Int64"})
+
+    rows = attempts.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "ord", "success")
+    done = rows.groupBy("user_id").applyInPandasWithState(
+        update, "user_id long, t long, ord long, outcome string, failures int, until long", "failures int, until long", "append", "NoTimeout")
+    return done.select("user_id", F.timestamp_micros("t").alias("ts"), "ord", "outcome", "failures", F.timestamp_micros("until").alias("locked_until"))
 
 
 def run_to_table(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:

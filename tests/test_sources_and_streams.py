@@ -116,6 +116,42 @@ def test_lockout_rule(spark):
     assert out == ["failure"] * 4 + ["locked", "rejected", "rejected", "locked", "locked", "success", "failure"]
 
 
+def test_lockouts_put_together_in_a_tree(spark, monkeypatch):
+    import random
+
+    from leafmill.operators import lockouts as lo
+
+    rng = random.Random(6)
+    for limit, span in ((1, 0), (2, 50), (3, 7), (5, 400)):
+        for _ in range(40):
+            n = rng.randint(1, 80)
+            times, marks = sorted(rng.randint(0, 400) for _ in range(n)), [rng.random() < .3 for _ in range(n)]
+            cuts = sorted({0, n, *(rng.randint(0, n) for _ in range(4))})
+            parts = [lo.stretch_of(times[a:b], marks[a:b], limit, span) for a, b in zip(cuts, cuts[1:])]
+            whole = parts[0]
+            for p in parts[1:]:
+                whole = whole.then(p)
+            for start in ((0, None), (7, None), (rng.randint(0, 6), times[0] + rng.randint(0, span))):
+                want, state = start, start
+                for t, ok in zip(times, marks):
+                    *want, _ = lo.sign_in(*want, t, ok, limit, span)
+                for p in parts:
+                    state = p.end(*state)
+                assert tuple(want) == tuple(state) == tuple(whole.end(*start))
+    monkeypatch.setattr(lo, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(lo, "FANOUT", 3)
+    rows = [(u, NOW + datetime.timedelta(minutes=rng.randint(0, 4000)), i, rng.random() < .25) for i, u in enumerate([1] * 500 + [2] * 60 + [None] * 40 + [3])]
+    schema = "user_id long, ts timestamp, ord long, success boolean"
+    got = {r.ord: (r.user_id, r.ts, r.outcome, r.failures, r.locked_until) for r in jb.lockouts(spark.createDataFrame(rows, schema).repartition(5), 3, 30).collect()}
+    states = {}
+    for u, ts, i, ok in sorted(rows, key=lambda r: (r[1], r[2])):
+        at = int((ts - NOW).total_seconds() * 1_000_000)
+        failures, until, outcome = lo.sign_in(*states.get(u, (0, None)), at, ok, 3, 30 * 60_000_000)
+        states[u] = failures, until
+        assert got.pop(i) == (u, ts, outcome, failures, None if until is None else NOW + datetime.timedelta(microseconds=until))
+    assert not got and jb.lockouts(spark.createDataFrame([], schema)).collect() == []
+
+
 def test_stream_equals_batch_over_several_files(spark, tmp_path):
     import random
     rng = random.Random(1)
