@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from checks import standins as s
 from checks.registry import part, query, sql
 from checks.standins import t
+from checks.wording import ranked, sql_keywords, sql_pieces
 from leafmill.session import shared_dir
 from leafmill.streaming import jobs as jb
 
@@ -92,13 +93,29 @@ def k1d(spark, sf):
     return rows.withColumns({c: F.col(c).cast("long") for c in ("block_idx", "page_number")})
 
 
-@query("k1_two_batches_keywords", sql("second_reading", "later_files", body="""
-  SELECT doc_id, 'second' AS keyword, 1 AS n FROM (SELECT doc_id FROM second_reading UNION ALL SELECT doc_id FROM later_files) WHERE doc_id % 3 = 0"""))
+# all chunks there are after both batches: of unchanged documents those of their blocks, of the others their new line
+part("first_chunks", sql_pieces("(SELECT doc_id, block_type AS chunk_type, block_idx, page_number, source_text FROM (SELECT * EXCLUDE (source_text), "
+                                + s.sql_strip("source_text") + " AS source_text FROM parsed_blocks))", "doc_id, chunk_type, page_number", "source_text", "block_idx", 512, 50), "parsed_blocks")
+part("ingested_chunks", f"""
+  SELECT doc_id * 16777216 + chunk_idx AS chunk_id, doc_id, chunk_idx, chunk_type, content, token_cnt FROM (
+    SELECT doc_id, chunk_idx, chunk_type, content, token_cnt FROM first_chunks WHERE doc_id IN (SELECT doc_id FROM second_reading WHERE doc_id % 3 > 0)
+    UNION ALL
+    SELECT doc_id, 0, 'text', line, {s.sql_tokens('line')} FROM (SELECT doc_id, 'second reading of ' || doc_id AS line FROM (
+      SELECT doc_id FROM second_reading UNION ALL SELECT doc_id FROM later_files) WHERE doc_id % 3 = 0))""", "first_chunks", "second_reading", "later_files")
+part("ingested_normal", f"SELECT chunk_id, {s.sql_norm('content')} AS normal FROM ingested_chunks", "ingested_chunks")
+
+
+@query("k1_two_batches_chunks", sql("ingested_chunks", body="SELECT * FROM ingested_chunks"))
 def k1e(spark, sf):
-    """Of the changed documents only the new words are left."""
-    rows = jb.current_rows(spark, two_batches(spark, sf), "keywords").filter("doc_id % 3 = 0")
-    kinds = rows.filter(~F.col("keyword").isin("reading", "of") & ~F.col("keyword").rlike("^[0-9]+$"))
-    return kinds.groupBy("doc_id", "keyword").agg(F.count(F.lit(1)).alias("n"))
+    rows = jb.current_rows(spark, two_batches(spark, sf), "chunks").select("chunk_id", "doc_id", "chunk_idx", "chunk_type", "content", "token_cnt")
+    return rows.withColumns({c: F.col(c).cast("long") for c in ("chunk_idx", "token_cnt")})
+
+
+@query("k1_two_batches_keywords", sql("ingested_chunks", "ingested_normal", "ranked_builtin", body=sql_keywords(
+    "ingested_chunks", "chunk_id", "content", "ranked_builtin").replace("normal JOIN", "ingested_normal JOIN")))
+def k1f(spark, sf):
+    """All keywords after both batches; of a changed document only those of its new line are left."""
+    return ranked(jb.current_rows(spark, two_batches(spark, sf), "keywords").drop("doc_id"))
 
 
 # --- K2 ---------------------------------------------------------------------------

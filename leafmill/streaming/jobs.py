@@ -40,17 +40,44 @@ def new_documents(files: DataFrame, known: DataFrame | None) -> DataFrame:
     return changed.select(*columns).unionByName(fresh.select(*columns))
 
 
+TABLES = ("documents", "blocks", "chunks", "keywords")
+
+
+def finished_batches(spark: SparkSession, target: str) -> DataFrame:
+    """(batch, n_documents) of the batches whose tables are all written: their marks are written last."""
+    return spark.read.schema("n_documents long, batch long").parquet(f"{target}/finished")
+
+
 def current_rows(spark: SparkSession, target: str, name: str) -> DataFrame:
-    """A table of the ingest as it stands: of each document the rows of its latest batch.
+    """A table of the ingest as it stands: of each document the rows of its latest finished batch.
 
     A changed file writes its document, blocks, chunks and keywords anew; what older
-    batches wrote of it is passed over.
+    batches wrote of it is passed over. A batch that is still being written, or that was
+    stopped, has no mark, so its tables become visible together or not at all.
     """
-    last = spark.read.parquet(f"{target}/documents").groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    rows = spark.read.parquet(f"{target}/{name}")
+    marks = finished_batches(spark, target).select("batch")
+    documents = spark.read.parquet(f"{target}/documents").withColumn("batch", F.col("batch").cast("long"))
+    last = documents.join(marks, "batch", "left_semi").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    rows = spark.read.parquet(f"{target}/{name}").withColumn("batch", F.col("batch").cast("long"))
     return rows.join(last, ["doc_id", "batch"], "left_semi").drop("batch")
 
 
+def compact_ingest(spark: SparkSession, target: str, compacted: str) -> None:
+    """Write the current rows of every table to `compacted` as one finished batch; the next ingest may go on from there.
+
+    Rows that later batches pass over, and batches without a mark, are left behind.
+    """
+    number = finished_batches(spark, target).agg(F.max("batch")).first()[0]
+    for name in TABLES:
+        current_rows(spark, target, name).write.mode("overwrite").parquet(f"{compacted}/{name}/batch={number}")
+    _mark(spark, compacted, number)
+
+
+def _mark(spark: SparkSession, target: str, number: int) -> None:
+    rows = spark.read.parquet(f"{target}/documents/batch={number}")
+    rows.agg(F.count(F.lit(1)).alias("n_documents")).write.mode("overwrite").parquet(f"{target}/finished/batch={number}")
+
+
 def ingest_tables(new: DataFrame) -> dict[str, DataFrame]:
     blocks = bk.finish_blocks(bk.parsed_blocks(new))
     chunks = ck.chunk_blocks(blocks).withColumn("chunk_id", chunk_key(F.col("doc_id"), F.col("chunk_idx")))
@@ -64,8 +91,8 @@ def ingest_tables(new: DataFrame) -> dict[str, DataFrame]:
 def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 1000):
     """Start the ingest of parsed files from `source` into tables under `target`.
 
-    A batch writes folders named by its number and compares itself only with
-    other batches, so a batch that runs again gives the same tables.
+    A batch writes folders named by its number, then its mark, and compares itself only
+    with other finished batches, so a batch that runs again gives the same tables.
     Removals cannot be seen by a file source; the batch comparison finds them.
     """
     files = spark.readStream.schema(FILES).option("maxFilesPerTrigger", files_per_batch).json(source)
@@ -76,9 +103,11 @@ def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str
         known = None
         if number > 0:
             known = spark.read.schema("path string, doc_id long, hash string, batch long").parquet(f"{target}/documents").filter(F.col("batch") < number)
+            known = known.join(finished_batches(spark, target).select("batch"), "batch", "left_semi")
         new = cut_lineage(new_documents(batch, known))
         for name, table in ingest_tables(new).items():
             table.write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
+        _mark(spark, target, number)
 
     return (files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -3,6 +3,8 @@ import hashlib
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from leafmill.operators import terms as tm
@@ -105,6 +107,28 @@ def test_ingest_stream(spark, tmp_path):
     assert batch["keywords"].count() == spark.read.parquet(f"{target}/keywords").count()
 
 
+def test_a_stopped_batch_shows_nothing(spark, tmp_path, monkeypatch):
+    source, target, progress, small = (str(tmp_path / n) for n in ("in", "out", "progress", "small"))
+    doc = lambda i, path, text: {"path": path, "doc_id": i, "markdown": text, "pages": [{"page_num": 1, "text": text}], "images": []}
+    write_json(source, "1.json", [doc(1, "/a", "first reading"), doc(2, "/b", "stays as it is")])
+    jb.ingest_stream(spark, source, target, progress).awaitTermination()
+    read = lambda at=target: {n: sorted(str(r) for r in jb.current_rows(spark, at, n).collect()) for n in jb.TABLES}
+    before = read()
+    write_json(source, "2.json", [doc(1, "/a", "second reading"), doc(3, "/c", "new here")])
+    tables = jb.ingest_tables
+    monkeypatch.setattr(jb, "ingest_tables", lambda new: {**dict(list(tables(new).items())[:2]), "chunks": new.select(F.raise_error(F.lit("stopped")).alias("x"))})
+    with pytest.raises(Exception, match="stopped"):
+        jb.ingest_stream(spark, source, target, progress).awaitTermination()
+    assert spark.read.parquet(f"{target}/documents").filter("batch = 1").count() == 2 and read() == before
+    monkeypatch.setattr(jb, "ingest_tables", tables)
+    jb.ingest_stream(spark, source, target, progress).awaitTermination()
+    after = read()
+    assert sorted((r.doc_id, r.path) for r in jb.current_rows(spark, target, "documents").collect()) == [(1, "/a"), (2, "/b"), (3, "/c")]
+    assert {r.content for r in jb.current_rows(spark, target, "chunks").collect()} == {"second reading", "stays as it is", "new here"}
+    jb.compact_ingest(spark, target, small)
+    assert read(small) == after and spark.read.parquet(f"{small}/documents").count() == 3
+
+
 def sign_ins(outcomes):
     return [(1, NOW + datetime.timedelta(minutes=m), i, ok) for i, (m, ok) in enumerate(outcomes)]
 
