@@ -164,6 +164,35 @@ def b9b(spark, sf):
     return sy.set_null(t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), gone, "l_suppkey", "s_suppkey")
 
 
+REFERENCES = [sy.Reference("nation", "n_regionkey", "region"), sy.Reference("customer", "c_nationkey", "nation"), sy.Reference("supplier", "s_nationkey", "nation", "set null"),
+              sy.Reference("orders", "o_custkey", "customer"), sy.Reference("lineitem", "l_orderkey", "orders"), sy.Reference("lineitem", "l_suppkey", "supplier", "set null")]
+KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"]}
+part("gone_nations", "SELECT n_nationkey FROM nation WHERE n_regionkey = 1")
+part("gone_customers", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM gone_nations)", "gone_nations")
+part("gone_orders", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM gone_customers)", "gone_customers")
+part("gone_suppliers", "SELECT s_suppkey FROM supplier WHERE s_acctbal < 0")
+
+
+@query("b9_deletes_along_references", sql("gone_nations", "gone_customers", "gone_orders", "gone_suppliers", body="""
+  SELECT 'nation' AS name, n_nationkey::BIGINT AS key, 0::BIGINT AS line, n_regionkey::BIGINT AS refers FROM nation WHERE n_nationkey NOT IN (FROM gone_nations)
+  UNION ALL SELECT 'customer', c_custkey, 0, c_nationkey FROM customer WHERE c_custkey NOT IN (FROM gone_customers)
+  UNION ALL SELECT 'supplier', s_suppkey, 0, CASE WHEN s_nationkey NOT IN (FROM gone_nations) THEN s_nationkey END FROM supplier WHERE s_suppkey NOT IN (FROM gone_suppliers)
+  UNION ALL SELECT 'orders', o_orderkey, 0, o_custkey FROM orders WHERE o_orderkey NOT IN (FROM gone_orders)
+  UNION ALL SELECT 'lineitem', l_orderkey, l_linenumber, CASE WHEN l_suppkey NOT IN (FROM gone_suppliers) THEN l_suppkey END FROM lineitem
+    WHERE l_orderkey NOT IN (FROM gone_orders)"""))
+def b9c(spark, sf):
+    """A region and the suppliers in debt go: four levels of cascades, two references set to null."""
+    tables = {name: t(spark, sf, name) for name in KEYS}
+    left = sy.delete_along(tables, KEYS, REFERENCES, {"region": tables["region"].filter("r_regionkey = 1"), "supplier": tables["supplier"].filter("s_acctbal < 0")})
+    shown = {"nation": "n_regionkey", "customer": "c_nationkey", "supplier": "s_nationkey", "orders": "o_custkey", "lineitem": "l_suppkey"}
+    out = None
+    for name, column in shown.items():
+        key, line = KEYS[name][0], KEYS[name][1] if len(KEYS[name]) > 1 else None
+        rows = left[name].select(F.lit(name).alias("name"), F.col(key).cast("long").alias("key"), (F.col(line) if line else F.lit(0)).cast("long").alias("line"), F.col(column).cast("long").alias("refers"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("b10_repeated_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def b10a(spark, sf):
     return sy.repeated_keys(t(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])

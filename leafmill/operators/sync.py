@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.session import cut_lineage
+
 from leafmill.functions import fixed_values as fv
 
 
@@ -118,6 +122,48 @@ def set_null(child: DataFrame, deleted: DataFrame, key: str, parent_key: str | N
     return joined.withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).drop("_gone")
 
 
+@dataclass(frozen=True)
+class Reference:
+    """`column` of `child` names a row of `parent` by its key; `action` says what a deleted parent does: `cascade` or `set null`."""
+
+    child: str
+    column: str
+    parent: str
+    action: str = "cascade"
+
+
+def delete_along(tables: dict[str, DataFrame], keys: dict[str, list[str]], references: list[Reference], deleted: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What is left of all tables when the rows of `deleted` go, along the declared references, however many levels down.
+
+    Level by level, the keys that go in one table take the rows that name them in others,
+    until no new key is found, so tables may refer to themselves or in a circle. Only keys
+    travel; each level of each table is one join, written to the shared folder. A table
+    that others refer to has one key column. Null references name nothing.
+    """
+    gone = {name: rows.select(*keys[name]).distinct() for name, rows in deleted.items()}
+    fresh = dict(gone)
+    while fresh:
+        found: dict[str, DataFrame] = {}
+        for link in references:
+            if link.action == "cascade" and link.parent in fresh:
+                named = fresh[link.parent].select(F.col(keys[link.parent][0]).alias(link.column))
+                rows = tables[link.child].join(named, link.column, "left_semi").select(*keys[link.child])
+                found[link.child] = found[link.child].unionByName(rows) if link.child in found else rows
+        fresh = {}
+        for name, rows in found.items():
+            rows = rows.distinct()
+            rows = cut_lineage(rows.join(gone[name], keys[name], "left_anti") if name in gone else rows)
+            if not rows.isEmpty():
+                fresh[name] = rows
+                gone[name] = gone[name].unionByName(rows) if name in gone else rows
+    left = {name: rows.join(gone[name], keys[name], "left_anti") if name in gone else rows for name, rows in tables.items()}
+    for link in references:
+        if link.action == "set null" and link.parent in gone:
+            columns = left[link.child].columns
+            left[link.child] = set_null(left[link.child], gone[link.parent], link.column, keys[link.parent][0]).select(*columns)
+    return left
+
+
 def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
 

@@ -151,3 +151,16 @@ def test_quantiles_are_spread(spark):
         at = 0.95 * (len(want) - 1)
         low = int(at)
         assert r["n"] == len(want) and abs(r["p95"] - (want[low] + (want[min(low + 1, len(want) - 1)] - want[low]) * (at - low))) < 1e-9
+
+
+def test_deletes_in_a_circle_and_of_a_tree(spark):
+    folders = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, None), (6, 5)], "id int, parent int")
+    files = spark.createDataFrame([(10, 4, 11), (11, 6, 12), (12, 5, None), (13, None, 10)], "id int, folder int, next int")
+    refs = [sy.Reference("folders", "parent", "folders"), sy.Reference("files", "folder", "folders"), sy.Reference("files", "next", "files", "set null")]
+    keys = {"folders": ["id"], "files": ["id"]}
+    left = sy.delete_along({"folders": folders, "files": files}, keys, refs, {"folders": folders.filter("id = 1")})
+    assert sorted(r.id for r in left["folders"].collect()) == [5, 6]
+    assert sorted((r.id, r.next or 0) for r in left["files"].collect()) == [(11, 12), (12, 0), (13, 0)]
+    ring = [sy.Reference("files", "next", "files")]
+    loop = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4), (5, 4)], "id int, next int")
+    assert sorted(r.id for r in sy.delete_along({"files": loop}, {"files": ["id"]}, ring, {"files": loop.filter("id = 2")})["files"].collect()) == [4, 5]
