@@ -23,7 +23,7 @@ CAPACITY = 2048
 #: Pieces a leaf packs, about; children of a node of the tree; free tokens of a bin that counts as full.
 LEAF_PIECES, FANOUT, SLACK = 40_000, 8, 8
 #: Words, and parts of words, whose ids a worker remembers; parts encoded together.
-KNOWN_WORDS, KNOWN_PARTS, TOGETHER = 1_500_000, 300_000, 4000
+KNOWN_WORDS, KNOWN_PARTS, TOGETHER = 700_000, 100_000, 4000
 #: How this vocabulary cuts lower-cased ASCII words, parted by blanks, before it looks for tokens; a blank is a part too.
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 ]+| ")
 
