@@ -53,15 +53,16 @@ def _state(path: str) -> dict:
         last = np.zeros(1 + max(vocabulary.values()), bool)
         last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         state.clear()
-        state.update(path=path, tokenizer=tokenizer, last=last, parts=_no_parts(), **_no_words())
+        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        state.update(path=path, tokenizer=tokenizer, last=last, special=special, parts=_no_parts(), **_no_words())
     return state
 
 
-def _encode_apart(parts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+def _encode_apart(parts: list[str], path: str, cut: bool) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all parts in a row, ids per part), encoded as one text with blanks between.
 
-    A part of an ASCII word ends with a token that ends a word, its only one; tokens of
-    other words are told apart by where they lie.
+    A part that is `cut` as the vocabulary does ends with a token that ends a word, its
+    only one; tokens of other words are told apart by where they lie.
     """
     state, ids, counts = _state(path), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
     for i in range(0, len(parts), TOGETHER):
@@ -69,7 +70,7 @@ def _encode_apart(parts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
         text = " ".join(some)
         made = state["tokenizer"].encode(text, add_special_tokens=False)
         ids.append(np.array(made.ids, dtype=np.uint32))
-        if text.isascii():
+        if cut:
             ends = np.flatnonzero(state["last"][ids[-1]]) + 1
             counts.append(np.diff(ends, prepend=0))
         else:
@@ -83,10 +84,13 @@ def _encode(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words in a row, ids per word); a word holds no white space, so its ids depend on it alone.
 
     ASCII words are lower-cased and cut as the vocabulary does, and each part is encoded
-    once: `Word,` and `word` share one. Other words are parts of their own.
+    once: `Word,` and `word` share one. Other words, and those that hold a special token,
+    are parts of their own.
     """
     state = _state(path)
-    plain = np.array([w.isascii() for w in words], bool)
+    every = " ".join(words)
+    special = [s for s in state["special"] if s in every]
+    plain = np.array([w.isascii() and not any(s in w for s in special) for w in words], bool)
     parts = _PARTS.findall(" ".join([w for w, p in zip(words, plain.tolist()) if p]).lower())
     others = [w for w, p in zip(words, plain.tolist()) if not p]
     known = state["parts"][0]
@@ -95,9 +99,9 @@ def _encode(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
         state["parts"] = _no_parts()
         fresh = [sorted(set(x).difference(" ")) for x in (parts, others)]
     number, first, count, held = state["parts"]
-    for some in fresh:
+    for some, cut in zip(fresh, (True, False)):
         if some:
-            ids, counts = _encode_apart(some, path)
+            ids, counts = _encode_apart(some, path, cut)
             number.update(zip(some, range(len(number), len(number) + len(some))))
             first = np.concatenate([first, len(held) + np.cumsum(counts) - counts])
             count, held = np.concatenate([count, counts]), np.concatenate([held, ids])
