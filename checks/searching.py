@@ -440,7 +440,7 @@ def block_hits(spark, sf):
     """Keyword hits over block chunks; Spanish documents have chunks but no stored blocks."""
     chunks_, stored = block_index(spark, sf)
     asked, forms = queries(spark, sf), expanded(spark, sf)
-    hits = rt.keyword_top_k(ix.keyword_table(chunks_), asked, forms)
+    hits = rt.keyword_top_k(ix.keyword_lists(chunks_), asked, forms)
     hits = hits.withColumn("rrf_score", 1 / (F.lit(60.0) + F.col("rank"))).withColumnRenamed("rank", "fused_rank")
     rows = rt.hit_rows(hits, chunks_, s.docs(spark, sf), stored)
     return rows.join(rt.with_query_profile(asked, forms), "query_id")

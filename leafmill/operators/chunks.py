@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.functions import fixed_values as fv
 from leafmill.functions import text as tx
@@ -195,15 +200,98 @@ def text_chunks(text: Column, strategy: str = "hybrid", size: int = 0, overlap:
     return F.flatten(F.transform(sections, lambda s: split_long(s, size, overlap, splitter)))
 
 
+PAGE_BREAK = re.compile(r"-{3,}")
+HEADING = re.compile(r"(?:#{1,6}|\d+(?:\.\d+){0,3}[.)])\s+\S+")
+
+
+def _sections(text: str, min_tokens: int) -> list[str]:
+    """`merge_small(structural_sections(text))` of one text."""
+    found: list[str] = []
+    lines: list[str] = []
+
+    def flush():
+        section = "\n".join(lines).strip()
+        lines.clear()
+        if section:
+            found.append(section)
+
+    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        bare = line.strip()
+        if not bare or PAGE_BREAK.fullmatch(bare):
+            flush()
+        elif HEADING.fullmatch(bare):
+            flush()
+            found.append(bare)
+        else:
+            lines.append(bare if len(bare) > 1 and bare[0] == bare[-1] == "|" else line.rstrip())
+    flush()
+    if min_tokens <= 0:
+        return found
+    merged: list[str] = []
+    carry = ""
+    for section in found:
+        carry = f"{carry}\n\n{section}" if carry else section
+        if _tokens(carry) >= min_tokens:
+            merged.append(carry)
+            carry = ""
+    if carry:
+        merged[-1:] = [f"{merged[-1]}\n\n{carry}"] if merged else [carry]
+    return merged
+
+
+def _tokens(text: str) -> int:
+    n = len(text.strip())
+    return max(1, n // 4) if n else 0
+
+
+def cut_to_windows(df: DataFrame, column: str, size: int, overlap: int, sections: Callable[[str], list[str]]) -> DataFrame:
+    """`df` with the text in `column` replaced by the array of its chunks: sections that fit as they are, word windows of the others.
+
+    The same as `text_chunks`, without the cost of carrying each text through nested
+    expressions: rows go through Arrow. Null counts as no text.
+    """
+    at, step = df.columns.index(column), max(1, size - overlap)
+    out = T.StructType([T.StructField(f.name, T.ArrayType(T.StringType())) if f.name == column else f for f in df.schema.fields])
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = []
+            for text in batch.column(at).to_pylist():
+                pieces: list[str] = []
+                for section in sections(text) if text else ():
+                    if _tokens(section) <= size:
+                        pieces.append(section)
+                    else:
+                        words = section.split()
+                        pieces += [" ".join(words[i:i + size]) for i in range(0, len(words), step)]
+                found.append(pieces)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(found, pa.list_(pa.string())), *batch.columns[at + 1:]], out.names)
+
+    return df.mapInArrow(cut, out)
+
+
+def _whole(text: str) -> list[str]:
+    return [x for x in (text.strip(),) if x]
+
+
+def chunk_lists(docs: DataFrame, keys: list[str], text_col: str, splitter: str = "windows", strategy: str = "hybrid", size: int = 0, overlap: int = 0,
+                min_tokens: int = fv.MIN_SECTION_TOKENS) -> DataFrame:
+    """`keys`, pieces: the chunks of each text as an array. `splitter`: windows, separators or recursive."""
+    full = size or fv.CHUNK_SIZE, overlap or fv.CHUNK_OVERLAP
+    if splitter == "recursive":
+        return split_recursively(docs.select(*keys, text_sections(F.col(text_col), strategy, min_tokens).alias("pieces")), "pieces", *full)
+    if splitter == "windows":
+        sections = _whole if strategy.lower().strip() == "token" else partial(_sections, min_tokens=min_tokens)
+        return cut_to_windows(docs.select(*keys, F.col(text_col).alias("pieces")), "pieces", *full, sections)
+    return docs.select(*keys, text_chunks(F.col(text_col), strategy, size, overlap, min_tokens, splitter).alias("pieces"))
+
+
 def chunk_texts(docs: DataFrame, keys: list[str], text_col: str, splitter: str = "windows", **params) -> DataFrame:
     """`keys`, chunk_idx, content, token_cnt: one row per chunk, a map-only job. `splitter`: windows, separators or recursive."""
-    if splitter == "recursive":
-        given = {k: v for k, v in params.items() if k in ("strategy", "min_tokens")}
-        cut = split_recursively(docs.select(*keys, text_sections(F.col(text_col), **given).alias("_pieces")), "_pieces",
-                                params.get("size") or fv.CHUNK_SIZE, params.get("overlap") or fv.CHUNK_OVERLAP)
-    else:
-        cut = docs.select(*keys, text_chunks(F.col(text_col), splitter=splitter, **params).alias("_pieces"))
-    return cut.select(*keys, F.posexplode("_pieces").alias("chunk_idx", "content")).withColumn("token_cnt", tx.token_length(F.col("content")))
+    cut = chunk_lists(docs, keys, text_col, splitter, **params)
+    return cut.select(*keys, F.posexplode("pieces").alias("chunk_idx", "content")).withColumn("token_cnt", tx.token_length(F.col("content")))
 
 
 BLOCK_FIELDS = ["page_number", "sheet_name", "slide_number", "section_path", "language"]
@@ -216,8 +304,12 @@ def chunk_blocks(blocks: DataFrame, size: int = 0, overlap: int = 0, splitter: s
     body = blocks.withColumn("_text", tx.strip(F.coalesce("source_text", F.lit("")))).filter("_text <> ''")
     fields = [c for c in BLOCK_FIELDS if c in blocks.columns]
     own = [doc, "block_idx", F.col("block_type").alias("chunk_type"), *fields]
-    cut = (split_recursively(body.select(*own, F.array("_text").alias("_pieces")), "_pieces", size, overlap) if splitter == "recursive"
-           else body.select(*own, split_long(F.col("_text"), size, overlap, splitter).alias("_pieces")))
+    if splitter == "recursive":
+        cut = split_recursively(body.select(*own, F.array("_text").alias("_pieces")), "_pieces", size, overlap)
+    elif splitter == "windows":
+        cut = cut_to_windows(body.select(*own, F.col("_text").alias("_pieces")), "_pieces", size, overlap, _whole)
+    else:
+        cut = body.select(*own, split_long(F.col("_text"), size, overlap, splitter).alias("_pieces"))
     parts = cut.select(*[c for c in cut.columns if c != "_pieces"], F.posexplode("_pieces").alias("part", "content"))
     parts = parts.filter("content <> ''").withColumn("_bucket", position_bucket(F.col("block_idx")))
     numbered = number_within(parts, [doc], ["block_idx", "part"], "_bucket", "chunk_idx")

@@ -36,14 +36,14 @@ def _automaton(name: str, needles: list[str]):
     return _AUTOMATA[name]
 
 
-def contained_rows(texts: DataFrame, text_col: str, dictionary: DataFrame, needle_col: str, out: str = "hits") -> DataFrame:
+def contained_rows(texts: DataFrame, text_col: str, dictionary: DataFrame, needle_col: str, out: str = "hits", ordered: bool = True) -> DataFrame:
     """`texts` with the array `out` of those rows of `dictionary` whose needle occurs in the text, in their order.
 
     An automaton over a block of the dictionary walks each text once. A block holds about
     BLOCK_CHARS characters and is sent to the tasks; a larger dictionary is more blocks,
     each a pass of its own that adds to the rows of the one before. Nothing is joined or
     shuffled, and a needle that occurs in every text costs no more than its hits. An empty
-    or null needle is in no text, a null text holds none.
+    or null needle is in no text, a null text holds none. Without `ordered` the rows come in any order.
     """
     import pyarrow as pa
 
@@ -78,7 +78,7 @@ def contained_rows(texts: DataFrame, text_col: str, dictionary: DataFrame, needl
             rows = rows.mapInArrow(walk, schema)
         if block + 1 < blocks:
             rows = cut_lineage(rows)  # one automaton at a time
-    return rows.withColumn(out, F.sort_array(out))
+    return rows.withColumn(out, F.sort_array(out)) if ordered else rows
 
 
 # --- alias dictionary -------------------------------------------------------
@@ -140,82 +140,107 @@ def expand_terms(terms: DataFrame, aliases: DataFrame, keys: list[str]) -> DataF
 
 # --- keywords ---------------------------------------------------------------
 
-def alias_hits(normal: Column, rows: list) -> Column:
-    """The dictionary rows whose alias occurs in a normalised text, in their order.
+KEYWORDS = T.ArrayType(T.StructType([T.StructField("keyword", T.StringType()), T.StructField("normalized_keyword", T.StringType()),
+                                      T.StructField("keyword_type", T.StringType()), T.StructField("weight", T.DoubleType())]))
 
-    `rows` are (canonical, alias, type, boost); they become a constant of the plan.
-    """
-    entries = F.array(*[
-        F.struct(F.lit(alias).alias("alias"), tx.normalise(F.lit(alias)).alias("alias_norm"),
-                 F.lit(canonical).alias("canonical"), tx.normalise(F.lit(canonical)).alias("canonical_norm"),
-                 F.lit(kind).alias("kind"), F.lit(float(boost)).alias("boost"))
-        for canonical, alias, kind, boost in rows])
-    return F.filter(entries, lambda a: (a["alias_norm"] != "") & F.contains(normal, a["alias_norm"]))
-
-
-BUILTIN_ROWS = [(canonical, alias, kind, boost) for canonical, alias, kind, _, boost in fv.ALIASES]
 
+def alias_writes(aliases: DataFrame) -> DataFrame:
+    """What a found alias writes: a row per needle and key with its last entry, the place of that and of the first.
 
-def keyword_array(terms: Column, hits: Column, limit: int = fv.MAX_KEYWORDS) -> Column:
-    """Ranked keywords of one text from its terms and its alias hits.
-
-    Later writes replace earlier ones of the same key but keep its place:
-    tokens first, then each hit writes its alias and its canonical name.
+    An alias writes its own key and that of its canonical name. Aliases of one spelling are
+    found together, so of all they write to a key only the last entry and the first place
+    count, however many rows the dictionary has for it.
     """
-    def entry(key, keyword, kind, weight, place):
-        return F.struct(weight.cast("double").alias("weight"), F.length(key).alias("size"),
-                        (-place).cast("int").alias("place"), key.alias("normalized_keyword"),
-                        keyword.alias("keyword"), kind.alias("keyword_type"))
+    place = [F.col("place.source").alias("source"), F.coalesce("place.ord", F.lit(-(1 << 63))).alias("ord"), F.col("alias").alias("by"),
+             *[F.coalesce(c, F.lit("")).alias(c) for c in ("canonical_name", "alias_type")], F.col("boost").alias("by_boost")]
 
-    def writes_of(hit):
-        def write(key, keyword, kind, weight):
-            return F.struct(key.alias("key"), keyword.alias("keyword"), kind.alias("kind"), weight.alias("weight"))
-        both = F.array(write(hit["alias_norm"], hit["alias"], hit["kind"], hit["boost"]),
-                       write(hit["canonical_norm"], hit["canonical"], F.lit("canonical"),
-                             hit["boost"] + F.lit(fv.CANONICAL_BONUS)))
-        return F.filter(both, lambda w: w["key"] != "")
+    def write(key, keyword, kind, weight, step):
+        return F.struct(key.alias("key"), keyword.alias("keyword"), kind.alias("kind"), weight.alias("weight"), F.struct(*place, F.lit(step).alias("step")).alias("at"))
 
-    def token(term, i):
-        weight = F.when(tx.is_hangul(term), fv.HANGUL_TOKEN_WEIGHT).otherwise(fv.TOKEN_WEIGHT)
-        return entry(term, term, F.lit("token"), weight, i)
+    both = F.array(write(F.col("alias_norm"), F.col("alias"), F.col("alias_type"), F.col("boost"), 0),
+                   write(F.col("canonical_norm"), F.col("canonical_name"), F.lit("canonical"), F.col("boost") + F.lit(fv.CANONICAL_BONUS), 1))
+    writes = aliases.filter("alias_norm <> ''").select(F.col("alias_norm").alias("needle"), F.inline(both)).filter("key <> ''")
+    return writes.groupBy("needle", "key").agg(
+        F.max_by(F.struct("keyword", "kind", "weight"), "at").alias("entry"), F.min("at").alias("first"), F.max("at").alias("last"))
 
-    def ranked(writes):
-        def with_keys(keys):
-            def written(key, i):
-                at = F.array_position(terms, key)
-                place = F.when(at > 0, at - 1).otherwise(F.size(terms) + i)
-                return tx.let(F.element_at(F.filter(writes, lambda w: w["key"] == key), -1),
-                              lambda last: entry(key, last["keyword"], last["kind"], last["weight"], place))
 
-            tokens = F.filter(F.transform(terms, token), lambda e: ~F.array_contains(keys, e["normalized_keyword"]))
-            return F.sort_array(F.concat(tokens, F.transform(keys, written)), asc=False)
+def ranked_keywords(terms: list[str], writes: list[tuple], limit: int) -> list[tuple]:
+    """(keyword, key, kind, weight) of one text, best first, from its terms and what its aliases write: (first, last, key, keyword, kind, weight).
 
-        return tx.let(F.array_distinct(F.transform(writes, lambda w: w["key"])), with_keys)
+    Later writes replace earlier ones of the same key but keep its place: tokens first,
+    then keys in the order in which they were first written.
+    """
+    weigh = lambda t: fv.HANGUL_TOKEN_WEIGHT if "가" <= t[0] <= "힣" else fv.TOKEN_WEIGHT
+    if not writes:
+        order = sorted(terms, key=lambda t: (weigh(t), len(t)), reverse=True)[:limit]
+        return [(t, t, "token", weigh(t)) for t in order]
+    firsts, lasts = {}, {}
+    for first, last, key, *entry in writes:
+        if key not in lasts or last > lasts[key][0]:
+            lasts[key] = (last, entry)
+        if key not in firsts or first < firsts[key]:
+            firsts[key] = first
+    place = {t: i for i, t in enumerate(terms)}
+    found = [(-weigh(t), -len(t), i, t, t, "token", weigh(t)) for t, i in place.items() if t not in lasts]
+    for i, key in enumerate(sorted(firsts, key=firsts.get)):
+        keyword, kind, weight = lasts[key][1]
+        found.append((-weight, -len(key), place.get(key, len(terms) + i), keyword, key, kind, weight))
+    return [f[3:] for f in sorted(found, key=lambda f: f[:3])[:limit]]
+
+
+def keyword_lists(texts: DataFrame, keys: list[str], text_col: str, aliases: DataFrame | None = None,
+                  limit: int = fv.MAX_KEYWORDS) -> DataFrame:
+    """(keys, keywords): the ranked keywords of each text as an array, a map-only job.
 
-    return F.slice(tx.let(F.flatten(F.transform(hits, writes_of)), ranked), 1, limit)
+    The dictionary is walked by automata, block by block, and texts are ranked in Arrow batches.
+    """
+    normal = texts.select(*keys, tx.normalise(F.col(text_col)).alias("normal"))
+    writes = alias_writes(alias_rows(texts.sparkSession) if aliases is None else aliases)
+    if aliases is not None:
+        writes = cut_lineage(writes)  # read once to count, then block by block
+    hits = contained_rows(normal, "normal", writes, "needle", ordered=False)
+    out = T.StructType([*[normal.schema[k] for k in keys], T.StructField("keywords", KEYWORDS)])
+    schema = to_arrow_schema(out)
+
+    def rank(batches):
+        import re
+
+        import pyarrow as pa
+
+        term, stop = re.compile(fv.TERM), set(fv.STOPWORDS)
+        for batch in batches:
+            listed = batch.column("hits")
+            ends, flat = listed.offsets.to_pylist(), listed.values
+            place = lambda name: zip(*[c.to_pylist() for c in flat.field(name).flatten()])
+            fields = flat.field("entry").flatten()
+            rows = list(zip(place("first"), place("last"), flat.field("key").to_pylist(), *[c.to_pylist() for c in fields]))
+            found = []
+            for i, text in enumerate(batch.column("normal").to_pylist()):
+                terms = [t for t in dict.fromkeys(term.findall(text)) if t not in stop]
+                found.append(ranked_keywords(terms, rows[ends[i]:ends[i + 1]], limit))
+            columns = list(zip(*[k for f in found for k in f])) or [()] * 4
+            kinds = schema.field("keywords").type.value_type
+            entries = pa.StructArray.from_arrays([pa.array(c, kinds.field(j).type) for j, c in enumerate(columns)], fields=list(kinds))
+            sizes = [0]
+            for f in found:
+                sizes.append(sizes[-1] + len(f))
+            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), entries)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], lists], out.names)
+
+    return hits.mapInArrow(rank, out)
+
+
+def keyword_rows(lists: DataFrame) -> DataFrame:
+    """One row per keyword of `keyword_lists`: keys, rank, keyword, type, weight."""
+    keys = [c for c in lists.columns if c != "keywords"]
+    rows = lists.select(*keys, F.posexplode("keywords").alias("at", "k"))
+    return rows.select(*keys, (F.col("at") + 1).alias("rank"), "k.keyword", "k.normalized_keyword", "k.keyword_type", "k.weight")
 
 
 def keyword_index(texts: DataFrame, keys: list[str], text_col: str, aliases: DataFrame | None = None,
                   limit: int = fv.MAX_KEYWORDS) -> DataFrame:
-    """One row per keyword of each text: `keys`, rank, keyword, type, weight.
-
-    A map-only job: the built-in dictionary is a constant of the plan, and a table of
-    aliases is walked by automata, block by block.
-    """
-    normal = texts.select(*keys, tx.normalise(F.col(text_col)).alias("normal"))
-    if aliases is None:
-        hits = normal.withColumn("hits", alias_hits(F.col("normal"), BUILTIN_ROWS))
-    else:
-        usable = aliases.filter("alias_norm <> ''")
-        needles = usable.select("place", "alias", "alias_norm", F.col("canonical_name").alias("canonical"),
-                                "canonical_norm", F.col("alias_type").alias("kind"), "boost")
-        hits = contained_rows(normal, "normal", needles, "alias_norm")
-    ranked = hits.select(*keys, tx.terms_of_normal(F.col("normal")).alias("terms"), "hits").select(
-        *keys, F.posexplode(keyword_array(F.col("terms"), F.col("hits"), limit)).alias("at", "k"))
-    return ranked.select(
-        *keys, (F.col("at") + 1).alias("rank"), F.col("k.keyword").alias("keyword"),
-        F.col("k.normalized_keyword").alias("normalized_keyword"),
-        F.col("k.keyword_type").alias("keyword_type"), F.col("k.weight").alias("weight"))
+    """One row per keyword of each text: `keys`, rank, keyword, type, weight; map-only."""
+    return keyword_rows(keyword_lists(texts, keys, text_col, aliases, limit))
 
 
 # --- full text --------------------------------------------------------------
@@ -228,39 +253,59 @@ def postings(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class TermIndex:
-    """Stored postings (term, chunk_id, tf, size, and what the access rule reads), (term, df), and one row (n, mean_size)."""
+    """Stored word counts of chunks (chunk_id, size, what the access rule reads, terms, tfs), (term, df), and one row (n, mean_size)."""
 
-    postings: DataFrame
+    counts: DataFrame
     terms: DataFrame
     totals: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """(term, chunk_id, dept_id, folder_id, tf, size): a row per word of each chunk."""
+        return posting_rows(self.counts)
+
+
+def posting_rows(counts: DataFrame) -> DataFrame:
+    keys = [c for c in counts.columns if c not in ("size", "terms", "tfs")]
+    rows = counts.select(*keys, "size", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+    return rows.select(F.col("p.terms").alias("term"), *keys, F.col("p.tfs").alias("tf"), "size")
+
 
-def counted_postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, size, dept_id, folder_id): counted inside each chunk's row, no shuffle."""
+def word_counts(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, dept_id, folder_id, size, terms, tfs): the words of each chunk, counted inside its row, no shuffle."""
     keys = [c for c in ("chunk_id", "dept_id", "folder_id") if c in chunks.columns]
-    words = chunks.select(*keys, F.array_sort(tx.index_tokens(F.col("content"))).alias("words"))
-    # in the sorted words a word's first place and the first place of the next word give its count
-    firsts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1))), lambda i: (i <= F.size("words")) & (
-        (i == 1) | (F.try_element_at("words", i) != F.try_element_at("words", F.greatest(i - 1, F.lit(1))))))
-    placed = words.withColumn("firsts", firsts)
-    ends = F.concat(F.slice("firsts", F.lit(2), F.greatest(F.size("firsts") - 1, F.lit(0))), F.array(F.size("words") + 1))
-    placed = placed.withColumn("tfs", F.zip_with("firsts", ends, lambda a, b: b - a))
-    rows = placed.select(*keys, F.size("words").alias("size"), F.explode(F.arrays_zip(
-        F.array_distinct("words").alias("term"), F.col("tfs").cast("array<long>").alias("tf"))).alias("p"))
-    return rows.select("p.term", *keys, "p.tf", "size")
+    spaced = chunks.select(*keys, F.regexp_replace(F.lower("content"), r"[^\p{L}\p{N}]+", " ").alias("words"))
+    out = T.StructType([*[spaced.schema[k] for k in keys], T.StructField("size", T.IntegerType()),
+                        T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("tfs", T.ArrayType(T.LongType()))])
+
+    def count(batches):
+        from collections import Counter
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [Counter((text or "").split(" ")) for text in batch.column("words").to_pylist()]
+            for words in found:
+                words.pop("", None)
+            ends = pa.array(np.cumsum([0] + [len(f) for f in found]), pa.int32())
+            terms = pa.ListArray.from_arrays(ends, pa.array([w for f in found for w in f], pa.string()))
+            tfs = pa.ListArray.from_arrays(ends, pa.array([n for f in found for n in f.values()], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array([sum(f.values()) for f in found], pa.int32()), terms, tfs], out.names)
+
+    return spaced.mapInArrow(count, out)
 
 
 def term_index(chunks: DataFrame, store) -> TermIndex:
     """The index of `chunks`; `store(df, name)` writes a table and gives it back as read.
 
-    Postings are sorted by term and chunk, ranges of which are files, so a reader skips
-    what it does not ask for and a frequent term is many files.
+    A chunk's words stay in its row, so that a search adds up all of a chunk's score in one
+    task; nothing is shuffled but counts of words.
     """
-    postings = store(counted_postings(chunks).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"), "postings")
-    terms = store(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
-    sizes = chunks.select(F.size(tx.index_tokens(F.col("content"))).alias("size"))
-    totals = store(sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_size")), "totals")
-    return TermIndex(postings, terms, totals)
+    counts = store(word_counts(chunks), "postings")
+    terms = store(counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
+    totals = store(counts.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_size")), "totals")
+    return TermIndex(counts, terms, totals)
 
 
 def term_frequencies(texts: DataFrame, text_col: str) -> DataFrame:

@@ -35,9 +35,17 @@ def with_vectors(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("embedding", vx.hash_embedding(F.col("content")))
 
 
+def _keyword_keys(chunks: DataFrame) -> list[str]:
+    return [c for c in ("chunk_id", "doc_id", "dept_id", "folder_id") if c in chunks.columns]
+
+
 def keyword_table(chunks: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    keys = [c for c in ("chunk_id", "doc_id", "dept_id", "folder_id") if c in chunks.columns]
-    return tm.keyword_index(chunks, keys, "content", aliases)
+    return tm.keyword_index(chunks, _keyword_keys(chunks), "content", aliases)
+
+
+def keyword_lists(chunks: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """The keyword table with a row per chunk, as searches read it."""
+    return tm.keyword_lists(chunks, _keyword_keys(chunks), "content", aliases)
 
 
 def posting_table(chunks: DataFrame) -> DataFrame:
@@ -50,26 +58,30 @@ def mention_table(docs: DataFrame, text_col: str = "text", **params) -> DataFram
     A document's chunks are an array in its own row here, so joining them
     needs no shuffle.
     """
-    joined = F.array_join(ck.text_chunks(F.col(text_col), **params), " ")
-    return gr.mentions(docs.select("doc_id", joined.alias("text")))
+    cut = ck.chunk_lists(docs, ["doc_id"], text_col, **params)
+    return gr.mentions(cut.select("doc_id", F.array_join("pieces", " ").alias("text")))
 
 
 SEARCHED = ["chunks", "vectors", "keywords", "postings", "terms", "totals"]
 
 
 def search_tables(chunks: DataFrame, store) -> dict[str, DataFrame]:
-    """What a search reads, each table stored by `store(df, name)` and made from the stored chunks."""
+    """What a search reads, each table stored by `store(df, name)` and made from the stored chunks.
+
+    Keywords and postings are lists, a row per chunk.
+    """
     rights = [c for c in ("dept_id", "folder_id") if c in chunks.columns]
     chunks = store(chunks, "chunks")
     vectors = store(with_vectors(chunks).select("chunk_id", "doc_id", *rights, "embedding"), "vectors")
-    keywords = store(keyword_table(chunks).repartitionByRange("normalized_keyword", "chunk_id").sortWithinPartitions("normalized_keyword", "chunk_id"), "keywords")
+    keywords = store(keyword_lists(chunks), "keywords")
     index = tm.term_index(chunks, store)
-    return dict(zip(SEARCHED, (chunks, vectors, keywords, index.postings, index.terms, index.totals)))
+    return dict(zip(SEARCHED, (chunks, vectors, keywords, index.counts, index.terms, index.totals)))
 
 
 def write_index(spark: SparkSession, docs: DataFrame, folder: str, text_col: str = "text", **params) -> dict[str, DataFrame]:
     """Write chunks, vectors, keywords, postings, term counts and mentions; every later table reads the written chunks.
 
+    Keywords and postings are written as lists, a row per chunk, and given back row by row.
     dept_id and folder_id of a document, if it has them, go with its chunks.
     """
     def store(df: DataFrame, name: str) -> DataFrame:
@@ -82,7 +94,8 @@ def write_index(spark: SparkSession, docs: DataFrame, folder: str, text_col: str
     carry = tuple(c for c in ("dept_id", "folder_id") if c in docs.columns)
     tables = search_tables(text_chunk_table(docs, text_col, carry, **params), store)
     write_by_document(mention_table(docs, text_col, **params), f"{folder}/mentions")
-    return {**tables, "mentions": spark.read.parquet(f"{folder}/mentions")}
+    return {**tables, "keywords": tm.keyword_rows(tables["keywords"]), "postings": tm.posting_rows(tables["postings"]),
+            "mentions": spark.read.parquet(f"{folder}/mentions")}
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -282,3 +282,29 @@ def test_searches_read_no_text(spark, tmp_path):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     hits = hy.hybrid_search(index, queries)
     assert hits.filter("query_id = 2").orderBy(F.desc("final_score")).first().doc_id == 7
+
+
+def test_scores_come_about_where_a_chunk_lies(spark, monkeypatch):
+    """No pair of query and chunk is shuffled; blocks of queries and of pairs change nothing."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(x)}" for x in rng.integers(0, 9, 6)) for _ in range(300)]
+    chunks = spark.createDataFrame([(i, t, f"d{i % 3}", f"f{i % 4}") for i, t in enumerate(texts)],
+                                   "chunk_id long, content string, dept_id string, folder_id string").repartition(6)
+    queries = spark.createDataFrame([(q, ("dept", "folder", "all")[q % 3], f"d{q % 3}", [f"f{q % 4}"] if q % 2 else None) for q in range(9)],
+                                    "query_id long, search_scope string, dept_id string, folder_ids array<string>")
+    forms = spark.createDataFrame([(q, w) for q in range(9) for w in (f"w{q}", f"w{(q + 1) % 9}")], "query_id long, variant_norm string")
+    lists = tm.keyword_lists(chunks, ["chunk_id", "dept_id", "folder_id"], "content")
+    sees = lambda q, c: {"dept": c % 3 == q % 3, "folder": bool(q % 2) and c % 4 == q % 4}.get(("dept", "folder", "all")[q % 3], c % 3 == q % 3 or (q % 2 and c % 4 == q % 4))
+    for access in (False, True):
+        want = set()
+        for q in range(9):
+            sums = [(-0.9 * len({f"w{q}", f"w{(q + 1) % 9}"} & set(t.split())), c) for c, t in enumerate(texts) if not access or sees(q, c)]
+            want |= {(q, c, round(-s, 6), i + 1) for i, (s, c) in enumerate(sorted(x for x in sums if x[0])[:7])}
+        for terms, pairs in ((rt.BLOCK_TERMS, rt.CELLS), (4, 50)):
+            monkeypatch.setattr(rt, "BLOCK_TERMS", terms)
+            monkeypatch.setattr(rt, "CELLS", pairs)
+            for rows in (lists, tm.keyword_rows(lists)):
+                found = rt.keyword_top_k(rows, queries, forms, 7, access)
+                assert {tuple(r) for r in found.collect()} == want
+        plan = rt.keyword_top_k(lists, queries, forms, 7)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "HashAggregate" not in plan
