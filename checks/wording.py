@@ -13,6 +13,7 @@ from leafmill.operators import chunks as ck
 from leafmill.operators import terms as tm
 from leafmill.plans import indexing as ix
 from checks.standins import t
+from leafmill.sources.tables import spread
 
 
 @query("d1_token_length", f"SELECT doc_id, ({s.sql_tokens('text')})::BIGINT AS tokens FROM documents")
@@ -371,7 +372,7 @@ part("part_texts", f"SELECT p_partkey AS doc_id, 'see ' || p_name || ' of ' || p
 @query("e5_keywords_with_part_names", sql("part_texts", "part_aliases", body=sql_keywords("part_texts", "doc_id", "text", "part_aliases").replace("normal JOIN", "part_texts JOIN")))
 def e5c(spark, sf):
     """Every part name is an alias; a null boost counts 1.0."""
-    parts = t(spark, sf, "part")
+    parts = spread(t(spark, sf, "part"))
     table = parts.select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("canonical_name"), F.col("p_name").alias("alias"),
                          F.lit("part").alias("alias_type"), F.lit("en").alias("language"), F.when(F.col("p_partkey") % 2 == 0, 1.5).alias("boost"))
     texts = parts.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("see "), "p_name", F.lit(" of "), "p_brand").alias("text"))

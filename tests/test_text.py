@@ -302,3 +302,32 @@ def test_cut_mark_inside_a_text(spark):
 def test_alias_without_boost_counts_one(spark):
     table = spark.createDataFrame([(1, "Canon", "nickname", "x", "en", None)], "ord int, canonical_name string, alias string, alias_type string, language string, boost double")
     assert ("nickname", 1.0, "x") in keywords(spark, "the nickname here", tm.alias_rows(spark, table))
+
+
+def test_windows_in_batches_equal_the_expressions(spark):
+    import random
+
+    rng = random.Random(6)
+    parts = ["word ", "x" * 30, "\n", "\n\n", "\r\n", "---\n", "## Head\n", "1.2. Part\n", " | a | b | \n", "\t", "\x1c", "　", "٣. x\n", "한국 ", "|", "\x85", "￿", "a b c d e f g h "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["", " \n ", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for params in ({}, {"strategy": "token", "size": 12, "overlap": 3}, {"size": 9, "overlap": 2, "min_tokens": 5}, {"min_tokens": 0, "size": 3, "overlap": 9}):
+        want = {r["i"]: r["o"] for r in df.select("i", ck.text_chunks(F.col("t"), **params).alias("o")).collect()}
+        assert {r["i"]: r["pieces"] for r in ck.chunk_lists(df, ["i"], "t", **params).collect()} == want
+
+
+def test_strip_takes_what_the_pattern_takes(spark):
+    rows = spark.range(0xD800).select(F.expr("cast(id as int)").alias("c"), F.expr("char_length(btrim(decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE'), 'x'))").alias("n"),
+                                      F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("t"))
+    kept = rows.select("c", (tx.strip(F.col("t")) == "").alias("by_characters"), (F.regexp_replace("t", rf"(?U){tx.SPACE}", "") == "").alias("by_pattern"))
+    assert kept.filter("by_characters <> by_pattern").count() == 0 and kept.filter("by_pattern").count() == len(tx.SPACES)
+
+
+def test_one_spelling_of_many_rows_is_found_once(spark):
+    """An alias that the dictionary repeats costs a text no more than the keys it writes."""
+    rows = [(i, f"Maker {i % 3}", "hot bolt", "part", "en", 1.0 + i / 1000) for i in range(900)]
+    table = spark.createDataFrame(rows, "ord long, canonical_name string, alias string, alias_type string, language string, boost double")
+    writes = tm.alias_writes(tm.alias_rows(spark, table)).filter("needle = 'hot bolt'")
+    assert writes.count() == 4  # its own key, and those of three makers
+    found = keywords(spark, "see hot bolt", tm.alias_rows(spark, table))
+    assert found[:4] == [("maker 2", 1.949, "canonical"), ("maker 1", 1.948, "canonical"), ("maker 0", 1.947, "canonical"), ("hot bolt", 1.899, "part")]
