@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -38,11 +39,23 @@ def strip(text: Column) -> Column:
 
 
 def normalise(text: Column) -> Column:
-    """Lower case, search alphabet only, single spaces; null gives ''."""
-    kept = F.regexp_replace(F.lower(text), fv.OUTSIDE_SEARCH_ALPHABET, " ")
+    """Lower case, search alphabet only, single spaces; null gives ''.
+
+    Most single spaces stand for themselves, so only what is not one is replaced.
+    """
+    spaced = F.regexp_replace(F.lower(text), fv.OUTSIDE_SEARCH_ALPHABET.replace("]", " ]"), " ")
+    kept = F.regexp_replace(spaced, " {2,}", " ")
     return F.coalesce(F.trim(kept), F.lit(""))
 
 
+_OUTSIDE = re.compile(fv.OUTSIDE_SEARCH_ALPHABET.replace("]", " ]"))
+
+
+def normalised(text: str | None) -> str:
+    """`normalise` of a value inside a task."""
+    return " ".join(_OUTSIDE.sub(" ", text.lower()).split()) if text else ""
+
+
 def candidate_terms(text: Column) -> Column:
     """Distinct search terms in first-seen order."""
     return terms_of_normal(normalise(text))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +17,8 @@ from leafmill.functions import text as tx
 from leafmill.session import cut_lineage
 
 BLOCK_CHARS = 4_000_000  # characters of needles in one automaton
+PIECES_KNOWN = 100_000  # pieces of texts whose terms a task remembers, about
+_TERM, _STOP = re.compile(fv.TERM), frozenset(fv.STOPWORDS)
 _AUTOMATA: dict = {}  # of this worker: the last one it walked
 
 
@@ -36,7 +40,8 @@ def _automaton(name: str, needles: list[str]):
     return _AUTOMATA[name]
 
 
-def contained_rows(texts: DataFrame, text_col: str, dictionary: DataFrame, needle_col: str, out: str = "hits", ordered: bool = True) -> DataFrame:
+def contained_rows(texts: DataFrame, text_col: str, dictionary: DataFrame, needle_col: str, out: str = "hits", ordered: bool = True,
+                   form: Callable | None = None, then: tuple[Callable, T.StructType] | None = None) -> DataFrame:
     """`texts` with the array `out` of those rows of `dictionary` whose needle occurs in the text, in their order.
 
     An automaton over a block of the dictionary walks each text once. A block holds about
@@ -44,6 +49,8 @@ def contained_rows(texts: DataFrame, text_col: str, dictionary: DataFrame, needl
     each a pass of its own that adds to the rows of the one before. Nothing is joined or
     shuffled, and a needle that occurs in every text costs no more than its hits. An empty
     or null needle is in no text, a null text holds none. Without `ordered` the rows come in any order.
+    With `form` a text is first replaced by form(text). With `then`, (function, schema), the last pass hands its batches on to the function in
+    the same worker: they have `out`, and after an earlier pass `_before` with the rows it found.
     """
     import pyarrow as pa
 
@@ -52,24 +59,33 @@ def contained_rows(texts: DataFrame, text_col: str, dictionary: DataFrame, needl
     blocks = max(1, -(-total // BLOCK_CHARS))
     entry = T.ArrayType(T.StructType(dictionary.schema.fields))
     spark, rows = texts.sparkSession, texts
+    at, texts_field = texts.columns.index(text_col), to_arrow_schema(texts.schema).field(text_col)
     for block in range(blocks):
         table = usable.filter(F.pmod(F.xxhash64(needle_col), F.lit(blocks)) == block).toArrow()  # BLOCK_CHARS bounds it
         table = pa.Table.from_arrays(table.columns, schema=to_arrow_schema(dictionary.schema)).combine_chunks()
         shared, name = spark.sparkContext.broadcast(table), uuid.uuid4().hex
         schema = T.StructType([*texts.schema.fields, T.StructField(out, entry)])
+        finish = then if block + 1 == blocks else None
 
-        def walk(batches, shared=shared, name=name):
+        def walk(batches, shared=shared, name=name, form=form if block == 0 else None):
             import numpy as np
 
             entries = pa.StructArray.from_arrays([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in shared.value.columns], fields=list(shared.value.schema))
             built = _automaton(name, shared.value[needle_col].to_pylist())
             for batch in batches:
-                found = [sorted({i for _, same in built.iter(x) for i in same}) if built and x else []
-                         for x in (v.as_py() for v in batch.column(text_col))]
+                values = batch.column(text_col).to_pylist()
+                if form:
+                    values = [form(x) for x in values]
+                    batch = batch.set_column(at, texts_field, pa.array(values, texts_field.type))
+                found = [sorted({i for _, same in built.iter(x) for i in same}) if built and x else [] for x in values]
                 ends = np.cumsum([0] + [len(f) for f in found])
                 hits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries.take(pa.array([i for f in found for i in f], pa.int64())))
                 yield pa.RecordBatch.from_arrays([*batch.columns, hits], [*batch.schema.names, out])
 
+        if finish:
+            if block:
+                rows = rows.withColumnRenamed(out, "_before")
+            return rows.mapInArrow(lambda batches, walk=walk, go_on=finish[0]: go_on(walk(batches)), finish[1])
         if block:
             before = rows.withColumnRenamed(out, "_before")
             wide = T.StructType([*before.schema.fields, T.StructField(out, entry)])
@@ -164,16 +180,47 @@ def alias_writes(aliases: DataFrame) -> DataFrame:
         F.max_by(F.struct("keyword", "kind", "weight"), "at").alias("entry"), F.min("at").alias("first"), F.max("at").alias("last"))
 
 
+def distinct_terms(normal: str, known: dict[str, list[str]]) -> list[str]:
+    """The distinct search terms of a normal text, stop words left out, in first-seen order.
+
+    A term never holds a space, so each distinct piece between spaces is looked at once;
+    `known` keeps the terms of pieces that are not a term as they stand.
+    """
+    pieces = list(dict.fromkeys(normal.split(" ")))
+    out, whole = [], True
+    for piece in pieces:
+        if 1 < len(piece) < 65 and piece.isalnum() and piece.isascii():
+            if piece not in _STOP:
+                out.append(piece)
+            continue
+        found = known.get(piece)
+        if found is None:
+            found = known[piece] = [t for t in _TERM.findall(piece) if t not in _STOP]
+        if found:
+            whole = False
+            out += found
+    return out if whole else list(dict.fromkeys(out))
+
+
+def _weight(term: str) -> float:
+    return fv.HANGUL_TOKEN_WEIGHT if "가" <= term[0] <= "힣" else fv.TOKEN_WEIGHT
+
+
+def ranked_terms(terms: list[str], limit: int) -> list[str]:
+    """The terms by weight and length, both falling; equal ones stay in order."""
+    best = sorted(terms, key=len, reverse=True)
+    hangul = [t for t in best if not t.isascii()]
+    return (hangul + [t for t in best if t.isascii()] if hangul else best)[:limit]
+
+
 def ranked_keywords(terms: list[str], writes: list[tuple], limit: int) -> list[tuple]:
     """(keyword, key, kind, weight) of one text, best first, from its terms and what its aliases write: (first, last, key, keyword, kind, weight).
 
     Later writes replace earlier ones of the same key but keep its place: tokens first,
     then keys in the order in which they were first written.
     """
-    weigh = lambda t: fv.HANGUL_TOKEN_WEIGHT if "가" <= t[0] <= "힣" else fv.TOKEN_WEIGHT
     if not writes:
-        order = sorted(terms, key=lambda t: (weigh(t), len(t)), reverse=True)[:limit]
-        return [(t, t, "token", weigh(t)) for t in order]
+        return [(t, t, "token", _weight(t)) for t in ranked_terms(terms, limit)]
     firsts, lasts = {}, {}
     for first, last, key, *entry in writes:
         if key not in lasts or last > lasts[key][0]:
@@ -181,7 +228,8 @@ def ranked_keywords(terms: list[str], writes: list[tuple], limit: int) -> list[t
         if key not in firsts or first < firsts[key]:
             firsts[key] = first
     place = {t: i for i, t in enumerate(terms)}
-    found = [(-weigh(t), -len(t), i, t, t, "token", weigh(t)) for t, i in place.items() if t not in lasts]
+    kept = ranked_terms([t for t in terms if t not in lasts], limit)  # no other token can be among the best
+    found = [(-_weight(t), -len(t), place[t], t, t, "token", _weight(t)) for t in kept]
     for i, key in enumerate(sorted(firsts, key=firsts.get)):
         keyword, kind, weight = lasts[key][1]
         found.append((-weight, -len(key), place.get(key, len(terms) + i), keyword, key, kind, weight))
@@ -192,42 +240,67 @@ def keyword_lists(texts: DataFrame, keys: list[str], text_col: str, aliases: Dat
                   limit: int = fv.MAX_KEYWORDS) -> DataFrame:
     """(keys, keywords): the ranked keywords of each text as an array, a map-only job.
 
-    The dictionary is walked by automata, block by block, and texts are ranked in Arrow batches.
+    The dictionary is walked by automata, block by block, and texts are put in normal form and
+    ranked in the same Arrow batches.
     """
-    normal = texts.select(*keys, tx.normalise(F.col(text_col)).alias("normal"))
+    normal = texts.select(*keys, F.col(text_col).alias("normal"))
     writes = alias_writes(alias_rows(texts.sparkSession) if aliases is None else aliases)
     if aliases is not None:
         writes = cut_lineage(writes)  # read once to count, then block by block
-    hits = contained_rows(normal, "normal", writes, "needle", ordered=False)
     out = T.StructType([*[normal.schema[k] for k in keys], T.StructField("keywords", KEYWORDS)])
     schema = to_arrow_schema(out)
 
     def rank(batches):
-        import re
-
+        import numpy as np
         import pyarrow as pa
 
-        term, stop = re.compile(fv.TERM), set(fv.STOPWORDS)
+        fields = list(schema.field("keywords").type.value_type)
+        known: dict[str, list[str]] = {}
         for batch in batches:
-            listed = batch.column("hits")
-            ends, flat = listed.offsets.to_pylist(), listed.values
-            place = lambda name: zip(*[c.to_pylist() for c in flat.field(name).flatten()])
-            fields = flat.field("entry").flatten()
-            rows = list(zip(place("first"), place("last"), flat.field("key").to_pylist(), *[c.to_pylist() for c in fields]))
-            found = []
+            written = [_written(batch.column(c)) for c in ("_before", "hits") if c in batch.schema.names]
+            sizes, tokens, other = [0], [], {}
+            if len(known) > PIECES_KNOWN:
+                known.clear()
             for i, text in enumerate(batch.column("normal").to_pylist()):
-                terms = [t for t in dict.fromkeys(term.findall(text)) if t not in stop]
-                found.append(ranked_keywords(terms, rows[ends[i]:ends[i + 1]], limit))
-            columns = list(zip(*[k for f in found for k in f])) or [()] * 4
-            kinds = schema.field("keywords").type.value_type
-            entries = pa.StructArray.from_arrays([pa.array(c, kinds.field(j).type) for j, c in enumerate(columns)], fields=list(kinds))
-            sizes = [0]
-            for f in found:
-                sizes.append(sizes[-1] + len(f))
+                terms, found = distinct_terms(text, known), [w for rows in written for w in rows.get(i, ())]
+                if not found:
+                    tokens += ranked_terms(terms, limit)
+                else:
+                    for keyword, key, kind, weight in ranked_keywords(terms, found, limit):
+                        if kind != "token" or keyword != key:
+                            other[len(tokens)] = keyword, kind, weight
+                        tokens.append(key)
+                sizes.append(len(tokens))
+            key = pa.array(tokens, pa.string())
+            weights = np.fromiter(map(_weight, tokens), np.float64, len(tokens))
+            if other:
+                names, kinds = list(tokens), ["token"] * len(tokens)
+                for at, entry in other.items():
+                    names[at], kinds[at], weights[at] = entry
+                names, kinds = pa.array(names, pa.string()), pa.array(kinds, pa.string())
+            else:
+                names, kinds = key, pa.repeat(pa.scalar("token"), len(tokens))
+            entries = pa.StructArray.from_arrays([names, key, kinds, pa.array(weights)], fields=fields)
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), entries)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], lists], out.names)
 
-    return hits.mapInArrow(rank, out)
+    return contained_rows(normal, "normal", writes, "needle", ordered=False, form=tx.normalised, then=(rank, out))
+
+
+def _written(hits) -> dict[int, list[tuple]]:
+    """(first, last, key, keyword, kind, weight) of every entry found, by the row of the batch that holds it."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    flat = hits.flatten()
+    if not len(flat):
+        return {}
+    place = lambda name: zip(*[c.to_pylist() for c in flat.field(name).flatten()])
+    rows = zip(place("first"), place("last"), flat.field("key").to_pylist(), *[c.to_pylist() for c in flat.field("entry").flatten()])
+    out: dict[int, list[tuple]] = {}
+    for i, row in zip(np.repeat(np.arange(len(hits)), pc.fill_null(pc.list_value_length(hits), 0).to_numpy()).tolist(), rows):
+        out.setdefault(i, []).append(row)
+    return out
 
 
 def keyword_rows(lists: DataFrame) -> DataFrame:
@@ -274,7 +347,7 @@ def posting_rows(counts: DataFrame) -> DataFrame:
 def word_counts(chunks: DataFrame) -> DataFrame:
     """(chunk_id, dept_id, folder_id, size, terms, tfs): the words of each chunk, counted inside its row, no shuffle."""
     keys = [c for c in ("chunk_id", "dept_id", "folder_id") if c in chunks.columns]
-    spaced = chunks.select(*keys, F.regexp_replace(F.lower("content"), r"[^\p{L}\p{N}]+", " ").alias("words"))
+    spaced = chunks.select(*keys, F.regexp_replace(F.lower("content"), r"[^\p{L}\p{N} ]+", " ").alias("words"))
     out = T.StructType([*[spaced.schema[k] for k in keys], T.StructField("size", T.IntegerType()),
                         T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("tfs", T.ArrayType(T.LongType()))])
 

@@ -331,3 +331,20 @@ def test_one_spelling_of_many_rows_is_found_once(spark):
     assert writes.count() == 4  # its own key, and those of three makers
     found = keywords(spark, "see hot bolt", tm.alias_rows(spark, table))
     assert found[:4] == [("maker 2", 1.949, "canonical"), ("maker 1", 1.948, "canonical"), ("maker 0", 1.947, "canonical"), ("hot bolt", 1.899, "part")]
+
+
+def test_a_task_normalises_as_the_column_function_does(spark):
+    points = [c for c in (*range(1, 0x3000), *range(0xABF0, 0xD7B0), *range(0xF900, 0x10000), *range(0x10400, 0x10450), 0x1F600) if not 0xD800 <= c < 0xE000]
+    texts = [f"A{chr(c)}b {chr(c)}  Z" for c in points] + ["", None, "  a,,b  ", "İKK ẞΣ 가.나-다/_+"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").select("i", tx.normalise(F.col("t")).alias("n")).collect()
+    assert {r.i: r.n for r in rows} == {i: tx.normalised(x) for i, x in enumerate(texts)}
+
+
+def test_keywords_are_made_in_one_pass_over_the_texts(spark):
+    rows = spark.createDataFrame([(1, "Target SAFETY of the phase-2 target, NSCLC!"), (2, None), (3, "비임상 자료 beta")], "chunk_id int, content string")
+    lists = tm.keyword_lists(rows, ["chunk_id"], "content")
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "regexp_replace" not in plan
+    got = {r.chunk_id: [(k.keyword, k.normalized_keyword, k.keyword_type, round(k.weight, 2)) for k in r.keywords] for r in lists.collect()}
+    assert got[2] == [] and ("phase-2", "phase-2", "token", 0.9) in got[1] and ("NSCLC", "nsclc", "drug_dev", 1.2) not in got[1]
+    assert ("nsclc", "nsclc", "canonical", 1.25) in got[1] and got[3][0][0] == "preclinical"
