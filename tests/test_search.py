@@ -308,3 +308,13 @@ def test_scores_come_about_where_a_chunk_lies(spark, monkeypatch):
                 assert {tuple(r) for r in found.collect()} == want
         plan = rt.keyword_top_k(lists, queries, forms, 7)._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "HashAggregate" not in plan
+
+
+def test_hash_embedding_counts_slice_by_slice(spark):
+    texts = [" ".join(f"w{(i * j) % 37}" for j in range(i % 9)) for i in range(vx.ROWS_COUNTED + 40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    some = (0, 5, vx.ROWS_COUNTED - 1, vx.ROWS_COUNTED, len(texts) - 1)
+    whole = {r.i: r.e for r in rows.select("i", vx.hash_embedding(F.col("t")).alias("e")).filter(F.col("i").isin(*some)).collect()}
+    for i in some:
+        alone = spark.createDataFrame([(texts[i],)], "t string").select(vx.hash_embedding(F.col("t")).alias("e")).first().e
+        assert whole[i] == alone and sum(alone) == 8 * max(1, len(texts[i].split()))
