@@ -16,6 +16,9 @@ INLINE_SPACE = r"[\s\x1c-\x1f&&[^\n]]"
 #: All characters of SPACE, for functions that take characters and for patterns without (?U), which are much faster.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
+#: A run of SPACES that is not a single space already.
+SPREAD_SPACE = f"[{SPACES.replace(' ', '')}][{SPACES}]*| [{SPACES}]+"
+
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """`use(value)` with the value computed once.
@@ -87,7 +90,7 @@ def index_tokens(text: Column) -> Column:
 
 
 def collapse_space(text: Column) -> Column:
-    return strip(F.regexp_replace(text, f"[{SPACES}]+", " "))
+    return strip(F.regexp_replace(text, SPREAD_SPACE, " "))
 
 
 def preview(text: Column, size: int = 240) -> Column:

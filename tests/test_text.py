@@ -348,3 +348,13 @@ def test_keywords_are_made_in_one_pass_over_the_texts(spark):
     got = {r.chunk_id: [(k.keyword, k.normalized_keyword, k.keyword_type, round(k.weight, 2)) for k in r.keywords] for r in lists.collect()}
     assert got[2] == [] and ("phase-2", "phase-2", "token", 0.9) in got[1] and ("NSCLC", "nsclc", "drug_dev", 1.2) not in got[1]
     assert ("nsclc", "nsclc", "canonical", 1.25) in got[1] and got[3][0][0] == "preclinical"
+
+
+def test_collapse_space_leaves_single_spaces(spark):
+    import re
+
+    texts = ["a b", "a  b", "a \n b", "a\n\nb c", "\t a　b\x85 c ", " ", "", "a\xa0 b", "a \xa0b\r\n c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: (r.o, r.singles) for r in rows.select("i", tx.collapse_space(F.col("t")).alias("o"), F.col("t").rlike(tx.SPREAD_SPACE).alias("singles")).collect()}
+    assert {i: o for i, (o, _) in got.items()} == {i: re.sub(f"[{tx.SPACES}]+", " ", x).strip(" ") for i, x in enumerate(texts)}
+    assert not got[0][1] and all(got[i][1] for i in (1, 2, 3, 4, 7, 8))
