@@ -358,3 +358,11 @@ def test_collapse_space_leaves_single_spaces(spark):
     got = {r.i: (r.o, r.singles) for r in rows.select("i", tx.collapse_space(F.col("t")).alias("o"), F.col("t").rlike(tx.SPREAD_SPACE).alias("singles")).collect()}
     assert {i: o for i, (o, _) in got.items()} == {i: re.sub(f"[{tx.SPACES}]+", " ", x).strip(" ") for i, x in enumerate(texts)}
     assert not got[0][1] and all(got[i][1] for i in (1, 2, 3, 4, 7, 8))
+
+
+def test_keywords_do_not_depend_on_the_blocks_of_the_dictionary(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "Target SAFETY of the term sheet, NSCLC!"), (2, None), (3, "비임상 milestone beta")], "chunk_id int, content string")
+    aliases = tm.alias_rows(spark)
+    whole = {r.chunk_id: r.keywords for r in tm.keyword_lists(rows, ["chunk_id"], "content", aliases).collect()}
+    monkeypatch.setattr(tm, "BLOCK_CHARS", 60)
+    assert {r.chunk_id: r.keywords for r in tm.keyword_lists(rows, ["chunk_id"], "content", aliases).collect()} == whole
