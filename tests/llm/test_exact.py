@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -101,6 +102,21 @@ def test_places_of_a_text_above_eight_megabytes():
     assert ((far[3] >= 0) & (far[3] <= 336)).all() and set(near[4].tolist()) <= set(far[4].tolist())
 
 
+@pytest.mark.parametrize("shard", [300, 500_000])
+def test_a_block_gives_one_range(spark, shard):
+    """Windows that are repeated here and there in a block cover one range, in one shard as in several."""
+    size, gram = 40, 16
+    core = "the core that all of them share, "
+    docs = [(i, core + "".join(f"{(i >> b) % 2}" * 3 for b in range(6)) + core + f"{i % 5}" * 9 + core) for i in range(64)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    blocks = Counter(suffix_dedup.blocks([d.encode() for _, d in docs], size, gram)[0].tolist())
+    ranges = {r["id"]: len(r["ranges"]) for r in suffix_dedup.repeated_ranges(table, size, gram, shard).collect()}
+    assert len(ranges) == 64 and all(ranges[d] <= blocks[i] for i, (d, _) in enumerate(docs))
+    got = suffix_dedup.remove_repeats(table, size, gram=gram, shard_bytes=shard)
+    got = got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long"), F.sha2("kept", 256)).collect()
+    compared({r[0]: tuple(r)[1:] for r in got}, brute.repeated_bytes(docs, size))
+
+
 def test_repeats_query(spark):
     got = QUERIES["op1_suffix_array_dedup"](spark, FOLDER).collect()
     compared({r[0]: tuple(r)[1:] for r in got}, brute.repeated_bytes(texts_of(spark)))
