@@ -47,7 +47,7 @@ INGESTED = """
 
 @query("k1_ingest_documents", INGESTED)
 def k1(spark, sf):
-    return jb.ingest_tables(jb.new_documents(files(spark, sf), None))["documents"]
+    return jb.ingest_tables(jb.new_documents(files(spark, sf), None), settle=lambda table: table)["documents"]
 
 
 @query("k1_streamed_ingest", INGESTED)

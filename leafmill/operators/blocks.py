@@ -127,7 +127,7 @@ def link_captions(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 def finish_blocks(blocks: DataFrame) -> DataFrame:
     """Add the searchable form of each block's text."""
-    return blocks.withColumn("normalized_text", tx.normalise(F.col("source_text")))
+    return blocks.withColumn("normalized_text", tx.normalise_in_batches(F.col("source_text")))
 
 
 def raw_text(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:

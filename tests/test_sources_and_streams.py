@@ -7,6 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from leafmill.functions import text as tx
 from leafmill.operators import terms as tm
 from leafmill.plans import indexing as ix
 from leafmill.session import cut_lineage
@@ -213,3 +214,21 @@ def test_nearest_ends_keeps_starts_without_any(spark):
                                   "trace_id string, stage string, started_at int, start_ord int, ended_at int, end_ord int, outcome string")
     got = {tuple(r) for r in jb.nearest_ends(pairs).collect()}
     assert got == {("a", "s", 1, 1, None, None, None), ("a", "s", 2, 2, 7, 6, "x")}
+
+
+def test_ingest_parses_pages_once(spark):
+    """Chunks are made from written blocks and keywords from written chunks; the rows are those of tables made apart."""
+    files = spark.createDataFrame([(1, "/a", "h", "Figure 1\nHello world", [(1, "Figure 1\nHello world")], None), (2, "/b", "i", "# Head\ntext", None, None)],
+                                  "doc_id long, path string, hash string, markdown string, pages array<struct<page_num:int,text:string>>, images array<struct<path:string,page_num:int>>")
+    steps, plain = [], jb.ingest_tables(files, settle=lambda table: table)
+    found = jb.ingest_tables(files, settle=lambda table: steps.append(table.inputFiles()) or cut_lineage(table))
+    assert steps[0] == [] and all("/settled-" in f for f in steps[1]) and steps[1]
+    assert all(f.split("/settled-")[1] for f in jb.ingest_tables(files)["keywords"].inputFiles())
+    for name in jb.TABLES:
+        assert sorted(map(str, found[name].collect())) == sorted(map(str, plain[name].collect()))
+
+
+def test_normal_form_in_batches(spark):
+    texts = [None, "", "  ", "A  b\tC", "ÀÉ ß İstanbul K", "한국 어-1.2_x/y", "a" * 500 + " B\n", "\x1c x   Ω"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert rows.filter(~tx.normalise_in_batches(F.col("t")).eqNullSafe(tx.normalise(F.col("t")))).count() == 0
