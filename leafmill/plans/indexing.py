@@ -65,14 +65,18 @@ def mention_table(docs: DataFrame, text_col: str = "text", **params) -> DataFram
 SEARCHED = ["chunks", "vectors", "keywords", "postings", "terms", "totals"]
 
 
+def vector_table(chunks: DataFrame) -> DataFrame:
+    rights = [c for c in ("dept_id", "folder_id") if c in chunks.columns]
+    return with_vectors(chunks).select("chunk_id", "doc_id", *rights, "embedding")
+
+
 def search_tables(chunks: DataFrame, store) -> dict[str, DataFrame]:
     """What a search reads, each table stored by `store(df, name)` and made from the stored chunks.
 
     Keywords and postings are lists, a row per chunk.
     """
-    rights = [c for c in ("dept_id", "folder_id") if c in chunks.columns]
     chunks = store(chunks, "chunks")
-    vectors = store(with_vectors(chunks).select("chunk_id", "doc_id", *rights, "embedding"), "vectors")
+    vectors = store(vector_table(chunks), "vectors")
     keywords = store(keyword_lists(chunks), "keywords")
     index = tm.term_index(chunks, store)
     return dict(zip(SEARCHED, (chunks, vectors, keywords, index.counts, index.terms, index.totals)))

@@ -12,6 +12,8 @@ from leafmill.operators import retrieval as rt
 from leafmill.operators import terms as tm
 from leafmill.operators import vector_index as vi
 from leafmill.functions import vectors as vx
+from leafmill.plans import hybrid as hy
+from leafmill.plans import indexing as ix
 
 NOW = datetime.datetime(2024, 1, 1)
 
@@ -318,3 +320,16 @@ def test_hash_embedding_counts_slice_by_slice(spark):
     for i in some:
         alone = spark.createDataFrame([(texts[i],)], "t string").select(vx.hash_embedding(F.col("t")).alias("e")).first().e
         assert whole[i] == alone and sum(alone) == 8 * max(1, len(texts[i].split()))
+
+
+def test_a_search_writes_only_the_tables_it_reads(spark, monkeypatch):
+    """A sparse search waits for no vectors and keywords; each table is written once."""
+    docs = spark.createDataFrame([(1, "red apples and pears", "a.pdf", "pdf", "indexed", "en", "f"), (2, "green pears", "b.pdf", "pdf", "indexed", "en", "f")],
+                                 "doc_id long, text string, file_name string, type string, status string, dept_id string, folder_id string")
+    written, settled = [], ix.settled
+    monkeypatch.setattr(ix, "settled", lambda df: written.append(tuple(df.columns)) or settled(df))
+    found = hy.SearchIndex.of_documents(docs)
+    assert found.words is found.words
+    assert len(written) == 4 and not any("embedding" in c or "keywords" in c for c in written)
+    assert found.vectors.count() == found.keywords.count() == 2 and found.vectors is found.vectors
+    assert len(written) == 6
