@@ -17,6 +17,7 @@ from leafmill.functions import text as tx
 from leafmill.session import cut_lineage
 
 BLOCK_CHARS = 4_000_000  # characters of needles in one automaton
+SPELLED, CELLS_PER_PART = 250_000, 4  # rows that a task of `expand_terms` gives, about; cells that even out its parts
 PIECES_KNOWN = 100_000  # pieces of texts whose terms a task remembers, about
 _TERM, _STOP = re.compile(fv.TERM), frozenset(fv.STOPWORDS)
 _AUTOMATA: dict = {}  # of this worker: the last one it walked
@@ -126,11 +127,26 @@ def alias_groups(aliases: DataFrame) -> DataFrame:
 
 
 def alias_lookup(aliases: DataFrame) -> DataFrame:
-    """(term_norm, canonical_norm): what a spelling means; the latest row wins."""
+    """(term_norm, canonical_norm): what a spelling means; the latest row wins.
+
+    Alike rows are first reduced to the last of them, which needs no sort of the dictionary.
+    """
     usable = aliases.filter((F.col("alias_norm") != "") & (F.col("canonical_norm") != ""))
-    writes = usable.select("place", "canonical_norm", F.posexplode(F.array("alias_norm", "canonical_norm")).alias("step", "term_norm"))
-    return writes.groupBy("term_norm").agg(
-        F.max_by("canonical_norm", F.struct("place", "step")).alias("canonical_norm"))
+    writes = usable.select(F.col("place.source").alias("source"), F.col("place.ord").alias("ord"), "canonical_norm",
+                           F.posexplode(F.array("alias_norm", "canonical_norm")).alias("step", "term_norm"))
+    last = writes.groupBy("term_norm", "canonical_norm", "source", "step").agg(F.max("ord").alias("ord"))
+    return last.groupBy("term_norm").agg(
+        F.max_by("canonical_norm", F.struct("source", "ord", "step")).alias("canonical_norm"))
+
+
+def spellings(aliases: DataFrame) -> DataFrame:
+    """(canonical_norm, variant_norm, variant): of the spellings of a canonical name with one normal form the longest, then the greatest.
+
+    The distinct spellings are written first: only those are sorted, however many rows the dictionary has for them.
+    """
+    groups = cut_lineage(alias_groups(aliases)).withColumn("variant_norm", tx.normalise(F.col("surface"))).filter("variant_norm <> ''")
+    best = groups.groupBy("canonical_norm", "variant_norm").agg(F.max(F.struct(F.length("surface"), "surface")).alias("b"))
+    return best.select("canonical_norm", "variant_norm", F.col("b.surface").alias("variant"))
 
 
 def expand_terms(terms: DataFrame, aliases: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,17 +154,24 @@ def expand_terms(terms: DataFrame, aliases: DataFrame, keys: list[str]) -> DataF
 
     `terms` needs `keys`, pos, term. Gives `keys`, pos, variant, variant_norm:
     one row per normal form, `pos` counting from 0.
+
+    How many rows come out is counted first, and the work is cut into parts of about SPELLED
+    of them. Terms and spellings meet by canonical name and cell, a hash of the key, so a name
+    that many terms mean is many tasks; the rows that come out are dealt once, by key, and put
+    in order there.
     """
-    found = (terms.withColumn("term_norm", tx.normalise(F.col("term"))).filter("term_norm <> ''")
-             .join(alias_lookup(aliases), "term_norm", "left"))
-    own = found.select(*keys, "pos", F.col("term").alias("variant"))
-    others = (found.filter(F.col("canonical_norm").isNotNull())
-              .join(alias_groups(aliases), "canonical_norm")
-              .select(*keys, "pos", F.col("surface").alias("variant")))
-    spelled = (own.unionByName(others)
-               .withColumn("variant_norm", tx.normalise(F.col("variant"))).filter("variant_norm <> ''"))
+    lookup, known = cut_lineage(alias_lookup(aliases)), spellings(aliases)
+    found = cut_lineage(terms.withColumn("term_norm", tx.normalise(F.col("term"))).filter("term_norm <> ''")
+                        .join(lookup, "term_norm", "left").select(*keys, "pos", "term", "term_norm", "canonical_norm"))
+    times, sizes = (df.groupBy("canonical_norm").agg(F.count(F.lit(1)).alias(n)) for df, n in ((found, "_times"), (known, "_size")))
+    total = times.join(sizes, "canonical_norm", "left").agg(F.sum(F.col("_times") * (1 + F.coalesce("_size", F.lit(0))))).first()[0] or 0
+    parts, meet = max(1, -(-total // SPELLED)), ["canonical_norm", "_cell"]
+    asked = found.filter("canonical_norm IS NOT NULL").select(*keys, "pos", "canonical_norm", F.pmod(F.xxhash64(*keys), F.lit(parts * CELLS_PER_PART)).alias("_cell"))
+    given = known.join(asked.select(*meet).distinct(), "canonical_norm").repartition(parts, *meet)
+    others = asked.repartition(parts, *meet).join(given, meet).select(*keys, "pos", "variant", "variant_norm")
+    own = found.select(*keys, "pos", F.col("term").alias("variant"), F.col("term_norm").alias("variant_norm"))
     best = F.struct(-F.col("pos"), F.length("variant"), F.col("variant"))
-    kept = spelled.groupBy(*keys, "variant_norm").agg(F.max(best).alias("b"))
+    kept = own.unionByName(others).repartition(parts, *keys).groupBy(*keys, "variant_norm").agg(F.max(best).alias("b"))
     order = Window.partitionBy(*keys).orderBy(F.col("b").desc())
     return kept.select(*keys, (F.row_number().over(order) - 1).cast("long").alias("pos"),
                        F.col("b.variant").alias("variant"), "variant_norm")

@@ -1,3 +1,6 @@
+import collections
+import re
+
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as tx
@@ -92,6 +95,35 @@ def test_later_alias_rows_override(spark):
     assert [r.variant for r in out] == ["milestone", "goal"]
 
 
+def test_spellings_of_a_frequent_name_are_many_tasks(spark, monkeypatch):
+    """Rows come out in parts of about SPELLED, none of them sorted where a name meets its spellings; the result is that of brute force."""
+    monkeypatch.setattr(tm, "SPELLED", 1000, raising=False)
+    names = [f"{'Red' if i % 2 else 'red'} bolt {i // 2}{'!' * (i % 3)}" for i in range(90)]
+    table = [(i, "Hot" if i % 9 else f"Cold {i % 2}", x) for i, x in enumerate(names)]
+    given = spark.createDataFrame([(*row, "product", "en", 1.0) for row in table], "ord long, canonical_name string, alias string, alias_type string, language string, boost double")
+    texts = {k: [names[k % 90], "hot", f"other {k}", names[k % 7].upper()][k % 2:] for k in range(400)} | {None: ["cold 1"], -1: ["hot", "?"]}
+    terms = spark.createDataFrame([(k, i, x) for k, given_ in texts.items() for i, x in enumerate(given_)], "k long, pos int, term string")
+    norm = lambda x: " ".join(re.findall(r"[0-9a-z._+\-/]+", x.lower()))
+    owner, spelled = {}, {}
+    for _, name, alias in table:
+        owner[norm(alias)] = owner[norm(name)] = norm(name)
+        spelled.setdefault(norm(name), set()).update((name, alias))
+    want = set()
+    for k, given_ in texts.items():
+        best = {}
+        for i, x in enumerate(given_):
+            for v in {x} | spelled.get(owner.get(norm(x)), set()):
+                if norm(v):
+                    best[norm(v)] = max(best.get(norm(v), (-99,)), (-i, len(v), v))
+        want |= {(k, i, b[2], n) for i, (b, n) in enumerate(sorted(((b, n) for n, b in best.items()), reverse=True))}
+    out = tm.expand_terms(terms, tm.alias_rows(spark, given), ["k"])
+    rows = out.withColumn("part", F.spark_partition_id()).collect()
+    assert {tuple(r)[:4] for r in rows} == want and len(rows) == len(want) > 15_000
+    assert max(collections.Counter(r.part for r in rows).values()) < 2500
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "SortAggregate(key=[k#" not in plan.split("REPARTITION_BY_NUM", 1)[1]
+
+
 def keywords(spark, text, aliases=None, **params):
     rows = tm.keyword_index(spark.createDataFrame([(1, text)], "id int, t string"), ["id"], "t", aliases, **params)
     return [(r.normalized_keyword, round(r.weight, 4), r.keyword_type) for r in rows.orderBy("rank").collect()]
