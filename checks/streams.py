@@ -53,7 +53,7 @@ def k1(spark, sf):
 @query("k1_streamed_ingest", INGESTED)
 def k1b(spark, sf):
     folder = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    files(spark, sf).drop("lang").write.json(f"{folder}/in")
+    files(spark, sf).drop("lang").write.option("compression", "gzip").json(f"{folder}/in")
     jb.ingest_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/progress").awaitTermination()
     return spark.read.parquet(f"{folder}/out/documents").drop("batch")
 
@@ -65,7 +65,7 @@ def two_batches(spark, sf):
     line = F.array(F.struct(F.lit(1).alias("page_num"), F.concat(F.lit("second reading of "), F.col("doc_id").cast("string")).alias("text")))
     later = first.filter("doc_id % 3 = 0").withColumn("pages", line).withColumn("markdown", F.col("pages")[0]["text"]).drop("images")
     for rows in (first, later):
-        rows.write.mode("append").json(f"{folder}/in")
+        rows.write.mode("append").option("compression", "gzip").json(f"{folder}/in")
         jb.ingest_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/progress").awaitTermination()
     return f"{folder}/out"
 

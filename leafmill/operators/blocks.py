@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from leafmill.functions import fixed_values as fv
 from leafmill.functions import text as tx
 from leafmill.functions.ordered import nearest_in_order, number_within, position_bucket
-from leafmill.operators.chunks import CUT, shielded, unshielded
+from leafmill.operators.chunks import CUT, piece_count, shielded, unshielded
+
+DOCUMENTS = 256  # documents whose block texts a task holds as Python objects at a time
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 CAPTION = rf"(?iu)\A(?U)[\s\x1c-\x1f]*{fv.CAPTION_LEADS}"
@@ -67,6 +71,12 @@ def parsed_blocks(parsed: DataFrame, prefix: str = "Extracted image") -> DataFra
     `parsed` needs doc_id, markdown, pages array<struct<page_num, text>> and
     images array<struct<path, page_num>>. Map-only: numbering needs no shuffle.
     """
+    rows = parsed.select("doc_id", parsed_block_array(prefix).alias("blocks"))
+    return rows.select("doc_id", F.posexplode("blocks").alias("block_idx", "b")).select("doc_id", "block_idx", "b.*")
+
+
+def parsed_block_array(prefix: str = "Extracted image") -> Column:
+    """All blocks of a parsed document as an array, in order."""
     whole = F.array(F.struct(F.lit(None).cast("int").alias("page_num"), F.col("markdown").alias("text")))
     pages = F.when(F.coalesce(F.size("pages"), F.lit(0)) > 0, F.col("pages")).otherwise(whole)
     block = ("array<struct<block_type:string,source_text:string,section_path:string,"
@@ -87,8 +97,7 @@ def parsed_blocks(parsed: DataFrame, prefix: str = "Extracted image") -> DataFra
             F.regexp_extract(image["path"], r"\.([^./]*)\z", 1).alias("image_type"))
 
     images = F.coalesce(F.transform("images", placeholder), F.array().cast(block))
-    every = F.concat(F.flatten(F.transform(pages, of_page)).cast(block), images.cast(block))
-    return parsed.select("doc_id", F.posexplode(every).alias("block_idx", "b")).select("doc_id", "block_idx", "b.*")
+    return F.concat(F.flatten(F.transform(pages, of_page)).cast(block), images.cast(block))
 
 
 def link_captions(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -130,6 +139,45 @@ def finish_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("normalized_text", tx.normalise_in_batches(F.col("source_text")))
 
 
+def numbered_blocks(parsed: DataFrame, alone: str, size: int = 0, overlap: int = 0, prefix: str = "Extracted image") -> DataFrame:
+    """`finish_blocks` of `parsed_blocks`, and `first_chunk`: the number that the block's first chunk has in its document.
+
+    A document's blocks are in its row here, so that `chunk_blocks` needs no shuffle of
+    texts to number them. `alone` names a column that is true where no other row has the
+    document's id; elsewhere first_chunk is null.
+    """
+    size, overlap = size or fv.CHUNK_SIZE, overlap or fv.CHUNK_OVERLAP
+    rows = parsed.select("doc_id", F.col(alone).alias("alone"), parsed_block_array(prefix).alias("blocks"))
+    out = T.StructType([rows.schema["doc_id"], T.StructField("block_idx", T.IntegerType()), *rows.schema["blocks"].dataType.elementType.fields,
+                        T.StructField("normalized_text", T.StringType()), T.StructField("first_chunk", T.LongType())])
+    schema = to_arrow_schema(out)
+    at = out.names.index("source_text") - 2
+
+    def finish(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, DOCUMENTS):
+                docs = batch.slice(start, DOCUMENTS)
+                lists = docs.column("blocks")
+                sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+                fields = lists.flatten().flatten()
+                texts = fields[at].to_pylist()
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                opens = (np.cumsum(sizes) - sizes)[owner]
+                count = np.fromiter((piece_count(x, size, overlap) for x in texts), np.int64, len(texts))
+                before = np.cumsum(count) - count
+                first = before - before[opens]
+                single = docs.column("alone").fill_null(False).to_numpy(zero_copy_only=False)[owner]
+                yield pa.RecordBatch.from_arrays([
+                    docs.column("doc_id").take(pa.array(owner)), pa.array((np.arange(len(texts)) - opens).astype(np.int32)),
+                    *[f.cast(schema.field(i + 2).type) for i, f in enumerate(fields)],
+                    pa.array([tx.normalised(x) for x in texts], pa.string()), pa.array(first, mask=~single)], schema=schema)
+
+    return rows.mapInArrow(finish, out)
+
+
 def raw_text(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
     """One text per document: its text, table and caption blocks, blank lines between."""
     body = blocks.withColumn("_text", tx.strip(F.coalesce("source_text", F.lit("")))).filter(

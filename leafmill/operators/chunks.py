@@ -276,6 +276,12 @@ def _whole(text: str) -> list[str]:
     return [x for x in (text.strip(),) if x]
 
 
+def piece_count(text: str | None, size: int, overlap: int) -> int:
+    """How many chunks `chunk_blocks` cuts of a block's text by windows."""
+    tokens = _tokens(text) if text else 0
+    return min(tokens, 1) if tokens <= size else -(-len(text.split()) // max(1, size - overlap))
+
+
 def chunk_lists(docs: DataFrame, keys: list[str], text_col: str, splitter: str = "windows", strategy: str = "hybrid", size: int = 0, overlap: int = 0,
                 min_tokens: int = fv.MIN_SECTION_TOKENS) -> DataFrame:
     """`keys`, pieces: the chunks of each text as an array. `splitter`: windows, separators or recursive."""
@@ -298,11 +304,28 @@ BLOCK_FIELDS = ["page_number", "sheet_name", "slide_number", "section_path", "la
 
 
 def chunk_blocks(blocks: DataFrame, size: int = 0, overlap: int = 0, splitter: str = "windows",
-                 doc: str = "doc_id") -> DataFrame:
-    """Chunks of blocks with the block's own fields, numbered along the document."""
+                 doc: str = "doc_id", first: str | None = None) -> DataFrame:
+    """Chunks of blocks with the block's own fields, numbered along the document.
+
+    `first` names a column with the number of a block's first chunk, counted for the same
+    size and overlap by windows (`blocks.numbered_blocks`): its chunks are numbered where they lie.
+    Blocks where it is null are numbered by a shuffle.
+    """
+    if first:
+        placed = _block_pieces(blocks.filter(F.col(first).isNotNull()), size, overlap, "windows", doc, [first])
+        placed = placed.withColumn("chunk_idx", F.col(first) + F.col("part"))
+        other = chunk_blocks(blocks.filter(F.col(first).isNull()), size, overlap, "windows", doc)
+        return placed.withColumn("token_cnt", tx.token_length(F.col("content"))).drop(first, "part").unionByName(other)
+    parts = _block_pieces(blocks, size, overlap, splitter, doc).withColumn("_bucket", position_bucket(F.col("block_idx")))
+    numbered = number_within(parts, [doc], ["block_idx", "part"], "_bucket", "chunk_idx")
+    return numbered.withColumn("token_cnt", tx.token_length(F.col("content"))).drop("_bucket", "part")
+
+
+def _block_pieces(blocks: DataFrame, size: int, overlap: int, splitter: str, doc: str, carry: list[str] | None = None) -> DataFrame:
+    """The chunks of each block, `part` counting them from 0."""
     size, overlap = size or fv.CHUNK_SIZE, overlap or fv.CHUNK_OVERLAP
     body = blocks.withColumn("_text", tx.strip(F.coalesce("source_text", F.lit("")))).filter("_text <> ''")
-    fields = [c for c in BLOCK_FIELDS if c in blocks.columns]
+    fields = [*[c for c in BLOCK_FIELDS if c in blocks.columns], *(carry or [])]
     own = [doc, "block_idx", F.col("block_type").alias("chunk_type"), *fields]
     if splitter == "recursive":
         cut = split_recursively(body.select(*own, F.array("_text").alias("_pieces")), "_pieces", size, overlap)
@@ -311,9 +334,7 @@ def chunk_blocks(blocks: DataFrame, size: int = 0, overlap: int = 0, splitter: s
     else:
         cut = body.select(*own, split_long(F.col("_text"), size, overlap, splitter).alias("_pieces"))
     parts = cut.select(*[c for c in cut.columns if c != "_pieces"], F.posexplode("_pieces").alias("part", "content"))
-    parts = parts.filter("content <> ''").withColumn("_bucket", position_bucket(F.col("block_idx")))
-    numbered = number_within(parts, [doc], ["block_idx", "part"], "_bucket", "chunk_idx")
-    return numbered.withColumn("token_cnt", tx.token_length(F.col("content"))).drop("_bucket", "part")
+    return parts.filter("content <> ''")
 
 
 def chunk_documents(docs: DataFrame, blocks: DataFrame, text_col: str, **params) -> DataFrame:

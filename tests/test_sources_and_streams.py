@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as tx
+from leafmill.operators import blocks as bk
+from leafmill.operators import chunks as ck
 from leafmill.operators import terms as tm
 from leafmill.plans import indexing as ix
-from leafmill.session import cut_lineage
+from leafmill.session import cut_lineage, shared_dir
 from leafmill.sources import files as fl
 from leafmill.sources import tables as tb
 from leafmill.streaming import jobs as jb
@@ -130,6 +132,48 @@ def test_a_stopped_batch_shows_nothing(spark, tmp_path, monkeypatch):
     assert read(small) == after and spark.read.parquet(f"{small}/documents").count() == 3
 
 
+def read_file(i, path, text, pages=None):
+    return {"path": path, "doc_id": i, "markdown": text, "pages": [{"page_num": n + 1, "text": x} for n, x in enumerate(pages or [])], "images": [{"path": "a.png", "page_num": 1}]}
+
+
+def test_ingest_keeps_each_text_table_once(spark, tmp_path):
+    """Blocks and chunks are written where they are kept, and nothing that is shuffled stays; rows are those of the batch form."""
+    source, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    long = " ".join(f"w{i}" for i in range(1500))
+    files = [read_file(1, "/a", "p", ["Figure 1\nshort", long, "", "# Head\nmore"]), read_file(2, "/b", "whole text | without pages"),
+             read_file(3, "/c", "x", ["one of two"]), read_file(3, "/d", long, [long, "shares its id"]), read_file(5, "/e", "again", ["again"]), read_file(5, "/e", "again", ["again"])]
+    write_json(source, "1.json", files)
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    jb.ingest_stream(spark, source, target, progress).awaitTermination()
+    wrote = [f"{shared_dir(spark)}/{d}" for d in os.listdir(shared_dir(spark).removeprefix("file:")) if d.startswith("settled-") and d not in before]
+    assert wrote and not {c for d in wrote for c in spark.read.parquet(d).columns} & {"source_text", "content", "pages", "markdown"}
+    plain = jb.ingest_tables(jb.new_documents(spark.read.schema(jb.FILES).json(source), None), settle=lambda table: table)
+    for name in jb.TABLES:
+        found = jb.current_rows(spark, target, name)
+        for some, left_out in (("doc_id <> 3", []), ("doc_id = 3", ["chunk_id", "chunk_idx"])):  # which of two files with one id comes first is open
+            columns = [c for c in plain[name].columns if c not in left_out]
+            got, want = (sorted(str(r) for r in df.filter(some).select(*columns).collect()) for df in (found, plain[name]))
+            assert got == want and got
+    keys = lambda df: sorted((r.doc_id, r.chunk_idx, r.chunk_id) for r in df.collect())
+    got = keys(jb.current_rows(spark, target, "chunks"))
+    assert got == keys(plain["chunks"]) and len(set(got)) == len(got)
+
+
+def test_numbered_blocks(spark, monkeypatch):
+    """Blocks as parsed and finished apart; the chunk numbers are those that a shuffle gives."""
+    monkeypatch.setattr(bk, "DOCUMENTS", 3)
+    texts = ["", "  ", "a", "a " * 90 + "b", " ".join(["word"] * 31), "\x1c\u3000x", "한국 " * 40, "x" * 400]
+    page = lambda n, x: (n, x)
+    rows = [(i, True if i % 4 else None, "m" if i % 3 else None, [page(j, texts[(i * j + j) % len(texts)]) for j in range(i % 6)] if i % 5 else None,
+             [("p.png", 0), ("q", 2)][:i % 3]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, alone boolean, markdown string, pages array<struct<page_num:int,text:string>>, images array<struct<path:string,page_num:int>>").coalesce(2)
+    got, want = bk.numbered_blocks(docs, "alone", 20, 5).cache(), bk.finish_blocks(bk.parsed_blocks(docs))
+    assert sorted(map(str, got.drop("first_chunk").collect())) == sorted(map(str, want.collect()))
+    assert all((r.first_chunk is None) == (r.doc_id % 4 == 0) for r in got.collect())
+    chunks = ck.chunk_blocks(got, 20, 5, first="first_chunk")
+    assert sorted(map(str, chunks.collect())) == sorted(map(str, ck.chunk_blocks(want, 20, 5).select(*chunks.columns).collect()))
+
+
 def sign_ins(outcomes):
     return [(1, NOW + datetime.timedelta(minutes=m), i, ok) for i, (m, ok) in enumerate(outcomes)]
 
