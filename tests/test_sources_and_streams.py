@@ -159,6 +159,30 @@ def test_ingest_keeps_each_text_table_once(spark, tmp_path):
     assert got == keys(plain["chunks"]) and len(set(got)) == len(got)
 
 
+def test_texts_are_not_shuffled_to_number_chunks_or_to_read_current_rows(spark, tmp_path, monkeypatch):
+    source, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    ids = [-65, -64, -1, 0, 1, 63, 64, 127, 128, 1 << 38]
+    rounds = [ids, ids[::2], [0, 63, 64], [63]]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for n, some in enumerate(rounds):
+            write_json(source, f"{n}.json", [read_file(i, f"/{i}", f"reading {n} of {i}") for i in some])
+            jb.ingest_stream(spark, source, target, progress).awaitTermination()
+        last = {i: max(n for n, some in enumerate(rounds) if i in some) for i in ids}
+        for most in (500_000, 0):
+            monkeypatch.setattr(jb, "MOST_WORDS", most)
+            rows = jb.current_rows(spark, target, "blocks").filter("block_type = 'text'")
+            assert sorted((r.doc_id, r.source_text) for r in rows.collect()) == sorted((i, f"reading {n} of {i}") for i, n in last.items())
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert ("Exchange hashpartitioning" in plan) == (most == 0)
+        stored = spark.read.parquet(f"{target}/blocks/batch=0")
+        placed = ck.chunk_blocks(stored, first="first_chunk")._jdf.queryExecution().optimizedPlan().children().head().toString()
+        assert "Window" not in placed and "MapInArrow" in placed
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_numbered_blocks(spark, monkeypatch):
     """Blocks as parsed and finished apart; the chunk numbers are those that a shuffle gives."""
     monkeypatch.setattr(bk, "DOCUMENTS", 3)
